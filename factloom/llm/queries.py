@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontamination, ngram_join, passages
+from factloom.llm import decontamination, ngram_join, passages, pii
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,9 +76,60 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+def _span_text(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.find_pii(_table(spark, sf_dir, "documents"))
+    base = [k.name for k in pii.KINDS if k.base]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in base]
+    only = F.filter("spans", lambda s: s["kind"].isin(base))
+    return found.select("doc_id", *counts, F.sha2(_span_text(only), 256).alias("base_sha256"), _span_text(F.col("spans")).alias("spans"))
+
+
+#: For each kind: pattern, condition on match m, start of the span before end e.
+_OP9_KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true", "length(m)", 0.9, "", ""),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "list_max(list_transform(string_split(m, '.'), lambda x: TRY_CAST(x AS HUGEINT))) <= 255", "length(m)", 0.6, "", ""),
+    "card": (r"[0-9]([\x20-]?[0-9])+", """length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 16 AND 19 AND
+        list_sum(list_transform(range(1, length(regexp_replace(m, '[^0-9]', '', 'g')) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse(regexp_replace(m, '[^0-9]', '', 'g'))[i] AS INT)
+        ELSE (CAST(reverse(regexp_replace(m, '[^0-9]', '', 'g'))[i] AS INT) * 2 - CASE WHEN CAST(reverse(regexp_replace(m, '[^0-9]', '', 'g'))[i] AS INT) > 4 THEN 9 ELSE 0 END) END)) % 10 = 0""", "length(m)", 0.8, "", ""),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 8 AND 15", "length(m)", 0.6, "", ""),
+    "iban": (r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b", """length(replace(m, ' ', '')) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(replace(m, ' ', '')[5:] || replace(m, ' ', '')[:4], ''), lambda c: (ascii(c) - CASE WHEN ascii(c) < 58 THEN 48 ELSE 55 END)::HUGEINT)),
+        lambda a, x: (a * CASE WHEN x < 10 THEN 10 ELSE 100 END + x) % 97) = 1""", "length(m)", 0.8, "", ""),
+    "secret": ("(?i)(?:token|secret|passw(?:or)?d|api[_-]?key)[\"'']?[ \\t]*[=:][ \\t]*[\"'']?[A-Za-z0-9+/_=-]{16,}", "regexp_matches(m, '[0-9]')", "length(regexp_extract(m, '[A-Za-z0-9+/_=-]{16,}$'))", 0.6, "key|auth|login|bearer|config|env", "example|dummy|sample"),
+}
+
+
+def _op9_sql() -> str:
+    kinds = []
+    for i, (kind, (pattern, holds, size, score, raises, lowers)) in enumerate(_OP9_KINDS.items()):
+        near = "lower(right(p[i], 40) || ' ' || left(p[i + 1], 40))"
+        scored = f"AND {score} + CASE WHEN regexp_matches({near}, '{raises}') THEN 0.1 ELSE 0 END - CASE WHEN regexp_matches({near}, '{lowers}') THEN 0.2 ELSE 0 END >= 0.5" if lowers else ""
+        kinds.append(f"""
+SELECT doc_id, {i} AS k, '{kind}' AS kind, e - {size} AS s, e FROM (
+  SELECT doc_id, p, i, f[i] AS m, coalesce(list_sum(list_transform(p[:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(f[:i], lambda x: length(x))), 0) AS e
+  FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS f, regexp_split_to_array(t, '{pattern}') AS p FROM d), LATERAL (SELECT unnest(range(1, len(f) + 1)) AS i))
+WHERE {holds} {scored}""")
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), spans AS ({' UNION ALL '.join(kinds)}),
+agg AS (SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ('email', 'ip', 'card', 'phone'))},
+  string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY k, s) FILTER (k < 4) AS base,
+  string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY k, s) AS spans FROM spans GROUP BY doc_id)
+SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in ('email', 'ip', 'card', 'phone'))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN agg USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_ngram_join": op2_ngram_join, "op6_decontamination": op6_decontamination, "op7_repeated_passages": op7_repeated_passages}
+    return {"op2_ngram_join": op2_ngram_join, "op6_decontamination": op6_decontamination, "op7_repeated_passages": op7_repeated_passages, "op9_pii": op9_pii}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": OP2_SQL, "op6_decontamination": OP6_SQL, "op7_repeated_passages": OP7_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op6_decontamination": OP6_SQL, "op7_repeated_passages": OP7_SQL, "op9_pii": _op9_sql()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontamination, ngram_join, passages, pii
+from factloom.llm import decontamination, ngram_join, passages, pii, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,20 @@ FROM d JOIN reach ON reach.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP
 """
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    rows = winnowing.beside_next(_table(spark, sf_dir, "documents"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(F.left("text", F.length("text") - half), F.left("next_text", half))
+    rows = rows.withColumn("edited", edited).withColumn("edited_marks", winnowing.fingerprint(F.col("edited")))
+    return rows.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        winnowing.digest(F.col("marks")).alias("fingerprint"), winnowing.digest(F.col("edited_marks")).alias("edited_fingerprint"),
+        winnowing.likeness(F.col("hashes"), winnowing.hashes_of(F.col("edited_marks"))).alias("near_edited"),
+        winnowing.likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
+    )
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of 10 words in every document."""
     found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -128,7 +142,7 @@ FROM d LEFT JOIN agg USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_ngram_join": op2_ngram_join, "op6_decontamination": op6_decontamination, "op7_repeated_passages": op7_repeated_passages, "op9_pii": op9_pii}
+    return {"op2_ngram_join": op2_ngram_join, "op4_fingerprints": op4_fingerprints, "op6_decontamination": op6_decontamination, "op7_repeated_passages": op7_repeated_passages, "op9_pii": op9_pii}
 
 
 def oracle_sql() -> dict[str, str]:

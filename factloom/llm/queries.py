@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontamination, ngram_join, passages, pii, winnowing
+from factloom.llm import decontamination, ngram_join, passages, pii, sharding, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,12 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes."""
+    rows = sharding.shards(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of 10 words in every document."""
     found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -142,7 +148,7 @@ FROM d LEFT JOIN agg USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_ngram_join": op2_ngram_join, "op4_fingerprints": op4_fingerprints, "op6_decontamination": op6_decontamination, "op7_repeated_passages": op7_repeated_passages, "op9_pii": op9_pii}
+    return {"op2_ngram_join": op2_ngram_join, "op4_fingerprints": op4_fingerprints, "op5_sharding": op5_sharding, "op6_decontamination": op6_decontamination, "op7_repeated_passages": op7_repeated_passages, "op9_pii": op9_pii}
 
 
 def oracle_sql() -> dict[str, str]:

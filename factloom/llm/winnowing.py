@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.llm.pii import let
+from factloom.llm.ranges import range_of
 
 #: Both are powers of two: hashes and minima come from doublings.
 K, WINDOW = 4, 4
@@ -91,22 +92,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), places_of(fingerprint(F.col(f"`{text_col}`"))).alias("marks"))
 
 
-def _bucket(value: Column, splitters: list[int]) -> Column:
-    """How many of the ascending splitters are at most value, by binary search."""
-    if not splitters:
-        return F.lit(0)
-    all_ = F.lit(splitters).cast("array<bigint>")
-    steps = F.sequence(F.lit(1), F.lit(len(splitters).bit_length()))
-
-    def step(a: Column, _: Column) -> Column:
-        middle = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
-        right = F.element_at(all_, middle + 1) <= value
-        return F.when(a["lo"] >= a["hi"], a).when(right, F.struct((middle + 1).alias("lo"), a["hi"].alias("hi"))).otherwise(F.struct(a["lo"].alias("lo"), middle.alias("hi")))
-
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(splitters)).alias("hi"))
-    return F.aggregate(steps, start, step)["lo"]
-
-
 def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """Per row of docs: doc_id, text, marks, next_text, next_hashes of the row
     that follows by ascending doc_id (then text); the first follows the last.
@@ -121,7 +106,7 @@ def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     rows = rows.withColumn("at", F.coalesce("doc_id", F.lit(lowest)))
     cuts = rows.agg(F.percentile_approx("at", [i / n for i in range(1, n)], 10 * n)).first()[0] or []  # n - 1 ids
-    bucket = _bucket(F.col("at"), sorted(set(cuts)))
+    bucket = range_of(F.col("at"), sorted(set(cuts)))
     rows = rows.withColumn("bucket", bucket)
     heads = rows.groupBy("bucket").agg(F.min("at").alias("at")).orderBy("bucket").collect()  # n rows at most
     if not heads:

@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontamination, ngram_join, passages, pii, sharding, winnowing
+from factloom.llm import decontamination, language, line_quality, ngram_join, passages, pii, samples, sharding, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents")
+    found = language.languages(docs, language.fit(docs))
+    return found.select("doc_id", samples.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "reliable")
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingles overlap in 75 per cent."""
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -113,6 +120,13 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_span_text(only), 256).alias("base_sha256"), _span_text(F.col("spans")).alias("spans"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents")
+    found = line_quality.quality(docs, line_quality.fit(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", samples.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 #: For each kind: pattern, condition on match m, start of the span before end e.
 _OP9_KINDS = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true", "length(m)", 0.9, "", ""),
@@ -148,7 +162,7 @@ FROM d LEFT JOIN agg USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_ngram_join": op2_ngram_join, "op4_fingerprints": op4_fingerprints, "op5_sharding": op5_sharding, "op6_decontamination": op6_decontamination, "op7_repeated_passages": op7_repeated_passages, "op9_pii": op9_pii}
+    return {"op1_language_id": op1_language_id, "op2_ngram_join": op2_ngram_join, "op4_fingerprints": op4_fingerprints, "op5_sharding": op5_sharding, "op6_decontamination": op6_decontamination, "op7_repeated_passages": op7_repeated_passages, "op9_pii": op9_pii, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontamination, language, line_quality, ngram_join, passages, pii, samples, sharding, winnowing
+from factloom.llm import decontamination, language, licenses, line_quality, ngram_join, passages, pii, samples, sharding, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,17 @@ FROM d JOIN reach ON reach.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP
 """
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and detections in every document."""
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    every = F.array_sort(F.array_distinct(F.concat("base_labels", F.transform("detections", lambda d: d["label"]))))
+    best = F.coalesce(F.array_max(F.transform("detections", lambda d: d["confidence"])), F.lit(0.0))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join(every, ",").alias("labels"),
+        F.when(F.col("n_base") > 0, F.greatest(best, F.lit(0.95))).otherwise(best).alias("score"),
+    )
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     rows = winnowing.beside_next(_table(spark, sf_dir, "documents"))
@@ -162,7 +173,7 @@ FROM d LEFT JOIN agg USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op2_ngram_join": op2_ngram_join, "op4_fingerprints": op4_fingerprints, "op5_sharding": op5_sharding, "op6_decontamination": op6_decontamination, "op7_repeated_passages": op7_repeated_passages, "op9_pii": op9_pii, "op10_quality": op10_quality}
+    return {"op1_language_id": op1_language_id, "op2_ngram_join": op2_ngram_join, "op3_license_scan": op3_license_scan, "op4_fingerprints": op4_fingerprints, "op5_sharding": op5_sharding, "op6_decontamination": op6_decontamination, "op7_repeated_passages": op7_repeated_passages, "op9_pii": op9_pii, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:

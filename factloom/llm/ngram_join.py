@@ -105,8 +105,7 @@ def shared_rows(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str =
             common = weight >= COMMON
             for kind, some in ((0, ~common | first), (1, common & ~first)):
                 to, x, o, t = _bucket(h[some], buckets), h[some], of[some], np.where(common[some], COMMON, 1).astype(np.uint8)
-                edges = np.flatnonzero(np.diff(to, prepend=-1))
-                for i, j in zip(edges, [*edges[1:], len(to)], strict=True):
+                for i, j in tk.spans(to):
                     used, own = np.unique(o[i:j], return_inverse=True)
                     yield int(to[i]), kind, tk.pack(tk.gaps(x[i:j]), own.astype(np.uint32), t[i:j], key[used].view(U64), n[used].astype(np.uint32))
 
@@ -149,7 +148,7 @@ def shared_rows(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str =
                 times = np.repeat(times, np.diff(np.append(new, len(h))))
                 some = times > 1
                 h, key, n, times = h[some], key[some], n[some], times[some].astype(np.uint8)
-                to = _group(key.view(np.int64), buckets)
+                to = _group(key.view(np.int64), parts)
                 by = np.lexsort((key, to))
                 if len(by):
                     yield from _sent(to[by], 0, key[by], n[by], h[by], times[by])
@@ -176,8 +175,8 @@ def shared_rows(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str =
                 )
 
     rows = tk.narrow(docs, id_col, text_col).select("text").mapInArrow(entries, _BLOBS)
-    rows = rows.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(shared, _BLOBS)
-    return rows.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(joined, "key long, n long, prefix long, columns array<long>")
+    rows = rows.repartitionById(parts, F.col("to").cast("int")).sortWithinPartitions("to").mapInArrow(shared, _BLOBS)
+    return rows.repartitionById(parts, F.col("to").cast("int")).sortWithinPartitions("to").mapInArrow(joined, "key long, n long, prefix long, columns array<long>")
 
 
 def _linked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:

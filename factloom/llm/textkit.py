@@ -236,6 +236,12 @@ def ungaps(values: np.ndarray) -> np.ndarray:
     return np.cumsum(values, dtype=values.dtype)
 
 
+def spans(values: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of each run of equal values; none for no values."""
+    cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True)) if len(values) else []
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -67,8 +67,7 @@ def _anchors(w: tk.Words, window: int, phrase: int) -> tuple[np.ndarray, np.ndar
 
 def _sent(bucket_of: np.ndarray, kind: int, *columns: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """A blob for each bucket; rows are in order of their buckets. The first column holds ascending hashes."""
-    edges = np.flatnonzero(np.diff(bucket_of, prepend=-1))
-    for i, j in zip(edges, [*edges[1:], len(bucket_of)], strict=True):
+    for i, j in tk.spans(bucket_of):
         yield int(bucket_of[i]), kind, tk.pack(tk.gaps(columns[0][i:j]), *(c[i:j] for c in columns[1:]))
 
 
@@ -111,7 +110,7 @@ def repeated_starts(docs: DataFrame, window: int = 20, phrase: int = 10, groups:
     docs: doc_id and text, as from textkit.narrow().
     """
     n = tk.partitions(docs.sparkSession)
-    groups, buckets = groups or 4 * n, 2 * n
+    groups, buckets = groups or n, n
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(hashes: list[np.ndarray], group: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
@@ -215,9 +214,9 @@ def repeated_starts(docs: DataFrame, window: int = 20, phrase: int = 10, groups:
 
         return _rows(sent())
 
-    counted = docs.select("doc_id", "text").mapInArrow(anchors, _BLOBS).repartition(n, "to").sortWithinPartitions("to").mapInArrow(confirmed, _BLOBS)
+    counted = docs.select("doc_id", "text").mapInArrow(anchors, _BLOBS).repartitionById(n, F.col("to").cast("int")).sortWithinPartitions("to").mapInArrow(confirmed, _BLOBS)
     found = _beside(docs, counted, groups, n).mapInArrow(located, _BLOBS)
-    return found.repartition(n, "to").sortWithinPartitions("to").mapInArrow(later, _BLOBS)
+    return found.repartitionById(n, F.col("to").cast("int")).sortWithinPartitions("to").mapInArrow(later, _BLOBS)
 
 
 def _ids(rows: pa.RecordBatch) -> np.ndarray:
@@ -234,7 +233,7 @@ def _beside(docs: DataFrame, blobs: DataFrame, groups: int, partitions: int) ->
 
     rows = docs.mapInArrow(dealt, T.StructType([T.StructField("to", T.LongType()), *docs.schema.fields]))
     rows = rows.withColumns({"kind": F.lit(1), "blob": F.lit(None).cast("binary")})
-    return blobs.drop("kind").withColumn("kind", F.lit(0)).unionByName(rows, allowMissingColumns=True).repartition(partitions, "to").sortWithinPartitions("to", "kind", "doc_id")
+    return blobs.drop("kind").withColumn("kind", F.lit(0)).unionByName(rows, allowMissingColumns=True).repartitionById(partitions, F.col("to").cast("int")).sortWithinPartitions("to", "kind", "doc_id")
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes] | None, pa.RecordBatch | None]]:
@@ -308,7 +307,7 @@ def without_repeats(docs: DataFrame, window: int = 20, phrase: int = 10, id_col:
     """
     spark = docs.sparkSession
     n = tk.partitions(spark)
-    groups = 4 * n
+    groups = n
     rows = tk.narrow(docs, id_col, text_col, carry)
     starts = repeated_starts(rows, window, phrase, groups)
     names = ("doc_id", "row")

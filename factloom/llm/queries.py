@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontamination, language, licenses, line_quality, ngram_join, passages, pii, samples, sharding, winnowing
+from factloom.llm import decontamination, language, licenses, line_quality, ngram_join, passages, pii, samples, sentencepiece_lattice, sharding, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,6 +114,13 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, and its text from them again."""
+    found = sentencepiece_lattice.encode(_table(spark, sf_dir, "documents"))
+    text = sentencepiece_lattice.decode(F.col("ids"), sentencepiece_lattice.vocabulary())
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2(text, 256).alias("decoded_sha256"))
+
+
 def _span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -173,7 +180,7 @@ FROM d LEFT JOIN agg USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op2_ngram_join": op2_ngram_join, "op3_license_scan": op3_license_scan, "op4_fingerprints": op4_fingerprints, "op5_sharding": op5_sharding, "op6_decontamination": op6_decontamination, "op7_repeated_passages": op7_repeated_passages, "op9_pii": op9_pii, "op10_quality": op10_quality}
+    return {"op1_language_id": op1_language_id, "op2_ngram_join": op2_ngram_join, "op3_license_scan": op3_license_scan, "op4_fingerprints": op4_fingerprints, "op5_sharding": op5_sharding, "op6_decontamination": op6_decontamination, "op7_repeated_passages": op7_repeated_passages, "op8_sentencepiece": op8_sentencepiece, "op9_pii": op9_pii, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,19 +14,23 @@ _BREAK, _PARAGRAPH, _TAG = re.compile(r"(?i)<br\s*/?>"), re.compile(r"(?i)</p\s*
 _HIDDEN = re.compile(r"(?is)<(script|style|nav|footer|header|aside)\b.*?</\1\s*>")
 
 
-@F.pandas_udf("string")
-def html_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _readable(page: str | None) -> str | None:
+    if page is None:
+        return None
+    page = _HIDDEN.sub(" ", page)
+    page = html.unescape(_TAG.sub("", _PARAGRAPH.sub("\n\n", _BREAK.sub("\n", page))))
+    return re.sub(r"\n{3,}", "\n\n", page).strip()
+
+
+def html_text(page: Column) -> Column:
     """Readable text of a page: no scripts, navigation or tags; entities resolved."""
 
-    def text(page: str | None) -> str | None:
-        if page is None:
-            return None
-        page = _HIDDEN.sub(" ", page)
-        page = html.unescape(_TAG.sub("", _PARAGRAPH.sub("\n\n", _BREAK.sub("\n", page))))
-        return re.sub(r"\n{3,}", "\n\n", page).strip()
+    @F.pandas_udf("string")
+    def text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in pages:
+            yield batch.map(_readable)
 
-    for batch in pages:
-        yield batch.map(text)
+    return text(page)
 
 
 def paragraph_chunks(text: str | None, size: int) -> list[str]:

@@ -35,7 +35,7 @@ def html_text(page: Column) -> Column:
 
 def paragraph_chunks(text: str | None, size: int) -> list[str]:
     """Windows of at most size characters, cut at the last blank line, else the
-    last line end, else anywhere; separators and empty chunks go."""
+    last line end, else anywhere; white space around them and empty ones go."""
     out, at = [], 0
     text = text or ""
     while at < len(text):
@@ -49,8 +49,8 @@ def paragraph_chunks(text: str | None, size: int) -> list[str]:
             if cut <= at:
                 cut, gap = end, 0
             end = cut
-        if text[at:end].strip():
-            out.append(text[at:end])
+        if chunk := text[at:end].strip():
+            out.append(chunk)
         at = end + gap
     return out
 

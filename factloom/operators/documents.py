@@ -17,7 +17,7 @@ _HIDDEN = re.compile(r"(?is)<(script|style|nav|footer|header|aside)\b.*?</\1\s*>
 def _readable(page: str | None) -> str | None:
     if page is None:
         return None
-    page = _HIDDEN.sub(" ", page)
+    page = _HIDDEN.sub("", page)
     page = html.unescape(_TAG.sub("", _PARAGRAPH.sub("\n\n", _BREAK.sub("\n", page))))
     return re.sub(r"\n{3,}", "\n\n", page).strip()
 

@@ -32,26 +32,28 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every larger end has one smaller end, which is nobody's larger end."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+    return ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("root")).where("ups > 1 OR (ups = 1 AND root = 0)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of links(a, b): root is the smallest node reachable.
 
     Alternates large-star and small-star steps: every node hangs its larger
-    neighbours on the smallest one, until nothing changes; the number of rounds
-    grows with the logarithm of the longest path. Minima are combined before
-    the shuffle, so a node with very many links costs one row per task.
+    neighbours on the smallest one, until every component is a star; the number
+    of rounds grows with the logarithm of the longest path. Minima are combined
+    before the shuffle, so a node with very many links costs one row per task.
     Null ends are dropped; an empty table gives an empty one.
     """
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    while not edges.isEmpty():
+    while not _is_forest_of_stars(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = written(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        large = written(large)
-        low = written(large.groupBy("a").agg(F.min("b").alias("low")))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        small = written(small)
-        if small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty():
-            break
-        edges = small
+        large = written(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        pairs = F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))
+        edges = written(large.join(low, "a").select(F.explode(pairs).alias("e")).select("e.*").where("a <> b").distinct())
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -14,16 +14,19 @@ transpose, worked in blocks and cut down by bounds that follow from set sizes:
 4. The overlap of proposed pairs is accumulated over all remaining columns and
    pairs below ``threshold / (1 + threshold) * (sum of sizes)`` are discarded.
 
-Components need no pair twice: a column first proposes its members against
-pivots, which costs a row for each member; members that are in one component
-after that are not compared again. Small columns then propose the pairs across
-components, large ones further pivots until every pair across components has
-been judged. No link between different components' texts can be lost.
+Components need no pair twice: every row is first compared with one pivot, the
+row of its columns whose own columns are the most common, which costs a row for
+each member. Rows in one component after that are not compared again. Small
+columns then propose their pairs across components. Rows that meet in large
+columns form groups, in which the rows outside the largest component are
+multiplied with all others, a block of rows by a block of rows at a time, so
+that only links leave a block. No link between different components is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +40,10 @@ from factloom.llm.passages import _BLOBS, FLUSH, _bucket, _by_bucket, _group, _r
 U64 = np.uint64
 #: Classes from which on a column counts as common: its exact count no longer orders it.
 COMMON = 65
-#: Members up to which a column proposes all pairs across components at once.
+#: Members up to which a column proposes its pairs across components itself.
 SMALL = 32
-#: Pivots of a large column in one round, and rounds before all its pairs are proposed.
-PIVOTS, ROUNDS = 4, 6
+#: Rows of a block of a large group's product, and columns multiplied at once.
+BLOCK_ROWS, BLOCK_COLUMNS = 256, 4096
 
 
 def _sets(w: tk.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,8 +87,9 @@ def _need(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def shared_rows(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of the matrix that can have a partner: key, n, prefix, columns
-    (hashes that other classes have too, rarest first)."""
+    """The rows of the matrix that can have a partner: key, n, prefix, typical
+    (how common the row's columns are on average) and columns (hashes that
+    other classes have too, rarest first)."""
     parts = tk.partitions(docs.sparkSession)
     buckets = 2 * parts
 
@@ -163,20 +167,21 @@ def shared_rows(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str =
             by = np.lexsort((h, times, key))
             key, n, h, times = key[by], n[by].astype(np.int64), h[by], times[by]
             one = np.concatenate(([True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])))
-            key, n, h = key[one], n[one], h[one]
+            key, n, h, times = key[one], n[one], h[one], times[one]
             new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             have = np.diff(np.append(new, len(key)))
             prefix = have - _need(n[new], percent) + 1
             stays = prefix > 0
+            typical = np.add.reduceat(times.astype(np.float64), new) / n[new] if len(new) else np.zeros(0)
             if stays.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[new][stays].view(np.int64)), pa.array(n[new][stays]), pa.array(prefix[stays]), tk.lists(have[stays], pa.array(tk.signed(h[np.repeat(stays, have)])))],
-                    names=["key", "n", "prefix", "columns"],
+                    [pa.array(key[new][stays].view(np.int64)), pa.array(n[new][stays]), pa.array(prefix[stays]), pa.array(typical[stays]), tk.lists(have[stays], pa.array(tk.signed(h[np.repeat(stays, have)])))],
+                    names=["key", "n", "prefix", "typical", "columns"],
                 )
 
     rows = tk.narrow(docs, id_col, text_col).select("text").mapInArrow(entries, _BLOBS)
     rows = rows.repartitionById(parts, F.col("to").cast("int")).sortWithinPartitions("to").mapInArrow(shared, _BLOBS)
-    return rows.repartitionById(parts, F.col("to").cast("int")).sortWithinPartitions("to").mapInArrow(joined, "key long, n long, prefix long, columns array<long>")
+    return rows.repartitionById(parts, F.col("to").cast("int")).sortWithinPartitions("to").mapInArrow(joined, "key long, n long, prefix long, typical double, columns array<long>")
 
 
 def _linked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -197,42 +202,81 @@ def _linked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(close).mapInArrow(product, "a long, b long, overlap long")
 
 
+def _blocks_linked(groups: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b, overlap) across components within groups(g, key, n, root,
+    columns), by products of blocks of rows."""
+    sizes = groups.groupBy("g", "root").agg(F.count("*").alias("m"))
+    sizes = graphs.written(sizes.groupBy("g").agg(F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("most")).select("g", "m", "most.root", (F.col("m") - F.col("most.m")).alias("rest")).withColumnRenamed("root", "largest"))
+    rows = groups.join(sizes, "g")
+
+    def blocks(rows: DataFrame, count: str, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("key"), F.ceil(F.col(count) / BLOCK_ROWS))
+        return rows.groupBy("g", block.alias(f"{name}_block")).agg(F.collect_list(F.struct("key", "n", "root", "columns")).alias(name))
+
+    pairs = blocks(rows.where("root <> largest"), "rest", "x").join(blocks(rows, "m", "y"), "g").select("x", "y")
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                yield _product(b.column("x")[i].values, b.column("y")[i].values, percent)
+
+    return pairs.mapInArrow(product, "a long, b long, overlap long")
+
+
+def _product(x: pa.Array, y: pa.Array, percent: int) -> pa.RecordBatch:
+    sides = []
+    for side in (x, y):
+        lists = side.field("columns")
+        row = np.repeat(np.arange(len(side)), np.diff(lists.offsets.to_numpy()))
+        sides.append((row, lists.flatten().to_numpy()))
+    columns = np.intersect1d(sides[0][1], sides[1][1])
+    overlap = np.zeros((len(x), len(y)), np.float32)
+    placed = []
+    for row, column in sides:
+        at = np.minimum(np.searchsorted(columns, column), max(0, len(columns) - 1))
+        both = columns[at] == column if len(columns) else np.zeros(len(column), bool)
+        by = np.argsort(at[both], kind="stable")
+        placed.append((row[both][by], at[both][by]))
+    for c in range(0, len(columns), BLOCK_COLUMNS):
+        dense = []
+        for (row, at), side in zip(placed, (x, y), strict=True):
+            i, j = np.searchsorted(at, [c, c + BLOCK_COLUMNS])
+            part = np.zeros((len(side), BLOCK_COLUMNS), np.float32)
+            part[row[i:j], at[i:j] - c] = 1
+            dense.append(part)
+        overlap += dense[0] @ dense[1].T
+    (xk, xn, xr), (yk, yn, yr) = ([side.field(f).to_numpy() for f in ("key", "n", "root")] for side in (x, y))
+    link = ((100 + percent) * overlap.astype(np.int64) >= percent * (xn[:, None] + yn[None, :])) & (xr[:, None] != yr[None, :])
+    i, j = np.nonzero(link)
+    return pa.RecordBatch.from_arrays([pa.array(xk[i]), pa.array(yk[j]), pa.array(overlap[i, j].astype(np.int64))], names=["a", "b", "overlap"])
+
+
 def class_components(rows: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     """(links found: a, b, overlap; components: node, root) of shared_rows()."""
     rows = graphs.written(rows)
-    members = graphs.written(rows.select(F.explode(F.slice("columns", F.lit(1), F.col("prefix").cast("int"))).alias("col"), "key", "n"))
-    close = f"least(na, nb) * 100 >= greatest(na, nb) * {percent}"
-    lowest = graphs.written(members.groupBy("col").agg(F.min("key").alias("pivot"), F.count("*").alias("m")).where("m > 1"))
-    pairs = members.join(lowest, "col").groupBy("key").agg(F.min("pivot").alias("b")).select(F.col("key").alias("a"), "b").where("a <> b")
+    members = graphs.written(rows.select(F.explode(F.slice("columns", F.lit(1), F.col("prefix").cast("int"))).alias("col"), "key", "n", "typical"))
+    best = graphs.written(members.groupBy("col").agg(F.max(F.struct("typical", "key")).alias("pivot"), F.count("*").alias("m")).where("m > 1"))
+    pairs = members.select("col", "key").join(best, "col").groupBy("key").agg(F.max("pivot").alias("p")).select(F.col("key").alias("a"), F.col("p.key").alias("b")).where("a <> b")
     links = graphs.written(_linked(graphs.written(pairs), rows, percent))
     roots = graphs.written(graphs.components(links))
-    for turn in range(ROUNDS + 1):
-        named = members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        named = graphs.written(named)
-        spans = named.groupBy("col").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("col", "m")
-        spans = graphs.written(spans)
-        if spans.isEmpty():
-            break
-        named = graphs.written(named.join(spans, "col"))
-        small = named if turn == ROUNDS else named.where(F.col("m") <= SMALL)
-        pairs = (
-            small.select("col", F.col("key").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-            .join(small.select("col", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb")), "col")
-            .where(f"a < b AND ra <> rb AND {close}").select("a", "b")
-        )
-        left = None
-        if turn < ROUNDS:
-            large = named.where(F.col("m") > SMALL)
-            pivots = graphs.written(large.groupBy("col", F.pmod(F.xxhash64("key"), F.lit(PIVOTS)).alias("salt")).agg(F.min_by(F.struct("key", "n", "root"), "key").alias("p")).select("col", F.col("p.key").alias("b"), F.col("p.n").alias("nb"), F.col("p.root").alias("rb")))
-            more = large.select("col", F.col("key").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")).join(pivots, "col").where(f"ra <> rb AND {close}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            pairs = pairs.union(more)
-            left = large.select("col", "key", "n").join(pivots.select("col", F.col("b").alias("key")), ["col", "key"], "left_anti")
-        links = links.union(graphs.written(_linked(graphs.written(pairs.distinct()), rows, percent)))
-        roots = graphs.written(graphs.components(links))
-        if left is None:
-            break
-        members = graphs.written(left)
-    return links, roots
+    named = graphs.written(members.select("col", "key", "n").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
+    open_ = graphs.written(named.groupBy("col").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("col", "m"))
+    if open_.isEmpty():
+        return links, roots
+    named = graphs.written(named.join(open_, "col"))
+    small = named.where(F.col("m") <= SMALL)
+    close = f"least(na, nb) * 100 >= greatest(na, nb) * {percent}"
+    left, right = (small.select("col", F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("root").alias(f"r{k}")) for k in "ab")
+    pairs = left.join(right, "col").where(f"a < b AND ra <> rb AND {close}").select("a", "b").distinct()
+    found = [links, graphs.written(_linked(graphs.written(pairs), rows, percent))]
+    large = graphs.written(named.where(F.col("m") > SMALL).select("col", "key", "root"))
+    if not large.isEmpty():
+        met = graphs.components(large.select(F.col("key").alias("a"), (F.lit(-1) - F.shiftrightunsigned("col", 1)).alias("b")))
+        met = met.where("node >= 0").select(F.col("node").alias("key"), F.col("root").alias("g"))
+        groups = large.select("key", "root").distinct().join(met, "key").join(rows.select("key", "n", "columns"), "key")
+        found.append(graphs.written(_blocks_linked(graphs.written(groups), percent)))
+    links = reduce(DataFrame.union, found)
+    return links, graphs.written(graphs.components(links))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

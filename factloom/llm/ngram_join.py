@@ -33,9 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm import graphs
+from factloom.llm import blobs, graphs
 from factloom.llm import textkit as tk
-from factloom.llm.passages import _BLOBS, FLUSH, _bucket, _by_bucket, _group, _rows, _sent
 
 U64 = np.uint64
 #: Classes from which on a column counts as common: its exact count no longer orders it.
@@ -108,7 +107,7 @@ def shared_rows(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str =
             first[new] = True
             common = weight >= COMMON
             for kind, some in ((0, ~common | first), (1, common & ~first)):
-                to, x, o, t = _bucket(h[some], buckets), h[some], of[some], np.where(common[some], COMMON, 1).astype(np.uint8)
+                to, x, o, t = blobs.bucket_of(h[some], buckets), h[some], of[some], np.where(common[some], COMMON, 1).astype(np.uint8)
                 for i, j in tk.spans(to):
                     used, own = np.unique(o[i:j], return_inverse=True)
                     yield int(to[i]), kind, tk.pack(tk.gaps(x[i:j]), own.astype(np.uint32), t[i:j], key[used].view(U64), n[used].astype(np.uint32))
@@ -126,17 +125,17 @@ def shared_rows(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str =
                         sizes.append(m)
                         held.append(hashes[ends[d] - m : ends[d]])
                         total += m
-                if total > FLUSH:
+                if total > blobs.FLUSH:
                     yield from flush(held, keys, sizes)
                     held, keys, sizes, seen, total = [], [], [], set(), 0
             if total:
                 yield from flush(held, keys, sizes)
 
-        return _rows(sent())
+        return blobs.batches_of(sent())
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sent() -> Iterator[tuple[int, int, bytes]]:
-            for held in _by_bucket(batches):
+            for held in blobs.by_bucket(batches):
                 found = [(kind, *tk.unpack(blob)) for _, kind, blob in held]
                 h = np.concatenate([tk.ungaps(x[1]) for x in found])
                 key = np.concatenate([x[4][x[2]] for x in found])
@@ -152,15 +151,15 @@ def shared_rows(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str =
                 times = np.repeat(times, np.diff(np.append(new, len(h))))
                 some = times > 1
                 h, key, n, times = h[some], key[some], n[some], times[some].astype(np.uint8)
-                to = _group(key.view(np.int64), parts)
+                to = blobs.group_of(key.view(np.int64), parts)
                 by = np.lexsort((key, to))
                 if len(by):
-                    yield from _sent(to[by], 0, key[by], n[by], h[by], times[by])
+                    yield from blobs.sent(to[by], 0, key[by], n[by], h[by], times[by])
 
-        return _rows(sent())
+        return blobs.batches_of(sent())
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _by_bucket(batches):
+        for held in blobs.by_bucket(batches):
             found = [tk.unpack(blob) for _, _, blob in held]
             key = np.concatenate([tk.ungaps(x[0]) for x in found])
             n, h, times = (np.concatenate([x[i] for x in found]) for i in (1, 2, 3))
@@ -179,9 +178,9 @@ def shared_rows(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str =
                     names=["key", "n", "prefix", "typical", "columns"],
                 )
 
-    rows = tk.narrow(docs, id_col, text_col).select("text").mapInArrow(entries, _BLOBS)
-    rows = rows.repartitionById(parts, F.col("to").cast("int")).sortWithinPartitions("to").mapInArrow(shared, _BLOBS)
-    return rows.repartitionById(parts, F.col("to").cast("int")).sortWithinPartitions("to").mapInArrow(joined, "key long, n long, prefix long, typical double, columns array<long>")
+    rows = tk.narrow(docs, id_col, text_col).select("text").mapInArrow(entries, blobs.SCHEMA)
+    rows = blobs.dealt(rows, parts).mapInArrow(shared, blobs.SCHEMA)
+    return blobs.dealt(rows, parts).mapInArrow(joined, "key long, n long, prefix long, typical double, columns array<long>")
 
 
 def _linked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:

@@ -33,25 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.llm import blobs
 from factloom.llm import textkit as tk
 
 U64 = np.uint64
-#: Rows gathered by a task before they are packed and sent.
-FLUSH = 1 << 21
 #: Symbols that words are mapped to for the automata: Unicode's upper planes.
 _SYMBOLS = 1 << 20
 _FIRST_SYMBOL = 0x10000
 
 
-def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets are ranges of hashes: sorted hashes have sorted buckets."""
-    return ((hashes >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
-
-
-def _group(doc_ids: np.ndarray, groups: int) -> np.ndarray:
-    return (tk.mix(doc_ids.astype(np.int64).view(U64)) % U64(groups)).astype(np.int64)
-
-
 def _anchors(w: tk.Words, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
     """(first word, hash) of the anchors of all windows; of equal hashes the leftmost."""
     at, h = w.runs(phrase)
@@ -65,45 +55,6 @@ def _anchors(w: tk.Words, window: int, phrase: int) -> tuple[np.ndarray, np.ndar
     return at[chosen], h[chosen]
 
 
-def _sent(bucket_of: np.ndarray, kind: int, *columns: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """A blob for each bucket; rows are in order of their buckets. The first column holds ascending hashes."""
-    for i, j in tk.spans(bucket_of):
-        yield int(bucket_of[i]), kind, tk.pack(tk.gaps(columns[0][i:j]), *(c[i:j] for c in columns[1:]))
-
-
-def _rows(sent: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for x in sent:
-        held.append(x)
-        size += len(x[2])
-        if size > 4 << 20:
-            yield _blobs(held)
-            held, size = [], 0
-    if held:
-        yield _blobs(held)
-
-
-def _blobs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    to, kind, blob = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], names=["to", "kind", "blob"])
-
-
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, bytes]]]:
-    """The blobs of one bucket after the other; the partition is sorted by bucket."""
-    held: list[tuple[int, int, bytes]] = []
-    for b in batches:
-        for row in zip(b.column("to").to_pylist(), b.column("kind").to_pylist(), b.column("blob").to_pylist(), strict=True):
-            if held and held[0][0] != row[0]:
-                yield held
-                held = []
-            held.append(row)
-    if held:
-        yield held
-
-
-_BLOBS = "to long, kind int, blob binary"
-
-
 def repeated_starts(docs: DataFrame, window: int = 20, phrase: int = 10, groups: int | None = None) -> DataFrame:
     """Blobs (group, 0, packed (doc_id, start)) of windows that start earlier elsewhere.
 
@@ -120,28 +71,28 @@ def repeated_starts(docs: DataFrame, window: int = 20, phrase: int = 10, groups:
             new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1]))))
             times = np.minimum(np.diff(np.append(new, len(h))), 2).astype(np.uint8)
             h, g = h[new], g[new]
-            yield from _sent(_bucket(h, buckets), 0, h, g.astype(np.uint32), times)
+            yield from blobs.sent(blobs.bucket_of(h, buckets), 0, h, g.astype(np.uint32), times)
 
         def sent() -> Iterator[tuple[int, int, bytes]]:
             hs, gs, size = [], [], 0
             for rows, buf, offsets in tk.pieces(batches, "text"):
                 w = tk.Words(buf, offsets, tk.SPACE, lower=False)
                 at, h = _anchors(w, window, phrase)
-                group = _group(_ids(rows), groups)
+                group = blobs.group_of(_ids(rows), groups)
                 hs.append(h)
                 gs.append(group[w.doc[at]])
                 size += len(h)
-                if size > FLUSH // 2:
+                if size > blobs.FLUSH // 2:
                     yield from flush(hs, gs)
                     hs, gs, size = [], [], 0
             if size:
                 yield from flush(hs, gs)
 
-        return _rows(sent())
+        return blobs.batches_of(sent())
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sent() -> Iterator[tuple[int, int, bytes]]:
-            for held in _by_bucket(batches):
+            for held in blobs.by_bucket(batches):
                 columns = [tk.unpack(x[2]) for x in held]
                 h = np.concatenate([tk.ungaps(c[0]) for c in columns])
                 g = np.concatenate([c[1] for c in columns])
@@ -154,9 +105,9 @@ def repeated_starts(docs: DataFrame, window: int = 20, phrase: int = 10, groups:
                 by = np.lexsort((h, g))
                 h, g = h[by], g[by]
                 if len(g):
-                    yield from _sent(g.astype(np.int64), 0, h)
+                    yield from blobs.sent(g.astype(np.int64), 0, h)
 
-        return _rows(sent())
+        return blobs.batches_of(sent())
 
     def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int, bytes]]:
@@ -167,9 +118,9 @@ def repeated_starts(docs: DataFrame, window: int = 20, phrase: int = 10, groups:
             own = np.repeat(np.flatnonzero(first), np.diff(np.append(np.flatnonzero(first), len(h))))
             later = (d != d[own]) | (s != s[own])
             tie = ~later & ~first  # a repeated row: neither is earlier, and both are sent
-            to = _bucket(h, buckets)
-            yield from _sent(to[first | tie], 0, h[first | tie], d[first | tie], s[first | tie])
-            yield from _sent(to[later], 1, h[later], d[later], s[later])
+            to = blobs.bucket_of(h, buckets)
+            yield from blobs.sent(to[first | tie], 0, h[first | tie], d[first | tie], s[first | tie])
+            yield from blobs.sent(to[later], 1, h[later], d[later], s[later])
 
         def sent() -> Iterator[tuple[int, int, bytes]]:
             found, size = [], 0
@@ -182,17 +133,17 @@ def repeated_starts(docs: DataFrame, window: int = 20, phrase: int = 10, groups:
                 of = w.doc[at]
                 found.append((w.run_hash(at, window), ids[of], (at - w.first[of]).astype(np.uint32)))
                 size += len(at)
-                if size > FLUSH:
+                if size > blobs.FLUSH:
                     yield from flush(found)
                     found, size = [], 0
             if size:
                 yield from flush(found)
 
-        return _rows(sent())
+        return blobs.batches_of(sent())
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sent() -> Iterator[tuple[int, int, bytes]]:
-            for held in _by_bucket(batches):
+            for held in blobs.by_bucket(batches):
                 known = [tk.unpack(x[2]) for x in held if x[1] == 1]
                 own = [tk.unpack(x[2]) for x in held if x[1] == 0]
                 d, s = ([c[i] for c in known] for i in (1, 2))
@@ -206,17 +157,17 @@ def repeated_starts(docs: DataFrame, window: int = 20, phrase: int = 10, groups:
                     gone = (doc != doc[first]) | (start != start[first])
                     d, s = [*(x.view(np.int64) for x in d), doc[gone]], [*s, start[gone]]
                 d, s = np.concatenate([x.view(np.int64) for x in d]), np.concatenate(s)
-                g = _group(d, groups)
+                g = blobs.group_of(d, groups)
                 by = np.lexsort((s, d, g))
                 d, s, g = d[by], s[by], g[by]
                 if len(g):
-                    yield from _sent(g, 0, d.view(U64), s)
+                    yield from blobs.sent(g, 0, d.view(U64), s)
 
-        return _rows(sent())
+        return blobs.batches_of(sent())
 
-    counted = docs.select("doc_id", "text").mapInArrow(anchors, _BLOBS).repartitionById(n, F.col("to").cast("int")).sortWithinPartitions("to").mapInArrow(confirmed, _BLOBS)
-    found = _beside(docs, counted, groups, n).mapInArrow(located, _BLOBS)
-    return found.repartitionById(n, F.col("to").cast("int")).sortWithinPartitions("to").mapInArrow(later, _BLOBS)
+    counted = blobs.dealt(docs.select("doc_id", "text").mapInArrow(anchors, blobs.SCHEMA), n).mapInArrow(confirmed, blobs.SCHEMA)
+    found = _beside(docs, counted, groups, n).mapInArrow(located, blobs.SCHEMA)
+    return blobs.dealt(found, n).mapInArrow(later, blobs.SCHEMA)
 
 
 def _ids(rows: pa.RecordBatch) -> np.ndarray:
@@ -224,43 +175,44 @@ def _ids(rows: pa.RecordBatch) -> np.ndarray:
     return (ids.fill_null(np.iinfo(np.int64).min) if ids.null_count else ids).to_numpy()
 
 
-def _beside(docs: DataFrame, blobs: DataFrame, groups: int, partitions: int) -> DataFrame:
+def _beside(docs: DataFrame, packed: DataFrame, groups: int, partitions: int) -> DataFrame:
     """Each group's blobs, then its documents, in one partition."""
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_group(_ids(b), groups)), *b.columns], names=["to", *b.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(blobs.group_of(_ids(b), groups)), *b.columns], names=["to", *b.schema.names])
 
     rows = docs.mapInArrow(dealt, T.StructType([T.StructField("to", T.LongType()), *docs.schema.fields]))
     rows = rows.withColumns({"kind": F.lit(1), "blob": F.lit(None).cast("binary")})
-    return blobs.drop("kind").withColumn("kind", F.lit(0)).unionByName(rows, allowMissingColumns=True).repartitionById(partitions, F.col("to").cast("int")).sortWithinPartitions("to", "kind", "doc_id")
+    both = packed.drop("kind").withColumn("kind", F.lit(0)).unionByName(rows, allowMissingColumns=True)
+    return blobs.dealt(both, partitions, "kind", "doc_id")
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes] | None, pa.RecordBatch | None]]:
     """(group, its blobs, None), then (group, None, documents) one or more times."""
-    group, blobs, told = None, [], False
+    group, packed, told = None, [], False
     for b in batches:
         to, kind = b.column("to").to_numpy(), b.column("kind").to_numpy()
         edges = np.flatnonzero((np.diff(to, prepend=to[0] - 1) != 0) | (np.diff(kind, prepend=-1) != 0)) if len(to) else []
         for i, j in zip(edges, [*edges[1:], len(to)], strict=True):
             if to[i] != group:
                 if group is not None and not told:
-                    yield group, blobs, None
-                group, blobs, told = int(to[i]), [], False
+                    yield group, packed, None
+                group, packed, told = int(to[i]), [], False
             if kind[i] == 0:
-                blobs += b.column("blob").slice(i, j - i).to_pylist()
+                packed += b.column("blob").slice(i, j - i).to_pylist()
                 continue
             if not told:
-                yield group, blobs, None
+                yield group, packed, None
                 told = True
             yield group, None, b.slice(i, j - i)
 
 
 def _with_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     known = np.zeros(0, U64)
-    for _, blobs, docs in _parts(batches):
-        if blobs is not None:
-            known = np.unique(np.concatenate([np.zeros(0, U64), *(tk.ungaps(tk.unpack(x)[0]) for x in blobs)]))
+    for _, packed, docs in _parts(batches):
+        if packed is not None:
+            known = np.unique(np.concatenate([np.zeros(0, U64), *(tk.ungaps(tk.unpack(x)[0]) for x in packed)]))
         else:
             for rows, buf, offsets in tk.pieces(iter([docs]), "text"):
                 yield rows, buf, offsets, known
@@ -314,9 +266,9 @@ def without_repeats(docs: DataFrame, window: int = 20, phrase: int = 10, id_col:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, start = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for _, blobs, docs in _parts(batches):
-            if blobs is not None:
-                columns = [tk.unpack(x) for x in blobs]
+        for _, packed, docs in _parts(batches):
+            if packed is not None:
+                columns = [tk.unpack(x) for x in packed]
                 doc = np.concatenate([np.zeros(0, np.int64), *(tk.ungaps(c[0]).view(np.int64) for c in columns)])
                 start = np.concatenate([np.zeros(0, np.int64), *(c[1].astype(np.int64) for c in columns)])
                 by = np.argsort(doc, kind="stable")

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from factloom.llm import passages
+from factloom.llm import blobs, passages
 from tests.llm import odd
 from tests.llm.test_words import SPACE
 
@@ -28,7 +28,7 @@ def brute(docs, window):
 
 @pytest.mark.parametrize("window,phrase,flush", [(6, 3, 1 << 21), (8, 8, 50), (20, 10, 1 << 21)])
 def test_equals_brute_force(spark, monkeypatch, window, phrase, flush):
-    monkeypatch.setattr(passages, "FLUSH", flush)
+    monkeypatch.setattr(blobs, "FLUSH", flush)
     docs = odd.plain(odd.rows(4)) + [(800, "a b c " * 30), (801, "a b c " * 9)]
     found = passages.without_repeats(odd.frame(spark, docs), window, phrase)
     assert sorted(map(tuple, found.collect())) == brute(docs, window)

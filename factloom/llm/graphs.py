@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Edges that a file of an intermediate table holds, about.
+EDGES_PER_FILE = 200_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors see.
 
@@ -25,10 +29,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there."""
+def written(df: DataFrame, files: int | None = None) -> DataFrame:
+    """df as a table in the shared folder (of at most so many files): its lineage ends there."""
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -48,12 +52,13 @@ def components(links: DataFrame) -> DataFrame:
     Null ends are dropped; an empty table gives an empty one.
     """
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    files = 1 + edges.count() // EDGES_PER_FILE  # no round makes more than twice as many
     while not _is_forest_of_stars(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = written(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")))
-        large = written(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct())
+        low = written(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")), files)
+        large = written(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct(), files)
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         pairs = F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))
-        edges = written(large.join(low, "a").select(F.explode(pairs).alias("e")).select("e.*").where("a <> b").distinct())
+        edges = written(large.join(low, "a").select(F.explode(pairs).alias("e")).select("e.*").where("a <> b").distinct(), files)
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())

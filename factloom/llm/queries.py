@@ -70,6 +70,21 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _crc32(text: str) -> str:
+    """SQL for the CRC-32 of a text's UTF-8 bytes, by the table t.tab."""
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ((instr('0123456789ABCDEF', h[1]) - 1) * 16 + instr('0123456789ABCDEF', h[2]) - 1)::UBIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {data}), lambda c, b: xor(c >> 8, tab[CAST((xor(c, b) & 255) + 1 AS BIGINT)])), 4294967295::UBIGINT)"
+
+
+OP5_SQL = f"""
+WITH t AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i::UBIGINT, [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+d AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 8 AS BIGINT) AS size, CAST({_crc32("coalesce(text, '')")} AS BIGINT) AS text_crc32, CAST({_crc32("doc_id::VARCHAR")} AS BIGINT) AS spread FROM documents, t),
+p AS (SELECT *, 2 * sum(size) OVER w - size AS middle, row_number() OVER w - 1 AS rank, sum(size) OVER () AS total FROM d WINDOW w AS (ORDER BY text_crc32 * 2147483648 + spread % 2147483648, doc_id, size ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, CAST(least(23, floor(middle * 24 / (2.0 * total))) AS INT) AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(rank - min(rank) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM s
+"""
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of 10 words in every document."""
     found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -184,4 +199,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": OP2_SQL, "op6_decontamination": OP6_SQL, "op7_repeated_passages": OP7_SQL, "op9_pii": _op9_sql()}
+    return {"op2_ngram_join": OP2_SQL, "op5_sharding": OP5_SQL, "op6_decontamination": OP6_SQL, "op7_repeated_passages": OP7_SQL, "op9_pii": _op9_sql()}

@@ -9,7 +9,7 @@ piece reaches across, so words are encoded one by one.
 2. The words' substrings of at most the longest piece are exploded and
    equi-joined to the piece table: the edges of the lattice.
 3. Edges are grouped by word and folded with ``aggregate``.
-4. Blocks meet their words again, and documents get their pieces.
+4. The words' pieces meet their block again, and documents get their pieces.
 
 The vocabulary is one of byte-pair merges. The best path by the sum of its
 scores (Viterbi) is another segmentation than the merges give for two words in
@@ -21,12 +21,12 @@ without a piece become the pieces of their bytes.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +38,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = 0x2581
 #: Bytes of text whose words are looked up together.
 BLOCK_BYTES = 32 << 20
+#: Parts of a block whose words are segmented by different tasks.
+PARTS = 8
 _PAIRS = 1 << 22
 U64 = np.uint64
 
@@ -127,39 +129,51 @@ def _words(codes: np.ndarray, first: np.ndarray, pairs: np.ndarray) -> tuple[np.
 
 
 def _blocks(docs: DataFrame, pairs: np.ndarray, block_bytes: int) -> DataFrame:
-    """block, words, docs, counts (words of each document), refs (packed)."""
+    """to (the block's name, from its content), words and docs: packed ids, nulls, words of each
+    document and references to the words, the frequent ones in low numbers."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(pairs))
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.unpackbits(shared.value).astype(bool)
-        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        held, size = [], 0
 
         def row() -> pa.RecordBatch:
             hashes = np.concatenate([x[0] for x in held])
+            times = np.concatenate([x[5] for x in held])
             _, at, to = np.unique(hashes, return_index=True, return_inverse=True)
-            words = pa.concat_arrays([x[1] for x in held]).take(pa.array(at))
+            order = np.argsort(-np.bincount(to, weights=times), kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            words = pa.concat_arrays([x[1] for x in held]).take(pa.array(at[order]))
             base = np.concatenate(([0], np.cumsum([len(x[0]) for x in held])))
-            refs = np.concatenate([to[b + x[2]] for b, x in zip(base, held, strict=False)]).astype(np.uint32)
+            refs = np.concatenate([place[to[b + x[2]]] for b, x in zip(base, held, strict=False)]).astype(np.uint32)
             counts = np.concatenate([x[4] for x in held]).astype(np.uint32)
-            one = np.array([1])
-            return pa.RecordBatch.from_arrays(
-                [pa.array([(part << 24) + number]), tk.lists(one * len(words), words), tk.lists(one * len(counts), pa.concat_arrays([x[3] for x in held])), pa.array([tk.pack(counts, refs)], pa.binary())],
-                names=["block", "words", "docs", "refs"],
-            )
+            ids = pa.concat_arrays([x[3] for x in held])
+            blob = tk.pack(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), counts, refs)
+            name = hashlib.blake2b(blob, digest_size=8, key=hashes[at[order]].tobytes()[:64]).digest()  # the same whenever the block is made
+            return pa.RecordBatch.from_arrays([pa.array([int.from_bytes(name, "little") >> 1]), tk.lists(np.array([len(words)]), words), pa.array([_squeezed(blob)], pa.binary())], names=["to", "words", "docs"])
 
         for rows, buf, offsets in tk.pieces(batches, "text"):
             codes, first = _characters(buf, offsets)
             start, length, h = _words(codes, first, pairs)
-            own, at, to = np.unique(h, return_index=True, return_inverse=True)
-            held.append((own, _utf8(codes, start[at], length[at]), to, rows.column("doc_id"), np.diff(np.searchsorted(start, first))))
+            own, at, to, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            held.append((own, _utf8(codes, start[at], length[at]), to, rows.column("doc_id"), np.diff(np.searchsorted(start, first)), times))
             size += len(buf)
             if size >= block_bytes:
                 yield row()
-                number, held, size = number + 1, [], 0
+                held, size = [], 0
         if held:
             yield row()
 
-    return docs.mapInArrow(block, "block long, words array<string>, docs array<long>, refs binary")
+    return docs.mapInArrow(block, "to long, words array<string>, docs binary")
+
+
+def _squeezed(blob: bytes) -> bytes:
+    return len(blob).to_bytes(8, "little") + pa.compress(blob, "zstd", asbytes=True)
+
+
+def _whole(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
 
 
 def folded(size: Column, edges: Column) -> Column:
@@ -181,18 +195,20 @@ def folded(size: Column, edges: Column) -> Column:
 
 
 def segmented(words: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """block, at, sizes (of the word's pieces) for words(block, at, word), which
-    are partitioned by block."""
+    """to, at, word, sizes (of the word's pieces) for words(to, part, at, word),
+    which are partitioned by to and part."""
     spark = words.sparkSession
     several = [(p, r) for p, r in zip(vocab.pieces, vocab.ranks, strict=True) if len(p) > 1]
     pieces = F.broadcast(spark.createDataFrame(several, "piece string, rank int"))  # the vocabulary
-    starts = words.withColumn("size", F.length("word")).select("block", "at", "word", "size", F.explode(F.sequence(F.lit(1), F.greatest(F.col("size") - 1, F.lit(1)))).alias("start"))
-    spans = starts.select("block", "at", "word", "size", "start", F.explode(F.expr(f"sequence(1, least({vocab.longest}, size - start + 1))")).alias("n")).where("n > 1 OR start = 1")
+    key = ["to", "part", "at"]
+    starts = words.withColumn("size", F.length("word")).select(*key, "word", "size", F.explode(F.sequence(F.lit(1), F.greatest(F.col("size") - 1, F.lit(1)))).alias("start"))
+    spans = starts.select(*key, "word", "size", "start", F.explode(F.expr(f"sequence(1, least({vocab.longest}, size - start + 1))")).alias("n")).where("n > 1 OR start = 1")
     edges = spans.withColumn("piece", F.expr("substring(word, start, n)")).join(pieces, "piece", "left").where("rank IS NOT NULL OR n = 1")
     edge = F.when(F.col("n") > 1, F.struct("rank", "start", (F.col("start") + F.col("n")).alias("end")))
-    lattice = edges.groupBy("block", "at").agg(F.max("size").alias("size"), F.sort_array(F.collect_list(edge)).alias("edges"))
-    sizes = F.when(F.size("edges") == 0, F.array_repeat(F.lit(1), F.col("size"))).otherwise(folded(F.col("size"), F.col("edges")))
-    return lattice.select("block", "at", sizes.alias("sizes"))
+    whole = F.when(F.col("n") == 1, F.col("word"))  # of one row of each word
+    lattice = edges.groupBy(*key).agg(F.max(whole).alias("word"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    sizes = F.when(F.size("edges") == 0, F.array_repeat(F.lit(1), F.length("word"))).otherwise(folded(F.length("word"), F.col("edges")))
+    return lattice.select("to", "at", "word", sizes.alias("sizes"))
 
 
 def encode(docs: DataFrame, path: str = MODEL, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,35 +222,56 @@ def encode(docs: DataFrame, path: str = MODEL, block_bytes: int = BLOCK_BYTES, i
     vocab = vocabulary(path)
     n = tk.partitions(spark)
     blocks = _blocks(tk.narrow(docs, id_col, text_col), _pair_table(vocab.pieces), block_bytes)
-    words = blocks.select("block", F.posexplode("words").alias("at", "word")).repartition(n, "block")
-    found = segmented(words, vocab).groupBy("block").agg(F.collect_list(F.struct("at", "sizes")).alias("found"))
-    rows = blocks.select("block", "words", "docs", "refs").repartition(n, "block").join(found.hint("merge"), "block", "left")
-    known = spark.sparkContext.broadcast(_lookup(vocab))  # the vocabulary
+    words = blocks.select("to", F.posexplode("words").alias("at", "word")).withColumn("part", F.col("at") % PARTS).repartition(PARTS * n, "to", "part")
+    known = spark.sparkContext.broadcast((*_lookup(vocab), vocab.byte))  # the vocabulary
 
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, ids = known.value
+    def identified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(b.num_rows):
-                counts, refs = tk.unpack(b.column("refs")[k].as_py())
-                docs = b.column("docs")[k].values
-                ends = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
-                if b.column("found")[k].is_valid:
-                    of, values = _piece_ids(b.column("words")[k].values, b.column("found")[k].values, hashes, ids, vocab.byte)
-                else:
-                    of, values = np.zeros(len(b.column("words")[k].values) + 1, np.int64), np.zeros(0, np.int32)
-                many = np.diff(of)
-                i = 0
-                while i < len(counts):  # a few documents at a time
-                    j = max(i + 1, int(np.searchsorted(ends, ends[i] + (1 << 18), "right")) - 1)
-                    r = refs[ends[i] : ends[j]]
-                    size = many[r]
-                    to = np.concatenate(([0], np.cumsum(size)))
-                    flat = values[np.repeat(of[r] - to[:-1], size) + np.arange(to[-1])]
-                    per = np.diff(to[ends[i : j + 1] - ends[i]])
-                    yield pa.RecordBatch.from_arrays([docs.slice(i, j - i), tk.lists(per, pa.array(flat.astype(np.int32)))], names=["doc_id", "ids"])
-                    i = j
-
-    return rows.mapInArrow(assemble, "doc_id long, ids array<int>")
+            to, at = b.column("to").to_numpy(), b.column("at").to_numpy().astype(np.uint32)
+            by = np.lexsort((at, to))
+            many, ids = _piece_ids(b.column("word").take(pa.array(by)), b.column("sizes").take(pa.array(by)), *known.value)
+            to, at = to[by], at[by]
+            ends = np.concatenate(([0], np.cumsum(many)))
+            rows = [(int(to[i]), _squeezed(tk.pack(tk.gaps(at[i:j]), many[i:j].astype(np.uint16), ids[ends[i] : ends[j]].astype(np.uint16 if len(vocab.surface) <= 1 << 16 else np.uint32)))) for i, j in tk.spans(to)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary())], names=["to", "found"])
+
+    tk.small_batches(spark, 2048)  # of words, and of documents
+    found = segmented(words, vocab).mapInArrow(identified, "to long, found binary")
+    both = found.withColumn("docs", F.lit(None).cast("binary")).unionByName(blocks.select("to", F.lit(None).cast("binary").alias("found"), "docs"))
+    both = both.repartitionById(n, (F.col("to") % n).cast("int")).sortWithinPartitions("to", F.col("docs").isNotNull())
+    return both.mapInArrow(_assembled, "doc_id long, ids array<int>")
+
+
+def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents' pieces: a block's words come first, its documents after them."""
+    block, found = None, []
+    for b in batches:
+        for to, words, docs in zip(b.column("to").to_pylist(), b.column("found"), b.column("docs"), strict=True):
+            if to != block:
+                block, found = to, []
+            if words.is_valid:
+                found.append(tk.unpack(_whole(words.as_py())))
+            else:
+                yield from _documents(tk.unpack(_whole(docs.as_py())), found)
+
+
+def _documents(docs: list[np.ndarray], found: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    ids, null, counts, refs = docs
+    none = np.zeros(0, np.int64)
+    at = np.concatenate([none, *(tk.ungaps(x[0]).astype(np.int64) for x in found)])
+    many = np.concatenate([none, *(x[1].astype(np.int64) for x in found)])
+    values = np.concatenate([none, *(x[2].astype(np.int64) for x in found)]).astype(np.int32)
+    start, size = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    start[at], size[at] = np.cumsum(many) - many, many
+    ends = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+    i = 0
+    while i < len(counts):  # a few documents at a time
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + (1 << 18), "right")) - 1)
+        r = refs[ends[i] : ends[j]]
+        to = np.concatenate(([0], np.cumsum(size[r])))
+        flat = values[np.repeat(start[r] - to[:-1], size[r]) + np.arange(to[-1])]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[i:j].view(np.int64), mask=null[i:j] > 0), tk.lists(np.diff(to[ends[i : j + 1] - ends[i]]), pa.array(flat))], names=["doc_id", "ids"])
+        i = j
 
 
 def _lookup(vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -253,16 +290,12 @@ def _run_hashes(codes: np.ndarray, size: np.ndarray) -> np.ndarray:
     return tk.mix((sums[end] - sums[start]) * down[start] + size.astype(U64))
 
 
-def _piece_ids(words: pa.Array, found: pa.Array, hashes: np.ndarray, ids: np.ndarray, byte: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first id of each word, all ids) from the words and (at, sizes)."""
-    at = found.field("at").to_numpy()
-    order = pa.array(np.argsort(at))
-    sizes = found.field("sizes").take(order)
+def _piece_ids(words: pa.Array, sizes: pa.Array, hashes: np.ndarray, ids: np.ndarray, byte: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of pieces of each word, all pieces) from the sizes of the words' pieces."""
     size = sizes.flatten().to_numpy().astype(np.int64)
-    pieces = np.diff(sizes.offsets.to_numpy())
+    ends = np.concatenate(([0], np.cumsum(np.diff(sizes.offsets.to_numpy()))))
     text = "".join(words.to_pylist())
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    h = _run_hashes(codes, size)
+    h = _run_hashes(np.frombuffer(text.encode("utf-32-le"), np.uint32), size)
     place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
     own = np.where(hashes[place] == h, ids[place], -1)
     unknown = np.flatnonzero(own < 0)
@@ -274,7 +307,7 @@ def _piece_ids(words: pa.Array, found: pa.Array, hashes: np.ndarray, ids: np.nda
     out = np.repeat(own, many).astype(np.int32)
     for k, x in zip(to[unknown].tolist(), raw, strict=True):
         out[k : k + len(x)] = np.frombuffer(x, np.uint8).astype(np.int32) + byte
-    return to[np.concatenate(([0], np.cumsum(pieces)))], out
+    return np.diff(to[ends]), out
 
 
 def decode(ids: Column, vocab: Vocabulary) -> Column:

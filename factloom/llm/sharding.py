@@ -1,7 +1,7 @@
 """Shards of near equal bytes by sampled splitters.
 
 Records are ordered by a key that keeps equal texts together: the text's CRC,
-then a hash of doc_id. A sample of the keys, weighted by size, gives quantile
+then that of doc_id. A sample of the keys, weighted by size, gives quantile
 boundaries of many ranges; their exact bytes and rows are counted, and ranges
 that came out overfull are sampled anew and subdivided. Running sums inside a
 range and the sums of the ranges before give each record its place in the whole
@@ -59,7 +59,8 @@ def shards(docs: DataFrame, count: int = 24, id_col: str = "doc_id", text_col: s
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     crc = F.crc32(text)
-    key = crc * (1 << 31) + F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(1 << 31))
+    spread = F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary"))
+    key = crc * (1 << 31) + spread % (1 << 31)
     rows = written(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), crc.alias("text_crc32"), key.alias("key")))
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     parts = max(LEAST_RANGES, min(MOST_RANGES // 4, total // RANGE_BYTES))

@@ -113,11 +113,10 @@ def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         heads = [(0, lowest)]
     follows = spark.createDataFrame([(b[0], heads[(i + 1) % len(heads)][1]) for i, b in enumerate(heads)], "bucket int, at long")
     texts = rows.where(F.col("at").isin([h[1] for h in heads])).groupBy("at").agg(F.min("text").alias("head_text"))
-    texts = follows.join(texts, "at").select(F.col("bucket").alias("of"), "head_text", hashes_of(fingerprint(F.col("head_text"))).alias("head_hashes"))
+    texts = follows.join(texts, "at").select("bucket", "head_text", hashes_of(fingerprint(F.col("head_text"))).alias("head_hashes"))
     order = W.partitionBy("bucket").orderBy("at", "text")
     rows = rows.withColumn("next_text", F.lead("text").over(order))
     rows = rows.withColumn("marks", fingerprint(F.col("text"))).withColumn("hashes", hashes_of(F.col("marks")))
     rows = rows.withColumn("next_hashes", F.lead("hashes").over(order))
-    last = F.when(F.col("next_text").isNull(), F.col("bucket")).otherwise(F.lit(None))
-    rows = rows.withColumn("of", last).join(texts, "of", "left")
+    rows = rows.join(texts.hint("merge"), "bucket", "left")  # the rows are dealt by bucket already
     return rows.select("doc_id", "text", "marks", "hashes", F.coalesce("next_text", "head_text").alias("next_text"), F.coalesce("next_hashes", "head_hashes").alias("next_hashes"))

@@ -6,10 +6,12 @@ piece reaches across, so words are encoded one by one.
 
 1. Each block of documents (a run of an input partition) becomes its distinct
    words and, for each document, references to them.
-2. The words' substrings of at most the longest piece are exploded and
-   equi-joined to the piece table: the edges of the lattice.
+2. Words of all blocks meet. The substrings, of at most the longest piece, of
+   each distinct one are exploded and equi-joined to the piece table: the edges
+   of the lattice.
 3. Edges are grouped by word and folded with ``aggregate``.
-4. The words' pieces meet their block again, and documents get their pieces.
+4. Pieces are joined to the blocks' words, meet the block again, and documents
+   get their pieces. A word has at most one row for each block.
 
 The vocabulary is one of byte-pair merges. The best path by the sum of its
 scores (Viterbi) is another segmentation than the merges give for two words in
@@ -38,8 +40,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = 0x2581
 #: Bytes of text whose words are looked up together.
 BLOCK_BYTES = 32 << 20
-#: Parts of a block whose words are segmented by different tasks.
-PARTS = 8
+#: Partitions of distinct words for each of the session's shuffle partitions.
+PARTS = 4
 _PAIRS = 1 << 22
 U64 = np.uint64
 
@@ -195,20 +197,19 @@ def folded(size: Column, edges: Column) -> Column:
 
 
 def segmented(words: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """to, at, word, sizes (of the word's pieces) for words(to, part, at, word),
-    which are partitioned by to and part."""
+    """word and sizes (of its pieces) for each distinct word of words(to, at, word),
+    which are partitioned by word."""
     spark = words.sparkSession
     several = [(p, r) for p, r in zip(vocab.pieces, vocab.ranks, strict=True) if len(p) > 1]
     pieces = F.broadcast(spark.createDataFrame(several, "piece string, rank int"))  # the vocabulary
-    key = ["to", "part", "at"]
-    starts = words.withColumn("size", F.length("word")).select(*key, "word", "size", F.explode(F.sequence(F.lit(1), F.greatest(F.col("size") - 1, F.lit(1)))).alias("start"))
-    spans = starts.select(*key, "word", "size", "start", F.explode(F.expr(f"sequence(1, least({vocab.longest}, size - start + 1))")).alias("n")).where("n > 1 OR start = 1")
+    own = words.groupBy("word").agg(F.min("to").alias("home"), F.min("at").alias("place")).where("home IS NOT NULL AND place IS NOT NULL")  # reads what the join reads: one exchange for both
+    starts = own.withColumn("size", F.length("word")).select("word", "size", F.explode(F.sequence(F.lit(1), F.greatest(F.col("size") - 1, F.lit(1)))).alias("start"))
+    spans = starts.select("word", "start", F.explode(F.expr(f"sequence(1, least({vocab.longest}, size - start + 1))")).alias("n")).where("n > 1 OR start = 1")
     edges = spans.withColumn("piece", F.expr("substring(word, start, n)")).join(pieces, "piece", "left").where("rank IS NOT NULL OR n = 1")
     edge = F.when(F.col("n") > 1, F.struct("rank", "start", (F.col("start") + F.col("n")).alias("end")))
-    whole = F.when(F.col("n") == 1, F.col("word"))  # of one row of each word
-    lattice = edges.groupBy(*key).agg(F.max(whole).alias("word"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    lattice = edges.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     sizes = F.when(F.size("edges") == 0, F.array_repeat(F.lit(1), F.length("word"))).otherwise(folded(F.length("word"), F.col("edges")))
-    return lattice.select("to", "at", "word", sizes.alias("sizes"))
+    return lattice.select("word", sizes.alias("sizes"))
 
 
 def encode(docs: DataFrame, path: str = MODEL, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,47 +223,50 @@ def encode(docs: DataFrame, path: str = MODEL, block_bytes: int = BLOCK_BYTES, i
     vocab = vocabulary(path)
     n = tk.partitions(spark)
     blocks = _blocks(tk.narrow(docs, id_col, text_col), _pair_table(vocab.pieces), block_bytes)
-    words = blocks.select("to", F.posexplode("words").alias("at", "word")).withColumn("part", F.col("at") % PARTS).repartition(PARTS * n, "to", "part")
+    words = blocks.select("to", F.posexplode("words").alias("at", "word")).where("word IS NOT NULL").repartition(PARTS * n, "word")
     known = spark.sparkContext.broadcast((*_lookup(vocab), vocab.byte))  # the vocabulary
+    number = np.uint16 if len(vocab.surface) <= 1 << 16 else np.uint32
 
     def identified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            to, at = b.column("to").to_numpy(), b.column("at").to_numpy().astype(np.uint32)
-            by = np.lexsort((at, to))
-            many, ids = _piece_ids(b.column("word").take(pa.array(by)), b.column("sizes").take(pa.array(by)), *known.value)
-            to, at = to[by], at[by]
-            ends = np.concatenate(([0], np.cumsum(many)))
-            rows = [(int(to[i]), _squeezed(tk.pack(tk.gaps(at[i:j]), many[i:j].astype(np.uint16), ids[ends[i] : ends[j]].astype(np.uint16 if len(vocab.surface) <= 1 << 16 else np.uint32)))) for i, j in tk.spans(to)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary())], names=["to", "found"])
+            many, ids = _piece_ids(b.column("word"), b.column("sizes"), *known.value)
+            ends = np.concatenate(([0], np.cumsum(many))) * number().itemsize
+            packed = pa.BinaryArray.from_buffers(pa.binary(), len(many), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(ids.astype(number).tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column("word"), packed], names=["word", "found"])
+
+    def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _assembled(batches, number)
 
     tk.small_batches(spark, 2048)  # of words, and of documents
-    found = segmented(words, vocab).mapInArrow(identified, "to long, found binary")
-    both = found.withColumn("docs", F.lit(None).cast("binary")).unionByName(blocks.select("to", F.lit(None).cast("binary").alias("found"), "docs"))
-    both = both.repartitionById(n, (F.col("to") % n).cast("int")).sortWithinPartitions("to", F.col("docs").isNotNull())
-    return both.mapInArrow(_assembled, "doc_id long, ids array<int>")
+    pieces = segmented(words, vocab).mapInArrow(identified, "word string, found binary")
+    found = words.join(pieces.hint("shuffle_hash"), "word").select("to", "at", "found", F.lit(None).cast("binary").alias("docs"))
+    both = found.unionByName(blocks.select("to", F.lit(None).cast("int").alias("at"), F.lit(None).cast("binary").alias("found"), "docs"))
+    both = both.repartitionById(n, (F.col("to") % n).cast("int")).sortWithinPartitions("to", F.col("at").asc_nulls_last())
+    return both.mapInArrow(assembled, "doc_id long, ids array<int>")
 
 
-def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents' pieces: a block's words come first, its documents after them."""
-    block, found = None, []
+def _assembled(batches: Iterator[pa.RecordBatch], number: type) -> Iterator[pa.RecordBatch]:
+    """Documents' pieces: a block's words come first in their order, its documents after them."""
+    many, ids = [], []
     for b in batches:
-        for to, words, docs in zip(b.column("to").to_pylist(), b.column("found"), b.column("docs"), strict=True):
-            if to != block:
-                block, found = to, []
-            if words.is_valid:
-                found.append(tk.unpack(_whole(words.as_py())))
-            else:
-                yield from _documents(tk.unpack(_whole(docs.as_py())), found)
-
-
-def _documents(docs: list[np.ndarray], found: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        at, i = b.column("at"), 0
+        for end in [*np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False)).tolist(), len(at)]:
+            found = b.column("found").slice(i, end - i)
+            if end > i:
+                to = np.frombuffer(found.buffers()[1], np.int32)[found.offset : found.offset + len(found) + 1]
+                many.append(np.diff(to) // number().itemsize)
+                ids.append(np.frombuffer(found.buffers()[2], np.uint8)[to[0] : to[-1]].view(number) if to[-1] > to[0] else np.zeros(0, number))
+            if end < len(at):
+                yield from _documents(tk.unpack(_whole(b.column("docs")[end].as_py())), many, ids)
+                many, ids = [], []
+            i = end + 1
+
+
+def _documents(docs: list[np.ndarray], many: list[np.ndarray], found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     ids, null, counts, refs = docs
-    none = np.zeros(0, np.int64)
-    at = np.concatenate([none, *(tk.ungaps(x[0]).astype(np.int64) for x in found)])
-    many = np.concatenate([none, *(x[1].astype(np.int64) for x in found)])
-    values = np.concatenate([none, *(x[2].astype(np.int64) for x in found)]).astype(np.int32)
-    start, size = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-    start[at], size[at] = np.cumsum(many) - many, many
+    size = np.concatenate([np.zeros(0, np.int64), *many]).astype(np.int64)
+    values = np.concatenate([np.zeros(0, np.int32), *found]).astype(np.int32)
+    start = np.cumsum(size) - size
     ends = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
     i = 0
     while i < len(counts):  # a few documents at a time

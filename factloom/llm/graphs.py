@@ -2,40 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators.shared import shared_folder, written  # noqa: F401
 
 #: Edges that a file of an intermediate table holds, about.
 EDGES_PER_FILE = 200_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors see.
-
-    Where that is unset, it is set: to a temporary folder of this machine in
-    local mode, else to a folder beside the warehouse.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.split("[")[0] == "local":
-            base = f"file://{tempfile.mkdtemp(prefix='factloom-')}"
-        else:
-            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, files: int | None = None) -> DataFrame:
-    """df as a table in the shared folder (of at most so many files): its lineage ends there."""
-    path = shared_folder(df.sparkSession)
-    (df.coalesce(files) if files else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _is_forest_of_stars(edges: DataFrame) -> bool:
     """Whether every larger end has one smaller end, which is nobody's larger end."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("e")).select("e.*")

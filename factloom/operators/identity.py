@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.operators.shared import written
+
 
 def duplicate_groups(claims: DataFrame, key: Sequence[str], survivor: Sequence[Column], claim_id: str) -> DataFrame:
     """Groups of more than one claim: key, n, survivor (the first by the given order)."""
@@ -82,15 +84,15 @@ def top_neighbours(queries: DataFrame, vectors: DataFrame, similarity: Column, k
 def supersession_roots(links: DataFrame, limit: int = 64) -> DataFrame:
     """claim_id, root, depth: the end of each chain of supersedes(claim_id, supersedes).
 
-    Chains halve each round, so ``limit`` is never near; a cycle ends at the limit.
+    The rounds are the logarithm of the longest chain, so ``limit`` is never near
+    without a cycle, which ends there. A round joins only the claims whose chain
+    still goes on and is written to the shared folder, where its lineage ends.
     """
-    now = links.select("claim_id", F.col("supersedes").alias("root"), F.lit(1).cast("long").alias("depth"))
+    now = links.select("claim_id", F.col("supersedes").alias("root"), F.lit(1).cast("long").alias("depth"), F.lit(True).alias("moved"))
     for _ in range(limit):
         up = now.select(F.col("claim_id").alias("root"), F.col("root").alias("up"), F.col("depth").alias("more"))
-        longer = now.join(up, "root", "left").select("claim_id", F.coalesce("up", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("up").isNotNull().alias("moved"))
-        longer = longer.persist()
-        done = longer.where("moved").isEmpty()
-        now = longer.drop("moved")
-        if done:
+        longer = now.where("moved").join(up, "root", "left").select("claim_id", F.coalesce("up", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("up").isNotNull().alias("moved"))
+        now = written(longer.union(now.where("NOT moved")))
+        if now.where("moved").isEmpty():
             break
-    return now
+    return now.drop("moved")

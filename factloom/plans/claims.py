@@ -191,6 +191,12 @@ def context_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return identity.fingerprint_by(table(spark, folder, "documents").where("doc_id % 4 <> 0"), ["lang"], "doc_id")
 
 
+@query()
+def context_fingerprint_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """context_fingerprint over all documents."""
+    return identity.fingerprint_by(table(spark, folder, "documents"), ["lang"], "doc_id")
+
+
 _LADDER = """CASE WHEN s AND NOT al AND con AND nse AND NOT esn THEN 'DOCUMENT_SUPERSEDES' WHEN s AND NOT al AND con AND esn AND NOT nse THEN 'DOCUMENT_SUPERSEDED_BY_EXISTING'
  WHEN NOT (om AND nm) OR NOT con THEN 'CORROBORATES' WHEN s AND NOT al AND abs(gap) >= 0.15 AND gap > 0 THEN 'SUPERSEDES' WHEN s AND NOT al AND abs(gap) >= 0.15 THEN 'SUPERSEDED_BY_EXISTING' ELSE 'INCONSISTENT' END"""
 
@@ -244,6 +250,13 @@ def supersession_chain(spark: SparkSession, folder: str) -> DataFrame:
     return identity.supersession_roots(links)
 
 
+@query()
+def supersession_chain_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """supersession_chain over all orders: keys that follow each other are one chain, however long."""
+    links = table(spark, folder, "orders").select(F.col("o_orderkey").alias("claim_id"), (F.col("o_orderkey") - 1).alias("supersedes"))
+    return identity.supersession_roots(links)
+
+
 @query(f"""WITH r AS (SELECT doc_id, round({_CONF} * w, 9) AS ec FROM documents, (SELECT unnest([1.0, 0.7, 0.5]) AS w)) SELECT doc_id, round(max(ec) - min(ec), 6) AS spread, count(*) AS policies FROM r GROUP BY doc_id""")
 def contestedness_spread(spark: SparkSession, folder: str) -> DataFrame:
     rendered = _documents(spark, folder).select("doc_id", F.explode(F.array(*[F.round(F.col("confidence") * w, 9) for w in (1.0, 0.7, 0.5)])).alias("ec"))

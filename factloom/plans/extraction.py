@@ -83,7 +83,17 @@ def rendered_documents(spark: SparkSession, folder: str) -> DataFrame:
 @query("""WITH s AS (SELECT p_partkey, p_brand, p_size, regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '-', 'g') AS slug FROM part WHERE p_partkey < 60), c AS (SELECT slug, count(*) AS m, count(DISTINCT p_brand) AS b, count(DISTINCT p_size) AS z FROM s GROUP BY slug)
 SELECT p_partkey, CASE WHEN m = 1 THEN slug WHEN b = m THEN slug || '-' || regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g') WHEN z = m THEN slug || '-' || p_size ELSE slug || '-' || p_partkey END AS page FROM s JOIN c USING (slug)""")
 def subject_pages(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "part").where("p_partkey < 60").select("p_partkey", "p_name", "p_brand", F.col("p_size").cast("string").alias("size"), F.col("p_partkey").cast("string").alias("key"))
+    return _subject_pages(table(spark, folder, "part").where("p_partkey < 60"))
+
+
+@query()
+def subject_pages_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """subject_pages over all parts."""
+    return _subject_pages(table(spark, folder, "part"))
+
+
+def _subject_pages(part: DataFrame) -> DataFrame:
+    rows = part.select("p_partkey", "p_name", "p_brand", F.col("p_size").cast("string").alias("size"), F.col("p_partkey").cast("string").alias("key"))
     return render.subject_names(rows, "p_name", ["p_brand", "size", "key"]).select("p_partkey", "page")
 
 

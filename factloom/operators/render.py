@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from factloom.operators.shared import written
 
 #: Call-out by status.
 CALLOUTS = {"ACTIVE": "note", "SUPERSEDED": "abstract", "RETRACTED": "failure", "INCONSISTENCY": "warning", "PROVENANCE_STALE": "question"}
@@ -33,6 +38,47 @@ def documents(claims: DataFrame, group: Sequence[str], line: str, order: Sequenc
     return rows.select(*group, F.array_join(F.transform("rows", lambda r: r[line]), "\n\n").alias("document"))
 
 
+def document_parts(claims: DataFrame, group: Sequence[str], line: str, order: Sequence[str], most: int = 1_000_000) -> DataFrame:
+    """The documents of ``documents`` in parts: the group's columns, part (0, 1, ...), lines, document.
+
+    A group's parts in order, with a blank line between, are its document. A
+    part holds at most ``most`` characters, or one line. Rows are dealt by
+    ranges of group and order, so a large group is spread over tasks; a part
+    also ends where a range ends.
+    """
+    rows = claims.where(F.col(line).isNotNull()).repartitionByRange(*group, *order).sortWithinPartitions(*group, *order, line)
+    rows = rows.withColumn("_range", F.spark_partition_id()).select(*group, "_range", line)
+    kinds = [rows.schema[g] for g in group]
+    schema = T.StructType([*kinds, T.StructField("_range", T.IntegerType()), T.StructField("_nth", T.LongType()), T.StructField("lines", T.LongType()), T.StructField("document", T.StringType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, nth, held, size = None, 0, [], 0
+        like = None
+
+        def part() -> pa.RecordBatch:
+            values = [*of, nth, len(held), "\n\n".join(held)]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, like, strict=True)], names=schema.names)
+
+        for batch in batches:
+            like = [*batch.schema.types[:-1], pa.int64(), pa.int64(), pa.string()]
+            for *key, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held and (key != of or size + 2 + len(text) > most):
+                    yield part()
+                    nth, held, size = (nth + 1 if key == of else 0), [], 0
+                of, size = key, size + 2 * bool(held) + len(text)
+                held.append(text)
+        if held:
+            yield part()
+
+    parts = written(rows.mapInArrow(cut, schema))  # the ranges are drawn once
+    counts = parts.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    same = F.lit(True)
+    for c in (*group, "_range"):
+        same &= F.col(f"p.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return parts.alias("p").join(F.broadcast(before.alias("b")), same).select(*[F.col(f"p.{g}") for g in group], (F.col("_before") + F.col("_nth")).alias("part"), "lines", "document")
+
+
 def subject_names(subjects: DataFrame, name: str, qualifiers: Sequence[str]) -> DataFrame:
     """subjects with ``page``: the slug, with the first qualifier that tells all of its namesakes apart."""
     slug = F.regexp_replace(F.lower(F.trim(name)), r"[^\p{L}\p{N}]+", "-")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import extract, policy, render, threads
@@ -75,11 +75,21 @@ def claim_violations(spark: SparkSession, folder: str) -> DataFrame:
 @query("""WITH l AS (SELECT source, doc_id, '> [!note] ' || regexp_replace(left(text, 80), '\\s*\\n\\s*', ' ', 'g') || chr(10) || '> confidence ' || format('{:.2f}', ((doc_id * 37) % 101) / 100.0) AS line FROM documents)
 SELECT source, md5(string_agg(line, chr(10) || chr(10) ORDER BY doc_id)) AS document FROM l GROUP BY source""")
 def rendered_documents(spark: SparkSession, folder: str) -> DataFrame:
-    confidence = F.pmod(F.col("doc_id") * 37, F.lit(101)) / 100.0
-    rows = table(spark, folder, "documents").select("source", "doc_id", render.claim_line(F.left("text", F.lit(80)), F.lit("ACTIVE"), confidence, F.lit(None).cast("string")).alias("line"))
+    rows = _claim_lines(table(spark, folder, "documents"), F.left("text", F.lit(80)))
     return render.documents(rows, ["source"], "line", ["doc_id"]).select("source", F.md5("document").alias("document"))
 
 
+@query()
+def rendered_documents_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """rendered_documents of whole texts, in parts: source, part, lines, document."""
+    return render.document_parts(_claim_lines(table(spark, folder, "documents"), F.col("text")), ["source"], "line", ["doc_id"])
+
+
+def _claim_lines(documents: DataFrame, content: Column) -> DataFrame:
+    confidence = F.pmod(F.col("doc_id") * 37, F.lit(101)) / 100.0
+    return documents.select("source", "doc_id", render.claim_line(content, F.lit("ACTIVE"), confidence, F.lit(None).cast("string")).alias("line"))
+
+
 @query("""WITH s AS (SELECT p_partkey, p_brand, p_size, regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '-', 'g') AS slug FROM part WHERE p_partkey < 60), c AS (SELECT slug, count(*) AS m, count(DISTINCT p_brand) AS b, count(DISTINCT p_size) AS z FROM s GROUP BY slug)
 SELECT p_partkey, CASE WHEN m = 1 THEN slug WHEN b = m THEN slug || '-' || regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g') WHEN z = m THEN slug || '-' || p_size ELSE slug || '-' || p_partkey END AS page FROM s JOIN c USING (slug)""")
 def subject_pages(spark: SparkSession, folder: str) -> DataFrame:

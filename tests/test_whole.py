@@ -10,7 +10,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__  # noqa: F401  registers the queries
-from factloom.operators import identity
+from factloom.operators import identity, render
 from factloom.plans.registry import QUERIES
 
 FOLDER = Path("/root/testdata/sf0.001")
@@ -61,3 +61,30 @@ def test_long_and_branched_chains(spark):
     links = [(i, i - 1) for i in range(1, n)] + [(10_000 + i, 17) for i in range(50)]
     got = {tuple(r) for r in identity.supersession_roots(spark.createDataFrame(links, "claim_id long, supersedes long")).select("claim_id", "root", "depth").collect()}
     assert got == {(i, 0, i) for i in range(1, n)} | {(10_000 + i, 0, 18) for i in range(50)}
+
+
+def joined(parts):
+    """Documents by group, from the parts in order; part numbers have no gaps."""
+    by = defaultdict(dict)
+    for r in parts:
+        by[r.source][r.part] = r.document
+    assert all(sorted(p) == list(range(len(p))) for p in by.values())
+    return {s: "\n\n".join(p[i] for i in sorted(p)) for s, p in by.items()}
+
+
+@needs_tables
+def test_rendering_of_whole_texts(spark):
+    lines = defaultdict(list)
+    for i, source, text in sorted(rows(spark, "documents", "doc_id", "source", "text")):
+        flat = re.sub(r"[ \t\n\x0b\f\r]*\n[ \t\n\x0b\f\r]*", " ", text)
+        lines[source].append(f"> [!note] {flat}\n> confidence {i * 37 % 101 / 100:.2f}")
+    assert max(len(x) for some in lines.values() for x in some) > 1000
+    assert joined(QUERIES["rendered_documents_whole"](spark, str(FOLDER)).collect()) == {s: "\n\n".join(x) for s, x in lines.items()}
+
+
+def test_parts_are_bounded(spark):
+    claims = [("hot", i, f"line {i}" + "x" * (i % 7)) for i in range(2000)] + [(None, 1, "a"), (None, 2, None), (None, 3, "b" * 500), ("one", 5, "c")]
+    df = spark.createDataFrame(claims, "source string, k int, line string").repartition(5)
+    parts = render.document_parts(df, ["source"], "line", ["k"], most=100).collect()
+    assert joined(parts) == {s: "\n\n".join(x for g, _, x in claims if g == s and x is not None) for s in ("hot", None, "one")}
+    assert all(len(r.document) <= 100 or r.lines == 1 for r in parts) and sum(r.source == "hot" for r in parts) > 100

@@ -87,8 +87,6 @@ WAYS = (
     (r"(?:opensource\.org/licenses?|spdx\.org/licenses|choosealicense\.com/licenses)/{}(?![\w-])", 75, 0.95, "license"),
 )
 SIGNATURE = (65, 0.9)
-#: A text without any of these holds no detection.
-GATES = (b"licen", b"copyright", b"spdx", b"permission ", b"redistribution", b"public domain", b"free software", b"creative", b"cc by", b"cc-by", b"cc0", b"gpl", b"proprietary", b"apache", b"mozilla.org", b"eclipse.org", b"opendatacommons", b"misrepresented", b"advertising", b"version ", b"under ", b"contributors", b"all rights reserved")
 
 
 class Rule(NamedTuple):
@@ -101,8 +99,8 @@ class Rule(NamedTuple):
 
 def _longest_literal(pattern: str) -> str:
     """The longest run of plain characters that every match holds, or nothing."""
-    plain = re.sub(r"\(\?:(?:[^()]|\([^()]*\))*\)[?*+]?|\[[^\]]*\][?*+]?|\{[^}]*\}|.\?|\\[wsd.]|\.", "\0", pattern)
-    return max(plain.split("\0"), key=len, default="")
+    plain = re.sub(r"\(\?:(?:[^()]|\([^()]*\))*\)[?*+]?|\[[^\]]*\][?*+]?|\{[^}]*\}|\\?.\?|\\[wsd.]|\.", "\0", pattern)
+    return re.sub(r"\\([()])", r"\1", max(plain.split("\0"), key=len, default=""))
 
 
 def rules() -> list[Rule]:
@@ -165,6 +163,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordered = rules()
+        gates = sorted({r.keyword.encode() for r in ordered}, key=len)  # a text without any of them holds no detection
         for rows, buf, offsets in tk.pieces(batches, "text"):
             w = tk.Words(buf, offsets, tk.NON_ALNUM, lower=True)
             places = [_base_places(w, phrase) for phrase, _ in BASE]
@@ -182,7 +181,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
             detections = []
             for i, j in zip(offsets[:-1], offsets[1:], strict=True):
                 text = raw[i:j]
-                detections.append(detect(text.decode("utf-8", "replace"), ordered) if any(g in text for g in GATES) else [])
+                detections.append(detect(text.decode("utf-8", "replace"), ordered) if any(g in text for g in gates) else [])
             none = n_base == 0
             kind = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("priority", pa.int32()), ("confidence", pa.float64())]))
             yield tk.batch(

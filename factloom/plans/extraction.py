@@ -51,7 +51,7 @@ def rdf_graph_claims(spark: SparkSession, folder: str) -> DataFrame:
     for p, o in (("subject", nation), ("predicate", F.lit("<http://x.org/region>")), ("object", region)):
         lines = lines.union(some.select(line(bundle, F.lit(f"<{rdf}{p}>"), o)))
     lines = lines.union(some.select(line(bundle, F.lit("<http://example.org/confidence>"), F.lit('"0.72"^^<http://www.w3.org/2001/XMLSchema#double>')))).union(n.limit(1).select(F.lit("not a triple").alias("value")))
-    return extract.triple_claims(extract.triples(lines))
+    return extract.triple_claims(extract.triples(lines.withColumn("document", F.lit("nations")))).select("s", "p", "o", "content", "confidence")
 
 
 @query("""WITH s AS (SELECT * FROM (VALUES ('src0', 'en', 0.9), ('src0', 'en', 0.4), ('src1', 'de', 0.7)) t(domain, st, rank)) SELECT doc_id, CASE WHEN source = 'src2' THEN 0.3 ELSE coalesce(min(rank), 1.0) END::DOUBLE AS trust

@@ -26,7 +26,7 @@ from factloom.llm import samples
 from factloom.llm import textkit as tk
 
 #: Labelled documents that the model is fitted on, about.
-SAMPLE = 3000
+SAMPLE = 2000
 BUCKETS, WIDTH = 1 << 14, 16
 EPOCHS, BATCH, RATE = 12, 32, 0.05
 UNKNOWN = "und"
@@ -52,6 +52,16 @@ def _spread(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint32(13))) & np.uint32(BUCKETS - 1)
 
 
+def _packed(buf: np.ndarray) -> np.ndarray:
+    """The text's buckets, then their counts on a scale up to 65,535: at most 64 KB whatever the text's length."""
+    if len(buf) < 4:
+        return np.zeros(0, np.uint16)
+    counts = np.bincount(np.concatenate(subwords(buf)), minlength=BUCKETS)
+    buckets = np.flatnonzero(counts)
+    counts = counts[buckets]
+    return np.concatenate((buckets, np.maximum(1, np.rint(counts * min(1.0, 65535 / counts.max()))))).astype(np.uint16)
+
+
 def _has_letter(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     seen = np.concatenate(([0], np.cumsum(_ASCII_LETTER[buf])))
     out = np.diff(seen[offsets]) > 0
@@ -73,8 +83,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int = 5) -> Model:
-    """texts: (buckets, counts) of each; a fifth of them only calibrates."""
+def train(texts: list[np.ndarray], labels: list[str], seed: int = 5) -> Model:
+    """texts: the counted buckets of each, as packed by _packed(); a fifth of them only calibrates."""
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 1.0)
@@ -89,9 +99,9 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: i
     def rows(which: np.ndarray) -> np.ndarray:
         x = np.zeros((len(which), BUCKETS), np.float32)
         for i, d in enumerate(which):
-            buckets, counts = texts[d]
+            buckets, weights = texts[d].reshape(2, -1)
             if len(buckets):
-                x[i, buckets] = counts / counts.sum()
+                x[i, buckets] = weights / weights.sum(dtype=np.float64)
         return x
 
     for _ in range(EPOCHS):
@@ -133,6 +143,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     """A model of the languages of documents outside the held-out fold, fitted
     on about ``sample`` of them (at most twice as many), in equal parts. Null
     languages and texts are left out. Without any, nothing is ever predicted.
+    The driver gets at most 64 KB for each of them, as packed bytes.
     """
     known = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{lang_col}`").alias("label")).where(~samples.held_out(F.col("doc_id")))
     chosen = samples.labelled_sample(known, sample)
@@ -140,14 +151,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offsets in tk.pieces(batches, "text"):
-            found = []
-            for i, j in zip(offsets[:-1], offsets[1:], strict=True):
-                found.append(np.bincount(np.concatenate(subwords(buf[i:j])), minlength=BUCKETS) if j - i >= 4 else np.zeros(BUCKETS, np.int64))
-            yield tk.batch(rows, ("doc_id", "label"), buckets=pa.array([np.flatnonzero(x).astype(np.int32) for x in found], pa.list_(pa.int32())), counts=pa.array([x[x > 0].astype(np.float32) for x in found], pa.list_(pa.float32())))
-
-    names = ("doc_id", "label")
-    found = sorted(rows.mapInArrow(count, tk.schema_of(rows, names, "buckets array<int>, counts array<float>")).collect())
-    return train([(np.array(r["buckets"], np.int32), np.array(r["counts"], np.float32)) for r in found], [r["label"] for r in found])
+            found = [_packed(buf[i:j]).tobytes() for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield tk.batch(rows, ("doc_id", "label"), text=pa.array(found, pa.binary()))
+
+    found = rows.mapInArrow(count, tk.schema_of(rows, ("doc_id", "label"), "text binary")).collect()
+    found.sort(key=lambda r: (r["doc_id"], r["label"], r["text"]))
+    return train([np.frombuffer(r["text"], np.uint16) for r in found], [r["label"] for r in found])
 
 
 def languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

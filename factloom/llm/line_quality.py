@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from factloom.llm import samples
 from factloom.llm import textkit as tk
 
-#: Labelled documents that the model is fitted on, about.
-SAMPLE = 3000
+#: Labelled documents that the model is fitted on, about; their lines, and those of one of them, at most.
+SAMPLE, SAMPLE_LINES, DOCUMENT_LINES = 3000, 300_000, 2000
 ITERATIONS, RATE, DECAY = 150, 0.1, 1e-3
 
 _NEWLINE = np.zeros(256, bool)
@@ -217,23 +217,40 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample:
     fold, fitted on about ``sample`` of them (at most twice as many), half of
     them good if there are enough. Of several labels of one document the lowest
     counts. Without labels, or with labels of one kind, scores are constant.
+    The sample ends where its lines exceed ``SAMPLE_LINES``, and a document of
+    it gives its middle ``DOCUMENT_LINES`` at most (with features from the whole
+    text), so what the driver holds is bounded.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("label").alias("label")).where(~samples.held_out(F.col("doc_id")))
     chosen = samples.labelled_sample(known, sample)
-    rows = tk.narrow(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("text", "label")  # at most 2 * sample rows
+    rows = tk.narrow(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")  # at most 2 * sample rows
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offsets in tk.pieces(batches, "text"):
             x = lines_of(buf, offsets)
-            counts = np.diff(x.first)
-            flat = np.column_stack((x.size, x.features)).astype(np.float32).reshape(-1)
-            yield pa.RecordBatch.from_arrays([rows.column("label"), tk.lists(counts * (FEATURES + 1), pa.array(flat))], names=["label", "lines"])
-
-    found = sorted((r["label"], r["lines"]) for r in rows.mapInArrow(features, "label int, lines array<float>").collect())
-    values = np.array([v for _, x in found for v in x], np.float64).reshape(-1, FEATURES + 1)
-    first = np.concatenate(([0], np.cumsum([len(x) // (FEATURES + 1) for _, x in found]))).astype(np.int64)
-    return train(Lines(first, values[:, 0], values[:, 1:]), np.array([y for y, _ in found]))
+            flat = np.column_stack((x.size, x.features)).astype(np.float32)
+            packed = [flat[_run(i, j)].tobytes() for i, j in zip(x.first[:-1].tolist(), x.first[1:].tolist(), strict=True)]
+            yield tk.batch(rows, ("doc_id", "label"), lines=pa.array(packed, pa.binary()))
+
+    found = rows.mapInArrow(features, "doc_id long, label int, lines binary").select(F.xxhash64("doc_id").alias("draw"), "label", "lines")
+    lines, y, total = [], [], 0
+    for r in found.orderBy("draw", "label", "lines").toLocalIterator():
+        x = np.frombuffer(r["lines"], np.float32).reshape(-1, FEATURES + 1)
+        total += len(x)
+        if y and total > SAMPLE_LINES:
+            break
+        lines.append(x)
+        y.append(r["label"])
+    values = np.concatenate([np.zeros((0, FEATURES + 1), np.float32), *lines]).astype(np.float64)
+    first = np.concatenate(([0], np.cumsum([len(x) for x in lines]))).astype(np.int64)
+    return train(Lines(first, values[:, 0], values[:, 1:]), np.array(y))
+
+
+def _run(i: int, j: int) -> slice:
+    """The middle DOCUMENT_LINES of lines i to j - 1."""
+    spare = max(0, j - i - DOCUMENT_LINES)
+    return slice(i + spare // 2, j - (spare - spare // 2))
 
 
 def quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

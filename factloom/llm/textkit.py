@@ -199,9 +199,17 @@ def lists(counts: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
+#: Bytes of an Arrow batch to Python, about.
+BATCH_BYTES = 8 << 20
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches to Python by this many rows: memory follows it, not the partition."""
+    """Arrow batches to Python of at most this many rows and about BATCH_BYTES
+    (or one row): memory follows them, not the partition. Plans read these two
+    settings when they run, which is after an operator has returned, so they
+    stay set in the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def pack(*columns: np.ndarray) -> bytes:

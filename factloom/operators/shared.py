@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -29,3 +30,28 @@ def written(df: DataFrame, files: int | None = None) -> DataFrame:
     path = shared_folder(df.sparkSession)
     (df.coalesce(files) if files else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Tables:
+    """The intermediate tables of one job, which are dropped together."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def written(self, df: DataFrame, files: int | None = None) -> DataFrame:
+        path = shared_folder(self.spark)
+        (df.coalesce(files) if files else df).write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def only(self, df: DataFrame, files: int | None = None) -> DataFrame:
+        """df as a table; all tables before it are dropped."""
+        before, self.paths = self.paths, []
+        out = self.written(df, files)
+        system = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in before:
+            with contextlib.suppress(Exception):  # what can't be deleted stays behind, and harms nothing
+                at = system.Path(path)
+                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        return out

@@ -18,7 +18,7 @@ from factloom.llm import textkit as tk
 
 U64 = np.uint64
 #: Rows gathered by a task before they are packed and sent.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: bucket, kind of blob (for the receiver), packed columns
 SCHEMA = "to long, kind int, blob binary"
 

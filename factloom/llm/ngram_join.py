@@ -19,12 +19,19 @@ row of its columns whose own columns are the most common, which costs a row for
 each member. Rows in one component after that are not compared again. Small
 columns then propose their pairs across components. Rows that meet in large
 columns form groups, in which the rows outside the largest component are
-multiplied with all others, a block of rows by a block of rows at a time, so
-that only links leave a block. No link between different components is lost.
+multiplied with all others of a size that fits, a block of rows by a block of
+rows at a time; rows that share too little with others are multiplied only with
+those that share enough. At most an edge for each row leaves a product. No link
+between different components is lost. link_counts() multiplies all rows of a
+group and gives the exact number of links.
+
+Rows of a key that is common meet in no task: its partner is broadcast, and
+there are fewer than HOT such keys. Intermediate tables are dropped at the end.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -41,8 +48,14 @@ U64 = np.uint64
 COMMON = 65
 #: Members up to which a column proposes its pairs across components itself.
 SMALL = 32
-#: Rows of a block of a large group's product, and columns multiplied at once.
-BLOCK_ROWS, BLOCK_COLUMNS = 256, 4096
+#: Rows of a block of a large group's product, their entries, and columns multiplied at once.
+BLOCK_ROWS, BLOCK_ENTRIES, BLOCK_COLUMNS = 256, 1 << 17, 4096
+#: Blocks that meet all their partners in one task.
+STRIPE = 8
+#: Entries (an n-gram of a set) of a bucket, about.
+BUCKET_ENTRIES = 1 << 19
+#: Keys that hold more than this part of all rows are joined by broadcast; there are fewer than HOT.
+HOT = 1000
 
 
 def _sets(w: tk.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,12 +98,16 @@ def _need(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
-def shared_rows(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shared_rows(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", entries_of_docs: int = 0) -> DataFrame:
     """The rows of the matrix that can have a partner: key, n, prefix, typical
     (how common the row's columns are on average) and columns (hashes that
-    other classes have too, rarest first)."""
-    parts = tk.partitions(docs.sparkSession)
-    buckets = 2 * parts
+    other classes have too, rarest first).
+
+    entries_of_docs is the sum of the sizes of all sets; the number of buckets
+    and partitions follows it, so a task decodes about BUCKET_ENTRIES at once.
+    """
+    buckets = max(2 * tk.partitions(docs.sparkSession), -(-entries_of_docs // BUCKET_ENTRIES))
+    parts = max(tk.partitions(docs.sparkSession), -(-buckets // 8))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(hashes: list[np.ndarray], keys: list[int], sizes: list[int]) -> Iterator[tuple[int, int, bytes]]:
@@ -151,7 +168,7 @@ def shared_rows(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str =
                 times = np.repeat(times, np.diff(np.append(new, len(h))))
                 some = times > 1
                 h, key, n, times = h[some], key[some], n[some], times[some].astype(np.uint8)
-                to = blobs.group_of(key.view(np.int64), parts)
+                to = blobs.group_of(key.view(np.int64), buckets)
                 by = np.lexsort((key, to))
                 if len(by):
                     yield from blobs.sent(to[by], 0, key[by], n[by], h[by], times[by])
@@ -197,32 +214,71 @@ def _linked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(overlap)], names=["a", "b", "overlap"]).filter(some)
 
     tk.small_batches(rows.sparkSession)
-    close = f"least(na, nb) * 100 >= greatest(na, nb) * {percent}"
-    return pairs.join(left, "a").join(right, "b").where(close).mapInArrow(product, "a long, b long, overlap long")
+    near = _close(percent, "size(x)", "size(y)")
+    return pairs.join(left, "a").join(right, "b").where(near).mapInArrow(product, "a long, b long, overlap long")
+
+
+def _close(percent: int, x: str, y: str) -> str:
+    """Whether sets of sizes na and nb, of which other classes share x and y entries, can reach the threshold."""
+    return f"least(na, nb) * 100 >= greatest(na, nb) * {percent} AND least({x}, {y}) * {100 + percent} >= (na + nb) * {percent}"
 
 
-def _blocks_linked(groups: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b, overlap) across components within groups(g, key, n, root,
-    columns), by products of blocks of rows."""
-    sizes = groups.groupBy("g", "root").agg(F.count("*").alias("m"))
-    sizes = graphs.written(sizes.groupBy("g").agg(F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("most")).select("g", "m", "most.root", (F.col("m") - F.col("most.m")).alias("rest")).withColumnRenamed("root", "largest"))
-    rows = groups.join(sizes, "g")
+def _beside(rows: DataFrame, table: DataFrame, *by: str) -> DataFrame:
+    """rows joined to table, whose column m says how many rows a key has. Keys
+    with more than a HOT-th of all rows are fewer than HOT; these go to every
+    task, so that no key's rows meet in one."""
+    often = F.col("m") > rows.count() / HOT
+    hot = table.where(often)
+    on = list(by)
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(*by)), on, "left_anti").join(table.where(~often), on))
 
-    def blocks(rows: DataFrame, count: str, name: str) -> DataFrame:
-        block = F.pmod(F.xxhash64("key"), F.ceil(F.col(count) / BLOCK_ROWS))
-        return rows.groupBy("g", block.alias(f"{name}_block")).agg(F.collect_list(F.struct("key", "n", "root", "columns")).alias(name))
 
-    pairs = blocks(rows.where("root <> largest"), "rest", "x").join(blocks(rows, "m", "y"), "g").select("x", "y")
+def _blocks_linked(groups: DataFrame, percent: int, kept: graphs.Tables, counts: bool = False) -> DataFrame:
+    """Products of blocks of rows within groups(g, key, n, root, copies, columns).
+
+    Gives edges (a, b, overlap) that connect what links across components
+    connect, overlap being null; or, for counts, (key, n_links): copies of the
+    rows that each row is linked with, in parts to be summed.
+
+    Two rows can only link if their sizes fall into the same or neighbouring
+    bins, and if one of them is strong: it shares enough entries for a partner
+    of its own size. Two weak rows would each have to be the larger one.
+    """
+    width = math.log(100 / percent) + 1e-6
+    rows = groups.withColumn("bin", F.floor(F.log("n") / width)).withColumn("strong", F.size("columns") * (100 + percent) >= F.col("n") * 2 * percent)
+    rows = kept.written(rows)
+    rest = rows
+    if not counts:
+        roots = rows.groupBy("g", "root").agg(F.count("*").alias("own"))
+        most = kept.written(roots.groupBy("g").agg(F.max(F.struct("own", "root")).alias("most"), F.sum("own").alias("m")).select("g", "m", F.col("most.root").alias("largest")))
+        rest = kept.written(_beside(rows, most, "g").where("root <> largest").drop("m", "largest"))
+
+    def blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        size = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.size("columns")) / BLOCK_ENTRIES))
+        cells = kept.written(rows.groupBy("g", "bin", "strong").agg(F.count("*").alias("m"), size.alias("blocks")))
+        block = F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block")
+        cut = _beside(rows, cells, "g", "bin", "strong").groupBy("g", "bin", "strong", block)
+        return cells, kept.written(cut.agg(F.collect_list(F.struct("key", "n", "root", "copies", "columns")).alias("rows")))
+
+    x_cells, x = blocks(rest)
+    y_cells, y = (x_cells, x) if counts else blocks(rows)
+    met = x_cells.select("g", F.col("bin").alias("x_bin"), F.col("strong").alias("x_strong"), F.ceil(F.col("blocks") / STRIPE).alias("stripes"), F.explode(F.array(*[F.col("bin") + d for d in (-1, 0, 1)])).alias("bin"))
+    met = met.join(y_cells.select("g", "bin", "strong", F.col("blocks").alias("m")), ["g", "bin"]).where("x_strong OR strong")
+    ys = _beside(y, kept.written(met), "g", "bin", "strong").select("g", "x_bin", "x_strong", F.explode(F.sequence(F.lit(0), F.col("stripes") - 1)).alias("stripe"), F.col("rows").alias("y"))
+    stripes = _beside(x, x_cells.select("g", "bin", "strong", F.col("blocks").alias("m")), "g", "bin", "strong").withColumn("stripe", F.pmod("block", F.ceil(F.col("m") / STRIPE)))
+    xs = stripes.select("g", F.col("bin").alias("x_bin"), F.col("strong").alias("x_strong"), "stripe", F.col("rows").alias("x"))
+    pairs = xs.join(ys, ["g", "x_bin", "x_strong", "stripe"]).select("x", "y")
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                yield _product(b.column("x")[i].values, b.column("y")[i].values, percent)
+                yield (_counted if counts else _connected)(b.column("x")[i].values, b.column("y")[i].values, percent)
 
-    return pairs.mapInArrow(product, "a long, b long, overlap long")
+    return pairs.mapInArrow(product, "key long, n_links long" if counts else "a long, b long, overlap long")
 
 
-def _product(x: pa.Array, y: pa.Array, percent: int) -> pa.RecordBatch:
+def _links(x: pa.Array, y: pa.Array, percent: int) -> np.ndarray:
+    """Which rows of x and y reach the threshold: the product of both blocks, some columns at a time."""
     sides = []
     for side in (x, y):
         lists = side.field("columns")
@@ -244,38 +300,110 @@ def _product(x: pa.Array, y: pa.Array, percent: int) -> pa.RecordBatch:
             part[row[i:j], at[i:j] - c] = 1
             dense.append(part)
         overlap += dense[0] @ dense[1].T
-    (xk, xn, xr), (yk, yn, yr) = ([side.field(f).to_numpy() for f in ("key", "n", "root")] for side in (x, y))
-    link = ((100 + percent) * overlap.astype(np.int64) >= percent * (xn[:, None] + yn[None, :])) & (xr[:, None] != yr[None, :])
-    i, j = np.nonzero(link)
-    return pa.RecordBatch.from_arrays([pa.array(xk[i]), pa.array(yk[j]), pa.array(overlap[i, j].astype(np.int64))], names=["a", "b", "overlap"])
-
-
-def class_components(rows: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
-    """(links found: a, b, overlap; components: node, root) of shared_rows()."""
-    rows = graphs.written(rows)
-    members = graphs.written(rows.select(F.explode(F.slice("columns", F.lit(1), F.col("prefix").cast("int"))).alias("col"), "key", "n", "typical"))
-    best = graphs.written(members.groupBy("col").agg(F.max(F.struct("typical", "key")).alias("pivot"), F.count("*").alias("m")).where("m > 1"))
-    pairs = members.select("col", "key").join(best, "col").groupBy("key").agg(F.max("pivot").alias("p")).select(F.col("key").alias("a"), F.col("p.key").alias("b")).where("a <> b")
-    links = graphs.written(_linked(graphs.written(pairs), rows, percent))
-    roots = graphs.written(graphs.components(links))
-    named = graphs.written(members.select("col", "key", "n").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
-    open_ = graphs.written(named.groupBy("col").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("col", "m"))
+    xn, yn = x.field("n").to_numpy(), y.field("n").to_numpy()
+    return (100 + percent) * overlap.astype(np.int64) >= percent * (xn[:, None] + yn[None, :])
+
+
+def _connected(x: pa.Array, y: pa.Array, percent: int) -> pa.RecordBatch:
+    """At most an edge for each row: from it to the first row of x that links of both blocks connect it with."""
+    link = _links(x, y, percent)
+    (xk, xr), (yk, yr) = ([side.field(f).to_numpy() for f in ("key", "root")] for side in (x, y))
+    link &= xr[:, None] != yr[None, :]
+    low, none = np.arange(len(xk)), len(xk)
+    while True:
+        of_y = np.where(link, low[:, None], none).min(0, initial=none)
+        of_x = np.minimum(low, np.where(link, of_y[None, :], none).min(1, initial=none))
+        if (of_x == low).all():
+            break
+        low = of_x
+    some_x, some_y = np.flatnonzero(low != np.arange(len(xk))), np.flatnonzero(of_y < none)
+    a, b = np.concatenate((xk[some_x], yk[some_y])), xk[np.concatenate((low[some_x], of_y[some_y]))]
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=["a", "b", "overlap"])
+
+
+def _counted(x: pa.Array, y: pa.Array, percent: int) -> pa.RecordBatch:
+    """The copies of the rows of y that each row of x is linked with."""
+    xk, yk = x.field("key").to_numpy(), y.field("key").to_numpy()
+    link = _links(x, y, percent) & (xk[:, None] != yk[None, :])
+    return pa.RecordBatch.from_arrays([pa.array(xk), pa.array(link @ y.field("copies").to_numpy())], names=["key", "n_links"])
+
+
+def _members(rows: DataFrame) -> DataFrame:
+    """The columns that propose a row's pairs: col, key, n, have (entries that others share), typical."""
+    return rows.select(F.explode(F.slice("columns", F.lit(1), F.col("prefix").cast("int"))).alias("col"), "key", "n", F.size("columns").alias("have"), "typical")
+
+
+def _small_pairs(small: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members(col, key, n, have, root) across roots that small columns propose."""
+    left, right = (small.select("col", F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("have").alias(f"h{k}"), F.col("root").alias(f"r{k}")) for k in "ab")
+    return left.join(right, "col").where(f"a < b AND ra <> rb AND {_close(percent, 'ha', 'hb')}").select("a", "b").distinct()
+
+
+def _groups(large: DataFrame, kept: graphs.Tables) -> DataFrame:
+    """key, g: rows that large columns connect, directly or through others, have one g."""
+    met = graphs.components(large.select(F.col("key").alias("a"), (F.lit(-1) - F.shiftrightunsigned("col", 1)).alias("b")), kept)
+    return met.where("node >= 0").select(F.col("node").alias("key"), F.col("root").alias("g"))
+
+
+def class_components(rows: DataFrame, percent: int = 75, kept: graphs.Tables | None = None) -> DataFrame:
+    """Components (node, root) of shared_rows(): every link between different sets is followed."""
+    kept = kept or graphs.Tables(rows.sparkSession)
+    rows = kept.written(rows)
+    members = kept.written(_members(rows))
+    best = kept.written(members.groupBy("col").agg(F.max(F.struct("typical", "key")).alias("pivot"), F.count("*").alias("m")).where("m > 1"))
+    pairs = _beside(members.select("col", "key"), best, "col").groupBy("key").agg(F.max("pivot").alias("p")).select(F.col("key").alias("a"), F.col("p.key").alias("b")).where("a <> b")
+    links = kept.written(_linked(kept.written(pairs), rows, percent))
+    roots = kept.written(graphs.components(links, kept))
+    named = kept.written(members.select("col", "key", "n", "have").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
+    open_ = kept.written(named.groupBy("col").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("col", "m"))
     if open_.isEmpty():
-        return links, roots
-    named = graphs.written(named.join(open_, "col"))
-    small = named.where(F.col("m") <= SMALL)
-    close = f"least(na, nb) * 100 >= greatest(na, nb) * {percent}"
-    left, right = (small.select("col", F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("root").alias(f"r{k}")) for k in "ab")
-    pairs = left.join(right, "col").where(f"a < b AND ra <> rb AND {close}").select("a", "b").distinct()
-    found = [links, graphs.written(_linked(graphs.written(pairs), rows, percent))]
-    large = graphs.written(named.where(F.col("m") > SMALL).select("col", "key", "root"))
+        return roots
+    named = kept.written(_beside(named, open_, "col"))
+    found = [links, kept.written(_linked(kept.written(_small_pairs(named.where(F.col("m") <= SMALL), percent)), rows, percent))]
+    large = kept.written(named.where(F.col("m") > SMALL).select("col", "key", "root"))
     if not large.isEmpty():
-        met = graphs.components(large.select(F.col("key").alias("a"), (F.lit(-1) - F.shiftrightunsigned("col", 1)).alias("b")))
-        met = met.where("node >= 0").select(F.col("node").alias("key"), F.col("root").alias("g"))
-        groups = large.select("key", "root").distinct().join(met, "key").join(rows.select("key", "n", "columns"), "key")
-        found.append(graphs.written(_blocks_linked(graphs.written(groups), percent)))
-    links = reduce(DataFrame.union, found)
-    return links, graphs.written(graphs.components(links))
+        groups = large.select("key", "root").distinct().join(_groups(large, kept), "key").join(rows.select("key", "n", "columns", F.lit(1).alias("copies")), "key")
+        found.append(kept.written(_blocks_linked(groups, percent, kept)))
+    return kept.written(graphs.components(reduce(DataFrame.union, found), kept))
+
+
+def _classes(sets: DataFrame) -> DataFrame:
+    return sets.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+def link_counts(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: doc_id, n_links, the exact number of other rows that it
+    is linked with, copies of its set among them.
+
+    Counting needs every pair of a group of near copies, so the work (not the
+    rows that leave a block) grows with the square of such a group;
+    near_duplicates() doesn't need that. Nulls and empty texts have no links.
+    """
+    kept = graphs.Tables(docs.sparkSession)
+    sets = kept.written(shingle_sets(docs, size, id_col, text_col))
+    rows = kept.written(shared_rows(docs, size, percent, id_col, text_col, _entries(sets)))
+    classes = kept.written(_classes(sets))
+    rows = kept.written(rows.join(classes.select(F.col("set_key").alias("key"), "copies"), "key"))
+    members = kept.written(_members(rows).withColumn("root", F.col("key")))
+    times = kept.written(members.groupBy("col").agg(F.count("*").alias("m")).where("m > 1"))
+    named = kept.written(_beside(members, times, "col"))
+    large = kept.written(named.where(F.col("m") > SMALL).select("col", "key"))
+    grouped = kept.written(_groups(large, kept))
+    pairs = _small_pairs(named.where(F.col("m") <= SMALL), percent)
+    for k in "ab":
+        pairs = pairs.join(grouped.select(F.col("key").alias(k), F.col("g").alias(f"g{k}")), k, "left")
+    links = kept.written(_linked(kept.written(pairs.where("ga IS NULL OR gb IS NULL OR ga <> gb").select("a", "b")), rows, percent))
+    groups = grouped.join(rows.select("key", "n", "copies", "columns", F.col("key").alias("root")), "key")
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    counts = both.join(classes.select(F.col("set_key").alias("b"), "copies"), "b").select(F.col("a").alias("key"), F.col("copies").alias("n_links"))
+    counts = counts.union(_blocks_linked(groups, percent, kept, counts=True)).groupBy("key").agg(F.sum("n_links").alias("others"))
+    each = classes.join(counts.withColumnRenamed("key", "set_key"), "set_key", "left").select("set_key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    each = kept.written(each.withColumn("m", F.col("n_links")))
+    return kept.only(sets.join(each.drop("m"), "set_key", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+
+
+def _entries(sets: DataFrame) -> int:
+    return sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,13 +415,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     own doc_id. Equal sets always link. Rows with one doc_id are judged each by
     its own text. An empty table gives an empty one.
     """
-    sets = graphs.written(shingle_sets(docs, size, id_col, text_col))
-    _, roots = class_components(shared_rows(docs, size, percent, id_col, text_col), percent)
-    full = sets.where("n_shingles > 0")
-    classes = graphs.written(full.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")))
-    rooted = classes.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "doc_id", F.coalesce("root", "set_key").alias("root"))
-    rooted = graphs.written(rooted)
-    lowest = graphs.written(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    named = graphs.written(rooted.join(lowest, "root").select("set_key", "component_id"))
-    out = full.join(named, "set_key").select("doc_id", "n_shingles", "component_id")
-    return out.union(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    kept = graphs.Tables(docs.sparkSession)
+    sets = kept.written(shingle_sets(docs, size, id_col, text_col))
+    roots = class_components(shared_rows(docs, size, percent, id_col, text_col, _entries(sets)), percent, kept)
+    classes = kept.written(_classes(sets))
+    rooted = classes.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "doc_id", "copies", F.coalesce("root", "set_key").alias("root"))
+    rooted = kept.written(rooted)
+    lowest = kept.written(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("m")))
+    named = kept.written(_beside(rooted, lowest, "root").select("set_key", "component_id", F.col("copies").alias("m")))
+    out = _beside(sets.where("n_shingles > 0"), named, "set_key").select("doc_id", "n_shingles", "component_id")
+    return kept.only(out.union(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))))

@@ -4,15 +4,17 @@ A window is ``window`` consecutive words. A word goes if a window that covers
 it also starts earlier in the corpus (smaller doc_id, or earlier in the same
 document); so of every repeated passage the first copy stays.
 
-1. Anchors. Among the phrases of ``phrase`` words inside a window, the one with
-   the smallest hash is its anchor: equal windows have equal anchors at equal
-   offsets, and only about a sixth of all positions are anchors. Their hashes
-   are counted over all documents; those seen more than once are confirmed.
-2. Automata. Documents are dealt into groups, and each group gets the confirmed
-   phrases of its own documents. Every run of documents compiles its shard of
-   the phrases into an Aho-Corasick automaton over an alphabet of word symbols
-   and streams all its documents through it, which locates every occurrence.
-   A repeated window must hold a located phrase at the anchor's offset.
+1. Phrases. A word is a symbol of a small alphabet, so that a phrase of
+   ``phrase`` words fits into 60 bits. Among the phrases inside a window, the
+   one with the smallest mixed value is its anchor: equal windows have equal
+   anchors at equal offsets, and only about a sixth of all positions are
+   anchors. They are counted over all documents; those seen more than once are
+   confirmed. Texts with equal symbols but other words only cost a look.
+2. Automata. Documents are dealt into groups of about GROUP_BYTES of text. A
+   group gets the confirmed phrases that its documents hold, as symbols, and
+   compiles them, a shard at a time, into Aho-Corasick automata. All its
+   documents then stream through them; where a phrase occurs is known from the
+   automata alone. A repeated window must hold an occurrence.
 3. Windows. The windows that hold a located phrase meet by hash; the smallest
    (doc_id, start) of each hash is its first occurrence, all others go. Each
    task sends only its own first occurrence of a window, so a window that
@@ -37,14 +39,29 @@ from factloom.llm import blobs
 from factloom.llm import textkit as tk
 
 U64 = np.uint64
-#: Symbols that words are mapped to for the automata: Unicode's upper planes.
-_SYMBOLS = 1 << 20
-_FIRST_SYMBOL = 0x10000
+#: Bytes of a group's text, about, and phrases of an automaton.
+GROUP_BYTES, SHARD = 8 << 20, 500_000
+_FIRST_SYMBOL = 0x100
+
+
+def _bits(phrase: int) -> int:
+    """Bits of a word's symbol; those of a phrase fit into 60."""
+    if phrase > 60:
+        raise ValueError("a phrase has at most 60 words")
+    return max(1, min(16, 60 // phrase))
+
+
+def _symbols(w: tk.Words, phrase: int) -> np.ndarray:
+    return w.hash >> U64(64 - _bits(phrase))
 
 
 def _anchors(w: tk.Words, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, hash) of the anchors of all windows; of equal hashes the leftmost."""
-    at, h = w.runs(phrase)
+    """(first word, mixed symbols) of the anchors of all windows; of equal ones the leftmost."""
+    at = np.flatnonzero(np.arange(len(w)) <= np.repeat(w.first[1:], w.counts) - phrase)
+    symbols, h = _symbols(w, phrase), np.zeros(len(at), U64)
+    for k in range(phrase):
+        h = (h << U64(_bits(phrase))) | symbols[at + k]
+    h = tk.mix(h)
     span = window - phrase + 1
     if len(at) < span:
         return at[:0], h[:0]
@@ -61,7 +78,8 @@ def repeated_starts(docs: DataFrame, window: int = 20, phrase: int = 10, groups:
     docs: doc_id and text, as from textkit.narrow().
     """
     n = tk.partitions(docs.sparkSession)
-    groups, buckets = groups or n, n
+    groups = groups or _group_count(docs, n)
+    buckets = groups
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(hashes: list[np.ndarray], group: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
@@ -124,11 +142,11 @@ def repeated_starts(docs: DataFrame, window: int = 20, phrase: int = 10, groups:
 
         def sent() -> Iterator[tuple[int, int, bytes]]:
             found, size = [], 0
-            for rows, buf, offsets, known in _with_hashes(batches):
-                if not len(known):
+            for rows, buf, offsets, machines in _with_automata(batches, phrase):
+                if not machines:
                     continue
                 w = tk.Words(buf, offsets, tk.SPACE, lower=False)
-                at = _candidates(w, known, window, phrase)
+                at = _candidates(w, machines, window, phrase)
                 ids = _ids(rows)
                 of = w.doc[at]
                 found.append((w.run_hash(at, window), ids[of], (at - w.first[of]).astype(np.uint32)))
@@ -170,6 +188,12 @@ def repeated_starts(docs: DataFrame, window: int = 20, phrase: int = 10, groups:
     return blobs.dealt(found, n).mapInArrow(later, blobs.SCHEMA)
 
 
+def _group_count(docs: DataFrame, partitions: int) -> int:
+    """A multiple of the partitions, by which groups hold GROUP_BYTES of text at most, about."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return partitions * max(1, -(-size // (partitions * GROUP_BYTES)))
+
+
 def _ids(rows: pa.RecordBatch) -> np.ndarray:
     ids = rows.column("doc_id")
     return (ids.fill_null(np.iinfo(np.int64).min) if ids.null_count else ids).to_numpy()
@@ -208,36 +232,49 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]
             yield group, None, b.slice(i, j - i)
 
 
-def _with_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    known = np.zeros(0, U64)
+def _with_automata(batches: Iterator[pa.RecordBatch], phrase: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[ahocorasick.Automaton]]]:
+    """A group's documents, a few at a time, with the group's automata."""
+    machines: list[ahocorasick.Automaton] = []
     for _, packed, docs in _parts(batches):
         if packed is not None:
-            known = np.unique(np.concatenate([np.zeros(0, U64), *(tk.ungaps(tk.unpack(x)[0]) for x in packed)]))
+            machines = []  # the last group's go first
+            machines = _automata(np.unique(np.concatenate([np.zeros(0, U64), *(tk.ungaps(tk.unpack(x)[0]) for x in packed)])), phrase)
         else:
             for rows, buf, offsets in tk.pieces(iter([docs]), "text"):
-                yield rows, buf, offsets, known
-
-
-def _candidates(w: tk.Words, known: np.ndarray, window: int, phrase: int) -> np.ndarray:
-    """First words of the windows that hold a confirmed phrase where an anchor can be."""
-    at, h = _anchors(w, window, phrase)
-    place = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    at, h = at[known[place] == h], h[known[place] == h]
-    if not len(at):
-        return at
-    at = at[np.unique(h, return_index=True)[1]]
-    symbols = (w.hash % U64(_SYMBOLS)).astype(np.uint32) + _FIRST_SYMBOL
-    text = symbols.tobytes().decode("utf-32-le")
-    machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for i in at.tolist():
-        machine.add_word(text[i : i + phrase])
-    machine.make_automaton()
-    marks = np.zeros(len(w) + 1, np.int32)
-    hits = []
+                yield rows, buf, offsets, machines
+
+
+def _automata(confirmed: np.ndarray, phrase: int) -> list[ahocorasick.Automaton]:
+    """Automata of the confirmed phrases, SHARD in each."""
+    out = []
+    for k in range(0, len(confirmed), SHARD):
+        value, bits = tk.unmix(confirmed[k : k + SHARD]), _bits(phrase)
+        shifts = np.arange(phrase - 1, -1, -1).astype(U64) * U64(bits)
+        symbols = (value[:, None] >> shifts) & U64((1 << bits) - 1)
+        text = _text(symbols.reshape(-1))
+        machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for i in range(0, len(text), phrase):
+            machine.add_word(text[i : i + phrase])
+        machine.make_automaton()
+        out.append(machine)
+    return out
+
+
+def _text(symbols: np.ndarray) -> str:
+    code = symbols.astype(np.uint32) + np.uint32(_FIRST_SYMBOL)
+    return (code + np.uint32(0x800) * (code >= 0xD800)).astype(np.uint32).tobytes().decode("utf-32-le")  # no surrogates
+
+
+def _candidates(w: tk.Words, machines: list[ahocorasick.Automaton], window: int, phrase: int) -> np.ndarray:
+    """First words of the windows that hold an occurrence of a confirmed phrase."""
+    text = _text(_symbols(w, phrase))
+    hits: list[int] = []
     for i, j in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
         if j - i >= window:
-            hits += [e - phrase + 1 for e, _ in machine.iter(text, i, j)]
-    start = np.array(hits, np.int64)
+            for machine in machines:
+                hits += [e for e, _ in machine.iter(text, i, j)]
+    start = np.array(hits, np.int64) - phrase + 1
+    marks = np.zeros(len(w) + 1, np.int32)
     low = np.maximum(start - (window - phrase), w.first[w.doc[start]])
     np.add.at(marks, low, 1)
     np.add.at(marks, start + 1, -1)
@@ -254,13 +291,14 @@ def without_repeats(docs: DataFrame, window: int = 20, phrase: int = 10, id_col:
 
     A null or empty text has no words. Rows with the same doc_id are taken for
     the same document: a window at the same start in both is not repeated.
-    An empty table gives an empty one. A task holds the hashes of one bucket or
-    of one group of documents, a few MB of text, and one document at most.
+    An empty table gives an empty one. However long a text, it is read whole; a
+    task holds the phrases of one bucket or of one group of documents, a few MB
+    of text, and one document at most.
     """
     spark = docs.sparkSession
     n = tk.partitions(spark)
-    groups = n
     rows = tk.narrow(docs, id_col, text_col, carry)
+    groups = _group_count(rows, n)
     starts = repeated_starts(rows, window, phrase, groups)
     names = ("doc_id", "row")
 

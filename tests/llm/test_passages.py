@@ -2,9 +2,12 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from factloom.llm import blobs, passages
+from factloom.llm import textkit as tk
 from tests.llm import odd
 from tests.llm.test_words import SPACE
 
@@ -38,3 +41,26 @@ def test_empty_null_ids_and_carried_columns(spark):
     assert passages.without_repeats(odd.empty(spark)).count() == 0
     found = passages.without_repeats(odd.frame(spark, [(None, "a b c d e f"), (2, "z a b c d e f")]), 5, 3, carry=("key",)).collect()
     assert sorted((r.doc_id or 0, r.kept, r.row.key) for r in found) == [(0, "a b c d e f", 1), (2, "z", 1)]
+
+
+@pytest.mark.parametrize("shard", [3, 10**6])
+def test_occurrences_come_from_the_automata(spark, monkeypatch, shard):
+    monkeypatch.setattr(passages, "SHARD", shard)
+    docs = [(i, " ".join(f"w{(7 * i + k) % 90}" for k in range(40))) for i in range(40)] + [(50, " ".join(f"w{k}" for k in range(3, 60)))]
+    got = sorted(map(tuple, passages.without_repeats(odd.frame(spark, docs), 12, 6).collect()))
+    assert got == brute(docs, 12) and sum(r[2] for r in got) > 300
+
+
+def test_nothing_is_found_without_automata():
+    text = [("a b c d e f g h " * 3).encode()]
+    w = tk.Words(*tk.arrays(pa.array(text, pa.binary())), tk.SPACE, lower=False)
+    known = np.unique(passages._anchors(w, 6, 3)[1])
+    assert len(passages._candidates(w, passages._automata(known, 3), 6, 3)) == 19
+    assert not len(passages._candidates(w, passages._automata(known[:0], 3), 6, 3))
+
+
+def test_a_text_longer_than_a_chunk(spark, monkeypatch):
+    monkeypatch.setattr(tk, "CHUNK_BYTES", 500)
+    monkeypatch.setattr(passages, "GROUP_BYTES", 300)
+    docs = [(1, " ".join(f"w{k % 211}" for k in range(900))), (2, None), (3, " ".join(f"w{k}" for k in range(50)))]
+    assert sorted(map(tuple, passages.without_repeats(odd.frame(spark, docs)).collect())) == brute(docs, 20)

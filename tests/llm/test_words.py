@@ -57,3 +57,8 @@ def test_pieces_keep_every_row():
     cut = list(tk.pieces(iter([batch.slice(0, 3), batch.slice(3)]), "text", 40))
     assert [i for b, _, _ in cut for i in b.column("i").to_pylist()] == list(range(8))
     assert b"".join(buf.tobytes() for _, buf, _ in cut) == b"".join(x or b"" for x in rows)
+
+
+def test_unmix_undoes_mix():
+    x = np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64)
+    assert (tk.unmix(tk.mix(x)) == x).all()

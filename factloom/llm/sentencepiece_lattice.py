@@ -19,11 +19,17 @@ three, so the fold follows the merges: its state is where each piece ends, and
 each step joins the two neighbours whose union is the edge of highest score,
 the leftmost of equal ones. That gives the library's pieces exactly. Characters
 without a piece become the pieces of their bytes.
+
+A step of that fold looks at all edges, so its time grows with the square of a
+word. A word of more than LONGEST characters (a text without blanks, say) isn't
+exploded: the task that has it takes the same merges from a heap of the edges
+between neighbours, in about linear time and memory.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -40,8 +46,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = 0x2581
 #: Bytes of text whose words are looked up together.
 BLOCK_BYTES = 32 << 20
-#: Partitions of distinct words for each of the session's shuffle partitions.
+#: Partitions of distinct words, and of blocks, for each of the session's shuffle partitions.
 PARTS = 4
+#: Characters of a word up to which ``aggregate`` folds it.
+LONGEST = 100
 _PAIRS = 1 << 22
 U64 = np.uint64
 
@@ -197,18 +205,20 @@ def folded(size: Column, edges: Column) -> Column:
 
 
 def segmented(words: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """word and sizes (of its pieces) for each distinct word of words(to, at, word),
-    which are partitioned by word."""
+    """word and sizes (of its pieces; null for a word of more than LONGEST characters)
+    for each distinct word of words(to, at, word), which are partitioned by word."""
     spark = words.sparkSession
     several = [(p, r) for p, r in zip(vocab.pieces, vocab.ranks, strict=True) if len(p) > 1]
     pieces = F.broadcast(spark.createDataFrame(several, "piece string, rank int"))  # the vocabulary
     own = words.groupBy("word").agg(F.min("to").alias("home"), F.min("at").alias("place")).where("home IS NOT NULL AND place IS NOT NULL")  # reads what the join reads: one exchange for both
-    starts = own.withColumn("size", F.length("word")).select("word", "size", F.explode(F.sequence(F.lit(1), F.greatest(F.col("size") - 1, F.lit(1)))).alias("start"))
+    folds = F.length("word") <= LONGEST
+    own = own.withColumn("size", F.when(folds, F.length("word")).otherwise(1))
+    starts = own.select("word", "size", F.explode(F.sequence(F.lit(1), F.greatest(F.col("size") - 1, F.lit(1)))).alias("start"))
     spans = starts.select("word", "start", F.explode(F.expr(f"sequence(1, least({vocab.longest}, size - start + 1))")).alias("n")).where("n > 1 OR start = 1")
     edges = spans.withColumn("piece", F.expr("substring(word, start, n)")).join(pieces, "piece", "left").where("rank IS NOT NULL OR n = 1")
     edge = F.when(F.col("n") > 1, F.struct("rank", "start", (F.col("start") + F.col("n")).alias("end")))
     lattice = edges.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    sizes = F.when(F.size("edges") == 0, F.array_repeat(F.lit(1), F.length("word"))).otherwise(folded(F.length("word"), F.col("edges")))
+    sizes = F.when(~folds, None).when(F.size("edges") == 0, F.array_repeat(F.lit(1), F.length("word"))).otherwise(folded(F.length("word"), F.col("edges")))
     return lattice.select("word", sizes.alias("sizes"))
 
 
@@ -216,20 +226,23 @@ def encode(docs: DataFrame, path: str = MODEL, block_bytes: int = BLOCK_BYTES, i
     """Per row of docs: doc_id and ids, the pieces of the text.
 
     A null or empty text has no pieces. Rows are encoded one by one; repeated
-    ones give as many results. U+2581 in a text is taken for a blank. A task
-    holds the distinct words and references of one block, and one document.
+    ones give as many results. U+2581 in a text is taken for a blank. A text of
+    any length is encoded whole, in about linear time even without a blank. A
+    task holds the distinct words and references of one block, and one document.
     """
     spark = docs.sparkSession
     vocab = vocabulary(path)
     n = tk.partitions(spark)
     blocks = _blocks(tk.narrow(docs, id_col, text_col), _pair_table(vocab.pieces), block_bytes)
     words = blocks.select("to", F.posexplode("words").alias("at", "word")).where("word IS NOT NULL").repartition(PARTS * n, "word")
-    known = spark.sparkContext.broadcast((*_lookup(vocab), vocab.byte))  # the vocabulary
+    known = spark.sparkContext.broadcast((*_lookup(vocab), vocab.byte, dict(zip(vocab.pieces, vocab.ranks, strict=True))))  # the vocabulary
+    longest = vocab.longest
     number = np.uint16 if len(vocab.surface) <= 1 << 16 else np.uint32
 
     def identified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        *table, ranks = known.value  # the vocabulary
         for b in batches:
-            many, ids = _piece_ids(b.column("word"), b.column("sizes"), *known.value)
+            many, ids = _piece_ids(b.column("word"), _all_sizes(b.column("word"), b.column("sizes"), ranks, longest), *table)
             ends = np.concatenate(([0], np.cumsum(many))) * number().itemsize
             packed = pa.BinaryArray.from_buffers(pa.binary(), len(many), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(ids.astype(number).tobytes())])
             yield pa.RecordBatch.from_arrays([b.column("word"), packed], names=["word", "found"])
@@ -241,7 +254,7 @@ def encode(docs: DataFrame, path: str = MODEL, block_bytes: int = BLOCK_BYTES, i
     pieces = segmented(words, vocab).mapInArrow(identified, "word string, found binary")
     found = words.join(pieces.hint("shuffle_hash"), "word").select("to", "at", "found", F.lit(None).cast("binary").alias("docs"))
     both = found.unionByName(blocks.select("to", F.lit(None).cast("int").alias("at"), F.lit(None).cast("binary").alias("found"), "docs"))
-    both = both.repartitionById(n, (F.col("to") % n).cast("int")).sortWithinPartitions("to", F.col("at").asc_nulls_last())
+    both = both.repartitionById(PARTS * n, (F.col("to") % (PARTS * n)).cast("int")).sortWithinPartitions("to", F.col("at").asc_nulls_last())
     return both.mapInArrow(assembled, "doc_id long, ids array<int>")
 
 
@@ -294,6 +307,41 @@ def _run_hashes(codes: np.ndarray, size: np.ndarray) -> np.ndarray:
     return tk.mix((sums[end] - sums[start]) * down[start] + size.astype(U64))
 
 
+def merged(word: str, ranks: dict[str, int], longest: int) -> list[int]:
+    """Sizes of the pieces of a word: always the neighbours whose union has the
+    best rank are joined, the leftmost of equal ones. An edge waits in a heap
+    until it is taken, or one of its ends is gone."""
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the piece that starts here; end 0: none does
+    waiting = [(ranks[word[i : i + 2]], i, i + 2) for i in range(n - 1) if word[i : i + 2] in ranks]
+    heapq.heapify(waiting)
+
+    def offer(i: int, e: int) -> None:
+        if e - i <= longest and (rank := ranks.get(word[i:e])) is not None:
+            heapq.heappush(waiting, (rank, i, e))
+
+    while waiting:
+        _, i, e = heapq.heappop(waiting)
+        middle = end[i]
+        if not 0 < middle < e or end[middle] != e:
+            continue
+        end[i], end[middle] = e, 0
+        if e < n:
+            before[e] = i
+            offer(i, end[e])
+        if i:
+            offer(before[i], e)
+    return [e - i for i, e in enumerate(end) if e]
+
+
+def _all_sizes(words: pa.Array, sizes: pa.Array, ranks: dict[str, int], longest: int) -> pa.Array:
+    """sizes, and those of the words that have none yet."""
+    if not sizes.null_count:
+        return sizes
+    known, missing = sizes.to_pylist(), sizes.is_null().to_pylist()
+    return pa.array([merged(words[i].as_py(), ranks, longest) if gone else known[i] for i, gone in enumerate(missing)], pa.list_(pa.int32()))
+
+
 def _piece_ids(words: pa.Array, sizes: pa.Array, hashes: np.ndarray, ids: np.ndarray, byte: int) -> tuple[np.ndarray, np.ndarray]:
     """(number of pieces of each word, all pieces) from the sizes of the words' pieces."""
     size = sizes.flatten().to_numpy().astype(np.int64)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,3 +30,21 @@ def test_pieces_are_those_of_the_library_and_texts_come_back(spark):
 def test_empty(spark):
     assert sp.encode(odd.empty(spark)).count() == 0
     assert [tuple(r) for r in sp.encode(odd.frame(spark, [(1, None), (1, "")])).collect()] == [(1, []), (1, [])]
+
+
+def test_a_megabyte_without_a_blank(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=sp.MODEL)
+    rng = random.Random(9)
+    docs = [(1, "a" * (1 << 20)), (2, "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABC0123456789+/") for _ in range(1 << 20))), (3, "function(){return;}" * 20000)]
+    began = time.perf_counter()
+    got = {r.doc_id: r.ids for r in sp.encode(odd.frame(spark, docs)).collect()}
+    assert time.perf_counter() - began < 100
+    assert all(got[i] == library.encode(t) for i, t in docs)
+
+
+@pytest.mark.parametrize("longest", [0, 3, 10**6])
+def test_both_folds_agree(spark, monkeypatch, longest):
+    monkeypatch.setattr(sp, "LONGEST", longest)
+    library = sentencepiece.SentencePieceProcessor(model_file=sp.MODEL)
+    docs = [(i, t[:60]) for i, t in enumerate(odd_texts())]
+    assert {r.doc_id: r.ids for r in sp.encode(odd.frame(spark, docs)).collect()} == {i: library.encode(t) for i, t in docs}

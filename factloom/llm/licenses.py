@@ -1,7 +1,7 @@
 """Licence scans by ordered signature rules.
 
-Each licence has hand-written signatures (grants, titles, notices) and the
-common ways to name it (a tag, a statement that something is licensed under it,
+Each licence has hand-written signatures (grants, titles, notices, sentences of
+its text) and the common ways to name it (a tag, a statement that something is licensed under it,
 a metadata field, a link). A rule is tried only on texts that hold its keyword.
 Detections are resolved in order of priority, then length: one that lies inside
 an accepted one of at least its priority is suppressed.
@@ -78,6 +78,137 @@ LICENSES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("public-domain", r"public domain", (r"released (?:in)?to the public domain", r"dedicated to the public domain")),
 )
 
+#: More signatures: sentences of the licences' own texts, of their notices and of common grants.
+TEXTS: dict[str, tuple[str, ...]] = {
+    "mit": (
+        r"to deal in the software without restriction, including without limitation the rights",
+        r"to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software",
+        r"the software is provided [\"']as is[\"'], without warranty of any kind, express or implied",
+        r"in no event shall the authors or copyright holders be liable for any claim, damages or other liability",
+        r"opensource\.org/licenses/mit-license",
+        r"dual[ -]licensed under (?:the )?mit",
+    ),
+    "mit-0": (r"permission is hereby granted, free of charge, .{1,200} to whom the software is furnished to do so\.\s{1,4}the software is provided",),
+    "apache-2": (
+        r"terms and conditions for use, reproduction, and distribution",
+        r"each contributor hereby grants to you a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license",
+        r"unless required by applicable law or agreed to in writing, software distributed under the license",
+        r"you must give any other recipients of the work or derivative works a copy of this license",
+        r"you must cause any modified files to carry prominent notices stating that you changed the files",
+        r"see the notice file distributed with this work for additional information",
+        r"the asf licenses this file to you under the apache license",
+        r"apache license, version 2\.0",
+    ),
+    "apache-1.1": (r"the apache software license, version 1\.1", r"the names [\"']apache[\"'] and [\"']apache software foundation[\"'] must not be used", r"products derived from this software may not be called [\"']apache[\"']"),
+    "gpl-2": (
+        r"gnu general public license as published by the free software foundation; version 2",
+        r"51 franklin street, fifth floor, boston, ma 02110-1301",
+        r"59 temple place,? (?:-|suite) ?330, boston, ma 02111-1307",
+        r"this general public license does not permit incorporating your program into proprietary programs",
+        r"you may copy and distribute verbatim copies of the program's source code as you receive it",
+        r"activities other than copying, distribution and modification are not covered by this license",
+    ),
+    "gpl-3": (
+        r"the gnu general public license is a free, copyleft license for software and other kinds of works",
+        r"you may convey verbatim copies of the program's source code as you receive it",
+        r"a [\"']user product[\"'] is either \(1\) a [\"']consumer product[\"']",
+        r"no covered work shall be deemed part of an effective technological measure",
+    ),
+    "gpl": (
+        r"but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose\. see the gnu general public license",
+        r"you should have received a copy of the gnu general public license along with this program",
+        r"www\.gnu\.org/(?:copyleft|licenses)/gpl",
+        r"special exception to the gpl",
+        r"classpath exception",
+        r"gpl[ -]licensed",
+    ),
+    "lgpl-2.1": (
+        r"this is the first released version of the lesser gpl",
+        r"either version 2\.1 of the license, or \(at your option\) any later version",
+        r"the lesser general public license, applies to some specially designated software packages",
+        r"a program that contains no derivative of any portion of the library, but is designed to work with the library",
+    ),
+    "lgpl-3": (
+        r"this version of the gnu lesser general public license incorporates the terms and conditions of version 3",
+        r"as used herein, [\"']this license[\"'] refers to version 3 of the gnu lesser general public license",
+        r"conveying modified versions\. if you modify a copy of the library",
+    ),
+    "lgpl": (r"you should have received a copy of the gnu lesser general public license", r"www\.gnu\.org/(?:copyleft|licenses)/lgpl", r"terms of the gnu library general public license"),
+    "agpl-3": (
+        r"specifically designed to ensure cooperation with the community in the case of network server software",
+        r"all users interacting with it remotely through a computer network",
+        r"remote network interaction; use with the gnu general public license",
+    ),
+    "agpl": (r"you should have received a copy of the gnu affero general public license", r"www\.gnu\.org/licenses/agpl", r"affero general public license for more details"),
+    "bsd-2": (r"1\. redistributions of source code must retain the above copyright notice, this list of conditions", r"2\. redistributions in binary form must reproduce the above copyright notice", r"opensource\.org/licenses/bsd-2-clause"),
+    "bsd-3": (r"may be used to endorse or promote products derived from this software without specific prior written permission", r"3\. neither the name of the copyright holder nor", r"opensource\.org/licenses/bsd-3-clause", r"the name of the author may not be used to endorse or promote products"),
+    "bsd-4": (r"must display the following acknowledgement", r"this product includes software developed by the university of california, berkeley"),
+    "0bsd": (r"permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted\.", r"free public license 1\.0\.0", r"opensource\.org/licenses/0bsd"),
+    "bsd": (r"this software is provided by the (?:copyright holders and contributors|regents and contributors|author) [\"']as is[\"']", r"use of this source code is governed by a bsd-style license", r"the regents of the university of california\. all rights reserved"),
+    "isc": (r"provided that the above copyright notice and this permission notice appear in all copies", r"the author disclaims all warranties with regard to this software", r"internet systems consortium disclaims all warranties", r"opensource\.org/licenses/isc"),
+    "mpl-1.1": (r"the contents of this file are subject to the mozilla public license version 1\.1", r"the initial developer of the original code is", r"alternatively, the contents of this file may be used under the terms of either"),
+    "mpl-2": (r"if a copy of the mpl was not distributed with this file, you can obtain one at", r"exhibit b - [\"']incompatible with secondary licenses[\"'] notice", r"this source code form is [\"']incompatible with secondary licenses[\"']", r"mozilla public license version 2\.0"),
+    "epl-1": (r"this program and the accompanying materials are made available under the terms of the eclipse public license v1\.0", r"eclipse public license - v 1\.0", r"accompanying program is provided under the terms of this eclipse public license"),
+    "epl-2": (r"eclipse public license - v 2\.0", r"this source code may also be made available under the following secondary licenses", r"which is available at https?://www\.eclipse\.org/legal/epl-2\.0"),
+    "cddl-1": (r"when distributing covered (?:software|code), include this cddl header notice", r"usr/src/opensolaris\.license", r"the contents of this file are subject to the terms of the common development"),
+    "eupl-1.2": (r"licensed under the eupl", r"joinup\.ec\.europa\.eu/(?:software/page|collection)/eupl", r"this european union public licence \(the [\"']eupl[\"']\) applies"),
+    "artistic-2": (r"this license establishes the terms under which a given free software package may be copied, modified, distributed", r"www\.perlfoundation\.org/artistic_license_2_0"),
+    "artistic-1": (r"the intent of this document is to state the conditions under which a package may be copied", r"such that the copyright holder maintains some semblance of artistic control", r"under the same terms as perl itself"),
+    "boost-1": (r"distributed under the boost software license, version 1\.0", r"www\.boost\.org/license_1_0\.txt", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation", r"unless such copies or derivative works are solely in the form of machine-executable object code"),
+    "zlib": (r"this software is provided 'as-is', without any express or implied warranty", r"altered source versions must be plainly marked as such", r"this notice may not be removed or altered from any source distribution", r"jean-loup gailly and mark adler"),
+    "unlicense": (r"anyone is free to copy, modify, publish, use, compile, sell, or distribute this software", r"in jurisdictions that recognize copyright laws, the author or authors of this software dedicate", r"(?:www\.)?unlicense\.org"),
+    "wtfpl": (r"everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed", r"0\. you just do what the f[a-z*]{3} you want to", r"www\.wtfpl\.net"),
+    "cc0-1": (r"affirmer hereby overtly, fully, permanently, irrevocably and unconditionally waives", r"to the extent possible under law, .{1,100} has waived all copyright and related or neighboring rights", r"no copyright: the person who associated a work with this deed"),
+    "cc-by-nc-nd": (r"you may not use the material for commercial purposes, and if you remix, transform, or build upon the material, you may not distribute", r"namensnennung[ -]+nicht[ -]?kommerziell[ -]+keine[ -]bearbeitung(?:en)?"),
+    "cc-by-nc-sa": (r"namensnennung[ -]+nicht[ -]?kommerziell[ -]+weitergabe unter gleichen bedingungen", r"attribution, non-?commercial, share[ -]?alike"),
+    "cc-by-nc": (r"you may not use the material for commercial purposes", r"primarily intended for or directed toward(?:s)? commercial advantage or monetary compensation", r"namensnennung[ -]+nicht[ -]?kommerziell"),
+    "cc-by-nd": (r"if you remix, transform, or build upon the material, you may not distribute the modified material", r"produce and reproduce, but not share, adapted material"),
+    "cc-by-sa": (r"you must distribute your contributions under the same license as the original", r"text is available under the creative commons attribution-sharealike", r"the adapter's license you apply must be a creative commons license with the same license elements"),
+    "cc-by": (r"you must give appropriate credit, provide a link to the license, and indicate if changes were made", r"creative commons attribution [1-4]\.0 international", r"by exercising the licensed rights \(defined below\), you accept and agree", r"some rights reserved\.? creative commons"),
+    "odbl-1": (r"any use of this database must be attributed to", r"this .{1,60} is made available under the open database license", r"any rights in individual contents of the database are licensed under the database contents license", r"openstreetmap contributors"),
+    "ofl-1.1": (r"this font software is licensed under the sil open font license", r"the goals of the open font license \(ofl\) are to stimulate worldwide development", r"scripts\.sil\.org/ofl", r"neither the font software nor any of its individual components, in original or modified versions, may be sold by itself", r"with reserved font name"),
+    "python-2": (r"python software foundation license version 2", r"this license agreement is between the python software foundation", r"beopen python open source license agreement", r"cwi license agreement for python"),
+    "openssl": (r"the names [\"']openssl toolkit[\"'] and [\"']openssl project[\"'] must not be used", r"this product includes cryptographic software written by eric young", r"original ssleay license"),
+    "postgresql": (r"permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement", r"in no event shall the university of california be liable to any party for direct, indirect, special"),
+    "ms-pl": (r"this license governs use of the accompanying software\. if you use the software, you accept this license", r"no trademark license- this license does not grant you rights to use any contributors' name", r"opensource\.org/licenses/ms-pl"),
+    "gfdl": (r"permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation license", r"with no invariant sections, no front-cover texts,? and no back-cover texts", r"www\.gnu\.org/(?:copyleft|licenses)/fdl", r"the [\"']invariant sections[\"'] are certain secondary sections"),
+    "elastic-2": (r"you may not provide the software to third parties as a hosted or managed service", r"you may not move, change, disable, or circumvent the license key functionality", r"www\.elastic\.co/licensing/elastic-license", r"by using the software, you agree to all of the terms and conditions below\. copyright license the licensor grants"),
+    "sspl-1": (r"if you make the functionality of the program or a modified version available to third parties as a service", r"www\.mongodb\.com/licensing/server-side-public-license", r"making the service source code available"),
+    "proprietary": (
+        r"this software is the confidential and proprietary information of",
+        r"may not be copied, reproduced, distributed,? or (?:disclosed|transmitted) without (?:the )?(?:express |prior )*written (?:permission|consent)",
+        r"unauthorized (?:copying|reproduction|use|distribution) of this (?:file|software|material|document)",
+        r"no part of this (?:publication|book|document|website) may be reproduced",
+        r"you may not (?:copy, modify|reverse engineer, decompile|sublicense, rent, lease)",
+        r"trade secrets? of .{1,60} and (?:is|are) protected by (?:copyright|trade secret) law",
+        r"internal use only\. do not (?:distribute|redistribute)",
+        r"end[ -]user licen[sc]e agreement",
+    ),
+    "public-domain": (r"this (?:file|work|code|software|article|text) is (?:hereby )?(?:placed )?in the public domain", r"has been (?:placed|put) in(?:to)? the public domain", r"the author (?:hereby )?disclaims copyright to this (?:source code|work)", r"no copyright is claimed", r"a work of the u(?:nited )?\.?s(?:tates)?\.? government and is not subject to copyright"),
+    "artistic-gpl": (r"under the terms of either: a\) the gnu general public license .{1,120} artistic license", r"either the gpl or the artistic license"),
+    "afl-3": (r"academic free licen[sc]e,? (?:version |v)?\.? ?3\.0", r"licensed under the academic free license"),
+    "osl-3": (r"open software licen[sc]e,? (?:version |v)?\.? ?3\.0", r"licensed under the open software license"),
+    "upl-1": (r"universal permissive licen[sc]e,? (?:version |v)?1\.0", r"oss\.oracle\.com/licenses/upl"),
+    "bsl-1.1": (r"business source licen[sc]e 1\.1", r"the licensor hereby grants you the right to copy, modify, create derivative works, redistribute, and make non-production use", r"change date: .{1,40} change license:"),
+    "ncsa": (r"university of illinois/ncsa open source licen[sc]e", r"to deal with the software without restriction, including"),
+    "vim": (r"vim licen[sc]e", r"you must make your changes available to the maintainer of vim"),
+    "ruby": (r"you can redistribute it and/or modify it under either the terms of the (?:2-clause bsdl|gpl)", r"ruby's licen[sc]e"),
+    "php-3": (r"the php licen[sc]e, version 3\.0[01]?", r"this product includes php software, freely available from"),
+    "w3c": (r"w3c(?:\(r\)|®)? software (?:notice and licen[sc]e|and document notice and licen[sc]e)", r"w3\.org/consortium/legal/(?:copyright-software|copyright-documents|2015/copyright-software)"),
+    "unicode": (r"unicode,? inc\. licen[sc]e agreement", r"unicode data files and software"),
+    "ecl-2": (r"educational community licen[sc]e,? (?:version |v)?2\.0",),
+    "blueoak-1": (r"blue oak model licen[sc]e", r"this license gives everyone as much permission to work with this software as possible"),
+    "cecill-2": (r"cecill (?:free software )?licen[sc]e", r"ce logiciel est r[eé]gi par la licence cecill", r"this software is governed by the cecill"),
+    "openrail": (r"(?:bigscience|creativeml|bigcode) open ?rail(?:-m|\+\+-m|\+\+)?", r"use-based restrictions as referenced in paragraph 5"),
+    "llama": (r"llama [234](?:\.[0-9])? community license", r"built with (?:meta )?llama [234]"),
+    "ogl-uk-3": (r"open government licen[sc]e(?: v| version )?3\.0", r"contains public sector information licensed under the open government licence"),
+    "etalab-2": (r"licence ouverte ?/ ?open licen[sc]e", r"etalab[ -]2\.0"),
+    "dl-de-by-2": (r"datenlizenz deutschland[ –-]+(?:namensnennung|zero)", r"www\.govdata\.de/dl-de"),
+    "cdla": (r"community data licen[sc]e agreement[ –-]+(?:permissive|sharing)", r"cdla\.dev/(?:permissive|sharing)"),
+    "pddl-1": (r"open data commons public domain dedication", r"opendatacommons\.org/licenses/pddl"),
+    "gpl-2-linux": (r"linux kernel enforcement statement", r"this copyright does \*not\* cover user programs that use kernel services"),
+}
+
 #: Ways to name a licence: pattern around the name, priority, confidence, keyword.
 WAYS = (
     (r"spdx-license-identifier:\s{{0,4}}{}(?![\w.-])", 90, 1.0, "spdx-license-identifier"),
@@ -100,7 +231,7 @@ class Rule(NamedTuple):
 def _longest_literal(pattern: str) -> str:
     """The longest run of plain characters that every match holds, or nothing."""
     plain = re.sub(r"\(\?:(?:[^()]|\([^()]*\))*\)[?*+]?|\[[^\]]*\][?*+]?|\{[^}]*\}|\\?.\?|\\[wsd.]|\.", "\0", pattern)
-    return re.sub(r"\\([()])", r"\1", max(plain.split("\0"), key=len, default=""))
+    return re.sub(r"\\([()*+])", r"\1", max(plain.split("\0"), key=len, default=""))
 
 
 def rules() -> list[Rule]:
@@ -111,13 +242,22 @@ def rules() -> list[Rule]:
             out.append(Rule(label, priority, confidence, keyword, re.compile(way.format(name))))
         for text in texts:
             out.append(Rule(label, *SIGNATURE, _longest_literal(text), re.compile(text)))
+    for label, texts in TEXTS.items():
+        for text in texts:
+            out.append(Rule(label, *SIGNATURE, _longest_literal(text), re.compile(text)))
     return sorted(out, key=lambda r: (-r.priority, r.label, r.pattern.pattern))
 
 
+#: Line ends and tabs are read as blanks, so a sentence may go on in the next line.
+_BLANKS = {c: 0x20 for c in b"\t\n\v\f\r"}
+_BLANK_BYTES = bytes(_BLANKS.get(c, c) for c in range(256))
+
+
 def detect(text: str, ordered: list[Rule]) -> list[tuple[str, int, int, int, float]]:
     """(label, start, end, priority, confidence) of the detections in lower-cased text that stand."""
     has: dict[str, bool] = {}
     found = []
+    text = text.translate(_BLANKS)
     for rule in ordered:
         if rule.keyword not in has:
             has[rule.keyword] = rule.keyword in text
@@ -177,7 +317,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
                 np.maximum.at(high, d, at - w.first[d])
                 for i in set(d.tolist()):
                     labels[i].add(label)
-            raw = w.buf.tobytes()
+            raw = w.buf.tobytes().translate(_BLANK_BYTES)
             detections = []
             for i, j in zip(offsets[:-1], offsets[1:], strict=True):
                 text = raw[i:j]

@@ -74,3 +74,15 @@ def test_texts_that_hold_no_other_gate(spark):
 
 def test_gate_words_are_plain_text():
     assert not any(re.search(r"\\|\0", r.keyword) for r in licenses.rules())
+
+
+def test_most_rules_are_written_by_hand():
+    hand = {t for _, _, texts in licenses.LICENSES for t in texts} | {t for texts in licenses.TEXTS.values() for t in texts}
+    assert len(hand) >= 220 and len({r.pattern.pattern for r in licenses.rules()}) == len(licenses.rules())
+
+
+def test_a_notice_over_several_lines(spark):
+    notice = "Permission is hereby\ngranted, free of charge,\tto any person\robtaining a copy"
+    df = spark.createDataFrame([(1, notice), (2, "licensed under\n\nthe Apache License,\nVersion 2.0")], "doc_id long, text string")
+    got = {r.doc_id: {d.label for d in r.detections} for r in licenses.scan(df).collect()}
+    assert got == {1: {"mit"}, 2: {"apache-2"}}

@@ -81,6 +81,7 @@ def _document_counts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     """How often each word of the block occurs in all documents."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
+    @tk.tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, total = shared.value, None
         for _, buf, offsets in tk.pieces(batches, "text"):
@@ -165,6 +166,7 @@ def _search(out: DataFrame, plain: DataFrame, block: _Block | None) -> DataFrame
     shared = out.sparkSession.sparkContext.broadcast(table)
     names = ("doc_id", "text", "row")
 
+    @tk.tidy
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for rows, buf, offsets in tk.pieces(batches, "text"):

@@ -149,6 +149,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     chosen = samples.labelled_sample(known, sample)
     rows = tk.narrow(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")  # at most 2 * sample rows
 
+    @tk.tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offsets in tk.pieces(batches, "text"):
             found = [_packed(buf[i:j]).tobytes() for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
@@ -171,6 +172,7 @@ def languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     names = ("doc_id", "row")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows
 
+    @tk.tidy
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         known = np.array([*model.languages, UNKNOWN], object)

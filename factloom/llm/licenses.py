@@ -301,6 +301,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     rows = tk.narrow(docs, id_col, text_col, carry)
     names = ("doc_id", "row")
 
+    @tk.tidy
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordered = rules()
         gates = sorted({r.keyword.encode() for r in ordered}, key=len)  # a text without any of them holds no detection

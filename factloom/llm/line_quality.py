@@ -226,6 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample:
     chosen = samples.labelled_sample(known, sample)
     rows = tk.narrow(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")  # at most 2 * sample rows
 
+    @tk.tidy
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offsets in tk.pieces(batches, "text"):
             x = lines_of(buf, offsets)
@@ -263,6 +264,7 @@ def quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     rows = tk.narrow(docs, id_col, text_col, carry)
     names = ("doc_id", "row")
 
+    @tk.tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offsets in tk.pieces(batches, "text"):
             yield tk.batch(rows, names, score=pa.array(predict(lines_of(buf, offsets), model)))

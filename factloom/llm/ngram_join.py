@@ -85,6 +85,7 @@ def _keys(n: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def shingle_sets(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, set_key (null for an empty set; equal for equal sets)."""
 
+    @tk.tidy
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offsets in tk.pieces(batches, "text"):
             n, hashes = _sets(tk.Words(buf, offsets, tk.SPACE, lower=True), size)
@@ -109,6 +110,7 @@ def shared_rows(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str =
     buckets = max(2 * tk.partitions(docs.sparkSession), -(-entries_of_docs // BUCKET_ENTRIES))
     parts = max(tk.partitions(docs.sparkSession), -(-buckets // 8))
 
+    @tk.tidy
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(hashes: list[np.ndarray], keys: list[int], sizes: list[int]) -> Iterator[tuple[int, int, bytes]]:
             n = np.array(sizes, np.int64)
@@ -150,6 +152,7 @@ def shared_rows(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str =
 
         return blobs.batches_of(sent())
 
+    @tk.tidy
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sent() -> Iterator[tuple[int, int, bytes]]:
             for held in blobs.by_bucket(batches):
@@ -175,6 +178,7 @@ def shared_rows(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str =
 
         return blobs.batches_of(sent())
 
+    @tk.tidy
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in blobs.by_bucket(batches):
             found = [tk.unpack(blob) for _, _, blob in held]
@@ -205,6 +209,7 @@ def _linked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     left = rows.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("columns").alias("x"))
     right = rows.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("columns").alias("y"))
 
+    @tk.tidy
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             xs, ys = b.column("x"), b.column("y")
@@ -269,6 +274,7 @@ def _blocks_linked(groups: DataFrame, percent: int, kept: graphs.Tables, counts:
     xs = stripes.select("g", F.col("bin").alias("x_bin"), F.col("strong").alias("x_strong"), "stripe", F.col("rows").alias("x"))
     pairs = xs.join(ys, ["g", "x_bin", "x_strong", "stripe"]).select("x", "y")
 
+    @tk.tidy
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):

@@ -81,6 +81,7 @@ def repeated_starts(docs: DataFrame, window: int = 20, phrase: int = 10, groups:
     groups = groups or _group_count(docs, n)
     buckets = groups
 
+    @tk.tidy
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(hashes: list[np.ndarray], group: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
             h, g = np.concatenate(hashes), np.concatenate(group)
@@ -108,6 +109,7 @@ def repeated_starts(docs: DataFrame, window: int = 20, phrase: int = 10, groups:
 
         return blobs.batches_of(sent())
 
+    @tk.tidy
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sent() -> Iterator[tuple[int, int, bytes]]:
             for held in blobs.by_bucket(batches):
@@ -127,6 +129,7 @@ def repeated_starts(docs: DataFrame, window: int = 20, phrase: int = 10, groups:
 
         return blobs.batches_of(sent())
 
+    @tk.tidy
     def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int, bytes]]:
             h, d, s = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -159,6 +162,7 @@ def repeated_starts(docs: DataFrame, window: int = 20, phrase: int = 10, groups:
 
         return blobs.batches_of(sent())
 
+    @tk.tidy
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sent() -> Iterator[tuple[int, int, bytes]]:
             for held in blobs.by_bucket(batches):
@@ -202,6 +206,7 @@ def _ids(rows: pa.RecordBatch) -> np.ndarray:
 def _beside(docs: DataFrame, packed: DataFrame, groups: int, partitions: int) -> DataFrame:
     """Each group's blobs, then its documents, in one partition."""
 
+    @tk.tidy
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(blobs.group_of(_ids(b), groups)), *b.columns], names=["to", *b.schema.names])
@@ -302,6 +307,7 @@ def without_repeats(docs: DataFrame, window: int = 20, phrase: int = 10, id_col:
     starts = repeated_starts(rows, window, phrase, groups)
     names = ("doc_id", "row")
 
+    @tk.tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, start = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for _, packed, docs in _parts(batches):

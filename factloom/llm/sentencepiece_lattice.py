@@ -143,6 +143,7 @@ def _blocks(docs: DataFrame, pairs: np.ndarray, block_bytes: int) -> DataFrame:
     document and references to the words, the frequent ones in low numbers."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(pairs))
 
+    @tk.tidy
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.unpackbits(shared.value).astype(bool)
         held, size = [], 0
@@ -152,11 +153,11 @@ def _blocks(docs: DataFrame, pairs: np.ndarray, block_bytes: int) -> DataFrame:
             times = np.concatenate([x[5] for x in held])
             _, at, to = np.unique(hashes, return_index=True, return_inverse=True)
             order = np.argsort(-np.bincount(to, weights=times), kind="stable")
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
             words = pa.concat_arrays([x[1] for x in held]).take(pa.array(at[order]))
             base = np.concatenate(([0], np.cumsum([len(x[0]) for x in held])))
-            refs = np.concatenate([place[to[b + x[2]]] for b, x in zip(base, held, strict=False)]).astype(np.uint32)
+            refs = np.concatenate([place[to[b : b + len(x[0])]][x[2]] for b, x in zip(base, held, strict=False)])
             counts = np.concatenate([x[4] for x in held]).astype(np.uint32)
             ids = pa.concat_arrays([x[3] for x in held])
             blob = tk.pack(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), counts, refs)
@@ -167,7 +168,7 @@ def _blocks(docs: DataFrame, pairs: np.ndarray, block_bytes: int) -> DataFrame:
             codes, first = _characters(buf, offsets)
             start, length, h = _words(codes, first, pairs)
             own, at, to, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-            held.append((own, _utf8(codes, start[at], length[at]), to, rows.column("doc_id"), np.diff(np.searchsorted(start, first)), times))
+            held.append((own, _utf8(codes, start[at], length[at]), to.astype(np.uint32), rows.column("doc_id"), np.diff(np.searchsorted(start, first)), times.astype(np.uint32)))
             size += len(buf)
             if size >= block_bytes:
                 yield row()
@@ -239,6 +240,7 @@ def encode(docs: DataFrame, path: str = MODEL, block_bytes: int = BLOCK_BYTES, i
     longest = vocab.longest
     number = np.uint16 if len(vocab.surface) <= 1 << 16 else np.uint32
 
+    @tk.tidy
     def identified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *table, ranks = known.value  # the vocabulary
         for b in batches:
@@ -247,6 +249,7 @@ def encode(docs: DataFrame, path: str = MODEL, block_bytes: int = BLOCK_BYTES, i
             packed = pa.BinaryArray.from_buffers(pa.binary(), len(many), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(ids.astype(number).tobytes())])
             yield pa.RecordBatch.from_arrays([b.column("word"), packed], names=["word", "found"])
 
+    @tk.tidy
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _assembled(batches, number)
 

@@ -9,7 +9,9 @@ chance of about 2**-64.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark.sql import types as T
 
 U64 = np.uint64
 #: Bytes of text handled at once; one longer document is handled alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**64, 256, dtype=U64) | U64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -53,7 +55,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) <= n:
-            self.up, self.down = (_powers(b, max(n, 2 * len(self.up))) for b in self.bases)
+            self.up, self.down = (_powers(b, max(n + n // 8, CHUNK_BYTES)) for b in self.bases)
         return self.up, self.down
 
 
@@ -192,6 +194,21 @@ def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"), *kept)
 
 
+def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f for mapInArrow; when it ends, memory that its worker no longer uses goes
+    back to the system, since the worker stays and other tasks need it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library keeps what it keeps
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def schema_of(df: DataFrame, names: tuple[str, ...], more: str) -> T.StructType:
     """The schema of these columns of df and of those in the DDL string."""
     return T.StructType([df.schema[n] for n in names if n in df.columns] + list(T.StructType.fromDDL(more)))

@@ -15,6 +15,11 @@ SNAKE_CASE = r"^[a-z][a-z0-9]*(?:_[a-z0-9]+)+$"
 CLI_WORD = r"(?:[a-z][a-z0-9-]*|--?[a-z0-9][a-z0-9-]*)"
 
 
+def stripped(text: Column) -> Column:
+    """text without white space at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def normalized_content(content: Column) -> Column:
     """White space collapsed, trailing punctuation and blanks dropped; case stays."""
     squeezed = F.trim(F.regexp_replace(content, r"(?U)\s+", " "))

@@ -2,35 +2,62 @@
 
 from __future__ import annotations
 
-import html
-import re
-from collections.abc import Iterator
+import html.entities
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_BREAK, _PARAGRAPH, _TAG = re.compile(r"(?i)<br\s*/?>"), re.compile(r"(?i)</p\s*>"), re.compile(r"<[^>]*>")
-_HIDDEN = re.compile(r"(?is)<(script|style|nav|footer|header|aside)\b.*?</\1\s*>")
+from factloom.functions.binding import let
 
+#: Elements whose content nobody reads.
+HIDDEN = ("script", "style", "nav", "footer", "header", "aside")
+#: Names of characters, the common ones first, and those that need no semicolon, the longest first.
+_NAMES = sorted(html.entities.html5, key=lambda n: (n not in ("amp;", "lt;", "gt;", "quot;", "nbsp;", "apos;"), n))
+_BARE = sorted((n for n in _NAMES if not n.endswith(";")), key=lambda n: (-len(n), n))
+#: What numbers 128 to 159 stand for on pages.
+_OLD = [bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0)]
 
-def _readable(page: str | None) -> str | None:
-    if page is None:
-        return None
-    page = _HIDDEN.sub("", page)
-    page = html.unescape(_TAG.sub("", _PARAGRAPH.sub("\n\n", _BREAK.sub("\n", page))))
-    return re.sub(r"\n{3,}", "\n\n", page).strip()
 
+def _numbered(n: Column) -> Column:
+    """The character of a number; the replacement character for what is none."""
+    code = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    wrong = n.isNull() | (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+    return F.when(wrong, F.lit("\ufffd")).when(n.between(0x80, 0x9F), F.get(F.lit(_OLD), (n - 0x80).cast("int"))).otherwise(code)
+
+
+def unescaped(text: Column) -> Column:
+    """text with references to characters, by name or number, resolved once."""
+    names = F.map_from_arrays(F.lit(_NAMES), F.lit([html.entities.html5[n] for n in _NAMES]))
+    bare = "^(?:" + "|".join(_BARE) + ")"
+
+    def piece(p: Column) -> Column:
+        decimal, hexadecimal = F.regexp_extract(p, "^#([0-9]+);?", 1), F.regexp_extract(p, "^#[xX]([0-9a-fA-F]+);?", 1)
+        whole, start = F.regexp_extract(p, "^[A-Za-z][A-Za-z0-9]*;", 0), F.regexp_extract(p, bare, 0)
+        rest = lambda shape: F.regexp_replace(p, shape, "")
+        return (
+            F.when(decimal != "", F.concat(_numbered(decimal.try_cast("long")), rest("^#[0-9]+;?")))
+            .when(hexadecimal != "", F.concat(_numbered(F.when(F.length(hexadecimal) <= 8, F.conv(hexadecimal, 16, 10).cast("long"))), rest("^#[xX][0-9a-fA-F]+;?")))
+            .when(F.map_contains_key(names, whole), F.concat(F.element_at(names, whole), F.substring(p, F.length(whole) + 1, F.length(p))))
+            .when(start != "", F.concat(F.element_at(names, start), F.substring(p, F.length(start) + 1, F.length(p))))
+            .otherwise(F.concat(F.lit("&"), p))
+        )
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&"), lambda p, i: F.when(i == 0, p).otherwise(piece(p))), "")).otherwise(text)
 
-def html_text(page: Column) -> Column:
-    """Readable text of a page: no scripts, navigation or tags; entities resolved."""
 
-    @F.pandas_udf("string")
-    def text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in pages:
-            yield batch.map(_readable)
+def plain_text(markup: Column) -> Column:
+    """Markup as text: breaks and ends of paragraphs become line ends, other tags go, references are resolved."""
+    text = F.regexp_replace(F.regexp_replace(markup, r"(?i)<br\s*/?>", "\n"), r"(?i)</p\s*>", "\n\n")
+    return F.regexp_replace(F.regexp_replace(unescaped(F.regexp_replace(text, "<[^>]+>", "")), r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
 
-    return text(page)
+
+def html_text(page: Column) -> Column:
+    """Readable text of a page: no scripts, navigation or tags; references resolved; null stays null."""
+    hidden = "|".join(rf"<{n}\b.*?</{n}\s*>" for n in HIDDEN)
+    return plain_text(F.regexp_replace(page, f"(?is){hidden}", ""))
 
 
 def paragraph_chunks(text: str | None, size: int) -> list[str]:
@@ -55,18 +82,55 @@ def paragraph_chunks(text: str | None, size: int) -> list[str]:
     return out
 
 
-def chunked(docs: DataFrame, size: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ordinal, chunk, chunk_hash of every chunk."""
+def overlapping_chunks(text: str | None, size: int, lines: int) -> list[str]:
+    """Windows of at most size characters, cut at the last line end, each after
+    the last ``lines`` lines of the one before."""
+    out, tail, at = [], [], 0
+    text = text or ""
+    while at < len(text):
+        end = at + size
+        if end < len(text) and (cut := text.rfind("\n", at, end)) > at:
+            end = cut
+        window = text[at:end]
+        if chunk := "\n".join([*tail, window]).strip():
+            out.append(chunk)
+        tail = window.split("\n")[-lines:] if lines else []
+        at = end
+    return out
+
+
+def chunked(docs: DataFrame, size: int, doc_id: str = "doc_id", text: str = "text", overlap: int | None = None) -> DataFrame:
+    """doc_id, ordinal, chunk, chunk_hash of every chunk; with ``overlap``, chunks
+    repeat so many lines of the one before, else they end at paragraphs."""
+    cut: Callable[[str | None], list[str]] = (lambda t: paragraph_chunks(t, size)) if overlap is None else (lambda t: overlapping_chunks(t, size, overlap))
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield batch.map(lambda t: paragraph_chunks(t, size))
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            chunks = [cut(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(chunks, pa.list_(pa.string()))], names=[doc_id, "chunks"])
 
-    rows = docs.select(doc_id, F.posexplode(cut(F.col(text))).alias("ordinal", "chunk"))
+    rows = docs.select(doc_id, text)
+    schema = T.StructType([rows.schema[doc_id], T.StructField("chunks", T.ArrayType(T.StringType()))])
+    rows = rows.mapInArrow(windows, schema).select(doc_id, F.posexplode("chunks").alias("ordinal", "chunk"))
     return rows.withColumn("chunk_hash", F.sha2("chunk", 256))
 
 
+#: Marks and lines of a wiki page that change with each fetch.
+EDIT_MARK = r"(?i)\[\s*edit\s*\]"
+FOOTER_LINE = r"(?im)^[ \t]*(?:This page was last (?:edited|modified)|Retrieved from|Last updated)\b[^\n]*$"
+
+
+def without_drift(text: Column) -> Column:
+    """text without what changes from one fetch to the next; twice is as good as once."""
+    return F.regexp_replace(F.regexp_replace(text, EDIT_MARK, ""), FOOTER_LINE, "")
+
+
+def chunk_yields(chunks: DataFrame, claims: DataFrame) -> DataFrame:
+    """doc_id, ordinal, n of chunks(doc_id, ordinal, chunk_hash): the claims(doc_id, chunk_hash) of each, 0 without any."""
+    counts = claims.groupBy("doc_id", "chunk_hash").agg(F.count("*").alias("n"))
+    return chunks.join(counts, ["doc_id", "chunk_hash"], "left").select("doc_id", "ordinal", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def packed(costs: Column, most: int) -> Column:
     """The pack of each row of an array of costs: greedy, in order, at most ``most`` in a pack."""
     start = F.struct(F.lit(0).alias("pack"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("packs"))

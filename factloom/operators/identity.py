@@ -69,15 +69,25 @@ def carry_forward(chunks: DataFrame, known: DataFrame, key: Sequence[str]) -> tu
     return chunks.join(k, list(key), "left_semi"), chunks.join(k, list(key), "left_anti")
 
 
+#: Queries up to which they are sent to every task.
+MOST_BROADCAST = 10_000
+
+
 def top_neighbours(queries: DataFrame, vectors: DataFrame, similarity: Column, k: int, blocks: int = 64) -> DataFrame:
     """The k most similar vectors of each query: query_id, vec_id, sim, place.
 
-    ``queries`` is a stated, bounded set and goes to all blocks of vectors; each
-    block keeps its k best for a query before they meet.
+    ``queries`` is a stated set. Up to MOST_BROADCAST of them go to every task;
+    more meet the vectors block by block. Each block of vectors keeps its k best
+    for a query before they meet.
     """
-    pairs = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).join(F.broadcast(queries), F.col("vec_id") != F.col("query_id")).withColumn("sim", similarity)
+    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    if queries.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        met = dealt.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id"))
+    else:
+        every = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        met = dealt.join(every.hint("shuffle_hash"), "block").where("vec_id <> query_id")
     order = [F.desc("sim"), F.asc("vec_id")]
-    local = pairs.withColumn("place", F.row_number().over(W.partitionBy("query_id", "block").orderBy(*order))).where(F.col("place") <= k)
+    local = met.withColumn("sim", similarity).withColumn("place", F.row_number().over(W.partitionBy("query_id", "block").orderBy(*order))).where(F.col("place") <= k)
     return local.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= k).select("query_id", "vec_id", "sim", "place")
 
 

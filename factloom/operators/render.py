@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -88,3 +89,121 @@ def subject_names(subjects: DataFrame, name: str, qualifiers: Sequence[str]) ->
     tier = F.coalesce(*[F.when(F.col(f"d_{q}") == F.col("m"), F.col(q).cast("string")) for q in qualifiers], F.lit("?"))
     page = F.when(F.col("m") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", F.regexp_replace(F.lower(tier), r"[^\p{L}\p{N}]+", "-")))
     return rows.withColumn("page", page).drop("m", *[f"d_{q}" for q in qualifiers])
+
+
+#: Call-outs of findings by severity, and marks around what a store has rendered into a file.
+SEVERITIES = {"ERROR": "failure", "WARNING": "warning", "INFO": "info"}
+REGION, REGION_END = r"<!--\s*BEGIN PROJECTED:\s*([^\s(]+)\s*\(manifest:\s*([^)]*?)\s*\)\s*-->", r"<!--\s*END PROJECTED:\s*{}\s*-->"
+#: Characters of a narrative's slug.
+MOST_SLUG = 80
+
+
+def stance_callout(positions: Column) -> Column:
+    """Who endorses and who disputes a claim, as a call-out; empty for nobody.
+
+    positions: array of struct(kind, holder, confidence, magnitude, stance_id),
+    in the order to show.
+    """
+
+    def line(p: Column) -> Column:
+        strength = F.coalesce(F.format_string(", magnitude %.2f", p["magnitude"]), F.lit(""))
+        strength = F.when(p["magnitude"].isNotNull(), strength).otherwise("")
+        return F.concat(F.lit("> - "), p["holder"], F.format_string(" (conf %.2f", p["confidence"]), strength, F.lit(") `"), F.substring_index(p["stance_id"], "-", 1), F.lit("`"))
+
+    def block(kind: str, title: str) -> Column:
+        own = F.filter(positions, lambda p: p["kind"] == kind)
+        return F.when(F.size(own) > 0, F.concat(F.lit(f"> **{title}:**\n"), F.array_join(F.transform(own, line), "\n")))
+
+    head = F.lit("> [!agreement] Positions on this claim (query-time; not factual confidence)")
+    tail = F.lit("> _Holders are unverified raw keys — a count of keys, not verified agents._")
+    return F.when(F.size(positions) > 0, F.concat_ws("\n", head, block("ENDORSES", "Endorses"), block("DISPUTES", "Disputes"), tail)).otherwise("")
+
+
+def finding_callout(kind: Column, severity: Column, detail: Column, reference: Column, action: Column) -> Column:
+    callout = F.coalesce(*[F.when(severity == s, F.lit(c)) for s, c in SEVERITIES.items()], F.lit("note"))
+    return F.concat_ws(
+        "\n", F.concat(F.lit("> [!"), callout, F.lit("] Lint ["), kind, F.lit("] — "), severity), F.concat(F.lit("> **Detail:** "), detail),
+        F.concat(F.lit("> **Reference:** `"), F.coalesce(reference, F.lit("—")), F.lit("`")), F.when(F.coalesce(action, F.lit("")) != "", F.concat(F.lit("> **Action:** "), action)),
+    )
+
+
+def digests(beliefs: DataFrame, top: int) -> DataFrame:
+    """store, digest: the first beliefs of each store by confidence, then id, and how many there are.
+
+    beliefs(store, id, content, confidence, asserted_on, subjects, bases). Each
+    task keeps the first of its own rows, so a store is never in one task whole.
+    """
+    totals = beliefs.groupBy("store").agg(F.count("*").alias("total"))
+    order = [F.desc("confidence"), F.asc("id")]
+    local = beliefs.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("_n", F.row_number().over(W.partitionBy("store", "_block").orderBy(*order))).where(F.col("_n") <= top)
+    first = local.withColumn("_n", F.row_number().over(W.partitionBy("store").orderBy(*order))).where(F.col("_n") <= top)
+    subjects = F.when(F.size("subjects") > 0, F.concat(F.lit(" _("), F.array_join("subjects", ", "), F.lit(")_"))).otherwise("")
+    contested = F.when(F.size("bases") > 0, F.concat(F.lit(" · contested ("), F.array_join("bases", ", "), F.lit(")"))).otherwise("")
+    line = F.concat(F.format_string("- **%.2f** ", F.col("confidence")), "content", subjects, F.lit(" · "), F.date_format("asserted_on", "yyyy-MM-dd"), contested)
+    rows = first.groupBy("store").agg(F.array_sort(F.collect_list(F.struct("_n", line.alias("line")))).alias("rows")).join(totals, "store")
+    n = F.size("rows")
+    head = F.format_string("# Memory digest — %s\n\n_%d of %d ACTIVE belief(s), ranked by effective confidence._\n", F.col("store"), n, F.col("total"))
+    left = F.when(n < F.col("total"), F.format_string("\n\n_Showing the top %d of %d by effective confidence; %d not shown._", n, F.col("total"), F.col("total") - n)).otherwise("")
+    return rows.select("store", F.concat(head, F.lit("\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), left, F.lit("\n")).alias("digest"))
+
+
+def narrative_names(narratives: DataFrame, claim_id: str, label: str) -> DataFrame:
+    """narratives with slug: that of the label, with eight characters of the id where several have it."""
+    clean = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(F.col(label), F.lit("narrative"))), r'[<>:"/\\|?*\x00-\x1f]', "-"), "-{2,}", "-")
+    base = F.regexp_replace(F.left(clean, F.lit(MOST_SLUG)), r"[-. ]+$", "")
+    rows = narratives.withColumn("_base", F.when(base == "", "narrative").otherwise(base))
+    counts = rows.groupBy("_base").agg(F.count("*").alias("_m"))
+    return rows.join(counts, "_base").withColumn("slug", F.when(F.col("_m") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", F.substring(claim_id, 1, 8)))).drop("_base", "_m")
+
+
+def as_subject(claim_id: Column, content: Column, asserted_by: Column) -> Column:
+    """A narrative as a subject: struct(id, name, asserted_by)."""
+    return F.struct(claim_id.alias("id"), F.coalesce(F.nullif(content, F.lit("")), F.lit("Narrative")).alias("name"), asserted_by.alias("asserted_by"))
+
+
+def regions(text: str) -> list[tuple[str, str, str, int, int]]:
+    """(name, manifest, body, start, end) of what lies between marks; a start without its end is none."""
+    out = []
+    for begin in re.finditer(REGION, text):
+        if end := re.compile(REGION_END.format(re.escape(begin[1]))).search(text, begin.end()):
+            out.append((begin[1], begin[2], text[begin.end() : end.start()].strip("\n"), begin.start(), end.end()))
+    return out
+
+
+def projected_regions(files: DataFrame, path: str, text: str) -> DataFrame:
+    """path, region, manifest, body, start, end (characters, the end exclusive) of every region of every file."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(p, *r) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in regions(t or "")]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
+            kinds = [b.schema.types[0], pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=[path, "region", "manifest", "body", "start", "end"])
+
+    rows = files.select(path, text)
+    return rows.mapInArrow(find, T.StructType([rows.schema[path], *T.StructType.fromDDL("region string, manifest string, body string, start long, end long")]))
+
+
+def without_regions(files: DataFrame, path: str, text: str, snapshots: DataFrame) -> DataFrame:
+    """files with ``text`` for a deposit: a region that still is as rendered goes, of one that was
+    edited (or that snapshots(path, region, body) don't know) the body stays without its marks."""
+    found = projected_regions(files, path, text).join(snapshots.select(path, "region", F.col("body").alias("rendered")), [path, "region"], "left")
+    pristine = F.coalesce(F.regexp_replace("body", r"^\n+|\n+$", "") == F.regexp_replace("rendered", r"^\n+|\n+$", ""), F.lit(False))
+    kept = F.when(pristine | (F.col("body") == ""), "").otherwise(F.concat("body", F.lit("\n")))
+    cuts = found.groupBy(path).agg(F.array_sort(F.collect_list(F.struct("start", "end", kept.alias("kept")))).alias("cuts"))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+
+    def cut(a: Column, c: Column) -> Column:
+        fits = c["start"] >= a["at"]
+        before = F.substring(F.col(text), (a["at"] + 1).cast("int"), (c["start"] - a["at"]).cast("int"))
+        return F.when(fits, F.struct(F.concat(a["out"], before, c["kept"]).alias("out"), c["end"].alias("at"))).otherwise(a)
+
+    rows = files.join(cuts, path, "left")
+    done = F.aggregate("cuts", start, cut, lambda a: F.concat(a["out"], F.substring(F.col(text), (a["at"] + 1).cast("int"), F.length(F.col(text)))))
+    return rows.withColumn(text, F.when(F.col("cuts").isNull(), F.col(text)).otherwise(F.regexp_replace(done, r"\n{3,}", "\n\n"))).drop("cuts")
+
+
+def obsolete(existing: DataFrame, written_now: DataFrame, folder: str, path: str = "path") -> DataFrame:
+    """Markdown files below a folder that this run didn't write; the caller deletes them."""
+    below = F.startswith(F.col(path), F.lit(folder.rstrip("/") + "/")) & ~F.contains(F.col(path), F.lit("/../")) & F.col(path).endswith(".md")
+    return existing.where(below).join(written_now.select(path), path, "left_anti")

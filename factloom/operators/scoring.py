@@ -90,3 +90,18 @@ def head_outcomes(head: DataFrame, sizes: Sequence[int], distinct_ratio: float =
     out = counts.groupBy("lift", "head_size").agg(F.count("*").alias("n_distinct"), F.max("m").alias("largest"), F.sum("m").alias("filled"))
     out = out.withColumn("required", F.ceil(F.round(F.col("filled") * distinct_ratio, 9)))
     return out.select("lift", "head_size", "n_distinct", "largest", "required", (F.col("n_distinct") >= F.col("required")).alias("admissible"))
+
+
+def spread_of(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """group, n, low, middle, high: count, minimum, exact median and maximum of a value.
+
+    Values are counted first; the median is read off the running count, so a
+    group's different values meet in one task, not its rows.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("m"))
+    order = W.partitionBy(group).orderBy(value)
+    places = counts.withColumn("upto", F.sum("m").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("m").over(W.partitionBy(group)))
+    inside = lambda at: (F.col("upto") >= at) & (F.col("upto") - F.col("m") < at)
+    lower, upper = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    middle = (F.max(F.when(inside(lower), F.col(value))) + F.max(F.when(inside(upper), F.col(value)))) / 2
+    return places.groupBy(group).agg(F.max("n").alias("n"), F.min(value).alias("low"), middle.alias("middle"), F.max(value).alias("high"))

@@ -36,7 +36,7 @@ def structural_aggregate_by_predicate(spark: SparkSession, folder: str) -> DataF
     claims = event_claims(spark, folder)
     effective = conf.effective_confidence(F.col("confidence"), F.lit(0.8), F.lit(1.0), F.lit(1.0))
     rows = claims.where(c.match(F.col("predicate"), F.col("object"), F.col("datatype"), c.Filters(above="40")) == "MATCHED").withColumn("ec", effective)
-    return rows.groupBy("predicate").agg(F.count("*").alias("n"), F.round(F.min("ec"), 6).alias("low"), F.round(F.median("ec"), 6).alias("middle"), F.round(F.max("ec"), 6).alias("high"))
+    return scoring.spread_of(rows, "predicate", "ec").select("predicate", "n", *[F.round(c, 6).alias(c) for c in ("low", "middle", "high")])
 
 
 @query(f"""WITH {_EVENT_CLAIMS}, m AS (SELECT *, {_MATCH} AS m FROM e)
@@ -186,14 +186,8 @@ def calibration_fit(spark: SparkSession, folder: str) -> DataFrame:
     return before.select(F.lit(round(temperature, 6)).alias("temperature"), F.round("error", 6).alias("error_before")).crossJoin(after.select(F.round("error", 6).alias("error_after")))  # one row each
 
 
-@query("SELECT lang, sha256(string_agg(doc_id::VARCHAR, '' ORDER BY doc_id::VARCHAR)) AS fingerprint FROM documents WHERE doc_id % 4 <> 0 GROUP BY lang")
+@query("SELECT lang, sha256(string_agg(doc_id::VARCHAR, '' ORDER BY doc_id::VARCHAR)) AS fingerprint FROM documents GROUP BY lang")
 def context_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
-    return identity.fingerprint_by(table(spark, folder, "documents").where("doc_id % 4 <> 0"), ["lang"], "doc_id")
-
-
-@query()
-def context_fingerprint_whole(spark: SparkSession, folder: str) -> DataFrame:
-    """context_fingerprint over all documents."""
     return identity.fingerprint_by(table(spark, folder, "documents"), ["lang"], "doc_id")
 
 
@@ -243,16 +237,10 @@ def as_of_view(spark: SparkSession, folder: str) -> DataFrame:
     return identity.visible_at(identity.with_retirement(claims), F.lit("1998-06-01").cast("timestamp")).groupBy("o_orderstatus").agg(F.count("*").alias("visible"))
 
 
-@query("""WITH RECURSIVE l AS (SELECT o_orderkey AS c, o_orderkey - 1 AS p FROM orders WHERE o_orderkey % 8 <> 0), r AS (SELECT c, p AS root, CAST(1 AS BIGINT) AS depth FROM l UNION ALL SELECT r.c, l.p, depth + 1 FROM r JOIN l ON l.c = r.root)
-SELECT c AS claim_id, min(root) AS root, max(depth) AS depth FROM r GROUP BY c""")
+@query("""WITH l AS (SELECT DISTINCT o_orderkey AS c FROM orders), g AS (SELECT c, c - row_number() OVER (ORDER BY c) AS run FROM l), r AS (SELECT c, min(c) OVER (PARTITION BY run) - 1 AS root FROM g)
+SELECT o_orderkey AS claim_id, root, CAST(o_orderkey - root AS BIGINT) AS depth FROM orders JOIN r ON c = o_orderkey""")
 def supersession_chain(spark: SparkSession, folder: str) -> DataFrame:
-    links = table(spark, folder, "orders").where("o_orderkey % 8 <> 0").select(F.col("o_orderkey").alias("claim_id"), (F.col("o_orderkey") - 1).alias("supersedes"))
-    return identity.supersession_roots(links)
-
-
-@query()
-def supersession_chain_whole(spark: SparkSession, folder: str) -> DataFrame:
-    """supersession_chain over all orders: keys that follow each other are one chain, however long."""
+    """Every order supersedes the one before: keys that follow each other are one chain, however long."""
     links = table(spark, folder, "orders").select(F.col("o_orderkey").alias("claim_id"), (F.col("o_orderkey") - 1).alias("supersedes"))
     return identity.supersession_roots(links)
 
@@ -288,8 +276,7 @@ def graph_census(spark: SparkSession, folder: str) -> DataFrame:
 @query("""SELECT coalesce(source, '') AS source, coalesce(lang, '') AS lang, count(*) AS n, round(avg(n_chars), 6) AS mean FROM documents GROUP BY GROUPING SETS ((source), (lang), ())""")
 def quality_report(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    docs.createOrReplaceTempView("quality_documents")
-    out = spark.sql("SELECT source, lang, count(*) AS n, avg(n_chars) AS mean FROM quality_documents GROUP BY GROUPING SETS ((source), (lang), ())")
+    out = docs.groupingSets([["source"], ["lang"], []], "source", "lang").agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean"))
     return out.select(F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), "n", F.round("mean", 6).alias("mean"))
 
 

@@ -39,9 +39,28 @@ def url_host_path(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", u.host(F.col("url")).alias("host"), F.length(F.regexp_extract("url", r"(?i)^https?://[^/?#]*([^?#]*)", 1)).cast("long").alias("path_length"))
 
 
-@query()
+_TRACKS = ", ".join(f"'{x}'" for x in u.TRACKING)
+_PREFIXES = " OR ".join(f"starts_with(lower(split_part(p, '=', 1)), '{x}')" for x in u.TRACKING_PREFIXES)
+#: The canonical form of URLs without escapes, wrappers and ports.
+_CANON = f"""(lower(regexp_extract({{0}}, '^([A-Za-z]+://[^/?#]*)', 1)) || CASE WHEN regexp_replace(regexp_extract({{0}}, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') = '' THEN '/' ELSE regexp_replace(regexp_extract({{0}}, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') END
+ || coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract({{0}}, '[?]([^#]*)', 1), '&'), lambda p: p <> '' AND NOT (lower(split_part(p, '=', 1)) IN ({_TRACKS}) OR {_PREFIXES})), '&'), ''), ''))"""
+
+
+@query(f"SELECT page_id, {_CANON.format('url')} AS canonical FROM pages")
 def url_canonical(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages").select("page_id", u.canonical(u.unwrapped(F.col("url"))).alias("canonical"))
+    return table(spark, folder, "pages").select("page_id", u.canonical(F.col("url")).alias("canonical"))
+
+
+@query(f"SELECT page_id, {_CANON.format('url')} AS redirect, 'https' || substr({_CANON.format('url')}, instr({_CANON.format('url')}, '://')) AS cached, {_CANON.format('url')} AS guarded FROM pages")
+def url_wrapped(spark: SparkSession, folder: str) -> DataFrame:
+    """URLs inside a redirect, a cache address and one with credentials and the default port."""
+    url = F.col("url")
+    scheme, rest = F.substring_index(url, "://", 1), F.substring_index(url, "://", -1)
+    redirect = F.concat(F.lit("https://www.google.com/url?sa=t&q="), F.url_encode(url), F.lit("&usg=1"))
+    cached = F.concat(F.lit("https://a-b.cdn.ampproject.org/c/s/"), rest)
+    host, path = F.regexp_extract(rest, "^[^/?#]*", 0), F.regexp_extract(rest, "^[^/?#]*(.*)$", 1)
+    guarded = F.concat(F.upper(scheme), F.lit("://me:secret@"), F.upper(host), F.when(scheme == "http", ":80").otherwise(":443"), path)
+    return table(spark, folder, "pages").select("page_id", *[u.canonical(x).alias(n) for n, x in (("redirect", redirect), ("cached", cached), ("guarded", guarded))])
 
 
 @query("""SELECT page_id, len(regexp_extract_all(html, 'https?://[^\\s"''<>)\\]}`]+', 0, 'i')) AS found FROM pages""")
@@ -49,19 +68,54 @@ def url_harvest_count(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit(u.URL), F.lit(0))).cast("long").alias("found"))
 
 
-@query()
+@query(f"SELECT page_id, {_CANON.format('url')} AS canonical FROM pages UNION ALL SELECT page_id, 'https://example.org/a' FROM pages")
 def url_harvest(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages").select("page_id", F.explode(u.harvested(F.col("html"))).alias("canonical"))
+    """Each page's URL and another, out of prose that has both twice, and one that is none."""
+    text = F.concat(F.lit('See <a href="'), "url", F.lit('">this</a>, (https://example.org/a/?utm_source=x#top). Again: '), "url", F.lit(" HTTPS://Example.org/a! ftp://no.org http://"))
+    return table(spark, folder, "pages").select("page_id", F.explode(u.harvested(text)).alias("canonical"))
+
+
+def _hidden(page: str) -> str:
+    for name in d.HIDDEN:
+        page = f"regexp_replace({page}, '<{name}\\b.*?</{name}\\s*>', '', 'gis')"
+    return page
+
 
+def _resolved(text: str) -> str:
+    """The references that the pages of the tables hold."""
+    for name, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">")):
+        text = f"replace({text}, '{name}', '{char}')"
+    return f"regexp_replace({text}, '&amp;?', '&', 'g')"
 
-@query()
+
+@query(f"SELECT page_id, trim(regexp_replace({_resolved(f"regexp_replace(regexp_replace(regexp_replace({_hidden('html')}, '<br\\s*/?>', chr(10), 'gi'), '</p\\s*>', chr(10) || chr(10), 'gi'), '<[^>]+>', '', 'g')")}, '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM pages")
 def html_to_text(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", d.html_text(F.col("html")).alias("text"))
 
 
-@query()
+_ENDS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT doc_id, text AS rest, -1 AS k, '' AS chunk FROM documents UNION ALL
+SELECT doc_id, substr(rest, cut + gap + 1), k + 1, left(rest, cut) FROM (SELECT doc_id, rest, k, CASE WHEN length(rest) <= 2000 THEN length(rest) WHEN two > 0 THEN two WHEN one > 0 THEN one ELSE 2000 END AS cut, CASE WHEN length(rest) <= 2000 THEN 0 WHEN two > 0 THEN 2 WHEN one > 0 THEN 1 ELSE 0 END AS gap
+ FROM (SELECT *, length(regexp_extract(left(rest, 2000), '(?s)^(.*)\n\n', 1)) AS two, length(regexp_extract(left(rest, 2000), '(?s)^(.*)\n', 1)) AS one FROM c WHERE length(rest) > 0)))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INT) AS ordinal, sha256(trim(chunk, {_ENDS})) AS chunk_hash, length(trim(chunk, {_ENDS})) AS size FROM c WHERE trim(chunk, {_ENDS}) <> ''""")
 def paragraph_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return d.chunked(table(spark, folder, "documents"), 15000)
+    return d.chunked(table(spark, folder, "documents"), 2000).select("doc_id", "ordinal", "chunk_hash", F.length("chunk").cast("long").alias("size"))
+
+
+@query("""SELECT doc_id, length(regexp_replace(regexp_replace(text || ' [Edit] x' || chr(10) || '  Retrieved from here' || chr(10) || 'end', '\\[\\s*edit\\s*\\]', '', 'gi'), '(?im)^[ \\t]*(?:This page was last (?:edited|modified)|Retrieved from|Last updated)\\b[^\\n]*$', '', 'g')) AS size FROM documents""")
+def drift_removed(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.concat("text", F.lit(" [Edit] x\n  Retrieved from here\nend"))
+    return table(spark, folder, "documents").select("doc_id", F.length(d.without_drift(text)).cast("long").alias("size"))
+
+
+@query("""WITH h AS (SELECT doc_id, md5(text) AS h FROM documents), n AS (SELECT doc_id, md5(text) AS h, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY ALL)
+SELECT h.doc_id, 0 AS ordinal, coalesce(n, 0) AS n FROM h LEFT JOIN n ON n.doc_id = h.doc_id AND n.h = h.h""")
+def chunk_yields(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "documents").select("doc_id", F.lit(0).alias("ordinal"), F.md5("text").alias("chunk_hash"))
+    claims = chunks.join(table(spark, folder, "labels").where("quality = 1"), "doc_id").select("doc_id", "chunk_hash")
+    return d.chunk_yields(chunks, claims)
 
 
 @query(r"""SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[.!?]+(?:\s|$)'), lambda s: trim(s) <> '')) AS sentences,
@@ -92,12 +146,13 @@ def thread_pack(spark: SparkSession, folder: str) -> DataFrame:
 _TOK = "list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9_]{3,}'))"
 
 
-@query(f"""WITH c AS (SELECT conv_id, turn, unnest({_TOK}) AS token, len({_TOK}) AS n FROM conversations WHERE role = 'assistant'), m AS (SELECT conv_id, turn, unnest({_TOK}) AS token FROM conversations WHERE role = 'user'),
+@query(f"""WITH c AS (SELECT conv_id, turn, unnest({_TOK.replace('text', 'left(text, 120)')}) AS token, len({_TOK.replace('text', 'left(text, 120)')}) AS n FROM conversations WHERE role = 'user'), m AS (SELECT conv_id, turn, unnest({_TOK}) AS token FROM conversations WHERE role = 'user'),
 s AS (SELECT c.conv_id, c.turn, m.turn AS comment_turn, count(*) AS shared, max(n) AS n FROM c JOIN m ON c.conv_id = m.conv_id AND c.token = m.token GROUP BY 1, 2, 3)
 SELECT conv_id * 10000 + turn AS claim_id, comment_turn, shared FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY shared DESC, comment_turn) AS r FROM s WHERE shared >= 2 AND shared >= n * 0.2) WHERE r = 1""")
 def commenter_attribution(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "conversations").select(F.col("conv_id").alias("thread"), "turn", "role", t.content_tokens(F.col("text"), ()).alias("tokens")).dropDuplicates(["thread", "turn"])
-    claims = rows.where("role = 'assistant'").select((F.col("thread") * 10000 + F.col("turn")).alias("claim_id"), "thread", "tokens")
+    """Claims that repeat the start of a user's turn find the turn."""
+    rows = table(spark, folder, "conversations").dropDuplicates(["conv_id", "turn"]).select(F.col("conv_id").alias("thread"), "turn", "role", t.content_tokens(F.col("text"), ()).alias("tokens"), t.content_tokens(F.left("text", F.lit(120)), ()).alias("start"))
+    claims = rows.where("role = 'user'").select((F.col("thread") * 10000 + F.col("turn")).alias("claim_id"), "thread", F.col("start").alias("tokens"))
     comments = rows.where("role = 'user'").select(F.col("turn").alias("comment_id"), "thread", F.col("turn").alias("ordinal"), "tokens")
     return d.attributed(claims, comments).select("claim_id", F.col("comment_id").alias("comment_turn"), "shared")
 

@@ -72,16 +72,15 @@ def claim_violations(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.explode(found).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
 
 
-@query("""WITH l AS (SELECT source, doc_id, '> [!note] ' || regexp_replace(left(text, 80), '\\s*\\n\\s*', ' ', 'g') || chr(10) || '> confidence ' || format('{:.2f}', ((doc_id * 37) % 101) / 100.0) AS line FROM documents)
-SELECT source, md5(string_agg(line, chr(10) || chr(10) ORDER BY doc_id)) AS document FROM l GROUP BY source""")
+@query("""SELECT source, doc_id, md5('> [!note] ' || regexp_replace(text, '\\s*\\n\\s*', ' ', 'g') || chr(10) || '> confidence ' || format('{:.2f}', ((doc_id * 37) % 101) / 100.0)) AS line FROM documents""")
 def rendered_documents(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _claim_lines(table(spark, folder, "documents"), F.left("text", F.lit(80)))
-    return render.documents(rows, ["source"], "line", ["doc_id"]).select("source", F.md5("document").alias("document"))
+    """Every document's lines; rendered_documents_whole joins them to the sources' documents."""
+    return _claim_lines(table(spark, folder, "documents"), F.col("text")).withColumn("line", F.md5("line"))
 
 
 @query()
 def rendered_documents_whole(spark: SparkSession, folder: str) -> DataFrame:
-    """rendered_documents of whole texts, in parts: source, part, lines, document."""
+    """The documents of all sources, in parts: source, part, lines, document."""
     return render.document_parts(_claim_lines(table(spark, folder, "documents"), F.col("text")), ["source"], "line", ["doc_id"])
 
 
@@ -90,15 +89,9 @@ def _claim_lines(documents: DataFrame, content: Column) -> DataFrame:
     return documents.select("source", "doc_id", render.claim_line(content, F.lit("ACTIVE"), confidence, F.lit(None).cast("string")).alias("line"))
 
 
-@query("""WITH s AS (SELECT p_partkey, p_brand, p_size, regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '-', 'g') AS slug FROM part WHERE p_partkey < 60), c AS (SELECT slug, count(*) AS m, count(DISTINCT p_brand) AS b, count(DISTINCT p_size) AS z FROM s GROUP BY slug)
+@query("""WITH s AS (SELECT p_partkey, p_brand, p_size, regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '-', 'g') AS slug FROM part), c AS (SELECT slug, count(*) AS m, count(DISTINCT p_brand) AS b, count(DISTINCT p_size) AS z FROM s GROUP BY slug)
 SELECT p_partkey, CASE WHEN m = 1 THEN slug WHEN b = m THEN slug || '-' || regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g') WHEN z = m THEN slug || '-' || p_size ELSE slug || '-' || p_partkey END AS page FROM s JOIN c USING (slug)""")
 def subject_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return _subject_pages(table(spark, folder, "part").where("p_partkey < 60"))
-
-
-@query()
-def subject_pages_whole(spark: SparkSession, folder: str) -> DataFrame:
-    """subject_pages over all parts."""
     return _subject_pages(table(spark, folder, "part"))
 
 

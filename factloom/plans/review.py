@@ -65,11 +65,11 @@ def relevance_note(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""SELECT query_id, vec_id, sim FROM (SELECT q.vec_id AS query_id, e.vec_id, round({content._COS.format(a='q.embedding', b='e.embedding')}, 6) AS sim
- FROM embeddings q JOIN embeddings e ON q.label = e.label WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id) WHERE sim >= 0.6""")
+ FROM embeddings q JOIN embeddings e ON q.label = e.label WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id) WHERE sim >= 0.2""")
 def embedding_conflict_pairs(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings")
     queries = rows.where("vec_id % 100 = 0").select("label", F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return review.conflict_candidates(queries, rows, "label", F.round(v.cosine(F.col("query"), F.col("embedding")), 6), 0.6)
+    return review.conflict_candidates(queries, rows, "label", F.round(v.cosine(F.col("query"), F.col("embedding")), 6), 0.2)
 
 
 @query("SELECT page_id, CASE WHEN starts_with(url, 'https://www.') THEN 'site:' || substr(url, 13) WHEN starts_with(url, 'https://') THEN 'web:' || substr(url, 9) WHEN starts_with(url, 'http://') THEN 'plain:' || substr(url, 8) END AS curie FROM pages")

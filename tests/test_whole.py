@@ -33,7 +33,7 @@ def test_pages_of_all_parts(spark):
             tiers = ((clean(brand), {b for _, b, _ in parts}), (size, {z for _, _, z in parts}), (key, parts))
             want[key] = slug if len(parts) == 1 else f"{slug}-{next(x for x, some in tiers if len(some) == len(parts))}"
     assert max(want) >= 60
-    assert dict(map(tuple, QUERIES["subject_pages_whole"](spark, str(FOLDER)).collect())) == want
+    assert dict(map(tuple, QUERIES["subject_pages"](spark, str(FOLDER)).collect())) == want
 
 
 @needs_tables
@@ -42,7 +42,7 @@ def test_fingerprints_of_all_documents(spark):
     for i, lang in rows(spark, "documents", "doc_id", "lang"):
         ids[lang].append(str(i))
     want = {lang: hashlib.sha256("".join(sorted(x)).encode()).hexdigest() for lang, x in ids.items()}
-    assert dict(map(tuple, QUERIES["context_fingerprint_whole"](spark, str(FOLDER)).collect())) == want
+    assert dict(map(tuple, QUERIES["context_fingerprint"](spark, str(FOLDER)).collect())) == want
 
 
 @needs_tables
@@ -52,7 +52,7 @@ def test_chain_of_all_orders(spark):
     for k in sorted(keys):
         first[k] = first.get(k - 1, k - 1)
         want[k, first[k], k - first[k]] += 1
-    got = Counter(tuple(r) for r in QUERIES["supersession_chain_whole"](spark, str(FOLDER)).select("claim_id", "root", "depth").collect())
+    got = Counter(tuple(r) for r in QUERIES["supersession_chain"](spark, str(FOLDER)).select("claim_id", "root", "depth").collect())
     assert got == want and max(d for _, _, d in got) > 64
 
 

@@ -49,11 +49,13 @@ def term(raw: Column, position: str, prefixes: Sequence[str] = ()) -> Column:
 
 def triple(raw: Column, structurizer: str, version: str, prefixes: Sequence[str] = ()) -> Column:
     """struct(subject, predicate, object, structurizer, version) of a reply's JSON object; null unless all three terms are there."""
-    parts = {}
-    for p in ("subject", "predicate", "object"):
-        plain = F.get_json_object(raw, f"$.{p}")  # a string comes without its quotes
+
+    def read(position: str) -> Column:
+        plain = F.get_json_object(raw, f"$.{position}")  # a string comes without its quotes
         quoted = let(F.to_json(F.array(plain)), lambda a: F.substring(a, F.lit(2), F.length(a) - 2))
-        parts[p] = let(F.when(plain.startswith("{"), plain).otherwise(quoted), lambda q, p=p: term(q, p, prefixes))
+        return let(F.when(plain.startswith("{"), plain).otherwise(quoted), lambda q: term(q, position, prefixes))
+
+    parts = {p: read(p) for p in ("subject", "predicate", "object")}
     whole = F.lit(True)
     for x in parts.values():
         whole &= x.isNotNull()

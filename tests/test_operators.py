@@ -22,12 +22,6 @@ def test_entity_statements(spark):
     assert got == {("Ada", "instance of", "human", 0.99), ("Ada", "P569", "1950-01-01T00:00:00Z", 0.85), ("Ada", "P2", "12", 0.85)}
 
 
-def test_model_replies(spark):
-    replies = ['```json\n[{"content": "a", "confidence_value": 2, "uncertainty_nature": "aleatory"}, {"content": " "}]\n```', '[{"content": "b", "subjects": ["x"]}, {"content": "c", "conf', "no json", None]
-    got = sorted((r.k, r.ordinal, r.content, r.confidence, r.uncertainty_nature, r.subjects) for r in extract.reply_claims(spark.createDataFrame(list(enumerate(replies)), "k int, r string"), "r", "k").collect())
-    assert got == [(0, 0, "a", 1.0, "ALEATORY", []), (1, 0, "b", 0.5, "EPISTEMIC", ["x"])]
-
-
 def test_documented_symbols(spark):
     code = '"""Top.\n\nMore."""\nclass A:\n    """An A\n    of two lines."""\n    def f(self):\n        """Does f."""\n    def g(self): pass\nasync def h():\n    """Does h."""\n'
     got = [(r.symbol, r.kind, r.summary) for r in extract.documented_symbols(spark.createDataFrame([("a.py", code), ("b.py", "def ("), ("c.py", None)], "path string, code string"), "path", "code").collect()]

@@ -10,18 +10,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions.confidence import age_days, calibrated, decayed, saturated
+from factloom.operators.shared import written
 
 
 def merged_confidence(claims: DataFrame, group: Sequence[str], source: str, confidence: str) -> DataFrame:
     """Noisy-or of each group: one minus the product of what is left of doubt.
 
     The k-th claim of a source, by falling confidence, counts 1/k. A single
-    claim keeps its confidence. The order within a source needs its claims of
-    one group together; products combine before the shuffle.
+    claim keeps its confidence; null ones don't count. Claims are dealt by ranges
+    of group, source and confidence, so a source with very many of them is
+    ranked in parts; products combine before the shuffle.
     """
-    order = W.partitionBy(*group, source).orderBy(F.col(confidence).desc())
-    rest = 1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(confidence))) / F.row_number().over(order)
-    return claims.where(F.col(confidence).isNotNull()).withColumn("rest", rest).groupBy(*group).agg((1 - F.product("rest")).alias("merged"), F.count("*").alias("n"))
+    keys = [*group, source]
+    tie = F.xxhash64(*claims.columns)
+    rows = claims.where(F.col(confidence).isNotNull()).repartitionByRange(*keys, F.col(confidence).desc(), tie).withColumn("_range", F.spark_partition_id())
+    rows = written(rows.select(*keys, confidence, "_range"))  # the ranges are drawn once
+    counts = rows.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    same = F.col("r._range") == F.col("b._range")
+    for c in keys:
+        same &= F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}"))
+    placed = rows.alias("r").join(before.alias("b"), same).select("r.*", "b._before")
+    place = F.row_number().over(W.partitionBy(*keys, "_range").orderBy(F.col(confidence).desc())) + F.col("_before")
+    rest = 1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(confidence))) / place
+    return placed.withColumn("rest", rest).groupBy(*group).agg((1 - F.product("rest")).alias("merged"), F.count("*").alias("n"))
 
 
 def reinforcement(events: DataFrame, key: Sequence[str], at: str, weight: str, half_life_days: float, now: Column) -> DataFrame:

@@ -143,7 +143,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
 
     A null or empty text has no words and no hits. Rows are judged one by one,
     so repeated rows or doc_ids give as many results. Items with a null id or
-    without words have no windows; an empty benchmark hits nothing. One task
+    without words have no windows; an empty benchmark hits nothing. Texts and
+    items of any length are read whole; columns that aren't carried play no
+    part, whatever their names. One task
     holds at most a few MB of text, or one document.
     """
     out = tk.narrow(docs, id_col, text_col, carry)

@@ -419,7 +419,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     A text of fewer words than a shingle is one shingle; a null text or one
     without words has none and is linked with nothing, so its component is its
     own doc_id. Equal sets always link. Rows with one doc_id are judged each by
-    its own text. An empty table gives an empty one.
+    its own text. A text of any length is read whole: a task holds a few MB of
+    text or one document, and the set of a document is one row. Other columns,
+    whatever their names, play no part. An empty table gives an empty one.
     """
     kept = graphs.Tables(docs.sparkSession)
     sets = kept.written(shingle_sets(docs, size, id_col, text_col))

@@ -79,7 +79,7 @@ def repeated_starts(docs: DataFrame, window: int = 20, phrase: int = 10, groups:
     """
     n = tk.partitions(docs.sparkSession)
     groups = groups or _group_count(docs, n)
-    buckets = groups
+    buckets, shard = groups, SHARD
 
     @tk.tidy
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +145,7 @@ def repeated_starts(docs: DataFrame, window: int = 20, phrase: int = 10, groups:
 
         def sent() -> Iterator[tuple[int, int, bytes]]:
             found, size = [], 0
-            for rows, buf, offsets, machines in _with_automata(batches, phrase):
+            for rows, buf, offsets, machines in _with_automata(batches, phrase, shard):
                 if not machines:
                     continue
                 w = tk.Words(buf, offsets, tk.SPACE, lower=False)
@@ -237,23 +237,23 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]
             yield group, None, b.slice(i, j - i)
 
 
-def _with_automata(batches: Iterator[pa.RecordBatch], phrase: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[ahocorasick.Automaton]]]:
+def _with_automata(batches: Iterator[pa.RecordBatch], phrase: int, shard: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[ahocorasick.Automaton]]]:
     """A group's documents, a few at a time, with the group's automata."""
     machines: list[ahocorasick.Automaton] = []
     for _, packed, docs in _parts(batches):
         if packed is not None:
             machines = []  # the last group's go first
-            machines = _automata(np.unique(np.concatenate([np.zeros(0, U64), *(tk.ungaps(tk.unpack(x)[0]) for x in packed)])), phrase)
+            machines = _automata(np.unique(np.concatenate([np.zeros(0, U64), *(tk.ungaps(tk.unpack(x)[0]) for x in packed)])), phrase, shard)
         else:
             for rows, buf, offsets in tk.pieces(iter([docs]), "text"):
                 yield rows, buf, offsets, machines
 
 
-def _automata(confirmed: np.ndarray, phrase: int) -> list[ahocorasick.Automaton]:
-    """Automata of the confirmed phrases, SHARD in each."""
+def _automata(confirmed: np.ndarray, phrase: int, shard: int = SHARD) -> list[ahocorasick.Automaton]:
+    """Automata of the confirmed phrases, ``shard`` in each."""
     out = []
-    for k in range(0, len(confirmed), SHARD):
-        value, bits = tk.unmix(confirmed[k : k + SHARD]), _bits(phrase)
+    for k in range(0, len(confirmed), shard):
+        value, bits = tk.unmix(confirmed[k : k + shard]), _bits(phrase)
         shifts = np.arange(phrase - 1, -1, -1).astype(U64) * U64(bits)
         symbols = (value[:, None] >> shifts) & U64((1 << bits) - 1)
         text = _text(symbols.reshape(-1))

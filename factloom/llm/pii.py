@@ -149,8 +149,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Per row of docs: doc_id and spans (kind, start, end, score), by kind as
     in KINDS and then by start; places are code points, the end exclusive.
 
-    A null or empty text has no spans. Rows are judged one by one; other columns
-    of docs play no part. Base kinds stay whatever their score; iban and secret
+    A null or empty text has no spans; a text of any length is read whole, in a
+    few passes. Rows are judged one by one, repeated ones alike; other columns
+    of docs, whatever their names, play no part. Base kinds stay whatever their score; iban and secret
     spans need a score of LEAST.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))

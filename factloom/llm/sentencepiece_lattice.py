@@ -230,6 +230,7 @@ def encode(docs: DataFrame, path: str = MODEL, block_bytes: int = BLOCK_BYTES, i
     ones give as many results. U+2581 in a text is taken for a blank. A text of
     any length is encoded whole, in about linear time even without a blank. A
     task holds the distinct words and references of one block, and one document.
+    Other columns, whatever their names, play no part.
     """
     spark = docs.sparkSession
     vocab = vocabulary(path)

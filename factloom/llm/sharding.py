@@ -53,7 +53,8 @@ def shards(docs: DataFrame, count: int = 24, id_col: str = "doc_id", text_col: s
 
     size is the UTF-8 length of the text (null: 0) plus 8; a null text has the
     CRC of an empty one. Rows with equal text and doc_id may take each other's
-    slots. With fewer rows than shards some shards stay empty; an empty table
+    slots. Only the length and the CRC of a text travel, however long it is; other
+    columns, whatever their names, play no part. With fewer rows than shards some shards stay empty; an empty table
     gives an empty one. The driver holds the sample and the ranges' sums, both
     bounded by MOST_RANGES.
     """

@@ -16,10 +16,20 @@ def test_coin_entry(spark):
 
 def test_entity_statements(spark):
     s = lambda rank, kind, content: {"rank": rank, "property": {"id": "P", "data_type": kind}, "value": {"type": "value", "content": content}}
-    entity = {"id": "Q1", "statements": {"P31": [s("preferred", "wikibase-item", "Q5")], "P18": [s("normal", "commonsMedia", "x.jpg")], "P569": [s("normal", "time", {"time": "+1950-01-01T00:00:00Z"})], "P1": [s("deprecated", "string", "old")], "P2": [s("normal", "quantity", {"amount": "+12"})]}}
+    time = lambda t, p: {"time": t, "precision": p}
+    entity = {"id": "Q1", "statements": {
+        "P31": [s("preferred", "wikibase-item", "Q5"), s("normal", "wikibase-item", "Q404")], "P18": [s("normal", "string", "x.jpg")], "P3": [s("normal", "commonsMedia", "x.jpg")],
+        "P569": [s("normal", "time", time("+1949-10-07T00:00:00Z", 11)), s("normal", "time", time("+1949-10-00T00:00:00Z", 10)), s("normal", "time", time("-0044-00-00T00:00:00Z", 9))], "P1": [s("deprecated", "string", "old")],
+        "P2": [s("normal", "quantity", {"amount": "+12"}), s("normal", "quantity", {"amount": "-1.50"})], "P4": [s("normal", "monolingualtext", {"text": "Hut", "language": "de"})], "P5": [s("normal", "url", "http://x.org")],
+    }}
     labels = spark.createDataFrame([("Q1", "Ada"), ("Q5", "human"), ("P31", "instance of")], "id string, label string")
-    got = {(r.entity, r.name, r.value, r.confidence) for r in extract.entity_claims(spark.createDataFrame([(json.dumps(entity),)], "blob string"), "blob", labels).collect()}
-    assert got == {("Ada", "instance of", "human", 0.99), ("Ada", "P569", "1950-01-01T00:00:00Z", 0.85), ("Ada", "P2", "12", 0.85)}
+    got = {(r.name, r.value, r.confidence, *(r.term or ())) for r in extract.entity_claims(spark.createDataFrame([(json.dumps(entity),)], "blob string"), "blob", labels).collect()}
+    xsd = extract.XSD
+    assert got == {
+        ("instance of", "human", 0.99, "URI", extract.ENTITY + "Q5", None, None), ("P569", "7 October 1949", 0.85, "LITERAL", "1949-10-07T00:00:00Z", xsd + "dateTime", None), ("P569", "October 1949", 0.85, "LITERAL", "1949-10-01T00:00:00Z", xsd + "dateTime", None),
+        ("P569", "-44", 0.85, "LITERAL", "-0044-01-01T00:00:00Z", xsd + "dateTime", None), ("P2", "12", 0.85, "LITERAL", "12", xsd + "decimal", None), ("P2", "-1.50", 0.85, "LITERAL", "-1.50", xsd + "decimal", None),
+        ("P4", "Hut (de)", 0.85, "LITERAL", "Hut", None, "de"), ("P5", "http://x.org", 0.85, "URI", "http://x.org", None, None),
+    }
 
 
 def test_documented_symbols(spark):

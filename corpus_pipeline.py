@@ -14,6 +14,8 @@ from factloom.llm import decontamination, graphs, line_quality, ngram_join, pii,
 
 #: Score from which a document is kept, as in the quality query.
 GOOD = 0.3
+#: Ids that are broadcast at most: 8 bytes each, and what a hash table adds.
+MOST_BROADCAST = 1_000_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -28,9 +30,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
-    kept = ngram_join.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    """One document of each group of near duplicates: the one with the smallest doc_id.
+
+    Up to MOST_BROADCAST ids of documents that go are sent to every task, so that
+    no text is shuffled; more of them meet the documents by a shuffle.
+    """
+    found = ngram_join.near_duplicates(docs).groupBy("doc_id").agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
+    gone = graphs.written(found.where("NOT stays").select(F.col("doc_id").alias("gone_id")))
+    if gone.count() <= MOST_BROADCAST:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti").select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

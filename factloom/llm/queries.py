@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontamination, language, licenses, line_quality, ngram_join, passages, pii, samples, sentencepiece_lattice, sharding, winnowing
+from factloom.llm import decontamination, language, licenses, line_quality, ngram_join, passages, pii, samples, sentencepiece_lattice, sharding, token_alignment, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -160,6 +160,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", samples.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of every document's tokens by two tokenizers."""
+    found = token_alignment.token_links(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
+
+
 #: For each kind: pattern, condition on match m, start of the span before end e.
 _OP9_KINDS = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true", "length(m)", 0.9, "", ""),
@@ -195,7 +201,7 @@ FROM d LEFT JOIN agg USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op2_ngram_join": op2_ngram_join, "op3_license_scan": op3_license_scan, "op4_fingerprints": op4_fingerprints, "op5_sharding": op5_sharding, "op6_decontamination": op6_decontamination, "op7_repeated_passages": op7_repeated_passages, "op8_sentencepiece": op8_sentencepiece, "op9_pii": op9_pii, "op10_quality": op10_quality}
+    return {"op1_language_id": op1_language_id, "op2_ngram_join": op2_ngram_join, "op3_license_scan": op3_license_scan, "op4_fingerprints": op4_fingerprints, "op5_sharding": op5_sharding, "op6_decontamination": op6_decontamination, "op7_repeated_passages": op7_repeated_passages, "op8_sentencepiece": op8_sentencepiece, "op9_pii": op9_pii, "op10_quality": op10_quality, "op12_token_alignment": op12_token_alignment}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -125,11 +125,7 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            n = len(self.buf)
-            up, down = _BYTE_POWERS.get(n)
-            sums = np.zeros(n + 1, U64)
-            np.cumsum(_BYTE[self.buf] * up[:n], out=sums[1:], dtype=U64)
-            self._hash = mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(U64))
+            self._hash = slice_hash(self.buf, self.start, self.end)
         return self._hash
 
     @property
@@ -157,6 +153,14 @@ class Words:
         return joiner.join(self.buf[s:e].tobytes() for s, e in zip(self.start[i:j], self.end[i:j], strict=True))
 
 
+def slice_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The 64-bit hash of each run of bytes buf[start:end]."""
+    up, down = _BYTE_POWERS.get(len(buf))
+    sums = np.zeros(len(buf) + 1, U64)
+    np.cumsum(_BYTE[buf] * up[: len(buf)], out=sums[1:], dtype=U64)
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
+
+
 def arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a binary or string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontamination, language, licenses, line_quality, ngram_join, passages, pii, samples, sentencepiece_lattice, sharding, token_alignment, winnowing
+from factloom.llm import decontamination, language, licenses, line_quality, ngram_join, passages, pii, resampling, samples, secrets, sentencepiece_lattice, sharding, token_alignment, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -160,12 +160,46 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", samples.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: known shapes and strings of high entropy."""
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    only = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+    return found.select("doc_id", *[count(k) for k in secrets.BASE], F.sha2(_span_text(only), 256).alias("base_sha256"), _span_text(F.col("spans")).alias("spans"), F.size("suppressed").cast("long").alias("n_suppressed"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of every document's tokens by two tokenizers."""
     found = token_alignment.token_links(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn towards the benchmark's words."""
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = f"""
+WITH t AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i::UBIGINT, [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+texts AS (SELECT true AS corpus, doc_id AS id, text FROM documents UNION ALL SELECT false, item_id, text FROM benchmark),
+d AS (SELECT corpus, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM texts),
+word AS (SELECT corpus, id, unnest(w) AS x FROM d),
+hashed AS (SELECT x, CAST({_crc32("x")} AS BIGINT) % 10000 AS bucket FROM (SELECT DISTINCT x FROM word), t),
+held AS (SELECT corpus, id, bucket, count(*) AS n FROM word JOIN hashed USING (x) GROUP BY ALL),
+s AS (SELECT bucket, sum(n) FILTER (corpus) AS s, sum(n) FILTER (NOT corpus) AS t FROM held GROUP BY bucket),
+every AS (SELECT b AS bucket, CAST(coalesce(s, 0) AS DOUBLE) AS s, CAST(coalesce(t, 0) AS DOUBLE) AS t FROM range(10000) r(b) LEFT JOIN s ON s.bucket = b),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM every) + 10000) / ((s + 1) * ((SELECT sum(t) FROM every) + 10000)))) AS BIGINT) AS gain FROM every),
+sums AS (SELECT id AS doc_id, CAST(sum(n * gain) AS DOUBLE) AS total, sum(n) AS n FROM held JOIN gain USING (bucket) WHERE corpus GROUP BY id),
+scored AS (SELECT d.id AS doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(floor(total / n), 0) AS BIGINT) AS weight,
+  CAST(floor(-1000 * ln(-ln((CAST(concat('0x', left(sha256('2024:' || d.id), 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS noise FROM d LEFT JOIN sums ON d.id = sums.doc_id WHERE corpus),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS rank, count(*) OVER () AS every FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN rank <= 10 * every // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+
 #: For each kind: pattern, condition on match m, start of the span before end e.
 _OP9_KINDS = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true", "length(m)", 0.9, "", ""),
@@ -200,9 +234,48 @@ FROM d LEFT JOIN agg USING (doc_id)
 """
 
 
+def _op11_sql() -> str:
+    """Base patterns as in the other span query; windows by counts of their characters."""
+    def located(pattern: str) -> str:
+        return f"""SELECT doc_id, t, f[i] AS m, coalesce(list_sum(list_transform(p[:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(f[:i - 1], lambda x: length(x))), 0) AS s
+  FROM (SELECT doc_id, t, regexp_extract_all(t, '{pattern}') AS f, regexp_split_to_array(t, '{pattern}') AS p FROM d), LATERAL (SELECT unnest(range(1, len(f) + 1)) AS i)"""
+
+    either = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "password,passwd,secret,token,api_?key").replace(",", "|")
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    value = "[A-Za-z0-9+/_.=-]+"
+    assign = f"""({either})["'']?\\x20*[:=]\\x20*["'']?"""
+    base = {"assign": (assign + value, f"length(regexp_replace(m, '^{assign}', '')) >= {secrets.LEAST_VALUE}"), "access": ("AKIA[A-Z0-9]+", f"length(m) >= {secrets.LEAST_ACCESS}"), "hex": ("[0-9a-f]+", f"length(m) >= {secrets.LEAST_HEX}")}
+    spans = [f"SELECT doc_id, {i} AS k, '{kind}' AS kind, s, s + length(m) AS e FROM ({located(pattern)}) WHERE {holds}" for i, (kind, (pattern, holds)) in enumerate(base.items())]
+    more = []
+    for i, c in enumerate(secrets.CLASSES):
+        run = c.characters.replace("0123456789", "0-9").replace("abcdefghijklmnopqrstuvwxyz", "a-z").replace("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A-Z")
+        window, codes = c.window, [0, *(secrets._CODES[k] for k in range(1, c.window + 1))]
+        more.append(f"""
+c{i} AS (SELECT doc_id, t, m, s FROM ({located(f"[{run}]{{{window},}}")})),
+w{i} AS (SELECT doc_id, t, m, s, j, m[j : j + {window - 1}] AS x FROM c{i}, LATERAL (SELECT unnest(range(1, length(m) - {window} + 2)) AS j)),
+h{i} AS (SELECT doc_id, t, m, s, j FROM w{i} WHERE length(regexp_replace(x, '[^0-9]', '', 'g')) >= {secrets.LEAST_MIXED} AND length(regexp_replace(x, '[^A-Za-z]', '', 'g')) >= {secrets.LEAST_MIXED}
+  AND list_sum(list_transform(map_values(list_histogram(string_split(x, ''))), lambda n: [{', '.join(map(str, codes))}][CAST(n AS BIGINT) + 1])) <= {c.most}),
+g{i} AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id, s ORDER BY j) AS part FROM (SELECT *, CASE WHEN j - lag(j) OVER (PARTITION BY doc_id, s ORDER BY j) <= {window} THEN 0 ELSE 1 END AS cut FROM h{i})),
+e{i} AS (SELECT doc_id, {len(base) + i} AS k, '{c.name}' AS kind, s + min(j) - 1 AS s, s + max(j) - 1 + {window} AS e,
+  length(any_value(m)) <= {secrets.SHORT} AND regexp_matches({low.format('any_value(m)')}, '{'|'.join(secrets.PLACEHOLDERS)}') OR regexp_matches({low.format(f"right(left(any_value(t), CAST(s AS BIGINT)), {secrets.NEAR})")}, '{'|'.join(secrets.DIGESTS)}')
+  OR regexp_matches(right(left(any_value(t), CAST(s AS BIGINT)), {secrets.IN_ADDRESS}), '://[^\\x20\\x09-\\x0D]*$') AS allowed FROM g{i} GROUP BY doc_id, s, part)""")
+    kinds = " UNION ALL ".join(f"SELECT * FROM e{i}" + "".join(f" WHERE NOT EXISTS (FROM e{b} y WHERE y.doc_id = e{i}.doc_id AND y.s < e{i}.e AND e{i}.s < y.e)" for b in range(i)) for i in range(len(secrets.CLASSES)))
+    names = list(base)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {','.join(more).strip()},
+high AS ({kinds}), spans AS ({' UNION ALL '.join(spans)} UNION ALL SELECT doc_id, k, kind, s, e FROM high WHERE NOT allowed),
+held AS (SELECT doc_id, count(*) AS n FROM high WHERE allowed GROUP BY doc_id),
+agg AS (SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in names)},
+  string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, k) FILTER (k < {len(names)}) AS base,
+  string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, k) AS spans FROM spans GROUP BY doc_id)
+SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in names)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n, 0) AS n_suppressed
+FROM d LEFT JOIN agg USING (doc_id) LEFT JOIN held USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op2_ngram_join": op2_ngram_join, "op3_license_scan": op3_license_scan, "op4_fingerprints": op4_fingerprints, "op5_sharding": op5_sharding, "op6_decontamination": op6_decontamination, "op7_repeated_passages": op7_repeated_passages, "op8_sentencepiece": op8_sentencepiece, "op9_pii": op9_pii, "op10_quality": op10_quality, "op12_token_alignment": op12_token_alignment}
+    return {"op1_language_id": op1_language_id, "op2_ngram_join": op2_ngram_join, "op3_license_scan": op3_license_scan, "op4_fingerprints": op4_fingerprints, "op5_sharding": op5_sharding, "op6_decontamination": op6_decontamination, "op7_repeated_passages": op7_repeated_passages, "op8_sentencepiece": op8_sentencepiece, "op9_pii": op9_pii, "op10_quality": op10_quality, "op11_secret_scan": op11_secret_scan, "op12_token_alignment": op12_token_alignment, "op13_importance_resampling": op13_importance_resampling}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": OP2_SQL, "op5_sharding": OP5_SQL, "op6_decontamination": OP6_SQL, "op7_repeated_passages": OP7_SQL, "op9_pii": _op9_sql()}
+    return {"op2_ngram_join": OP2_SQL, "op5_sharding": OP5_SQL, "op6_decontamination": OP6_SQL, "op7_repeated_passages": OP7_SQL, "op9_pii": _op9_sql(), "op11_secret_scan": _op11_sql(), "op13_importance_resampling": OP13_SQL}

@@ -43,7 +43,7 @@ U64 = np.uint64
 BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text whose words are aligned together.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Links expanded at once.
 SLICE = 1 << 22
 #: Links of a group up to which its product is expanded as it is; a larger one's ids are made distinct first.
@@ -121,10 +121,15 @@ class Aligned(NamedTuple):
     b_owner: np.ndarray
 
 
+def _sorted_distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def align(a_sizes: np.ndarray, b_sizes: np.ndarray) -> Aligned:
     """Elementary intervals of two token sequences with the same total size, their owners, and groups."""
     a_ends, b_ends = np.cumsum(a_sizes), np.cumsum(b_sizes)
-    ends = np.union1d(a_ends, b_ends)
+    ends = _sorted_distinct(np.concatenate((a_ends, b_ends)))  # union1d, which hashes large arrays and is slower then
     a_owner, b_owner = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
     both = (a_ends[a_owner] == ends) & (b_ends[b_owner] == ends) if len(ends) else np.zeros(0, bool)
     zero = np.zeros(1, np.int64)
@@ -172,7 +177,7 @@ def _words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     out[_ranges(to[full] + 1, sizes[full])] = buf
     at = np.flatnonzero(out[:-1] == 0x20)
     at = at[_SOLID[out[at + 1]] & ((at == 0) | (out[at - 1] != 0x20))]
-    starts = np.union1d(at, to[full])
+    starts = _sorted_distinct(np.concatenate((at, to[full])))
     return out, np.append(starts, len(out)), np.searchsorted(starts, to)
 
 
@@ -225,11 +230,16 @@ class _Entries:
 
     def _told(self, found: Aligned, a: np.ndarray, b: np.ndarray) -> list[bytes]:
         """Each word's groups as text."""
-        sa, sb = [str(i) for i in a.tolist()], [str(i) for i in b.tolist()]
-        ca, cb = found.a_cut.tolist(), found.b_cut.tolist()
-        groups = [f"{','.join(sa[ca[g] : ca[g + 1]])}|{','.join(sb[cb[g] : cb[g + 1]])}" for g in range(len(ca) - 1)]
+        na, nb = np.diff(found.a_cut), np.diff(found.b_cut)
+        told = np.empty(len(na), object)
+        single = (na == 1) & (nb == 1)
+        pairs, which = np.unique(a[found.a_cut[:-1][single]].astype(U64) << U64(32) | b[found.b_cut[:-1][single]].astype(U64), return_inverse=True)
+        told[single] = np.array([b"%d|%d" % (p >> 32, p & 0xFFFFFFFF) for p in pairs.tolist()], object)[which] if len(pairs) else None
+        for g in np.flatnonzero(~single).tolist():
+            told[g] = b"%s|%s" % tuple(b",".join([b"%d" % i for i in ids[cut[g] : cut[g + 1]].tolist()]) for ids, cut in ((a, found.a_cut), (b, found.b_cut)))
+        groups = told.tolist()
         ends = self.groups_end.tolist()
-        return [";".join(groups[i:j]).encode() for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+        return [b";".join(groups[i:j]) for i, j in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_overlaps")
@@ -262,7 +272,9 @@ def _block(number: int, ids: pa.Array, buf: np.ndarray, offsets: np.ndarray, sid
     digests = [hashlib.sha256(b";".join([told[w] for w in places[i:j]])).hexdigest() if n else "" for i, j, n in zip(first[:-1].tolist(), first[1:].tolist(), sums[:, 0].tolist(), strict=True)]
 
     # each document's distinct words, and the distinct pairs of its words
-    used, times = np.unique(doc_of * max(len(words), 1) + which, return_counts=True)
+    held = np.sort(doc_of * max(len(words), 1) + which)
+    last = np.flatnonzero(np.append(held[1:] != held[:-1], True)) if len(held) else held
+    used, times = held[last], np.diff(last, prepend=-1)
     used_doc, used_word = used // max(len(words), 1), used % max(len(words), 1)
     pairs, local = np.unique(entries.link_pair, return_inverse=True)
     word_first = np.searchsorted(entries.link_word, np.arange(len(words) + 1))
@@ -274,11 +286,10 @@ def _block(number: int, ids: pa.Array, buf: np.ndarray, offsets: np.ndarray, sid
     while i < len(used):
         j = int(np.searchsorted(total, (total[i - 1] if i else 0) + SLICE, "right"))
         j = int(doc_ends[used_doc[min(max(j, i + 1), len(used)) - 1]])
-        held = np.unique(np.repeat(used_doc[i:j], size[i:j]) * max(len(pairs), 1) + local[_ranges(word_first[used_word[i:j]], size[i:j])])
+        held = _sorted_distinct(np.repeat(used_doc[i:j], size[i:j]) * max(len(pairs), 1) + local[_ranges(word_first[used_word[i:j]], size[i:j])])
         np.add.at(holders, held % max(len(pairs), 1), 1)
         i = j
-    small = np.uint32
-    refs = tk.pack(np.bincount(used_doc, minlength=docs).astype(small), used_word.astype(small), times.astype(small), np.diff(word_first).astype(small), local.astype(small), entries.link_times.astype(U64))
+    refs = tk.pack(*(x.astype(np.min_scalar_type(int(x.max(initial=0)))) for x in (np.bincount(used_doc, minlength=docs), used_word, times, np.diff(word_first), local, entries.link_times)))
     structs = pa.StructArray.from_arrays([ids, *(pa.array(sums[:, k]) for k in range(len(FIGURES))), pa.array(digests, pa.string())], names=["doc_id", *FIGURES, "groups_sha256"])
     lists = [tk.lists(np.array([docs]), structs), pa.array([refs], pa.binary()), tk.lists(np.array([len(pairs)]), pa.array(pairs.view(np.int64))), tk.lists(np.array([len(pairs)]), pa.array(holders, pa.int32()))]
     return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists], names=["block", "docs", "refs", "pairs", "holders"])
@@ -326,7 +337,7 @@ def _summed(key: tuple, blocks: pa.Table, counts: pa.Table) -> pa.Table:
     sums = []
     for v in values:
         by_word = np.zeros(len(n_links), np.int64)
-        np.add.at(by_word, word_of, v[local.astype(np.int64)] * links.view(np.int64))
+        np.add.at(by_word, word_of, v[local.astype(np.int64)] * links.astype(np.int64))
         by_doc = np.zeros(len(n_used), np.int64)
         np.add.at(by_doc, doc_of, by_word[word.astype(np.int64)] * times.astype(np.int64))
         sums.append(pa.array(by_doc))

@@ -43,7 +43,7 @@ U64 = np.uint64
 BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text whose words are aligned together.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Links expanded at once.
 SLICE = 1 << 22
 #: Links of a group up to which its product is expanded as it is; a larger one's ids are made distinct first.
@@ -174,7 +174,9 @@ def _words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     to = np.zeros(len(sizes) + 1, np.int64)
     np.cumsum(sizes + (sizes > 0), out=to[1:])
     out = np.full(int(to[-1]), 0x20, np.uint8)
-    out[_ranges(to[full] + 1, sizes[full])] = buf
+    text = np.ones(len(out), bool)
+    text[to[full]] = False
+    out[text] = buf
     at = np.flatnonzero(out[:-1] == 0x20)
     at = at[_SOLID[out[at + 1]] & ((at == 0) | (out[at - 1] != 0x20))]
     starts = _sorted_distinct(np.concatenate((at, to[full])))
@@ -183,13 +185,23 @@ def _words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _distinct(buf: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first place of each distinct word, distinct word of each place)."""
-    _, at, which = np.unique(tk.slice_hash(buf, edges[:-1], edges[1:]), return_index=True, return_inverse=True)
+    hashes, i = [np.zeros(0, U64)], 0
+    while i < len(edges) - 1:  # a megabyte of words at a time, or one longer word
+        j = max(i + 1, int(np.searchsorted(edges, edges[i] + tk.CHUNK_BYTES, "right")) - 1)
+        hashes.append(tk.slice_hash(buf[edges[i] : edges[j]], edges[i:j] - edges[i], edges[i + 1 : j + 1] - edges[i]))
+        i = j
+    _, at, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
     return at, which
 
 
-def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    count = np.fromiter(map(len, ids), np.int64, len(ids))
-    return np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(count.sum())), count
+def _encoded(side: Tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids, ids of each text); few lists of Python numbers exist at a time."""
+    flat, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for i in range(0, len(texts), 1 << 13):
+        ids = side.encode(texts[i : i + (1 << 13)])
+        counts.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+        flat.append(np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(counts[-1].sum())))
+    return np.concatenate(flat), np.concatenate(counts)
 
 
 def _same_bytes(side: Tokenizer, ids: np.ndarray, count: np.ndarray, words: list[bytes]) -> np.ndarray:
@@ -210,7 +222,8 @@ class _Entries:
 
     def __init__(self, words: list[bytes], sides: tuple[Tokenizer, Tokenizer]) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
-        (a, na), (b, nb) = (_flat(s.encode(texts)) for s in sides)
+        (a, na), (b, nb) = (_encoded(s, texts) for s in sides)
+        del texts
         self.ok = _same_bytes(sides[0], a, na, words) & _same_bytes(sides[1], b, nb, words)
         if not self.ok.all():  # only words that are ok are aligned
             a, b = a[np.repeat(self.ok, na)], b[np.repeat(self.ok, nb)]

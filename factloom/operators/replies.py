@@ -7,6 +7,7 @@ label. Only reading broken JSON needs Python; what the items say is judged in SQ
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 from typing import Any
@@ -25,57 +26,90 @@ MODALITIES, NATURES, NON_ASSERTED, STANCES = ("FALSIFIABLE", "EVALUATIVE", "EXPE
 #: Confidence of a journal's label, and from which an end of validity counts.
 NARRATIVE_CONFIDENCE, VALIDITY_FLOOR = 0.9, 0.75
 
-_CLAIMS, _LABEL = re.compile(r'"claims"\s*:\s*\['), re.compile(r'"narrative_label"\s*:\s*("(?:[^"\\]|\\.)*")')
+_FENCED = re.compile(r"\A\s*```[^\n]*\n(.*?)(?:\n[ \t]*```)?\s*\Z", re.DOTALL)
+_CLAIMS, _LABEL = re.compile(r'"claims"\s*:\s*(?=\[)'), re.compile(r'"narrative_label"\s*:\s*("(?:[^"\\]|\\.)*")')
+_MARKS, _AFTER_TEXT, _BETWEEN = re.compile(r'\\.|["{}\[\],]', re.DOTALL), re.compile(r"\s*(?:[,:}\]]|\Z)"), re.compile(r"(?<=\})\s*,\s*(?=\{)")
 
 
 def _bare(reply: str) -> str:
     """The reply without the code fence around it."""
-    reply = reply.strip()
-    if not reply.startswith("```"):
-        return reply
-    lines = reply.split("\n")[1:]
-    return "\n".join(lines[:-1] if lines and lines[-1].strip() == "```" else lines)
-
-
-def whole_objects(text: str, at: int = 0) -> list[dict[str, Any]]:
-    """Objects with content that can be read from a place on; after a broken one the next brace is tried."""
-    decoder, out = json.JSONDecoder(), []
-    while (at := text.find("{", at)) >= 0:
+    fenced = _FENCED.match(reply)
+    return (fenced[1] if fenced else reply).strip()
+
+
+def _number(digits: str) -> float | str:
+    """A number, or its digits where it has no finite value."""
+    value = float(digits)
+    return value if math.isfinite(value) else digits
+
+
+def _loads(text: str) -> Any:
+    """JSON, in which NaN and infinite numbers are their names: they go on as JSON and are judged later."""
+    return json.loads(text, parse_constant=str, parse_float=_number)
+
+
+def elements(text: str, at: int = 0) -> tuple[list[str], bool]:
+    """(texts between the commas of the array that opens at a place, whether it
+    is closed). A quotation mark closes a string only before a mark of JSON, so
+    that one inside a sentence stays part of it."""
+    out, start, depth, quoted = [], at + 1, 0, False
+    for m in _MARKS.finditer(text, at + 1):
+        mark = m[0]
+        if quoted:
+            quoted = mark != '"' or not _AFTER_TEXT.match(text, m.end())
+        elif mark == '"':
+            quoted = True
+        elif mark in "{[":
+            depth += 1
+        elif mark in "}]" and depth:
+            depth -= 1
+        elif mark == "]" or mark == "," and not depth:
+            out.append(text[start : m.start()])
+            start = m.end()
+            if mark == "]":
+                return out, True
+    return [*out, text[start:]], False
+
+
+def _read(texts: list[str]) -> tuple[list[Any], list[str]]:
+    """(values, texts that are none)."""
+    values, rest = [], []
+    for x in texts:
         try:
-            x, at = decoder.raw_decode(text, at)
+            values.append(_loads(x))
         except json.JSONDecodeError:
-            at += 1
-            continue
-        if isinstance(x, dict) and str(x.get("content", "")).strip():
-            out.append(x)
-    return out
+            rest.append(x)
+    return values, rest
 
 
 def _array(reply: str) -> tuple[list[Any], str, str | None]:
-    """(items, label, note) of an array; one that breaks off keeps its whole objects."""
+    """(items, label, note) of an array; one that breaks off keeps its whole items."""
     text = _bare(reply)
     try:
-        items = json.loads(text)
+        found = _loads(text)
     except json.JSONDecodeError:
-        end = text.rfind("}")
-        try:
-            items = json.loads(text[: end + 1] + "]") if end >= 0 else None
-        except json.JSONDecodeError:
-            items = None
-        if items is None:
+        parts, closed = elements(text) if text.startswith("[") else ([], True)
+        whole, rest = _read(parts[:-1])
+        if closed or rest:
             return [], "", "unreadable"
-        return (items, "", "truncated") if isinstance(items, list) else ([], "", "no array")
-    return (items, "", None) if isinstance(items, list) else ([], "", "no array")
+        whole += [x for x in _read(parts[-1:])[0] if isinstance(x, dict)]
+        return (whole, "", "truncated") if whole else ([], "", "unreadable")
+    return (found, "", None) if isinstance(found, list) else ([], "", "no array")
 
 
 def _journal(reply: str) -> tuple[list[Any], str, str | None]:
+    """(claims, label, note) of a journal's entry; a broken one keeps every claim that can be read."""
     text = _bare(reply)
     try:
-        entry = json.loads(text)
+        entry = _loads(text)
     except json.JSONDecodeError:
         start, label = _CLAIMS.search(text), _LABEL.search(text)
-        items = whole_objects(text, start.end()) if start else []
-        return items, str(json.loads(label[1], strict=False)).strip() if label else "", "salvaged" if items else "unreadable"
+        found = []
+        for part in elements(text, start.end())[0] if start else []:
+            read, broken = _read([part])
+            found += read or [x for b in broken for x in _read(_BETWEEN.split(b))[0]]
+        found = [x for x in found if isinstance(x, dict) and str(x.get("content", "")).strip()]
+        return found, str(json.loads(label[1], strict=False)).strip() if label else "", "salvaged" if found else "unreadable"
     if not isinstance(entry, dict) or not isinstance(entry.get("claims", []), list):
         return [], "", "no object with claims"
     return entry.get("claims", []), str(entry.get("narrative_label", "")).strip(), None

@@ -55,3 +55,14 @@ class Tables:
                 at = system.Path(path)
                 at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
         return out
+
+
+#: Rows and bytes of an Arrow batch to Python, about: whole texts come in it.
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Python gets batches of at most BATCH_ROWS rows and about BATCH_BYTES, or one row.
+    Plans read these two settings when they run, so they stay set in the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import extract, policy, render, threads
+from factloom.operators import extract, graph_claims, policy, render, threads
 from factloom.plans.registry import query, table
+from factloom.sources import turtle
 
 
 @query("""WITH RECURSIVE c AS (SELECT DISTINCT conv_id, turn, CASE WHEN turn > 0 THEN turn // 2 END AS parent FROM conversations),
@@ -41,17 +42,38 @@ def extractor_routing(spark: SparkSession, folder: str) -> DataFrame:
 @query("""SELECT 'http://x.org/nation/' || n_nationkey AS s, 'http://x.org/region' AS p, 'http://x.org/region/' || n_regionkey AS o, n_name || ' region: ' || r_name AS content, CASE WHEN n_nationkey % 4 = 0 THEN 0.72 ELSE 0.95 END::DOUBLE AS confidence FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def rdf_graph_claims(spark: SparkSession, folder: str) -> DataFrame:
     n, r = table(spark, folder, "nation"), table(spark, folder, "region")
-    rdf, label = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", extract.LABELS[0]
+    rdf, label = graph_claims.RDF, graph_claims.LABELS[0]
     nation, region = F.format_string("<http://x.org/nation/%s>", F.col("n_nationkey").cast("string")), F.format_string("<http://x.org/region/%s>", F.col("n_regionkey").cast("string"))
     line = lambda *x: F.concat_ws(" ", *x, F.lit("."))
     bundle = F.format_string("_:b%s", F.col("n_nationkey").cast("string"))
     lines = n.select(line(nation, F.lit("<http://x.org/region>"), region).alias("value")).union(n.select(line(nation, F.lit(f"<{label}>"), F.format_string('"%s"@en', F.col("n_name")))))
     lines = lines.union(r.select(line(F.format_string("<http://x.org/region/%s>", F.col("r_regionkey").cast("string")), F.lit(f"<{label}>"), F.format_string('"%s"', F.col("r_name")))))
     some = n.where("n_nationkey % 4 = 0")
-    for p, o in (("subject", nation), ("predicate", F.lit("<http://x.org/region>")), ("object", region)):
+    for p, o in (("type", F.lit(f"<{rdf}Statement>")), ("subject", nation), ("predicate", F.lit("<http://x.org/region>")), ("object", region)):
         lines = lines.union(some.select(line(bundle, F.lit(f"<{rdf}{p}>"), o)))
     lines = lines.union(some.select(line(bundle, F.lit("<http://example.org/confidence>"), F.lit('"0.72"^^<http://www.w3.org/2001/XMLSchema#double>')))).union(n.limit(1).select(F.lit("not a triple").alias("value")))
-    return extract.triple_claims(extract.triples(lines.withColumn("document", F.lit("nations")))).select("s", "p", "o", "content", "confidence")
+    return graph_claims.triple_claims(graph_claims.line_triples(lines.withColumn("document", F.lit("nations")))).select("s", "p", "o", "content", "confidence")
+
+
+_GRAPH = """@prefix ex: <http://x.org/customer/> . @prefix wd: <http://www.wikidata.org/entity/> .
+PREFIX rdfs: <http://www.w3.org/2000/01/rdf-schema#> PREFIX rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#>
+<http://x.org/customer/> a <http://www.w3.org/2002/07/owl#Ontology> . # no claim
+ex:%1$s rdfs:label "%2$s"@en ; ex:hasBalance %3$s ;; ex:livesIn wd:Q%4$s, [ rdfs:label "a home" ], [] .
+wd:Q%4$s rdfs:label "Land"@de, "Nation %4$s" .
+[] a rdf:Statement ; rdf:subject ex:%1$s ; rdf:predicate ex:buysFor ; rdf:object '''%5$s'''@fr ; <http://example.org/confidence> 0.72 .
+<http://x.org/g> { ex:%1$s ex:knows ("x" wd:Q%4$s) } <http://x.org/g> { <http://x.org/g> <http://example.org/confidence> 0.4 . ex:%1$s ex:isKnown true } """
+
+
+@query("""WITH c AS (SELECT *, 'http://x.org/customer/' AS ex, 'http://x.org/customer/' || c_custkey AS s FROM customer)
+SELECT s, ex || 'hasBalance' AS p, c_name || ' has balance: ' || c_acctbal::DECIMAL(12,2) AS content, 0.95::DOUBLE AS confidence, '' AS refs FROM c
+UNION ALL SELECT s, ex || 'livesIn', c_name || ' lives in: Nation ' || c_nationkey, 0.95, 'wikidata:Q' || c_nationkey FROM c UNION ALL SELECT s, ex || 'livesIn', c_name || ' lives in: a home', 0.95, '' FROM c
+UNION ALL SELECT s, ex || 'buysFor', c_name || ' buys for: ' || c_mktsegment || ' (fr)', 0.72, '' FROM c UNION ALL SELECT s, ex || 'isKnown', c_name || ' is known: true', 0.4, '' FROM c""")
+def turtle_claims(spark: SparkSession, folder: str) -> DataFrame:
+    """A document in Turtle and TriG for each customer, read and told in words."""
+    values = [F.col("c_custkey"), F.col("c_name"), F.col("c_acctbal").cast("decimal(12,2)"), F.col("c_nationkey"), F.col("c_mktsegment")]
+    docs = table(spark, folder, "customer").select(F.format_string(_GRAPH, *[v.cast("string") for v in values]).alias("body"), F.col("c_custkey").alias("document"))
+    claims = graph_claims.triple_claims(turtle.read_graphs(docs, "document", "body"))
+    return claims.select("s", "p", "content", "confidence", F.array_join("refs", ",").alias("refs"))
 
 
 @query("""WITH s AS (SELECT * FROM (VALUES ('src0', 'en', 0.9), ('src0', 'en', 0.4), ('src1', 'de', 0.7)) t(domain, st, rank)) SELECT doc_id, CASE WHEN source = 'src2' THEN 0.3 ELSE coalesce(min(rank), 1.0) END::DOUBLE AS trust

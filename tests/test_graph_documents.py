@@ -1,18 +1,18 @@
 from __future__ import annotations
 
-from factloom.operators import extract
+from factloom.operators import graph_claims
 
 
 def test_limit_labels_and_statements_hold_within_a_document(spark):
-    rdf, label = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", extract.LABELS[0]
+    rdf, label = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", graph_claims.LABELS[0]
     lines = [(d, f"<http://x/{d}{i}> <http://x/p> <http://x/shared> .") for d, n in (("a", 300), ("b", 2), ("c", 5)) for i in range(n)]
     lines += [("a", f'<http://x/shared> <{label}> "of a" .'), ("b", f'<http://x/shared> <{label}> "of b" .')]
     for d, level in (("a", "0.5"), ("b", "0.7")):
-        for p, o in (("subject", f"<http://x/{d}0>"), ("predicate", "<http://x/p>"), ("object", "<http://x/shared>")):
+        for p, o in (("type", f"<{rdf}Statement>"), ("subject", f"<http://x/{d}0>"), ("predicate", "<http://x/p>"), ("object", "<http://x/shared>")):
             lines.append((d, f"_:s <{rdf}{p}> {o} ."))
         lines.append((d, f'_:s <http://example.org/confidence> "{level}" .'))
     df = spark.createDataFrame(lines, "document string, value string").repartition(4)
-    got = extract.triple_claims(extract.triples(df), most=5).collect()
+    got = graph_claims.triple_claims(graph_claims.line_triples(df), most=5).collect()
     label_of = {"a": "of a", "b": "of b", "c": "shared"}
     kept = {"a": sorted(f"a{i}" for i in range(300))[:5], "b": ["b0", "b1"], "c": [f"c{i}" for i in range(5)]}
     level_of = {"a0": 0.5, "b0": 0.7}

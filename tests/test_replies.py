@@ -23,6 +23,26 @@ def test_arrays_whole_and_broken(spark):
     assert {r.note for r in found.where("k = 1").collect()} == {"truncated"}
 
 
+def test_bare_numbers_that_are_none(spark):
+    """NaN and infinite numbers as JSON's writers put them: the item stays, its confidence is the default."""
+    text = '[{"content": "a", "confidence_value": NaN}, {"content": "b", "confidence_value": -Infinity}, {"content": "c", "confidence_value": 1e999}, {"content": "d", "confidence_value": 0.7, "extra": [NaN]}]'
+    found = replies.items(table(spark, [text]), "r", "k")
+    got = [(r.content, r.confidence, r.notes) for r in replies.candidates(found, "k", now()).orderBy("ordinal").collect()]
+    assert got == [(c, 0.5, ["confidence_value defaulted"]) for c in "abc"] + [("d", 0.7, [])]
+    entry = replies.items(table(spark, ['{"narrative_label": "x", "claims": [{"content": "a", "confidence_value": NaN}]}']), "r", "k", journal=True)
+    assert [(r.kind, r.confidence) for r in replies.journal_candidates(entry, "k").orderBy("place").collect()] == [("CLAIM", 0.5), ("NARRATIVE", 0.9)]
+
+
+def test_elements_of_broken_arrays():
+    assert replies.elements('x[1, {"a": "b]", "c": [2, 3]}, "q, \\" r"] tail', 1) == (["1", ' {"a": "b]", "c": [2, 3]}', ' "q, \\" r"'], True)
+    assert replies.elements('[{"a": "he said "no" to it"}, {"b": 1}') == (['{"a": "he said "no" to it"}', ' {"b": 1}'], False)
+    for reply, n, note in (('[{"content": "a"}, {"content": "b"}', 2, "truncated"), ('[{"content": "a"}, {"content": "b", "x', 1, "truncated"), ('[{"content": "a" "b"}, {"content": "c"}, {"con', 0, "unreadable"), ('[{"con', 0, "unreadable"), ("```\n[1]\n```", 1, None), ("``` json\n[1, 2]", 2, None), ('{"a": {"b": 1}, "c', 0, "unreadable")):
+        items, _, said = replies._array(reply)
+        assert (len(items), said) == (n, note), reply
+    broken = '{"claims": [{"content": "one"}, {"content": "he said "yes", then"}, {"content": "two"}, {"content": "three", "x": {"y": 1}}, {"con'
+    assert [x["content"] for x in replies._journal(broken)[0]] == ["one", "two", "three"]
+
+
 def test_what_an_item_says(spark):
     item = {
         "content": "Rates fall", "confidence_value": "NaN", "uncertainty_nature": "odd", "assertion_modality": " evaluative ", "polarity": "declined", "scope": "document_meta", "stance_kind": "endorses", "stance_target": 3,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -203,15 +203,74 @@ def _listed_pieces(page: str) -> list[dict]:
     return out
 
 
-TAXONOMY = "taxonomy_id string, name string, version string, tags array<struct<id:string,label:string,parent:string>>"
-TRUST_LENS = "lens_id string, name string, version int, statements array<struct<domain:string,source_type:string,trust_rank:double>>, url_rules array<struct<pattern:string,score:double>>, extractor_weights array<struct<extractor:string,weight:double>>"
+#: The published shapes of a taxonomy and of a trust lens.
+TAXONOMY = "taxonomy_id string, name string, version string, author string, domain string, tags array<struct<tag:string,parent:string,aliases:array<string>,description:string>>, published_at string, corpus_entry_id string"
+TRUST_LENS = (
+    "kind string, lens_id string, name string, version string, publisher string, description string, statements array<struct<domain:string,source_type:string,trust_rank:double,basis:string>>, url_rules array<struct<scope:string,pattern:string,score:double,modifier:double>>, "
+    "extractor_weights map<string,double>, decay_rules array<struct<scope:string,pattern:string,half_life_days:double,floor:double>>, utility_rules array<struct<scope:string,pattern:string,half_life_uses_days:double,rank_lift:double>>, corpus_entry_id string"
+)
+
+
+def _some(c: Column) -> Column:
+    return F.coalesce(c, F.lit("")) != ""
+
+
+def _unit(c: Column) -> Column:
+    return F.coalesce(c.between(0, 1), F.lit(False))
+
+
+def _any(items: Column, wrong: Callable[[Column], Column]) -> Column:
+    return F.coalesce(F.exists(items, wrong), F.lit(False))
+
+
+def _taxonomy_faults(a: Column) -> list[tuple[Column, str]]:
+    def astray(t: Column) -> Column:
+        parent = F.regexp_replace(t["tag"], "/[^/]*$", "")
+        return F.when(F.contains(t["tag"], F.lit("/")), ~t["parent"].eqNullSafe(parent)).otherwise(t["parent"].isNotNull())
+
+    return [
+        (~_some(a["name"]), "no name"), (~_some(a["version"]), "no version"), (~_some(a["author"]), "no author"), (a["tags"].isNull(), "no tags"),
+        (_any(a["tags"], lambda t: ~_some(t["tag"])), "a tag without a name"), (_any(a["tags"], astray), "a tag whose parent isn't its path"),
+    ]
+
+
+def _lens_faults(a: Column) -> list[tuple[Column, str]]:
+    def rule(r: Column) -> Column:
+        whole = (r["scope"] == "domain") & _unit(r["score"]) & r["modifier"].isNull() | (r["scope"] == "url_pattern") & r["score"].isNull() & r["modifier"].isNotNull()
+        return ~(F.coalesce(whole, F.lit(False)) & _some(r["pattern"]))
+
+    def decay(r: Column) -> Column:
+        return ~(F.coalesce(r["scope"].isin("source_type", "url_pattern") & (r["half_life_days"] > 0), F.lit(False)) & _some(r["pattern"]) & _unit(r["floor"]))
+
+    def utility(r: Column) -> Column:
+        scope = F.coalesce(r["scope"], F.lit("default"))
+        place = F.when(scope == "default", r["pattern"].isNull()).when(scope.isin("source_type", "url_pattern"), _some(r["pattern"])).otherwise(False)
+        return ~(place & F.coalesce((r["half_life_uses_days"] > 0) & (r["rank_lift"] >= 0), F.lit(False)))
+
+    version = a["version"].try_cast("bigint")
+    return [
+        (F.coalesce(a["kind"], F.lit("TrustLensDefinition")) != "TrustLensDefinition", "another kind"), (~_some(a["name"]), "no name"), (a["version"].isNull(), "no version"), (F.coalesce(version < 1, F.lit(True)), "version below 1"),
+        (_any(a["statements"], lambda s: ~_some(s["domain"]) | ~_some(s["source_type"])), "a statement without domain or source type"), (_any(a["statements"], lambda s: ~_unit(s["trust_rank"])), "trust rank out of range"),
+        (_any(a["url_rules"], rule), "a URL rule that isn't one of domain and score or pattern and modifier"), (_any(F.map_values(a["extractor_weights"]), lambda w: ~_unit(w)), "extractor weight out of range"),
+        (_any(a["decay_rules"], decay), "a decay rule that can't hold"), (_any(a["utility_rules"], utility), "a utility rule that can't hold"),
+    ]
+
+
+_FAULTS = {TAXONOMY: _taxonomy_faults, TRUST_LENS: _lens_faults}
 
 
 def artefacts(records: DataFrame, blob: str, schema: str, entry: str = "entry_id") -> DataFrame:
-    """entry, artefact, note of definitions (TAXONOMY, TRUST_LENS): they give no claims. artefact is null and
-    note says why where the JSON, its name, its version or one of its trust ranks can't be taken."""
+    """entry, artefact, note of definitions (TAXONOMY, TRUST_LENS): they give no claims.
+
+    artefact is null and note says the first fault where the JSON can't be read
+    as one, or breaks a rule of its kind: names and versions that are there,
+    ranks, scores, weights and floors from 0 to 1, tags whose parent is their
+    path, rules that have what their scope asks for and nothing else.
+    """
     a = F.from_json(blob, schema)
-    wrong = F.when(a.isNull() | a["name"].isNull(), "no name").when(a["version"].isNull(), "no version")
-    if "trust_rank" in schema:
-        wrong = F.coalesce(wrong, F.when(F.exists(a["statements"], lambda s: ~F.coalesce(s["trust_rank"].between(0, 1), F.lit(False))), "trust rank out of range"))
-    return records.select(entry, a.alias("artefact"), wrong.alias("note")).withColumn("artefact", F.when(F.col("note").isNull(), F.col("artefact")))
+    is_object = F.coalesce(F.trim(blob).startswith("{"), F.lit(False)) & a.isNotNull()
+    rows = records.select(entry, a.alias("artefact"), is_object.alias("read"))
+    note = F.when(~F.col("read"), "no object")
+    for wrong, why in _FAULTS[schema](F.col("artefact")):
+        note = note.when(wrong, why)
+    return rows.select(entry, "artefact", note.alias("note")).withColumn("artefact", F.when(F.col("note").isNull(), F.col("artefact")))

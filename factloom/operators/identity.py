@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.operators.shared import written
+from factloom.operators.shared import Tables
 
 
 def duplicate_groups(claims: DataFrame, key: Sequence[str], survivor: Sequence[Column], claim_id: str) -> DataFrame:
@@ -91,18 +91,26 @@ def top_neighbours(queries: DataFrame, vectors: DataFrame, similarity: Column, k
     return local.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= k).select("query_id", "vec_id", "sim", "place")
 
 
-def supersession_roots(links: DataFrame, limit: int = 64) -> DataFrame:
-    """claim_id, root, depth: the end of each chain of supersedes(claim_id, supersedes).
+def supersession_roots(links: DataFrame) -> DataFrame:
+    """claim_id, root, depth, cyclic: the end of each chain of links(claim_id,
+    supersedes); a claim with several links has a row for each end.
 
-    The rounds are the logarithm of the longest chain, so ``limit`` is never near
-    without a cycle, which ends there. A round joins only the claims whose chain
-    still goes on and is written to the shared folder, where its lineage ends.
+    Each round doubles the links that a row has gone. A chain without a cycle
+    has at most as many links as there are claims, so after that many doublings
+    a row that doesn't stand at an end runs into a cycle: its root and depth are
+    null and cyclic is true. A round joins only rows that still move, is written
+    to the shared folder, where its lineage ends, and drops the table before it.
     """
-    now = links.select("claim_id", F.col("supersedes").alias("root"), F.lit(1).cast("long").alias("depth"), F.lit(True).alias("moved"))
-    for _ in range(limit):
+    store = Tables(links.sparkSession)
+    each = links.where("claim_id IS NOT NULL AND supersedes IS NOT NULL").select("claim_id", "supersedes").distinct()
+    rounds = max(1, each.select("claim_id").distinct().count()).bit_length()
+    now = store.only(each.select("claim_id", F.col("supersedes").alias("root"), F.lit(1).cast("long").alias("depth"), F.lit(True).alias("moved")))
+    for _ in range(rounds):  # a chain without a cycle has at most as many links as there are claims
         up = now.select(F.col("claim_id").alias("root"), F.col("root").alias("up"), F.col("depth").alias("more"))
         longer = now.where("moved").join(up, "root", "left").select("claim_id", F.coalesce("up", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("up").isNotNull().alias("moved"))
-        now = written(longer.union(now.where("NOT moved")))
+        now = store.only(longer.union(now.where("NOT moved")).distinct())
         if now.where("moved").isEmpty():
             break
-    return now.drop("moved")
+    ends = each.select(F.col("supersedes").alias("root")).distinct().join(each.select(F.col("claim_id").alias("root")).distinct(), "root", "left_anti").withColumn("is_end", F.lit(True))
+    told = now.join(ends, "root", "left").withColumn("cyclic", F.col("is_end").isNull())
+    return told.select("claim_id", F.when(~F.col("cyclic"), F.col("root")).alias("root"), F.when(~F.col("cyclic"), F.col("depth")).alias("depth"), "cyclic").distinct()

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions.confidence import age_days, clamp01, recency_of_age
+from factloom.operators import url_rules
 from factloom.operators.components import components
 
 
@@ -186,31 +187,46 @@ def resolved(reviews: DataFrame, claims: DataFrame) -> DataFrame:
     return claims.join(last, "id", "left").withColumn("status", F.coalesce("x.to", "status")).drop("x")
 
 
+#: Lenses with a default rule that an observer adopts at most: they travel with the plan.
+MOST_DEFAULTS = 1000
+
+
 def decay_rules(rules: DataFrame, source_type: str, url: str, claims: DataFrame) -> DataFrame:
     """claims with half_life and floor from rules(lens, scope, match, half_life, floor).
 
-    In a lens a rule for URLs beats one for the source type; across lenses the
-    shortest half-life and the lowest floor count. Without a rule both are null.
+    Scopes are url_pattern, whose match is a regular expression that is sought
+    in the address, and source_type. In a lens a rule for addresses beats one
+    for the source type; across lenses the shortest half-life and the lowest
+    floor count. Without a rule both are null.
     """
-    return _ruled(rules, source_type, url, claims, {"half_life": F.min("half_life"), "floor": F.min("floor")})
+    return _ruled(rules.where("scope <> 'default'"), source_type, url, claims, ("half_life", "floor"))
 
 
 def utility_rules(rules: DataFrame, source_type: str, url: str, claims: DataFrame) -> DataFrame:
-    """claims with half_life and rate, as decay_rules; scopes are url_pattern, source_type and default."""
-    return _ruled(rules, source_type, url, claims, {"half_life": F.min("half_life"), "rate": F.min("rate")})
-
-
-def _ruled(rules: DataFrame, source_type: str, url: str, claims: DataFrame, found: dict[str, Column]) -> DataFrame:
-    """Rules are a policy's: few, so they go to every claim's task. A claim meets
-    the rules of its lenses once for each pair of source type and URL."""
-    cases = claims.select(source_type, url).distinct()
-    fits = ((F.col("scope") == "url_pattern") & F.contains(F.col(url), F.col("match"))) | ((F.col("scope") == "source_type") & (F.col("match") == F.col(source_type))) | (F.col("scope") == "default")
-    rank = F.when(F.col("scope") == "url_pattern", 0).when(F.col("scope") == "source_type", 1).otherwise(2)
-    met = cases.join(F.broadcast(rules), fits).withColumn("_rank", rank)
-    best = met.join(met.groupBy(source_type, url, "lens").agg(F.min("_rank").alias("_best")), [source_type, url, "lens"]).where("_rank = _best")
-    out = best.groupBy(source_type, url).agg(*[c.alias(n) for n, c in found.items()])
-    same = F.col(f"c.{source_type}").eqNullSafe(F.col(f"o.{source_type}")) & F.col(f"c.{url}").eqNullSafe(F.col(f"o.{url}"))
-    return claims.alias("c").join(out.alias("o"), same, "left").select("c.*", *[f"o.{n}" for n in found])
+    """claims with half_life and rate, as decay_rules; a lens may have a rule of scope default, which its others beat."""
+    return _ruled(rules, source_type, url, claims, ("half_life", "rate"))
+
+
+def _ruled(rules: DataFrame, source_type: str, url: str, claims: DataFrame, values: tuple[str, str]) -> DataFrame:
+    """Rules for addresses and for source types are joined by address and by type, once for
+    each pair of them; a default counts where its lens says nothing else."""
+    cases = claims.select(F.col(source_type).alias("_type"), F.col(url).alias("_url")).distinct()
+    told = rules.select("lens", "scope", "match", *values)
+    by_url = told.where("scope = 'url_pattern'")
+    found = url_rules.matches(cases.select("_url"), by_url, "_url", "match").withColumnsRenamed({"url": "_url", "pattern": "match"})
+    met = cases.join(found, "_url").join(by_url, "match").select("_type", "_url", "lens", *values, F.lit(0).alias("rank"))
+    by_type = told.where("scope = 'source_type'").select(F.col("match").alias("_type"), "lens", *values)
+    met = met.unionByName(cases.join(by_type, "_type").select("_type", "_url", "lens", *values, F.lit(1).alias("rank")))
+    first = met.groupBy("_type", "_url", "lens").agg(F.min("rank").alias("best"))
+    best = met.alias("m").join(first.alias("f"), F.col("m._type").eqNullSafe(F.col("f._type")) & F.col("m._url").eqNullSafe(F.col("f._url")) & (F.col("m.lens") == F.col("f.lens")) & (F.col("m.rank") == F.col("f.best"))).select("m.*")
+    out = best.groupBy("_type", "_url").agg(*[F.min(v).alias(v) for v in values], F.collect_set("lens").alias("_lenses"))
+    defaults = told.where("scope = 'default'").groupBy("lens").agg(*[F.min(v).alias(v) for v in values]).limit(MOST_DEFAULTS + 1).collect()
+    if len(defaults) > MOST_DEFAULTS:
+        raise ValueError(f"more than {MOST_DEFAULTS} lenses with a default rule")
+    same = F.col(f"c.{source_type}").eqNullSafe(F.col("o._type")) & F.col(f"c.{url}").eqNullSafe(F.col("o._url"))
+    silent = F.array(*[F.struct(F.lit(r["lens"]).alias("lens"), *[F.lit(r[v]).cast("double").alias(v) for v in values]) for r in defaults]) if defaults else None
+    lowest = lambda v: F.col(f"o.{v}") if silent is None else F.least(F.col(f"o.{v}"), F.array_min(F.transform(F.filter(silent, lambda d: ~F.coalesce(F.array_contains(F.col("o._lenses"), d["lens"]), F.lit(False))), lambda d: d[v])))
+    return claims.alias("c").join(out.alias("o"), same, "left").select("c.*", *[lowest(v).alias(v) for v in values])
 
 
 def suggested_merges(pairs: DataFrame, verdicts: DataFrame, linked: DataFrame, least: float = 0.92, most: int = 50) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from factloom.functions import claims as c
 from factloom.functions import structure as st
 from factloom.functions.confidence import calibrated, clamp01
+from factloom.operators.shared import bounded_batches
 
 #: What a claim can be.
 MODALITIES, NATURES, NON_ASSERTED, STANCES = ("FALSIFIABLE", "EVALUATIVE", "EXPERIENTIAL", "CONSTITUTIVE"), ("EPISTEMIC", "ALEATORY"), ("DECLINED", "HYPOTHETICAL"), ("ENDORSES", "DISPUTES")
@@ -130,11 +131,16 @@ def items(replies: DataFrame, reply: str, key: str, journal: bool = False) -> Da
             kinds = [b.schema.types[0], pa.int32(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=[key, "ordinal", "item", "label", "note"])
 
+    bounded_batches(replies.sparkSession)
     rows = replies.select(key, reply)
     more = [T.StructField("ordinal", T.IntegerType()), *[T.StructField(n, T.StringType()) for n in ("item", "label", "note")]]
     return rows.mapInArrow(found, T.StructType([rows.schema[key], *more]))
 
 
+def _finite(number: Column) -> Column:
+    return number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))
+
+
 def candidates(found: DataFrame, key: str, now: Column, scope_mode: str = "label", floor: float = VALIDITY_FLOOR) -> DataFrame:
     """key, ordinal, content, confidence, uncertainty_nature, subjects,
     assertion_modality, stance, target, magnitude, valid_until, properties (a
@@ -147,7 +153,7 @@ def candidates(found: DataFrame, key: str, now: Column, scope_mode: str = "label
     said = lambda name: F.get_json_object("item", f"$.{name}")
     word = lambda name: F.upper(F.trim(said(name)))
     number = said("confidence_value").try_cast("double")
-    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))
+    finite = _finite(number)
     given = said("confidence_value").isNotNull()
     nature, modality, polarity = said("uncertainty_nature"), word("assertion_modality"), word("polarity")
     meta = F.coalesce(word("scope") == "DOCUMENT_META", F.lit(False))
@@ -185,9 +191,9 @@ def journal_candidates(found: DataFrame, key: str) -> DataFrame:
     """
     said = lambda name: F.get_json_object("item", f"$.{name}")
     subjects = F.filter(F.coalesce(F.from_json(said("subjects"), "array<string>"), F.array().cast("array<string>")), lambda s: F.trim(s) != "")
-    modality, content = F.upper(F.trim(said("assertion_modality"))), F.trim(F.coalesce(said("content"), F.lit("")))
+    modality, content, level = F.upper(F.trim(said("assertion_modality"))), F.trim(F.coalesce(said("content"), F.lit(""))), said("confidence_value").try_cast("double")
     rows = found.where(F.col("item").startswith("{") & (content != "")).select(
-        key, "ordinal", "label", content.alias("content"), F.coalesce(clamp01(said("confidence_value").try_cast("double")), F.lit(0.5)).alias("confidence"),
+        key, "ordinal", "label", content.alias("content"), F.when(_finite(level), clamp01(level)).otherwise(0.5).alias("confidence"),
         F.when(modality.isin(*MODALITIES), modality).otherwise("FALSIFIABLE").alias("assertion_modality"), subjects.alias("subjects"), st.self_scope(said("subject_scope"), subjects).alias("properties"),
     )
     entry = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ordinal", F.lit("CLAIM").alias("kind"), "content", "confidence", "assertion_modality", "subjects", F.map_entries("properties").alias("p")))).alias("rows"), F.first("label").alias("label"), F.count("*").alias("n"))

@@ -242,7 +242,7 @@ SELECT o_orderkey AS claim_id, root, CAST(o_orderkey - root AS BIGINT) AS depth
 def supersession_chain(spark: SparkSession, folder: str) -> DataFrame:
     """Every order supersedes the one before: keys that follow each other are one chain, however long."""
     links = table(spark, folder, "orders").select(F.col("o_orderkey").alias("claim_id"), (F.col("o_orderkey") - 1).alias("supersedes"))
-    return identity.supersession_roots(links)
+    return identity.supersession_roots(links).drop("cyclic")
 
 
 @query(f"""WITH r AS (SELECT doc_id, round({_CONF} * w, 9) AS ec FROM documents, (SELECT unnest([1.0, 0.7, 0.5]) AS w)) SELECT doc_id, round(max(ec) - min(ec), 6) AS spread, count(*) AS policies FROM r GROUP BY doc_id""")

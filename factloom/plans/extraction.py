@@ -76,13 +76,17 @@ def turtle_claims(spark: SparkSession, folder: str) -> DataFrame:
     return claims.select("s", "p", "content", "confidence", F.array_join("refs", ",").alias("refs"))
 
 
-@query("""WITH s AS (SELECT * FROM (VALUES ('src0', 'en', 0.9), ('src0', 'en', 0.4), ('src1', 'de', 0.7)) t(domain, st, rank)) SELECT doc_id, CASE WHEN source = 'src2' THEN 0.3 ELSE coalesce(min(rank), 1.0) END::DOUBLE AS trust
-FROM documents LEFT JOIN s ON domain = source AND st = lang GROUP BY doc_id, source""")
+@query(r"""WITH s AS (SELECT * FROM (VALUES ('0', 'a', 0.9), ('0', 'a', 0.4), ('1', 'b', 0.7)) t(domain, st, rank)), h AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/]*?([a-z]+[.](com|net|org))/', 1) AS host, CAST(page_id % 3 AS VARCHAR) AS domain, CASE WHEN page_id % 2 = 0 THEN 'a' ELSE 'b' END AS st FROM pages),
+b AS (SELECT page_id, url, host, coalesce(CASE WHEN host = 'example.com' THEN 0.3 END, min(rank), 1.0)::DOUBLE AS base FROM h LEFT JOIN s USING (domain, st) GROUP BY page_id, url, host),
+c AS (SELECT *, CASE WHEN regexp_matches(url, '/(fr|en)/[0-9]') THEN -0.25 ELSE 0 END + CASE WHEN regexp_matches(url, '[13579]$') THEN -0.5 ELSE 0 END AS mine, CASE WHEN regexp_matches(url, '[13579]$') THEN -0.625 ELSE 0 END AS theirs FROM b)
+SELECT page_id, greatest(0, least(1, base + CASE WHEN mine = 0 THEN theirs WHEN theirs = 0 THEN mine ELSE least(mine, theirs) END))::DOUBLE AS trust FROM c""")
 def trust_lenses(spark: SparkSession, folder: str) -> DataFrame:
-    statements = spark.createDataFrame([("src0", "en", 0.9), ("src0", "en", 0.4), ("src1", "de", 0.7)], "domain string, source_type string, trust_rank double")
-    rules = spark.createDataFrame([("src2", 0.3), ("src2", 0.8)], "pattern string, score double")
-    docs = table(spark, folder, "documents").select("doc_id", F.col("source").alias("domain"), F.col("lang").alias("source_type"), F.col("source").alias("host"))
-    return policy.with_trust(docs, statements, rules).select("doc_id", "trust")
+    """Trust of every page by two lenses: ranks, scores of hosts and what expressions take away."""
+    statements = spark.createDataFrame([("0", "a", 0.9), ("0", "a", 0.4), ("1", "b", 0.7)], "domain string, source_type string, trust_rank double")
+    rules = [("mine", "domain", "example.com", 0.3, None), ("theirs", "domain", "example.com", 0.8, None), ("mine", "url_pattern", "/(fr|en)/[0-9]", None, -0.25), ("mine", "url_pattern", "[13579]$", None, -0.5), ("theirs", "url_pattern", "[13579]$", None, -0.625)]
+    told = spark.createDataFrame(rules, "lens string, scope string, pattern string, score double, modifier double")
+    pages = table(spark, folder, "pages").select("page_id", "url", F.regexp_extract("url", "^[a-z]+://[^/]*?([a-z]+[.](com|net|org))/", 1).alias("host"), (F.col("page_id") % 3).cast("string").alias("domain"), F.when(F.col("page_id") % 2 == 0, "a").otherwise("b").alias("source_type"))
+    return policy.with_trust(pages, statements, told, "url").select("page_id", "trust")
 
 
 @query("""SELECT v, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN text = '' THEN 'missing:content' END, CASE WHEN quality IS NULL THEN 'missing:quality' END, CASE WHEN n_chars / 5000.0 > 1 THEN 'range:confidence' END, CASE WHEN lang NOT IN ('en', 'de') THEN 'enum:status' END], lambda x: x IS NOT NULL)) AS v

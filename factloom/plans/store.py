@@ -155,29 +155,35 @@ def calibration_shares(spark: SparkSession, folder: str) -> DataFrame:
     return passes.calibration_shares(table(spark, folder, "documents"), "lang").select("lang", "n", F.round("fraction", 6).alias("fraction"))
 
 
-_RULES = [("mine", "source_type", "en", 90.0, 0.2), ("mine", "url_pattern", "src1", 30.0, 0.3), ("theirs", "default", None, 60.0, 0.4), ("theirs", "source_type", "de", 365.0, 0.05)]
+_RULES = [("mine", "source_type", "0", 90.0, 0.2), ("mine", "url_pattern", r"^https?://(www\.)?[a-m][^/]*\.(com|org)\b", 30.0, 0.3), ("theirs", "source_type", "1", 365.0, 0.05), ("theirs", "url_pattern", r"[0-9]{2,}$", 45.0, 0.1), ("third", "url_pattern", "example.*(a|b)", 10.0, 0.6), ("third", "url_pattern", "(unclosed", 1.0, 0.0)]
+_FOUND = r"""WITH p AS (SELECT page_id, url, CAST(page_id % 3 AS VARCHAR) AS t FROM pages), f AS (SELECT *, regexp_matches(url, '^https?://(www\.)?[a-m][^/]*\.(com|org)\b') AS m, regexp_matches(url, '[0-9]{2,}$') AS h, regexp_matches(url, 'example.*(a|b)') AS x FROM p)"""
 
 
-@query("""SELECT doc_id, CASE WHEN starts_with(source, 'src1') THEN 30.0 WHEN lang = 'en' THEN least(90.0, 60.0) WHEN lang = 'de' THEN 365.0 ELSE 60.0 END::DOUBLE AS half_life,
- CASE WHEN starts_with(source, 'src1') THEN least(0.3, CASE WHEN lang = 'de' THEN 0.05 ELSE 0.4 END) WHEN lang = 'en' THEN 0.2 WHEN lang = 'de' THEN 0.05 ELSE 0.4 END::DOUBLE AS floor FROM documents""")
+@query(f"""{_FOUND} SELECT page_id, least(CASE WHEN m THEN 30.0 WHEN t = '0' THEN 90.0 END, CASE WHEN h THEN 45.0 WHEN t = '1' THEN 365.0 END, CASE WHEN x THEN 10.0 END)::DOUBLE AS half_life,
+ least(CASE WHEN m THEN 0.3 WHEN t = '0' THEN 0.2 END, CASE WHEN h THEN 0.1 WHEN t = '1' THEN 0.05 END, CASE WHEN x THEN 0.6 END)::DOUBLE AS floor FROM f""")
 def decay_by_lens(spark: SparkSession, folder: str) -> DataFrame:
+    """The decay of every page by lenses with rules for source types and for addresses."""
     rules = spark.createDataFrame(_RULES, "lens string, scope string, match string, half_life double, floor double")
-    return passes.decay_rules(rules, "lang", "source", table(spark, folder, "documents").select("doc_id", "lang", "source")).select("doc_id", "half_life", "floor")
+    pages = table(spark, folder, "pages").select("page_id", "url", (F.col("page_id") % 3).cast("string").alias("source_type"))
+    return passes.decay_rules(rules, "source_type", "url", pages).select("page_id", "half_life", "floor")
 
 
-@query("""SELECT doc_id, CASE WHEN starts_with(source, 'src1') THEN 30.0 WHEN lang = 'en' THEN 60.0 WHEN lang = 'de' THEN 365.0 ELSE 60.0 END::DOUBLE AS half_life FROM documents""")
+@query(f"""{_FOUND} SELECT page_id, least(CASE WHEN m THEN 30.0 WHEN t = '0' THEN 90.0 ELSE 70.0 END, CASE WHEN h THEN 45.0 WHEN t = '1' THEN 365.0 END, CASE WHEN x THEN 10.0 ELSE 60.0 END)::DOUBLE AS half_life FROM f""")
 def utility_by_lens(spark: SparkSession, folder: str) -> DataFrame:
-    rules = spark.createDataFrame(_RULES, "lens string, scope string, match string, half_life double, rate double")
-    return passes.utility_rules(rules, "lang", "source", table(spark, folder, "documents").select("doc_id", "lang", "source")).select("doc_id", "half_life")
+    """As decay_by_lens, with defaults of two lenses."""
+    rules = spark.createDataFrame([*_RULES, ("mine", "default", None, 70.0, 0.1), ("third", "default", None, 60.0, 0.9)], "lens string, scope string, match string, half_life double, rate double")
+    pages = table(spark, folder, "pages").select("page_id", "url", (F.col("page_id") % 3).cast("string").alias("source_type"))
+    return passes.utility_rules(rules, "source_type", "url", pages).select("page_id", "half_life")
 
 
-@query("""WITH a AS (SELECT upper(n_name) AS name, n_nationkey AS k FROM nation UNION ALL SELECT 'nowhere', -1), n AS (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_nationkey % 4 <> 0 AND c_custkey < 40 GROUP BY 1)
-SELECT name, CASE WHEN a.k = -1 THEN 'no_match' WHEN coalesce(n, 0) = 0 THEN 'none' WHEN n < 3 THEN 'low' END AS gap FROM a LEFT JOIN n USING (k)""")
+@query("""WITH a AS (SELECT upper(n_name) AS name, n_nationkey AS k FROM nation UNION ALL SELECT 'nowhere', -1), n AS (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal < 0 GROUP BY 1)
+SELECT name, CASE WHEN a.k = -1 THEN 'no_match' WHEN coalesce(n, 0) = 0 THEN 'none' WHEN n < (SELECT avg(n) FROM n) THEN 'low' END AS gap FROM a LEFT JOIN n USING (k)""")
 def subject_coverage(spark: SparkSession, folder: str) -> DataFrame:
     nations = table(spark, folder, "nation").select(F.col("n_nationkey").alias("subject_id"), F.col("n_name").alias("name"))
     asked = nations.select(F.upper("name").alias("name")).union(spark.createDataFrame([("nowhere",)], "name string"))
-    claims = table(spark, folder, "customer").where("c_nationkey % 4 <> 0 AND c_custkey < 40").select(F.col("c_nationkey").alias("subject_id"))
-    return passes.subject_coverage(asked, nations, claims)
+    claims = table(spark, folder, "customer").where("c_mktsegment = 'BUILDING' AND c_acctbal < 0").select(F.col("c_nationkey").alias("subject_id"))
+    few = claims.groupBy("subject_id").count().agg(F.coalesce(F.avg("count"), F.lit(0.0))).first()[0]
+    return passes.subject_coverage(asked, nations, claims, few)
 
 
 @query("""WITH r AS (SELECT o_orderkey AS a, o_orderkey + 1 AS b, CASE o_orderkey % 4 WHEN 0 THEN 'PREFER_A' WHEN 1 THEN 'PREFER_B' WHEN 2 THEN 'BOTH_VALID' ELSE 'DEFER' END AS res, o_orderkey AS seq FROM orders),

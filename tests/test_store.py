@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 import random
 
 import pytest
@@ -20,12 +22,41 @@ def test_listing_pages(spark):
     assert got == [("7", "infobox", "1 Mark (1948-1950) GDR: made of aluminium, weight 1.5g, diameter 17.0mm.", ["1 Mark (1948-1950) GDR", "East", "Standard", "Aluminium"], 0.92)]
 
 
-def test_artefacts(spark):
-    rows = spark.createDataFrame([("a", '{"name": "t", "version": "1", "tags": [{"id": "x"}]}'), ("b", "{"), ("c", None)], "entry_id string, blob string")
-    got = {r.entry_id: (r.artefact is not None, r.note) for r in catalogues.artefacts(rows, "blob", catalogues.TAXONOMY).collect()}
-    assert got == {"a": (True, None), "b": (False, "no name"), "c": (False, "no name")}
-    lens = spark.createDataFrame([("a", '{"name": "l", "version": 1, "statements": [{"domain": "d", "trust_rank": 1.5}]}')], "entry_id string, blob string")
-    assert catalogues.artefacts(lens, "blob", catalogues.TRUST_LENS).first().note == "trust rank out of range"
+def notes_of(spark, blobs, schema):
+    rows = spark.createDataFrame([(str(i), b if b is None or isinstance(b, str) else json.dumps(b)) for i, b in enumerate(blobs)], "entry_id string, blob string")
+    return [(r.artefact, r.note) for r in sorted(catalogues.artefacts(rows, "blob", schema).collect(), key=lambda r: int(r.entry_id))]
+
+
+def test_taxonomies(spark):
+    good = {"name": "Coins", "version": "1.0", "author": "me", "tags": [{"tag": "a", "aliases": ["b"], "description": "d"}, {"tag": "a/b", "parent": "a"}, {"tag": "a/b/c", "parent": "a/b"}]}
+    tags = lambda *t: good | {"tags": list(t)}
+    cases = [
+        (good, None), (good | {"author": ""}, "no author"), ({k: v for k, v in good.items() if k != "version"}, "no version"), ("{", "no name"), (None, "no object"), ("[1]", "no object"), ({k: v for k, v in good.items() if k != "tags"}, "no tags"), (tags({"tag": ""}), "a tag without a name"),
+        (tags({"tag": "a", "parent": "b"}), "a tag whose parent isn't its path"), (tags({"tag": "a/b"}), "a tag whose parent isn't its path"), (tags({"tag": "a/b/c", "parent": "a"}), "a tag whose parent isn't its path"), (tags(), None),
+    ]
+    got = notes_of(spark, [c for c, _ in cases], catalogues.TAXONOMY)
+    assert [n for _, n in got] == [n for _, n in cases] and all((a is None) == (n is not None) for a, n in got)
+    assert [tuple(t) for t in got[0][0].tags] == [("a", None, ["b"], "d"), ("a/b", "a", None, None), ("a/b/c", "a/b", None, None)]
+
+
+def test_trust_lenses(spark):
+    good = {
+        "kind": "TrustLensDefinition", "name": "l", "version": 2, "publisher": "p", "statements": [{"domain": "d", "source_type": "s", "trust_rank": 0.4}], "extractor_weights": {"x": 0.8, "y": 1},
+        "url_rules": [{"scope": "domain", "pattern": "h", "score": 0.2}, {"scope": "url_pattern", "pattern": "/x/", "modifier": -0.3}], "decay_rules": [{"scope": "source_type", "pattern": "s", "half_life_days": 3, "floor": 0}], "utility_rules": [{"half_life_uses_days": 1, "rank_lift": 0}],
+    }
+    url, weight = "a URL rule that isn't one of domain and score or pattern and modifier", "extractor weight out of range"
+    decay = lambda **x: good | {"decay_rules": [good["decay_rules"][0] | x]}
+    cases = [
+        (good, None), (good | {"version": 0}, "version below 1"), (good | {"kind": "x"}, "another kind"), (good | {"name": ""}, "no name"), ({"name": "l"}, "no version"), ({"name": "l", "version": 1}, None), (good | {"extractor_weights": {"x": 1.5}}, weight),
+        (good | {"statements": [{"domain": "d", "source_type": "s", "trust_rank": 7}]}, "trust rank out of range"), (good | {"statements": [{"domain": "d", "trust_rank": 0.7}]}, "a statement without domain or source type"),
+        *[(good | {"url_rules": [r]}, url) for r in ({"scope": "domain", "pattern": "h", "score": 7}, {"scope": "domain", "pattern": "h", "modifier": 0.1}, {"scope": "domain", "pattern": "h", "score": 0.1, "modifier": 0.1}, {"scope": "url_pattern", "pattern": "", "modifier": 1}, {"scope": "else", "pattern": "h", "score": 0.1})],
+        (decay(scope="default"), "a decay rule that can't hold"), (decay(half_life_days=0), "a decay rule that can't hold"), (decay(floor=2), "a decay rule that can't hold"),
+        (good | {"utility_rules": [{"scope": "default", "pattern": "x", "half_life_uses_days": 1, "rank_lift": 0}]}, "a utility rule that can't hold"), (good | {"utility_rules": [{"scope": "url_pattern", "half_life_uses_days": 1, "rank_lift": 0}]}, "a utility rule that can't hold"),
+    ]
+    got = notes_of(spark, [c for c, _ in cases], catalogues.TRUST_LENS)
+    assert [n for _, n in got] == [n for _, n in cases]
+    lens = got[0][0]
+    assert lens.extractor_weights == {"x": 0.8, "y": 1.0} and [tuple(r) for r in lens.url_rules] == [("domain", "h", 0.2, None), ("url_pattern", "/x/", None, -0.3)] and lens.decay_rules[0].half_life_days == 3.0
 
 
 def test_docstrings_and_modules(spark):

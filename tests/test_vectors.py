@@ -134,4 +134,14 @@ def test_temperature_recovers(spark):
 
 def test_supersession_chains(spark):
     links = spark.createDataFrame([(i, i - 1) for i in range(1, 30)] + [(101, 100)], "claim_id long, supersedes long")
-    assert sorted(map(tuple, identity.supersession_roots(links).collect())) == [(i, 0, i) for i in range(1, 30)] + [(101, 100, 1)]
+    assert sorted(map(tuple, identity.supersession_roots(links).collect())) == [(i, 0, i, False) for i in range(1, 30)] + [(101, 100, 1, False)]
+
+
+def test_cycles_of_chains_are_told(spark):
+    """Cycles of every length to 9, one into itself, tails that lead into them, and chains beside them."""
+    links = [(100 * n + i, 100 * n + (i + 1) % n) for n in range(1, 10) for i in range(n)] + [(5000 + i, 5001 + i) for i in range(20)] + [(5020, 302)] + [(7000 + i, 7001 + i) for i in range(33)] + [(None, 1), (1, None)]
+    frame = spark.createDataFrame(links, "claim_id long, supersedes long")
+    got = {r.claim_id: (r.root, r.depth, r.cyclic) for r in identity.supersession_roots(frame).collect()}
+    cyclic = {c for c, _ in links if c and c != 1 and (c < 1000 or 5000 <= c <= 5020)}
+    assert got == {c: (None, None, True) for c in cyclic} | {7000 + i: (7033, 33 - i, False) for i in range(33)}
+    assert identity.supersession_roots(frame.limit(0)).collect() == []

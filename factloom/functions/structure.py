@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,6 +30,32 @@ def is_uri(value: Column, prefixes: Sequence[str] = ()) -> Column:
     return value.rlike(ABSOLUTE_IRI) | published_curie(value, prefixes)
 
 
+_TERM = "kind string, value string, datatype string, language string"
+
+
+def _built(text: Column, told: Column, position: str, prefixes: Sequence[str]) -> Column:
+    """A term from a string, or from what an object tells (the other is null)."""
+    some = lambda name: F.nullif(told[name], F.lit(""))
+
+    def with_value(value: Column) -> Column:
+        said = F.upper(F.trim(told["kind"]))
+        guess = F.when(is_uri(value, prefixes), "URI").when(text.isNotNull() & F.lit(position == "object"), "LITERAL").otherwise("TOKEN")
+        kind = F.when(text.isNull() & said.isin(*KINDS), said).otherwise(guess)
+        return F.when(value != "", let(kind if position == "object" else F.regexp_replace(kind, "^LITERAL$", "TOKEN"), lambda k: with_kind(value, k)))
+
+    def with_kind(value: Column, kind: Column) -> Column:
+        literal = kind == "LITERAL"
+        return F.struct(kind.alias("kind"), value.alias("value"), F.when(literal, some("datatype")).alias("datatype"), F.when(literal & some("datatype").isNull(), some("language")).alias("language"))
+
+    return let(F.trim(F.coalesce(text, told["value"], F.lit(""))), with_value)
+
+
+def _parts(plain: Column) -> Column:
+    """struct(text, told): a string, or the fields of an object's JSON."""
+    is_object = plain.startswith("{")
+    return F.struct(F.when(~is_object, plain).alias("text"), F.from_json(F.when(is_object, plain), _TERM).alias("told"))
+
+
 def term(raw: Column, position: str, prefixes: Sequence[str] = ()) -> Column:
     """struct(kind, value, datatype, language) of a term in a JSON reply; null if it has no value.
 
@@ -35,31 +63,29 @@ def term(raw: Column, position: str, prefixes: Sequence[str] = ()) -> Column:
     value, datatype and language. Only objects are literals, and only literals
     have a datatype or, without one, a language.
     """
-    text = F.when(raw.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), raw, F.lit("}")), "$.v"))
-    value = F.trim(F.coalesce(text, F.get_json_object(raw, "$.value"), F.lit("")))
-    said = F.upper(F.trim(F.get_json_object(raw, "$.kind")))
-    guess = F.when(is_uri(value, prefixes), "URI").otherwise(F.when(text.isNotNull() & F.lit(position == "object"), "LITERAL").otherwise("TOKEN"))
-    kind = F.when(text.isNull() & said.isin(*KINDS), said).otherwise(guess)
-    if position != "object":
-        kind = F.when(kind == "LITERAL", "TOKEN").otherwise(kind)
-    some = lambda name: F.nullif(F.get_json_object(raw, f"$.{name}"), F.lit(""))
-    datatype = F.when(kind == "LITERAL", some("datatype"))
-    return F.when(value != "", F.struct(kind.alias("kind"), value.alias("value"), datatype.alias("datatype"), F.when((kind == "LITERAL") & datatype.isNull(), some("language")).alias("language")))
+    plain = let(raw, lambda r: F.when(r.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), r, F.lit("}")), "$.v")).otherwise(r))
+    return let(plain, lambda p: let(_parts(p), lambda x: _built(x["text"], x["told"], position, prefixes)))
 
 
 def triple(raw: Column, structurizer: str, version: str, prefixes: Sequence[str] = ()) -> Column:
-    """struct(subject, predicate, object, structurizer, version) of a reply's JSON object; null unless all three terms are there."""
-
-    def read(position: str) -> Column:
-        plain = F.get_json_object(raw, f"$.{position}")  # a string comes without its quotes
-        quoted = let(F.to_json(F.array(plain)), lambda a: F.substring(a, F.lit(2), F.length(a) - 2))
-        return let(F.when(plain.startswith("{"), plain).otherwise(quoted), lambda q: term(q, position, prefixes))
-
-    parts = {p: read(p) for p in ("subject", "predicate", "object")}
-    whole = F.lit(True)
-    for x in parts.values():
-        whole &= x.isNotNull()
-    return F.when(whole, F.struct(*[x.alias(p) for p, x in parts.items()], F.lit(structurizer).alias("structurizer"), F.lit(version).alias("version")))
+    """struct(subject, predicate, object, structurizer, version) of a reply's JSON object; null unless all three terms are there.
+
+    The reply is parsed once, each term once; every name in the expression is
+    bound, so that the plan doesn't repeat them.
+    """
+    positions = ("subject", "predicate", "object")
+
+    def one(reply: Column, position: str) -> Column:
+        return let(_parts(reply[position]), lambda x: _built(x["text"], x["told"], position, prefixes)).alias(position)
+
+    def read(reply: Column) -> Column:
+        return F.struct(*[one(reply, p) for p in positions])
+
+    def whole(parts: Column) -> Column:
+        there = reduce(and_, [parts[p].isNotNull() for p in positions])
+        return F.when(there, F.struct(*[parts[p].alias(p) for p in positions], F.lit(structurizer).alias("structurizer"), F.lit(version).alias("version")))
+
+    return let(F.from_json(raw, "subject string, predicate string, object string"), lambda r: let(read(r), whole))
 
 
 def bound_subject(subject: Column, names: Column, ids: Column, refs: Column | None = None) -> Column:

@@ -88,3 +88,10 @@ def test_parts_are_bounded(spark):
     parts = render.document_parts(df, ["source"], "line", ["k"], most=100).collect()
     assert joined(parts) == {s: "\n\n".join(x for g, _, x in claims if g == s and x is not None) for s in ("hot", None, "one")}
     assert all(len(r.document) <= 100 or r.lines == 1 for r in parts) and sum(r.source == "hot" for r in parts) > 100
+
+
+@needs_tables
+def test_reading_triples_has_a_small_plan(spark):
+    """Each term is parsed once: no expression stands in the plan again and again."""
+    plan = QUERIES["triples_read"](spark, str(FOLDER))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 10_000 and plan.count("from_json") <= 4

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import names
 from factloom.functions import vectors as v
-from factloom.operators import review
+from factloom.operators import review, similar
 from factloom.plans import claims, content
 from factloom.plans.registry import SQL, query, table
 
@@ -72,6 +72,14 @@ def embedding_conflict_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return review.conflict_candidates(queries, rows, "label", F.round(v.cosine(F.col("query"), F.col("embedding")), 6), 0.2)
 
 
+@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS (SELECT x.label, x.vec_id AS a, y.vec_id AS b, list_dot_product(x.v, y.v) / sqrt(list_dot_product(x.v, x.v) * list_dot_product(y.v, y.v)) AS sim FROM e x JOIN e y ON x.label = y.label AND x.vec_id < y.vec_id)
+SELECT label, a, b, round(least(sim, 1), 6) AS sim FROM p WHERE sim >= 0.3""")
+def similar_claims(spark: SparkSession, folder: str) -> DataFrame:
+    """All pairs of similar claims of a subject, compared block by block."""
+    pairs, _ = similar.similar_pairs(table(spark, folder, "embeddings"), "vec_id", "label", "embedding", 0.3, exact=True, block=64)
+    return pairs.select(F.col("subject").alias("label"), "a", "b", F.round("sim", 6).alias("sim"))
+
+
 @query("SELECT page_id, CASE WHEN starts_with(url, 'https://www.') THEN 'site:' || substr(url, 13) WHEN starts_with(url, 'https://') THEN 'web:' || substr(url, 9) WHEN starts_with(url, 'http://') THEN 'plain:' || substr(url, 8) END AS curie FROM pages")
 def curies(spark: SparkSession, folder: str) -> DataFrame:
     known = {"plain": "http://", "web": "https://", "site": "https://www."}

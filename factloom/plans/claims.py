@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions import claims as c
 from factloom.functions import confidence as conf
 from factloom.functions import text as t
-from factloom.operators import identity, scoring
+from factloom.operators import identity, scoring, status_logs
 from factloom.plans.registry import query, table
 
 NOW = "2024-06-01 00:00:00"
@@ -218,6 +218,22 @@ def status_transition_check(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").select("o_orderkey", c.allowed_transition(old, new).alias("allowed"))
 
 
+_CHANGES = ["ACTIVE", "SUPERSEDED", "ACTIVE", "PROVENANCE_STALE", "SUPERSEDED", "INCONSISTENCY", "ACTIVE", "SUPERSEDED"]
+
+
+@query("""WITH l AS (SELECT l_partkey AS claim, l_orderkey * 8 + l_linenumber AS seq, CASE WHEN l_quantity = 50 AND l_linenumber > 4 THEN 'RETRACTED' ELSE ['ACTIVE', 'SUPERSEDED', 'ACTIVE', 'PROVENANCE_STALE', 'SUPERSEDED', 'INCONSISTENCY', 'ACTIVE', 'SUPERSEDED'][CAST(l_suppkey % 8 + 1 AS INT)] END AS t, l_linenumber % 2 = 0 AS merged FROM lineitem),
+s AS (SELECT claim, seq, CASE WHEN t = 'SUPERSEDED' AND merged THEN 'MERGED' ELSE t END AS t FROM l),
+f AS (SELECT claim, count(*) AS steps, list_reduce(list_prepend('', list(t ORDER BY seq)), lambda s, t: CASE WHEN replace(s, '!', '') || '>' || t IN
+ ('>ACTIVE','>INCONSISTENCY','>PROVENANCE_STALE','ACTIVE>SUPERSEDED','ACTIVE>MERGED','ACTIVE>RETRACTED','ACTIVE>PROVENANCE_STALE','INCONSISTENCY>PROVENANCE_STALE','INCONSISTENCY>RETRACTED','INCONSISTENCY>INCONSISTENCY','PROVENANCE_STALE>SUPERSEDED','PROVENANCE_STALE>MERGED','PROVENANCE_STALE>RETRACTED','MERGED>ACTIVE') THEN t || repeat('!', length(s) - length(replace(s, '!', ''))) ELSE s || '!' END) AS s FROM s GROUP BY claim)
+SELECT claim, replace(nullif(replace(s, '!', ''), ''), 'MERGED', 'SUPERSEDED') AS status, steps, length(s) - length(replace(s, '!', '')) AS refused FROM f""")
+def status_logs_reduced(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line of an order is a step in the log of its part."""
+    to = F.when((F.col("l_quantity") == 50) & (F.col("l_linenumber") > 4), "RETRACTED").otherwise(F.element_at(F.array(*map(F.lit, _CHANGES)), (F.col("l_suppkey") % 8 + 1).cast("int")))
+    why = F.when(F.col("l_linenumber") % 2 == 0, status_logs.REVERSIBLE)
+    log = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("claim"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), to.alias("to"), why.alias("why"))
+    return status_logs.statuses(log, "claim", "seq", "to", "why").drop("first_refused")
+
+
 @query("""SELECT o_orderpriority, count(*) FILTER (p = 0 OR p = 1 OR (p = 2 AND o_custkey % 7 >= 3)) AS passing, least(count(*), 500) AS processed, count(*) > 500 AS capped FROM (SELECT *, o_orderkey % 3 AS p FROM orders) GROUP BY 1""")
 def cascade_gate_cap(spark: SparkSession, folder: str) -> DataFrame:
     p = F.element_at(F.array(F.lit("OPERATOR_DIRECT"), F.lit("REGISTRY_ENDORSED"), F.lit("REVIEWER_DERIVED")), (F.col("o_orderkey") % 3 + 1).cast("int"))

@@ -1,40 +1,51 @@
 """Threads as chunks of text for a model: the body first, then comments packed to size.
 
-A thread's comments are one row while they are packed. What is deposited of a
-thread is bounded where it is fetched: at most MOST_COMMENTS. A longer thread
-keeps all its comments here, but has to fit a row.
+Comments are packed in blocks of rows (packing.packs), so a thread of any length
+is spread over tasks; what comes together is a chunk's lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.binding import let
 from factloom.functions.text import stripped
-from factloom.operators.documents import packed, plain_text
+from factloom.operators import packing
+from factloom.operators.documents import plain_text
 from factloom.operators.threads import tree_paths
 
 #: Sizes of chunks in characters, and what a thread is fetched with.
 SINGLE, CHUNK, BODY_LIMIT, INDENT, MOST_COMMENTS = 30_000, 10_000, 1000, 2, 200
 
 
-def comment_chunks(lines: DataFrame, headers: DataFrame, name: str = "comments", title: str = "COMMENTS", gap: str = "\n", single: int = SINGLE, most: int = CHUNK, last: str = ":") -> DataFrame:
+def comment_chunks(lines: DataFrame, headers: DataFrame, name: str = "comments", title: str = "COMMENTS", gap: str = "\n", single: int = SINGLE, most: int = CHUNK, last: str = ":", more: int = 0) -> DataFrame:
     """thread, n, chunk_id, chunk of lines(thread, place, line, cost) below headers(thread, header).
 
     One chunk if the costs of a thread reach at most ``single``, else greedy
-    packs of at most ``most``, numbered. Lines that are null cost, but aren't shown.
+    packs of at most ``most``, numbered; packs count ``more`` for each line.
+    Lines that are null cost, but aren't shown.
     """
-    rows = lines.groupBy("thread").agg(F.array_sort(F.collect_list(F.struct("place", "line", "cost"))).alias("rows"))
-    total = F.aggregate("rows", F.lit(0).cast("long"), lambda a, r: a + r["cost"])
-    packs = F.when(total <= single, F.transform("rows", lambda r: F.lit(0))).otherwise(packed(F.transform("rows", lambda r: r["cost"].cast("long")), most))
-    rows = rows.select("thread", "rows", (total <= single).alias("one"), packs.alias("packs")).withColumn("of", F.array_max("packs") + 1)
-    rows = rows.withColumn("n", F.explode(F.sequence(F.lit(1), "of"))).join(headers, "thread", "left")
-    own = F.filter("rows", lambda r, i: (F.get(F.col("packs"), i) == F.col("n") - 1) & r["line"].isNotNull())
-    number = F.concat_ws("/", "n", "of")
-    heading = F.when(F.col("one"), F.lit(f"{title}{last}")).otherwise(F.concat(F.lit(f"{title} (chunk "), number, F.lit(f"){last}")))
-    chunk = F.concat_ws(gap, F.col("header"), heading, F.transform(own, lambda r: r["line"]))
-    return rows.select("thread", "n", F.when(F.col("one"), name).otherwise(F.concat(F.lit(f"{name}_"), "n", F.lit("_of_"), "of")).alias("chunk_id"), chunk.alias("chunk"))
+    totals = lines.groupBy("thread").agg((F.sum("cost") <= single).alias("one"))
+    rows, sizes = packing.packs(lines.withColumn("cost", F.col("cost") + more), "thread", "place", "cost", most)
+    rows = rows.join(totals, "thread").join(sizes.select("thread", "packs"), "thread")
+    rows = rows.select("thread", "place", "line", "one", F.when(F.col("one"), 1).otherwise(F.col("pack") + 1).cast("int").alias("n"), F.when(F.col("one"), 1).otherwise(F.col("packs")).cast("int").alias("of"))
+    shown = F.transform(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("place", "line")))), lambda r: r["line"])
+    packed = rows.groupBy("thread", "one", "n", "of").agg(shown.alias("lines")).join(headers, "thread", "left")
+    heading = F.when(F.col("one"), F.lit(f"{title}{last}")).otherwise(F.concat(F.lit(f"{title} (chunk "), F.concat_ws("/", "n", "of"), F.lit(f"){last}")))
+    chunk_id = F.when(F.col("one"), name).otherwise(F.concat(F.lit(f"{name}_"), "n", F.lit("_of_"), "of"))
+    return packed.select("thread", "n", chunk_id.alias("chunk_id"), F.concat_ws(gap, F.col("header"), heading, F.col("lines")).alias("chunk"))
+
+
+#: Parts that a thread's comments are dealt over before its first ones are sought.
+PARTS = 64
+
+
+def first_rows(rows: DataFrame, order: list[Column], top: int) -> DataFrame:
+    """rows with place (from 0): the first ``top`` of each thread, sought in parts of it first."""
+    part = Window.partitionBy("thread", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "thread"]), F.lit(PARTS)))
+    some = rows.withColumn("place", F.row_number().over(part.orderBy(*order))).where(F.col("place") <= top)
+    return some.withColumn("place", F.row_number().over(Window.partitionBy("thread").orderBy(*order)) - 1).where(F.col("place") < top)
 
 
 def _with_bodies(bodies: DataFrame, name: str, chunks: DataFrame) -> DataFrame:
@@ -84,8 +95,8 @@ def forum_chunks(posts: DataFrame, comments: DataFrame, least_score: int = 2, to
     score = F.coalesce("score", F.lit(0))
     kept = tree.where((F.coalesce("body", F.lit("")) != "") & ~F.col("body").isin("[deleted]", "[removed]") & (score >= least_score))
     line = F.concat(F.lit("[score:"), score.cast("string"), F.lit("] u/"), F.coalesce("author", F.lit("")), F.lit(": "), F.left("body", F.lit(limit)))
-    ranked = kept.groupBy("thread").agg(F.slice(F.array_sort(F.collect_list(F.struct((-score).alias("order"), "depth", "path", line.alias("line"), (F.least(F.length("body"), F.lit(limit)) + 30).alias("cost")))), 1, top).alias("rows"))
-    lines = ranked.select("thread", F.posexplode("rows").alias("place", "r")).select("thread", "place", "r.line", "r.cost")
+    each = kept.select("thread", (-score).alias("order"), "depth", "path", line.alias("line"), (F.least(F.length("body"), F.lit(limit)) + 30).alias("cost"))
+    lines = first_rows(each, [F.asc("order"), F.asc("depth"), F.asc("path")], top).select("thread", "place", "line", "cost")
     return _with_bodies(bodies, "body", comment_chunks(lines, headers, title="TOP COMMENTS", single=single, most=most))
 
 
@@ -131,11 +142,7 @@ def status_chunks(statuses: DataFrame, replies: DataFrame, indent: int = INDENT,
     lines = tree.select("thread", F.col("path").alias("place"), said(F.struct("account", "content", "boosted", "warning"), F.col("depth")).alias("line"))
     lines = lines.withColumn("cost", F.length("line"))
     # one more for the line's end, which only the packs count
-    total = lines.groupBy("thread").agg(F.sum("cost").alias("total"))
-    short = lines.join(total.where(F.col("total") <= single).select("thread"), "thread", "left_semi")
-    long = lines.join(total.where(F.col("total") > single).select("thread"), "thread", "left_semi").withColumn("cost", F.col("cost") + 1)
-    chunks = [comment_chunks(x, headers, "replies", "REPLIES", single=limit, most=most) for x, limit in ((short, single), (long, 0))]
-    return _with_bodies(bodies, "status", chunks[0].unionByName(chunks[1]))
+    return _with_bodies(bodies, "status", comment_chunks(lines, headers, "replies", "REPLIES", single=single, most=most, more=1))
 
 
 def gist_chunks(gists: DataFrame, comments: DataFrame, top: int = 50, limit: int = BODY_LIMIT, single: int = SINGLE, most: int = CHUNK) -> DataFrame:
@@ -154,9 +161,8 @@ def gist_chunks(gists: DataFrame, comments: DataFrame, top: int = 50, limit: int
     header = let(F.concat_ws(", ", by, titled), lambda h: F.when(h == "", "# Gist comments").otherwise(F.concat(F.lit("# "), h, F.lit("."))))
     headers = gists.select("thread", header.alias("header"))
     line = F.when((some(F.col("login")) != "") & (F.trim(some(F.col("body"))) != ""), F.concat(F.lit("gh/"), "login", F.lit(": "), F.left("body", F.lit(limit))))
-    row = F.struct("ordinal", line.alias("line"), (F.least(F.length(some(F.col("body"))), F.lit(limit)) + 30).alias("cost"))
-    first = comments.groupBy("thread").agg(F.slice(F.array_sort(F.collect_list(row)), 1, top).alias("rows"))
-    lines = first.select("thread", F.posexplode("rows").alias("place", "r")).select("thread", "place", "r.line", "r.cost")
+    each = comments.select("thread", "ordinal", line.alias("line"), (F.least(F.length(some(F.col("body"))), F.lit(limit)) + 30).alias("cost"))
+    lines = first_rows(each, [F.asc("ordinal"), F.asc_nulls_first("line"), F.asc("cost")], top).select("thread", "place", "line", "cost")
     return _with_bodies(bodies, "body", comment_chunks(lines, headers, title="## Comments", gap="\n\n", single=single, most=most, last=""))
 
 

@@ -53,7 +53,7 @@ def thread_news_chunks(spark: SparkSession, folder: str) -> DataFrame:
 @query(_sql(
     "SELECT thread, 'REDDIT THREAD: r/talk — Post ' || thread || chr(10) || 'Posted by u/a' || thread || ' [score: 5]' || chr(10) || chr(10) || 'body ' || thread AS body FROM c WHERE id = 0", "body",
     "'# Context: comments on r/talk thread — Post ' || m.thread",
-    f"{_tree('id % 6 <> 5')}, s AS (SELECT *, (thread * 7 + id * 3) % 11 AS score FROM t WHERE text <> ''), v AS (SELECT thread, row_number() OVER (PARTITION BY thread ORDER BY score DESC, depth, path) AS i, '[score:' || score || '] u/' || role || ': ' || left(text, 200) AS line, least(length(text), 200) + 30 AS cost FROM s WHERE score >= 2)",
+    f"{_tree('id % 6 <> 5')}, s AS (SELECT *, (thread * 7 + id * 3) % 11 AS score FROM t WHERE text <> ''), v AS (SELECT thread, row_number() OVER (PARTITION BY thread ORDER BY score DESC, depth, path) AS i, '[score:' || score || '] u/' || role || ': ' || left(text, 1000) AS line, least(length(text), 1000) + 30 AS cost FROM s WHERE score >= 2)",
     "comments", "TOP COMMENTS", "chr(10)", 700, 450,
 ))
 def thread_forum_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,7 +61,7 @@ def thread_forum_chunks(spark: SparkSession, folder: str) -> DataFrame:
     name = F.col("thread").cast("string")
     posts = turns.where("id = 0").select("thread", F.lit("talk").alias("forum"), F.concat(F.lit("Post "), name).alias("title"), F.concat(F.lit("a"), name).alias("author"), F.lit(5).alias("score"), F.concat(F.lit("body "), name).alias("text"))
     comments = turns.select("thread", "id", "parent", "ordinal", F.when(F.col("id") % 6 != 5, "t1").otherwise("more").alias("kind"), F.col("role").alias("author"), ((F.col("thread") * 7 + F.col("id") * 3) % 11).alias("score"), F.col("text").alias("body"))
-    return chunks.forum_chunks(posts, comments, limit=200, single=700, most=450).select("thread", "n", "chunk_id", "chunk_hash")
+    return chunks.forum_chunks(posts, comments, single=700, most=450).select("thread", "n", "chunk_id", "chunk_hash")
 
 
 _REPLY = "'mastodon/' || role || id || ': ' || 'Said ' || id || ' & done'"
@@ -90,7 +90,7 @@ def thread_status_chunks(spark: SparkSession, folder: str) -> DataFrame:
 @query(_sql(
     "SELECT thread, 'Gist description: Notes ' || thread || chr(10) || chr(10) || 'Gist by gh/me' || chr(10) || chr(10) || '## a.py' || chr(10) || chr(10) || 'x = ' || thread AS body FROM c WHERE id = 0", "body",
     "'# Context: comments on a gist by gh/me, titled \"Notes ' || m.thread || '\".'",
-    "v AS (SELECT thread, row_number() OVER (PARTITION BY thread ORDER BY id) AS i, 'gh/' || role || ': ' || left(text, 150) AS line, least(length(text), 150) + 30 AS cost FROM c WHERE id < 6)",
+    "v AS (SELECT thread, row_number() OVER (PARTITION BY thread ORDER BY id) AS i, 'gh/' || role || ': ' || left(text, 1000) AS line, least(length(text), 1000) + 30 AS cost FROM c QUALIFY row_number() OVER (PARTITION BY thread ORDER BY id) <= 50)",
     "comments", "## Comments", "chr(10) || chr(10)", 600, 400, last="",
 ))
 def thread_gist_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,7 +99,7 @@ def thread_gist_chunks(spark: SparkSession, folder: str) -> DataFrame:
     files = F.array(F.struct(F.lit("a.py").alias("name"), F.concat(F.lit("x = "), name).alias("content")))
     gists = turns.where("id = 0").select("thread", F.concat(F.lit("Notes "), name).alias("description"), F.lit("me").alias("owner"), files.alias("files"))
     comments = turns.select("thread", "ordinal", F.col("role").alias("login"), F.col("text").alias("body"))
-    return chunks.gist_chunks(gists, comments, top=6, limit=150, single=600, most=400).select("thread", "n", "chunk_id", "chunk_hash")
+    return chunks.gist_chunks(gists, comments, single=600, most=400).select("thread", "n", "chunk_id", "chunk_hash")
 
 
 @query("""WITH c AS (SELECT conv_id AS thread, turn, min(role) || turn % 3 AS login, coalesce(min(text), '') AS text FROM conversations GROUP BY conv_id, turn),

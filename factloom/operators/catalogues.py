@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.binding import let
+from factloom.operators.shared import bounded_batches
 
 #: Classes of concepts, and where concepts and pieces live.
 CONCEPTS = ("nmo:Material", "nmo:Denomination", "nmo:Mint", "nmo:Authority", "nmo:Issuer", "nmo:ObjectType", "nmo:NumismaticObject", "nmo:Region", "nmo:Collection")
@@ -180,6 +181,7 @@ def listing_claims(pages: DataFrame, html: str, short: Mapping[str, str]) -> Dat
             rows = [row for page in b.column(0).to_pylist() for row in _listed_pieces(page or "")]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in kinds.items()], names=list(kinds))
 
+    bounded_batches(pages.sparkSession)
     rows = pages.select(html).mapInArrow(read, "coin string, code string, issuer string, title string, low int, high int, type string, material string, weight double, size double")
     label = coin_label(F.col("title"), F.col("low"), F.col("high"), issuer_suffix(F.col("code"), F.col("issuer"), short))
     rows = rows.withColumns({"label": label, "refs": F.array().cast("array<string>"), "issuer": F.nullif("issuer", F.lit("")), "type": F.nullif("type", F.lit(""))})

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.operators.shared import bounded_batches
+
 _ITEM = "id:long,`by`:string,text:string,dead:boolean,deleted:boolean,score:long,kids:array<long>"
 NEWS = f"story struct<{_ITEM},title:string,url:string,descendants:long>, comments map<string,struct<{_ITEM}>>"
 _STATUS = "id:string,uri:string,content:string,spoiler_text:string,language:string,in_reply_to_id:string,favourites_count:long,reblogs_count:long,replies_count:long,account:struct<acct:string>,card:struct<url:string>,reblog:struct<id:string,uri:string,content:string,account:struct<acct:string>>"
@@ -42,6 +44,7 @@ def forum(documents: DataFrame, key: str, blob: str) -> tuple[DataFrame, DataFra
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p for p, _ in found], pa.string()), pa.array([r for _, r in found], pa.list_(pa.struct(fields)))], names=["thread", "post", "rows"])
 
     rows = documents.select(F.col(key).alias("thread"), blob)
+    bounded_batches(rows.sparkSession)
     rows = rows.mapInArrow(read, T.StructType([rows.schema["thread"], *T.StructType.fromDDL(_FORUM)])).where("post IS NOT NULL")
     said = lambda n: F.get_json_object("post", f"$.{n}")
     posts = rows.select("thread", said("subreddit").alias("forum"), said("title").alias("title"), said("author").alias("author"), said("score").try_cast("long").alias("score"), said("selftext").alias("text"))

@@ -22,7 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.operators.shared import Tables
+from factloom.operators.shared import Tables, gathered
+
+#: Rows of a block, about.
+BLOCK_ROWS = 1 << 14
 
 
 def next_starts(costs: np.ndarray, most: int) -> np.ndarray:
@@ -76,9 +79,7 @@ def packs(rows: DataFrame, group: str, place: str, cost: str, most: int, ranges:
 
     def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in gathered(batches, BLOCK_ROWS):
             keys = b.column(0)
             same = pa.compute.fill_null(pa.compute.equal(keys.slice(1), keys.slice(0, len(keys) - 1)), False).to_numpy(zero_copy_only=False) | (pa.compute.is_null(keys.slice(1)).to_numpy(zero_copy_only=False) & pa.compute.is_null(keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False))
             run = np.concatenate(([0], np.cumsum(~same)))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.operators.shared import written
+from factloom.operators.shared import Tables, bounded_batches
 
 #: Call-out by status.
 CALLOUTS = {"ACTIVE": "note", "SUPERSEDED": "abstract", "RETRACTED": "failure", "INCONSISTENCY": "warning", "PROVENANCE_STALE": "question"}
@@ -71,7 +71,8 @@ def document_parts(claims: DataFrame, group: Sequence[str], line: str, order: Se
         if held:
             yield part()
 
-    parts = written(rows.mapInArrow(cut, schema))  # the ranges are drawn once
+    bounded_batches(rows.sparkSession)
+    parts = Tables(rows.sparkSession).written(rows.mapInArrow(cut, schema))  # the ranges are drawn once
     counts = parts.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     same = F.lit(True)
@@ -181,6 +182,7 @@ def projected_regions(files: DataFrame, path: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=[path, "region", "manifest", "body", "start", "end"])
 
     rows = files.select(path, text)
+    bounded_batches(rows.sparkSession)
     return rows.mapInArrow(find, T.StructType([rows.schema[path], *T.StructType.fromDDL("region string, manifest string, body string, start long, end long")]))
 
 

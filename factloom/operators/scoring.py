@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions.confidence import age_days, calibrated, decayed, saturated
-from factloom.operators.shared import written
+from factloom.operators.shared import Tables
 
 
 def merged_confidence(claims: DataFrame, group: Sequence[str], source: str, confidence: str) -> DataFrame:
@@ -22,9 +22,9 @@ def merged_confidence(claims: DataFrame, group: Sequence[str], source: str, conf
     ranked in parts; products combine before the shuffle.
     """
     keys = [*group, source]
-    tie = F.xxhash64(*claims.columns)
-    rows = claims.where(F.col(confidence).isNotNull()).repartitionByRange(*keys, F.col(confidence).desc(), tie).withColumn("_range", F.spark_partition_id())
-    rows = written(rows.select(*keys, confidence, "_range"))  # the ranges are drawn once
+    some = claims.select(*keys, confidence).where(F.col(confidence).isNotNull()).withColumn("_row", F.monotonically_increasing_id())  # parts equal confidences
+    rows = some.repartitionByRange(*keys, F.col(confidence).desc(), "_row").select(*keys, confidence, F.spark_partition_id().alias("_range"))
+    rows = Tables(claims.sparkSession).written(rows)  # the ranges are drawn once
     counts = rows.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     same = F.col("r._range") == F.col("b._range")
@@ -107,12 +107,19 @@ def head_outcomes(head: DataFrame, sizes: Sequence[int], distinct_ratio: float =
 def spread_of(rows: DataFrame, group: str, value: str) -> DataFrame:
     """group, n, low, middle, high: count, minimum, exact median and maximum of a value.
 
-    Values are counted first; the median is read off the running count, so a
-    group's different values meet in one task, not its rows.
+    Values are counted first, and dealt by ranges of group and value: the median
+    is read off the running count, whose start in each range is the sum of those
+    before, so neither a group's rows nor its different values meet in one task.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("m"))
-    order = W.partitionBy(group).orderBy(value)
-    places = counts.withColumn("upto", F.sum("m").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("m").over(W.partitionBy(group)))
+    ranged = counts.repartitionByRange(F.col(group).asc_nulls_first(), value).withColumn("_range", F.spark_partition_id())
+    counts = Tables(rows.sparkSession).written(ranged)
+    sums = counts.groupBy(group, "_range").agg(F.sum("m").alias("_m"))
+    whole = W.partitionBy(group)
+    before = sums.select(group, "_range", (F.sum("_m").over(whole.orderBy("_range").rowsBetween(W.unboundedPreceding, 0)) - F.col("_m")).alias("_before"), F.sum("_m").over(whole).alias("n"))
+    same = F.col(f"c.{group}").eqNullSafe(F.col(f"b.{group}")) & (F.col("c._range") == F.col("b._range"))
+    order = W.partitionBy(group, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    places = counts.alias("c").join(before.alias("b"), same).select("c.*", "b._before", "b.n").withColumn("upto", F.col("_before") + F.sum("m").over(order))
     inside = lambda at: (F.col("upto") >= at) & (F.col("upto") - F.col("m") < at)
     lower, upper = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
     middle = (F.max(F.when(inside(lower), F.col(value))) + F.max(F.when(inside(upper), F.col(value)))) / 2

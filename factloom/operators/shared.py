@@ -5,7 +5,9 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -61,8 +63,20 @@ class Tables:
 BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Python gets batches of at most BATCH_ROWS rows and about BATCH_BYTES, or one row.
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Python gets batches of at most so many rows and about BATCH_BYTES, or one row.
     Plans read these two settings when they run, so they stay set in the session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together, in order, until they have so many rows."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if any(x.num_rows for x in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]

@@ -21,12 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.functions.claims import TRANSITIONS
+from factloom.operators.shared import gathered
 
 #: Fixed value: the only reason for which a superseded claim may become active again.
 REVERSIBLE = "DUPLICATE_MERGED"
 #: The states: no claim yet, the statuses, and a superseded claim that may come back.
 STATES = (None, "ACTIVE", "INCONSISTENCY", "PROVENANCE_STALE", "SUPERSEDED", "RETRACTED", f"SUPERSEDED {REVERSIBLE}")
 _BACK = len(STATES) - 1
+#: Steps of a block, about.
+BLOCK_ROWS = 1 << 14
 _NONE = np.iinfo(np.int64).max
 
 
@@ -83,9 +86,7 @@ def _reduced(name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = TaskContext.get().partitionId() << 32
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in gathered(batches, BLOCK_ROWS):
             change = b.column("change").to_numpy()
             to = _NEXT[change]
             refused = (to < 0).astype(np.int64)
@@ -125,8 +126,8 @@ def statuses(log: DataFrame, claim: str, seq: str, to: str, reason: str | None =
     claim becomes active again only if it was superseded as a merged duplicate.
     Steps without a claim or a seq are left out; status is null where no step
     was taken. The log is cut into ranges of (claim, seq), so that a claim with
-    most of the rows is spread over tasks; its blocks, one for each batch of
-    rows, meet at the end.
+    most of the rows is spread over tasks; its blocks, of BLOCK_ROWS steps
+    or more, meet at the end.
     """
     spark = log.sparkSession
     why = F.col(reason) if reason else F.lit(None).cast("string")

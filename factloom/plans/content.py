@@ -9,7 +9,7 @@ from factloom.functions import text as t
 from factloom.functions import url as u
 from factloom.functions import vectors as v
 from factloom.operators import documents as d
-from factloom.operators import identity
+from factloom.operators import identity, packing
 from factloom.plans.registry import query, table
 from factloom.sources import interchange
 from factloom.streaming import events as ev
@@ -138,21 +138,20 @@ p AS (SELECT conv_id, turn, i, cost AS used, 0 AS pack FROM o WHERE i = 1 UNION
 SELECT conv_id, turn, pack FROM p""")
 def thread_pack(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", (F.least(F.length("text"), F.lit(1000)) + 30).cast("long").alias("cost"))
-    threads = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "cost"))).alias("turns"))
-    packs = threads.select("conv_id", "turns", d.packed(F.col("turns.cost"), 600).alias("packs"))
-    return packs.select("conv_id", F.explode(F.arrays_zip("turns", "packs")).alias("x")).select("conv_id", "x.turns.turn", F.col("x.packs").alias("pack"))
+    packs, _ = packing.packs(rows, "conv_id", "turn", "cost", 600)
+    return packs.select("conv_id", "turn", F.col("pack").cast("int").alias("pack"))
 
 
 _TOK = "list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9_]{3,}'))"
 
 
-@query(f"""WITH c AS (SELECT conv_id, turn, unnest({_TOK.replace('text', 'left(text, 120)')}) AS token, len({_TOK.replace('text', 'left(text, 120)')}) AS n FROM conversations WHERE role = 'user'), m AS (SELECT conv_id, turn, unnest({_TOK}) AS token FROM conversations WHERE role = 'user'),
+@query(f"""WITH c AS (SELECT conv_id, turn, unnest({_TOK}) AS token, len({_TOK}) AS n FROM conversations WHERE role <> 'user'), m AS (SELECT conv_id, turn, unnest({_TOK}) AS token FROM conversations WHERE role = 'user'),
 s AS (SELECT c.conv_id, c.turn, m.turn AS comment_turn, count(*) AS shared, max(n) AS n FROM c JOIN m ON c.conv_id = m.conv_id AND c.token = m.token GROUP BY 1, 2, 3)
 SELECT conv_id * 10000 + turn AS claim_id, comment_turn, shared FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY shared DESC, comment_turn) AS r FROM s WHERE shared >= 2 AND shared >= n * 0.2) WHERE r = 1""")
 def commenter_attribution(spark: SparkSession, folder: str) -> DataFrame:
-    """Claims that repeat the start of a user's turn find the turn."""
-    rows = table(spark, folder, "conversations").dropDuplicates(["conv_id", "turn"]).select(F.col("conv_id").alias("thread"), "turn", "role", t.content_tokens(F.col("text"), ()).alias("tokens"), t.content_tokens(F.left("text", F.lit(120)), ()).alias("start"))
-    claims = rows.where("role = 'user'").select((F.col("thread") * 10000 + F.col("turn")).alias("claim_id"), "thread", F.col("start").alias("tokens"))
+    """Answers find the user's turn that they take most words from."""
+    rows = table(spark, folder, "conversations").select(F.col("conv_id").alias("thread"), "turn", "role", t.content_tokens(F.col("text"), ()).alias("tokens"))
+    claims = rows.where("role <> 'user'").select((F.col("thread") * 10000 + F.col("turn")).alias("claim_id"), "thread", "tokens")
     comments = rows.where("role = 'user'").select(F.col("turn").alias("comment_id"), "thread", F.col("turn").alias("ordinal"), "tokens")
     return d.attributed(claims, comments).select("claim_id", F.col("comment_id").alias("comment_turn"), "shared")
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions import sites
+from factloom.functions import confidence, sites
 from factloom.functions import structure as st
-from factloom.operators import catalogues, conformance, passes, render, replies
+from factloom.operators import catalogues, conformance, passes, render, replies, scoring
 from factloom.plans.registry import query, table
 from factloom.sources import interchange
 
@@ -221,12 +221,26 @@ def probes_scheduled(spark: SparkSession, folder: str) -> DataFrame:
     return passes.scheduled(rows, "o_orderpriority", [F.col("o_orderdate")], 25).select("id", F.col("place").cast("long").alias("place"), "taken")
 
 
-@query("""WITH l AS (SELECT ((doc_id * 37) % 101) / 100.0 AS raw, quality = 1 AS ok FROM labels), i AS (SELECT * FROM l WHERE raw > 1e-7 AND raw < 1 - 1e-7)
-SELECT (SELECT count(*) FROM l) AS n, count(*) AS n_fitted, (SELECT count(*) FROM l) - count(*) AS n_saturated, count(DISTINCT raw) AS distinct_raw, round(avg(ok::INT), 6) AS positive_rate, true AS trustworthy FROM i""")
+_ECE = "(SELECT sum(n * abs(c - a)) / sum(n) FROM (SELECT count(*) AS n, avg({p}) AS c, avg(ok::INT) AS a FROM i, best GROUP BY least(floor({p} * 10), 9)))"
+_COOL = "(1 / (1 + pow((1 - raw) / raw, 1 / best.t)))"
+
+
+@query(f"""WITH l AS (SELECT CASE WHEN (doc_id * 53) % 89 < 9 THEN 1 - x ELSE x END AS raw, ok FROM (SELECT doc_id, quality = 1 AS ok, CASE WHEN quality = 1 THEN 1 - ((doc_id * 37) % 101) / 250.0 ELSE ((doc_id * 37) % 101) / 250.0 END AS x FROM labels)), i AS (SELECT * FROM l WHERE raw > 1e-7 AND raw < 1 - 1e-7),
+f AS (SELECT t, sum(-ln(CASE WHEN ok THEN 1 / (1 + pow((1 - raw) / raw, 1 / t)) ELSE 1 - 1 / (1 + pow((1 - raw) / raw, 1 / t)) END)) AS loss FROM i, (SELECT unnest(range(1, 1001)) / 100.0 AS t) GROUP BY t), best AS (SELECT min_by(t, loss) AS t FROM f),
+e AS (SELECT {_ECE.format(p='raw')} AS before, {_ECE.format(p=_COOL)} AS after)
+SELECT (SELECT count(*) FROM l) AS n, count(*) AS n_fitted, (SELECT count(*) FROM l) - count(*) AS n_saturated, count(DISTINCT raw) AS distinct_raw, round(avg(ok::INT), 6) AS positive_rate,
+ (SELECT t <= 0.011 OR t >= 9.999 FROM best) AS hit_bound, (SELECT after >= before FROM e) AS non_improving FROM i""")
 def fit_diagnostics(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "labels").select((F.pmod(F.col("doc_id") * 37, F.lit(101)) / 100.0).alias("raw"), (F.col("quality") == 1).alias("correct"))
-    found = passes.fit_diagnostics(rows, "raw", "correct", 1.5, 0.3, 0.1)
-    return found.select("n", "n_fitted", "n_saturated", "distinct_raw", F.round("positive_rate", 6).alias("positive_rate"), "trustworthy")
+    """What a fit to all labels is worth: confidences that are right nine times in ten."""
+    k = F.col("doc_id")
+    near = F.pmod(k * 37, F.lit(101)) / 250.0
+    x = F.when(F.col("quality") == 1, 1 - near).otherwise(near)
+    rows = table(spark, folder, "labels").select(F.when(F.pmod(k * 53, F.lit(89)) < 9, 1 - x).otherwise(x).alias("raw"), (F.col("quality") == 1).alias("correct"))
+    temperature = scoring.fit_temperature(rows, "raw", "correct")
+    inner = rows.where(~confidence.saturated(F.col("raw")))
+    before, after = (scoring.calibration_error(x, c, "correct").first()["error"] for x, c in ((inner, "raw"), (scoring.calibrate(inner, "raw", temperature), "calibrated")))
+    found = passes.fit_diagnostics(rows, "raw", "correct", temperature, before, after)
+    return found.select("n", "n_fitted", "n_saturated", "distinct_raw", F.round("positive_rate", 6).alias("positive_rate"), "hit_bound", "non_improving")
 
 
 @query("""SELECT doc_id, CASE WHEN s >= 0.88 THEN 'duplicate' WHEN s >= 0.25 THEN 'linked' WHEN s >= 0.15 THEN 'suppressed' ELSE 'abstained' END AS decision, CASE WHEN quality = 0 AND source <> 'src1' THEN least(s, 0.5) ELSE s END AS trust FROM (SELECT *, ((doc_id * 37) % 101) / 100.0 AS s FROM documents JOIN labels USING (doc_id))""")

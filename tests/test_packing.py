@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from factloom.operators import packing
+from factloom.operators.shared import bounded_batches
 
 
 def greedy(costs, most):
@@ -38,16 +39,15 @@ def test_blocks_compose_to_the_fold():
         assert got == greedy(costs, most), (costs, most, cuts)
 
 
-def test_groups_of_all_sizes(spark):
+def test_groups_of_all_sizes(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(g, i, rng.choice([0, 1, 5, 8, 40, None])) for g, n in (("a", 400), ("b", 1), ("c", 90), (None, 30), ("d", 3)) for i in range(n)]
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    try:
-        found, sizes = packing.packs(spark.createDataFrame(rows, "g string, i int, c int").repartition(5), "g", "i", "c", 20, ranges=6)
-        got = {(r.g, r.i): r["pack"] for r in found.collect()}
-        ends = {r.g: (r.packs, r.total) for r in sizes.collect()}
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    monkeypatch.setattr(packing, "BLOCK_ROWS", 16)
+    bounded_batches(spark, 16)
+    found, sizes = packing.packs(spark.createDataFrame(rows, "g string, i int, c int").repartition(5), "g", "i", "c", 20, ranges=6)
+    got = {(r.g, r.i): r["pack"] for r in found.collect()}
+    ends = {r.g: (r.packs, r.total) for r in sizes.collect()}
+    bounded_batches(spark)
     for g in {r[0] for r in rows}:
         costs = [c or 0 for k, _, c in rows if k == g]
         assert [got[g, i] for i in range(len(costs))] == greedy(costs, 20) and ends[g] == (greedy(costs, 20)[-1] + 1, sum(costs))
@@ -58,11 +58,7 @@ def test_a_thread_of_a_million_rows(spark):
     """One group in many ranges equals the greedy fold."""
     n = 1_000_000
     rows = spark.range(n).select(F.lit("hot").alias("g"), (F.lit(n) - F.col("id")).alias("i"), (F.pmod(F.xxhash64("id"), F.lit(1000)) + 20).alias("c"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    try:
-        found, sizes = packing.packs(rows, "g", "i", "c", 10_000, ranges=12)
-        table = found.select("i", "c", "pack").toPandas().sort_values("i")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    found, sizes = packing.packs(rows, "g", "i", "c", 10_000, ranges=12)
+    table = found.select("i", "c", "pack").toPandas().sort_values("i")
     want = greedy(table["c"].tolist(), 10_000)
     assert table["pack"].tolist() == want and sizes.first().packs == want[-1] + 1

@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -253,16 +254,34 @@ _BLANKS = {c: 0x20 for c in b"\t\n\v\f\r"}
 _BLANK_BYTES = bytes(_BLANKS.get(c, c) for c in range(256))
 
 
+class Keywords:
+    """All rules' keywords in one automaton: a text is read once to find which rules can match it."""
+
+    def __init__(self, ordered: list[Rule]) -> None:
+        self.always = [i for i, r in enumerate(ordered) if not r.keyword]
+        of: dict[str, list[int]] = {}
+        for i, r in enumerate(ordered):
+            if r.keyword:
+                of.setdefault(r.keyword.encode().decode("latin-1"), []).append(i)
+        self.rules_of = list(of.values())
+        self.automaton = ahocorasick.Automaton()
+        for k, word in enumerate(of):
+            self.automaton.add_word(word, k)
+        self.automaton.make_automaton()
+
+    def rules_in(self, data: bytes, offsets: np.ndarray) -> list[list[int]]:
+        """For each text of the bytes, the rules whose keyword stands in it (one that begins in the text before counts too), in order."""
+        some: list[set[int]] = [set() for _ in offsets[1:]]
+        ends = offsets[1:].tolist()
+        for at, k in self.automaton.iter(data.decode("latin-1")):  # a character for each byte
+            some[bisect.bisect_right(ends, at)].add(k)
+        return [sorted([*self.always, *(i for k in ks for i in self.rules_of[k])]) if ks else self.always for ks in some]
+
+
 def detect(text: str, ordered: list[Rule]) -> list[tuple[str, int, int, int, float]]:
-    """(label, start, end, priority, confidence) of the detections in lower-cased text that stand."""
-    has: dict[str, bool] = {}
-    found = []
+    """(label, start, end, priority, confidence) of the detections of these rules in lower-cased text that stand."""
     text = text.translate(_BLANKS)
-    for rule in ordered:
-        if rule.keyword not in has:
-            has[rule.keyword] = rule.keyword in text
-        if has[rule.keyword]:
-            found += [(rule.label, m.start(), m.end(), rule.priority, rule.confidence) for m in rule.pattern.finditer(text)]
+    found = [(r.label, m.start(), m.end(), r.priority, r.confidence) for r in ordered if r.keyword in text for m in r.pattern.finditer(text)]
     stands, starts, ends = [], [], []  # starts and ends: of the accepted that lie in no other, both ascending
     for x in sorted(found, key=lambda x: (-x[3], x[1] - x[2], x[1], x[0])):
         i = bisect.bisect_right(starts, x[1])
@@ -304,7 +323,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     @tk.tidy
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordered = rules()
-        gates = sorted({r.keyword.encode() for r in ordered}, key=len)  # a text without any of them holds no detection
+        keywords = Keywords(ordered)
         for rows, buf, offsets in tk.pieces(batches, "text"):
             w = tk.Words(buf, offsets, tk.NON_ALNUM, lower=True)
             places = [_base_places(w, phrase) for phrase, _ in BASE]
@@ -320,9 +339,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
                     labels[i].add(label)
             raw = w.buf.tobytes().translate(_BLANK_BYTES)
             detections = []
-            for i, j in zip(offsets[:-1], offsets[1:], strict=True):
-                text = raw[i:j]
-                detections.append(detect(text.decode("utf-8", "replace"), ordered) if any(g in text for g in gates) else [])
+            for i, j, able in zip(offsets[:-1], offsets[1:], keywords.rules_in(raw, offsets), strict=True):
+                detections.append(detect(raw[i:j].decode("utf-8", "replace"), [ordered[k] for k in able]) if able else [])
             none = n_base == 0
             kind = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("priority", pa.int32()), ("confidence", pa.float64())]))
             yield tk.batch(

@@ -16,6 +16,8 @@ from factloom.llm import decontamination, graphs, line_quality, ngram_join, pii,
 GOOD = 0.3
 #: Ids that are broadcast at most: 8 bytes each, and what a hash table adds.
 MOST_BROADCAST = 1_000_000
+#: Bytes of text whose words are looked up together: smaller blocks send more words, and need less memory.
+TOKEN_BLOCK = 16 << 20
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -56,7 +58,7 @@ def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document."""
-    return sentencepiece_lattice.encode(docs)
+    return sentencepiece_lattice.encode(docs, block_bytes=TOKEN_BLOCK)
 
 
 STAGES = [

@@ -150,29 +150,38 @@ def _blocks(docs: DataFrame, pairs: np.ndarray, block_bytes: int) -> DataFrame:
 
         def row() -> pa.RecordBatch:
             hashes = np.concatenate([x[0] for x in held])
-            times = np.concatenate([x[5] for x in held])
+            base = np.concatenate(([0], np.cumsum([len(x[0]) for x in held])))
             _, at, to = np.unique(hashes, return_index=True, return_inverse=True)
-            order = np.argsort(-np.bincount(to, weights=times), kind="stable")
+            order = np.argsort(-np.bincount(to, weights=np.concatenate([x[5] for x in held])), kind="stable")
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
+            place = place[to]
+            first = hashes[at[order]][:8].tobytes()
             words = pa.concat_arrays([x[1] for x in held]).take(pa.array(at[order]))
-            base = np.concatenate(([0], np.cumsum([len(x[0]) for x in held])))
-            refs = np.concatenate([place[to[b : b + len(x[0])]][x[2]] for b, x in zip(base, held, strict=False)])
+            del hashes, to
             counts = np.concatenate([x[4] for x in held]).astype(np.uint32)
             ids = pa.concat_arrays([x[3] for x in held])
+            refs, n = np.empty(sum(len(x[2]) for x in held), np.uint32), 0
+            for b, x in zip(base.tolist(), held, strict=False):
+                refs[n : n + len(x[2])] = place[b : b + len(x[0])][x[2]]
+                n += len(x[2])
+                x.clear()  # a block's references are held once
             blob = tk.pack(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), counts, refs)
-            name = hashlib.blake2b(blob, digest_size=8, key=hashes[at[order]].tobytes()[:64]).digest()  # the same whenever the block is made
+            del refs
+            name = hashlib.blake2b(blob, digest_size=8, key=first).digest()  # the same whenever the block is made
             return pa.RecordBatch.from_arrays([pa.array([int.from_bytes(name, "little") >> 1]), tk.lists(np.array([len(words)]), words), pa.array([_squeezed(blob)], pa.binary())], names=["to", "words", "docs"])
 
         for rows, buf, offsets in tk.pieces(batches, "text"):
             codes, first = _characters(buf, offsets)
             start, length, h = _words(codes, first, pairs)
             own, at, to, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-            held.append((own, _utf8(codes, start[at], length[at]), to.astype(np.uint32), rows.column("doc_id"), np.diff(np.searchsorted(start, first)), times.astype(np.uint32)))
+            held.append([own, _utf8(codes, start[at], length[at]), to.astype(np.uint32), rows.column("doc_id"), np.diff(np.searchsorted(start, first)), times.astype(np.uint32)])
             size += len(buf)
+            del codes, start, length, h, own, at, to, times
             if size >= block_bytes:
                 yield row()
                 held, size = [], 0
+                tk.give_back()
         if held:
             yield row()
 

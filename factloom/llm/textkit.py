@@ -198,6 +198,13 @@ def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"), *kept)
 
 
+def give_back() -> None:
+    """Memory that this worker no longer uses goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library keeps what it keeps
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """f for mapInArrow; when it ends, memory that its worker no longer uses goes
     back to the system, since the worker stays and other tasks need it."""
@@ -206,9 +213,7 @@ def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> C
         try:
             yield from f(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # another C library keeps what it keeps
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            give_back()
 
     return run
 

@@ -17,7 +17,7 @@ GOOD = 0.3
 #: Ids that are broadcast at most: 8 bytes each, and what a hash table adds.
 MOST_BROADCAST = 1_000_000
 #: Bytes of text whose words are looked up together: smaller blocks send more words, and need less memory.
-TOKEN_BLOCK = 16 << 20
+TOKEN_BLOCK = 8 << 20
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from factloom.functions import confidence, sites
 from factloom.functions import structure as st
 from factloom.operators import catalogues, conformance, passes, render, replies, scoring
+from factloom.operators.shared import bounded_batches, shared_folder
 from factloom.plans.registry import query, table
-from factloom.sources import interchange
+from factloom.sources import bundles, interchange
 
 _NOW = "1998-09-01"
 
@@ -334,3 +335,34 @@ def candidates_as_claims(spark: SparkSession, folder: str) -> DataFrame:
     fits = spark.createDataFrame([("m1", "logit", 2.0), ("m2", "identity", 3.0)], "model string, transform string, temperature double")
     found = replies.as_claims(rows, fits, "general", "1.0.0")
     return found.select("doc_id", F.when(F.col("confidence.method").isNotNull(), F.round("confidence.value", 6)).otherwise(F.col("confidence.value")).alias("value"), "confidence.source", F.col("canonical_form").alias("form"), "subject_id")
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS claim_id, 'Order ' || o_orderkey || chr(10) || '"' || o_orderpriority || '" — ü' AS content, CAST(o_custkey % 101 AS DOUBLE) / 100 AS confidence, o_orderdate AS asserted_at, CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate + INTERVAL 9 DAY END AS valid_until,
+ CASE WHEN o_orderkey % 3 > 0 THEN 2 ELSE 0 END::BIGINT AS sources, CASE WHEN o_orderkey % 3 > 0 THEN 'e' || o_custkey END AS entry, 'c' || o_custkey AS subject, CAST(CASE WHEN o_custkey % 2 = 0 THEN 0.5 ELSE 1.0 END AS DOUBLE) AS ref_confidence,
+ CASE WHEN o_orderkey % 5 = 0 THEN o_orderstatus || ',' END AS tags, CAST(o_totalprice AS DOUBLE) AS price, 'URI' AS kind, CASE WHEN o_orderkey % 2 = 0 THEN 'xsd:decimal' END AS datatype, 'author' AS role FROM orders""")
+def bundle_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as claims, written as a bundle and read again by ranges of its members."""
+    k, at = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    term = lambda kind, value, datatype=None: F.struct(F.lit(kind).alias("kind"), value.alias("value"), (datatype if datatype is not None else F.lit(None).cast("string")).alias("datatype"), F.lit(None).cast("string").alias("language"))
+    no = F.lit(None).cast("string")
+    source = lambda kind, entry: F.struct(F.lit(kind).alias("type"), entry.alias("corpus_entry_id"), no.alias("snapshot_id"), F.lit("p. 1").alias("location"), no.alias("chunk_hash"))
+    entry = F.concat(F.lit("e"), _text("o_custkey"))
+    ref = F.struct(F.lit("shop").alias("namespace"), _text("o_custkey").alias("id"), no.alias("uri"), F.when(F.col("o_custkey") % 2 == 0, 0.5).otherwise(1.0).alias("confidence"))
+    triple = F.struct(term("URI", F.concat(F.lit("http://x.org/"), _text(k))).alias("subject"), term("TOKEN", F.lit("costs")).alias("predicate"), term("LITERAL", _text("o_totalprice"), F.when(k % 2 == 0, "xsd:decimal")).alias("object"), F.lit("reader").alias("structurizer_id"), F.lit("1").alias("structurizer_version"), at.alias("generated_at"))
+    claims = table(spark, folder, "orders").select(
+        _text(k).alias("claim_id"), F.concat(F.lit("Order "), _text(k), F.lit('\n"'), F.col("o_orderpriority"), F.lit('" — ü')).alias("content"), ((F.col("o_custkey") % 101).cast("double") / 100).alias("confidence"),
+        F.lit("DERIVED").alias("calibration_source"), F.lit("EPISTEMIC").alias("uncertainty_nature"), F.lit("shop").alias("asserted_by"), at.alias("asserted_at"), F.lit("ACTIVE").alias("status"), F.when(k % 4 == 0, at + F.expr("INTERVAL 9 DAYS")).alias("valid_until"),
+        F.when(k % 3 > 0, F.array(source("SOURCE", entry), source("AGENT", entry))).alias("provenance"), F.array(F.struct(F.concat(F.lit("c"), _text("o_custkey")).alias("source_subject_id"), F.lit("Customer").alias("canonical_name"), F.array(ref).alias("external_refs"))).alias("subjects"),
+        F.when(k % 5 == 0, F.array(F.col("o_orderstatus"), F.lit(""))).alias("tags"), F.create_map(F.lit("price"), F.to_json(F.struct("o_totalprice"))).alias("properties"),
+        F.array(F.struct(F.lit("p:1").alias("id"), F.lit("author").alias("role"), at.alias("at"))).alias("contributors"), triple.alias("structured_claim"),
+    )
+    bundles.register(spark)
+    bounded_batches(spark, 2048)
+    path = shared_folder(spark)
+    claims.write.format("claimbundle").option("path", path).mode("append").save()
+    back = spark.read.format("claimbundle").option("path", path).option("mostunits", "none").load()
+    return back.select(
+        "claim_id", "content", "confidence", "asserted_at", "valid_until", F.size("provenance").cast("long").alias("sources"), F.get("provenance", F.lit(1))["corpus_entry_id"].alias("entry"), F.get("subjects", F.lit(0))["source_subject_id"].alias("subject"),
+        F.get(F.get("subjects", F.lit(0))["external_refs"], F.lit(0))["confidence"].alias("ref_confidence"), F.array_join("tags", ",").alias("tags"), F.get_json_object(F.col("properties")["price"], "$.o_totalprice").cast("double").alias("price"),
+        F.col("structured_claim.subject.kind").alias("kind"), F.col("structured_claim.object.datatype").alias("datatype"), F.get("contributors", F.lit(0))["role"].alias("role"),
+    )

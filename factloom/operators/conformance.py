@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions import paths
+
 #: Fields of a claim by tier.
 REQUIRED = ("id", "content", "confidence.value", "provenance", "asserted_by", "status", "schema_version", "particle_type", "subject_ids", "uncertainty_nature")
 RECOMMENDED = ("confidence.calibration_source", "provenance[].snapshot_id", "extractor_ref")
@@ -61,6 +63,16 @@ def field_report(claims: DataFrame, fields: Mapping[str, Column], values: Mappin
     return counts.withColumn("rate", rate).withColumn("passes", enough).withColumn("advised", ~(F.col("passes") & (F.col("tier") != "OPTIONAL") & (F.col("distinct") < need)))
 
 
+def contract_of(claims: DataFrame, exempt: Mapping[str, Column] | None = None, least: float = 0.8, diversity: Mapping[str, int] | None = None) -> DataFrame:
+    """field_report of all fields of the contract, found in claims by their paths.
+
+    A field that the schema doesn't have is one that no claim has.
+    """
+    fields = {path: paths.populated(claims, path) for path in CONTRACT}
+    values = {path: paths.texts(claims, path) for path in ENUM_FIELDS}
+    return field_report(claims, fields, values, exempt, least, diversity)
+
+
 def evaluable_failure(report: DataFrame) -> DataFrame:
     """One row, failed: whether a required field falls short on claims that there are."""
     return report.agg(F.coalesce(F.bool_or((F.col("tier") == "REQUIRED") & ~F.col("passes") & (F.col("total") + F.col("excluded") > 0)), F.lit(False)).alias("failed"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import shapes
+from factloom.operators import conformance, shapes
 from factloom.plans.registry import query, table
 from factloom.sources.turtle import RDF, XSD
 
@@ -53,3 +53,38 @@ def shape_violations_in_graphs(spark: SparkSession, folder: str) -> DataFrame:
     found = shapes.violations(heads.unionByName(parts).select("document", "s", "t.*"), shapes.rules(ORDERS))
     name = lambda c: F.replace(F.col(c), F.lit("urn:")).alias(c)
     return found.groupBy(name("shape"), name("path"), "constraint", "severity", "nested").agg(F.count("*").alias("n"))
+
+
+#: What of an order has each field of the contract, in SQL; others have none.
+_HAS = {
+    "id": "true", "content": "o_orderpriority <> ''", "confidence.value": "o_orderkey % 9 <> 0", "provenance": "o_custkey % 4 <> 0", "asserted_by": "true", "status": "true", "schema_version": "true", "particle_type": "o_orderkey % 50 <> 0",
+    "subject_ids": "o_custkey % 4 IN (1, 2)", "uncertainty_nature": "true", "confidence.calibration_source": "o_orderkey % 9 <> 0", "provenance[].snapshot_id": "o_custkey % 4 <> 0 AND o_orderkey % 6 <> 0 AND o_orderstatus <> 'P'", "extractor_ref": "o_orderkey % 3 = 0",
+    "confidence.variance": "o_orderkey % 9 <> 0", "tags": "o_orderkey % 5 <> 0", "properties": "o_orderkey % 7 <> 0", "valid_until": "o_orderkey % 2 = 0", "structured_claim": "o_orderkey % 10 = 1",
+}
+_DISTINCT = {"status": "CASE WHEN o_orderstatus = 'F' THEN 'RETRACTED' ELSE 'ACTIVE' END", "uncertainty_nature": "'EPISTEMIC'", "particle_type": "CASE WHEN o_orderkey % 50 <> 0 THEN 'CLAIM' END", "confidence.calibration_source": "CASE WHEN o_orderkey % 9 <> 0 THEN 'DERIVED' END"}
+
+
+def _contract_sql() -> str:
+    each = []
+    for field, tier in conformance.CONTRACT.items():
+        measured = "o_orderkey % 8 <> 0" if field == "subject_ids" else "true"
+        each.append(f"SELECT '{field}' AS field, '{tier}' AS tier, count(*) FILTER ({measured} AND ({_HAS.get(field, 'false')})) AS populated, count(*) FILTER ({measured}) AS total, count(*) FILTER (NOT ({measured})) AS excluded, count(DISTINCT {_DISTINCT.get(field, 'CAST(NULL AS VARCHAR)')}) AS \"distinct\" FROM orders")
+    least = " ".join(f"WHEN field = '{f}' THEN {n}" for f, n in conformance.DIVERSITY.items())
+    return f"""WITH r AS ({" UNION ALL ".join(each)}), p AS (SELECT *, round(populated / total, 6) AS rate, CASE tier WHEN 'OPTIONAL' THEN true WHEN 'REQUIRED' THEN populated = total ELSE populated / total >= 0.8 END AS passes FROM r)
+SELECT *, NOT (passes AND tier <> 'OPTIONAL' AND "distinct" < CASE {least} ELSE 0 END) AS advised FROM p"""
+
+
+@query(_contract_sql())
+def contract_of_structs(spark: SparkSession, folder: str) -> DataFrame:
+    """All fields of the contract, by their paths in claims with structs, arrays of structs and maps."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    source = lambda snapshot: F.struct(F.lit("e").alias("corpus_entry_id"), snapshot.alias("snapshot_id"))
+    claims = table(spark, folder, "orders").select(
+        k.alias("id"), F.col("o_orderpriority").alias("content"), F.when(k % 9 != 0, F.struct((c % 3).cast("double").alias("value"), F.lit("DERIVED").alias("calibration_source"), F.lit(0.0).alias("variance"))).alias("confidence"),
+        F.when(c % 4 == 0, F.array().cast("array<struct<corpus_entry_id:string,snapshot_id:string>>")).otherwise(F.array(source(F.when(k % 6 != 0, "s")), source(F.when(F.col("o_orderstatus") == "P", "").otherwise("t")))).alias("provenance"),
+        F.lit("me").alias("asserted_by"), F.when(F.col("o_orderstatus") == "F", "RETRACTED").otherwise("ACTIVE").alias("status"), F.lit("1.0.0").alias("schema_version"), F.when(k % 50 != 0, "CLAIM").alias("particle_type"),
+        F.when(c % 4 == 0, F.array().cast("array<string>")).when(c % 4 == 1, F.array(F.lit("a"))).when(c % 4 == 2, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"), F.lit(None))).alias("subject_ids"),
+        F.lit("EPISTEMIC").alias("uncertainty_nature"), F.when(k % 3 == 0, F.struct(F.lit("x").alias("name"))).alias("extractor_ref"), F.when(k % 5 != 0, F.array(F.lit("t"))).alias("tags"),
+        F.when(k % 7 != 0, F.create_map(F.lit("a"), F.lit(""))).otherwise(F.create_map().cast("map<string,string>")).alias("properties"), F.when(k % 2 == 0, F.col("o_orderdate")).alias("valid_until"), F.when(k % 10 == 1, F.struct(F.lit(None).cast("string").alias("subject"))).alias("structured_claim"), "o_orderkey",
+    )
+    return conformance.contract_of(claims, {"subject_ids": F.col("o_orderkey") % 8 == 0}).withColumn("rate", F.round("rate", 6))

@@ -62,3 +62,19 @@ def test_a_thread_of_a_million_rows(spark):
     table = found.select("i", "c", "pack").toPandas().sort_values("i")
     want = greedy(table["c"].tolist(), 10_000)
     assert table["pack"].tolist() == want and sizes.first().packs == want[-1] + 1
+
+
+def test_rows_that_come_in_another_order_each_time(spark):
+    """A plan that runs twice needn't give its rows in one order; none is lost, and the packs are those of the fold."""
+
+    def shuffled(batches):
+        for b in batches:
+            yield b.take(np.random.default_rng().permutation(b.num_rows))
+
+    n = 3000
+    rows = spark.range(n).select((F.col("id") % 3).alias("g"), F.col("id").alias("i"), (F.col("id") * 7 % 13 + 1).alias("c")).repartition(5).mapInArrow(shuffled, "g long, i long, c long")
+    found = packing.packs(rows.where("g < 2"), "g", "i", "c", 40, ranges=3)[0].select("g", "i", "pack").collect()
+    assert len(found) == n // 3 * 2
+    for g in (0, 1):
+        mine = sorted((r.i, r["pack"]) for r in found if r.g == g)
+        assert [p for _, p in mine] == greedy([i * 7 % 13 + 1 for i, _ in mine], 40)

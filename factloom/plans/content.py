@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as t
 from factloom.functions import url as u
-from factloom.functions import vectors as v
 from factloom.operators import documents as d
-from factloom.operators import identity, packing
+from factloom.operators import identity, neighbours, packing
 from factloom.plans.registry import query, table
 from factloom.sources import interchange
 from factloom.streaming import events as ev
@@ -22,7 +21,7 @@ SELECT query_id, vec_id, sim, place FROM (SELECT *, row_number() OVER (PARTITION
 def embedding_topk(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
     queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return identity.top_neighbours(queries, rows, F.round(v.cosine(F.col("query"), F.col("embedding")), 6), 10)
+    return neighbours.top_by_cosine(queries, rows, 10)
 
 
 @query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(0.6 * {_COS.format(a='q.embedding', b='e.embedding')} + 0.4 * ((e.vec_id * 37) % 101) / 100.0, 6) AS sim FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id)
@@ -30,8 +29,7 @@ SELECT query_id, vec_id, sim, place FROM (SELECT *, row_number() OVER (PARTITION
 def combined_rank(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
     queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    score = 0.6 * v.cosine(F.col("query"), F.col("embedding")) + 0.4 * F.pmod(F.col("vec_id") * 37, F.lit(101)) / 100.0
-    return identity.top_neighbours(queries, rows, F.round(score, 6), 40)
+    return neighbours.top_by_cosine(queries, rows, 40, 0.6, 0.4 * F.pmod(F.col("vec_id") * 37, F.lit(101)) / 100.0)
 
 
 @query(r"SELECT page_id, lower(regexp_extract(url, '^https?://(?:[^/?#@]*@)?([^/?#:]+)', 1, 'i')) AS host, length(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1, 'i')) AS path_length FROM pages")

@@ -6,7 +6,8 @@ the fewest nodes of the tree, at most two on each level; an instant lies in one
 node of each level. Both meet on (keys, level, node) in an equi-join, at most
 once, and the two ends of an interval are checked exactly. A claim that stays
 visible for ever costs a few rows, and a key with most claims is spread over
-the nodes of the tree.
+the nodes of the tree. Keys of few claims need no tree: an instant meets them
+all, and travels once instead of once for each level.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from factloom.operators.shared import Tables
 
 #: Width of a leaf in seconds.
 WIDTH = 86_400
+#: Claims of a key that each of its instants meets without the tree, at most.
+FEW = 64
 
 
 def _micros(at: str) -> Column:
@@ -48,27 +51,49 @@ def visible_at_instants(claims: DataFrame, instants: DataFrame, at: str, by: Seq
     by: columns that both must hold equal; null equals nothing. A claim without
     a start is never visible, one without an end for ever; one that ends at or
     before its start, never. An instant without a time sees nothing. Repeated
-    rows on either side give repeated results. Two tables without keys give as
+    rows on either side give repeated results. Keys of at most FEW claims are
+    joined by the keys alone, others by the tree. Two tables without keys give as
     many rows as are visible: ask for ``visible_counts`` where only sums are wanted.
     """
+    keys = [f"_{i}" for i in range(len(by))]
+    named = [F.col(f"`{c}`").alias(k) for c, k in zip(by, keys, strict=True)]
+    times = instants.select(F.struct(*[F.col(f"`{c}`") for c in instants.columns]).alias("instant"), *named, _micros(at).alias("_at")).where("_at IS NOT NULL").dropna(subset=keys or None, how="any" if keys else "all")
+    rows = claims.select(F.struct(*[F.col(f"`{c}`") for c in claims.columns]).alias("claim"), *named, _micros(start).alias("_start"), F.coalesce(_micros(end), F.lit((1 << 63) - 1)).alias("_end")).where("_start < _end")
+    if not keys:
+        return _by_tree(rows, times, keys, width)
+    store = Tables(claims.sparkSession)
+    rows = store.written(rows.dropna(subset=keys))
+    sizes = store.written(rows.groupBy(*keys).agg((F.count("*") > FEW).alias("_many")))
+    many = sizes.where("_many").drop("_many")
+    if many.isEmpty():
+        return _within(times.join(rows, keys))
+    if sizes.where("NOT _many").isEmpty():
+        return _by_tree(rows, times, keys, width)
+    few = _within(times.join(many, keys, "left_anti").join(rows.join(many, keys, "left_anti"), keys))
+    return few.unionByName(_by_tree(rows.join(many, keys, "left_semi"), times.join(many, keys, "left_semi"), keys, width))
+
+
+def _within(met: DataFrame) -> DataFrame:
+    return met.where("_start <= _at AND _at < _end").select("instant", "claim")
+
+
+def _by_tree(rows: DataFrame, times: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Instants (instant, keys, _at) and claims (claim, keys, _start, _end) that meet in a node."""
     leaf = F.lit(width * 1_000_000)
-    times = instants.select(F.struct(*[F.col(f"`{c}`") for c in instants.columns]).alias("instant"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(by)], _micros(at).alias("_at")).where("_at IS NOT NULL")
     edges = times.agg(F.min("_at"), F.max("_at")).first()
     low, high = edges if edges[0] is not None else (0, 0)
     levels = max(1, ((high - low) // (width * 1_000_000) + 1).bit_length())
-    rows = claims.select(F.struct(*[F.col(f"`{c}`") for c in claims.columns]).alias("claim"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(by)], _micros(start).alias("_start"), F.coalesce(_micros(end), F.lit((1 << 63) - 1)).alias("_end"))
-    rows = rows.where((F.col("_start") < F.col("_end")) & (F.col("_start") <= high) & (F.col("_end") > low))
+    rows = rows.where((F.col("_start") <= high) & (F.col("_end") > low))
 
     def place(t: Column) -> Column:
         return F.call_function("div", t - F.lit(low), leaf)
 
     first, last = place(F.greatest(F.col("_start"), F.lit(low))), place(F.least(F.col("_end") - 1, F.lit(high)))
     covered = rows.withColumn("_n", F.explode(_cover(first, last, levels)))
-    keys = [f"_{i}" for i in range(len(by))]
     left = covered.select("claim", "_start", "_end", *keys, F.col("_n.level").alias("_level"), F.col("_n.node").alias("_node"))
     own = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda v: F.struct(v.alias("level"), F.call_function("shiftright", place(F.col("_at")), v).alias("node")))
     right = times.withColumn("_n", F.explode(own)).select("instant", "_at", *keys, F.col("_n.level").alias("_level"), F.col("_n.node").alias("_node"))
-    return right.join(left, [*keys, "_level", "_node"]).where("_start <= _at AND _at < _end").select("instant", "claim")
+    return _within(right.join(left, [*keys, "_level", "_node"]))
 
 
 def visible_counts(claims: DataFrame, instants: DataFrame, at: str, by: Sequence[str] = (), value: str | None = None, start: str = "asserted_at", end: str = "retired_at") -> DataFrame:

@@ -69,3 +69,15 @@ def test_an_interval_costs_few_rows_and_no_nested_loop(spark):
     plan = met._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert met.count() == 1000 * 1001 // 2
+
+
+def test_keys_of_few_claims_take_no_tree(spark, monkeypatch):
+    """An instant of such a key travels once; with a bound between the keys' sizes both ways meet."""
+    claims, asked = tables(8, 120, "hot")
+    frames = spark.createDataFrame(claims, CLAIMS), spark.createDataFrame(asked, ASKED)
+    want = Counter((a[0], c[0]) for a in asked for c in claims if stands(c, a[2]) and a[1] is not None and a[1] == c[1])
+    for few, tree in ((1000, False), (30, True), (0, True)):
+        monkeypatch.setattr("factloom.operators.instants.FEW", few)
+        met = visible_at_instants(*frames, "moment", ("who",))
+        assert Counter((r.instant.ask, r.claim.claim_id) for r in met.collect()) == want
+        assert ("Generate" in met._jdf.queryExecution().toString()) == tree

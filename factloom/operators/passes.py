@@ -213,10 +213,11 @@ def _ruled(rules: DataFrame, source_type: str, url: str, claims: DataFrame, valu
     cases = claims.select(F.col(source_type).alias("_type"), F.col(url).alias("_url")).distinct()
     told = rules.select("lens", "scope", "match", *values)
     by_url = told.where("scope = 'url_pattern'")
+    sent = url_rules.spread(told)
     found = url_rules.matches(cases.select("_url"), by_url, "_url", "match").withColumnsRenamed({"url": "_url", "pattern": "match"})
-    met = cases.join(found, "_url").join(by_url, "match").select("_type", "_url", "lens", *values, F.lit(0).alias("rank"))
+    met = cases.join(found, "_url").join(sent(by_url), "match").select("_type", "_url", "lens", *values, F.lit(0).alias("rank"))
     by_type = told.where("scope = 'source_type'").select(F.col("match").alias("_type"), "lens", *values)
-    met = met.unionByName(cases.join(by_type, "_type").select("_type", "_url", "lens", *values, F.lit(1).alias("rank")))
+    met = met.unionByName(cases.join(sent(by_type), "_type").select("_type", "_url", "lens", *values, F.lit(1).alias("rank")))
     first = met.groupBy("_type", "_url", "lens").agg(F.min("rank").alias("best"))
     best = met.alias("m").join(first.alias("f"), F.col("m._type").eqNullSafe(F.col("f._type")) & F.col("m._url").eqNullSafe(F.col("f._url")) & (F.col("m.lens") == F.col("f.lens")) & (F.col("m.rank") == F.col("f.best"))).select("m.*")
     out = best.groupBy("_type", "_url").agg(*[F.min(v).alias(v) for v in values], F.collect_set("lens").alias("_lenses"))

@@ -10,7 +10,7 @@ addresses, dealt over SALT parts.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from re import _constants as sre
 from re import _parser as sre_parser
 
@@ -22,6 +22,13 @@ from factloom.operators.shared import bounded_batches
 
 #: Characters of a run, and parts in which rules without a literal meet the addresses.
 RUN, SALT = 4, 32
+#: Rules up to which they go to every task: a run, an expression or a source type may be that of most addresses.
+MOST_BROADCAST = 100_000
+
+
+def spread(rules: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A broadcast of what has at most a row for each of these rules and what it matches, if they are few enough."""
+    return F.broadcast if rules.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else lambda df: df
 
 
 def literals(pattern: str) -> list[str] | None:
@@ -87,7 +94,8 @@ def matches(urls: DataFrame, patterns: DataFrame, url: str = "url", pattern: str
     each = rules.where(F.size("runs") > 0).select("pattern", F.explode("runs").alias("run"))
     # a run that no address holds: the rule matches none
     rarest = each.join(counts, "run", "left").groupBy("pattern").agg(F.min_by("run", F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("run"))).alias("run"))
-    by_run = held.join(rarest, "run").select("url", "pattern")
+    sent = spread(patterns)
+    by_run = held.join(sent(rarest), "run").select("url", "pattern")
     anything = rules.where(F.size("runs") == 0).select("pattern", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    by_part = addresses.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALT)).cast("int")).join(anything, "salt").select("url", "pattern")
+    by_part = addresses.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALT)).cast("int")).join(sent(anything), "salt").select("url", "pattern")
     return by_run.unionByName(by_part).mapInArrow(_search, "url string, pattern string")

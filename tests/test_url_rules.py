@@ -53,3 +53,13 @@ def test_rules_of_lenses(spark):
     assert sorted((r.id, r.half_life, r.floor) for r in passes.decay_rules(told, "kind", "url", claims).collect()) == [(1, 60.0, 0.7), (2, 60.0, 0.8), (3, None, None), (4, 70.0, 0.7), (5, None, None)]
     use = passes.utility_rules(told.withColumnRenamed("floor", "rate"), "kind", "url", claims)
     assert sorted((r.id, r.half_life, r.rate) for r in use.collect()) == [(1, 60.0, 0.7), (2, 60.0, 0.8), (3, 50.0, 0.5), (4, 70.0, 0.7), (5, 50.0, 0.5)]
+
+
+def test_rules_go_to_the_addresses(spark):
+    """Few expressions and source types are no few tasks: nothing is dealt by them."""
+    import __spark_entry__
+
+    for name in ("decay_by_lens", "utility_by_lens"):
+        plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        for key in ("match", "_type", "run", "salt"):
+            assert not re.search(rf"(SortMergeJoin|ShuffledHashJoin) \[{key}#\d+\]", plan), key

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.operators.shared import Tables
 
@@ -91,26 +95,74 @@ def top_neighbours(queries: DataFrame, vectors: DataFrame, similarity: Column, k
     return local.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= k).select("query_id", "vec_id", "sim", "place")
 
 
+#: Links that a task follows among themselves, about, and rows of a table that goes to every task.
+LINKS_PER_BLOCK, MOST_SENT = 500_000, 100_000
+
+
+def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block's links (one of each claim), gone as far as the block knows the way: claim_id, root, depth.
+
+    What runs into a cycle of the block stays as it is.
+    """
+    held = list(batches)
+    if not held:
+        return
+    links = pa.Table.from_batches(held).combine_chunks()
+    claim, first = links.column(0), links.column(1)
+    to = pc.fill_null(pc.index_in(first, value_set=claim), -1).to_numpy().astype(np.int64)
+    n = len(to)
+    last, steps = np.arange(n), np.ones(n, np.int64)  # a row's last link in the block, and how many it has gone
+    on = to >= 0
+    last[on], steps[on] = to[on], 2
+    for _ in range(n.bit_length()):
+        if not (to[last] >= 0).any():
+            break
+        last, steps = last[last], steps + steps[last] - 1
+    lost = to[last] >= 0
+    last[lost], steps[lost] = np.flatnonzero(lost), 1
+    out = pa.table({"claim_id": claim, "root": first.take(pa.array(last)), "depth": pa.array(steps)})
+    yield from out.combine_chunks().to_batches(max_chunksize=1 << 16)
+
+
 def supersession_roots(links: DataFrame) -> DataFrame:
     """claim_id, root, depth, cyclic: the end of each chain of links(claim_id,
     supersedes); a claim with several links has a row for each end.
 
-    Each round doubles the links that a row has gone. A chain without a cycle
-    has at most as many links as there are claims, so after that many doublings
-    a row that doesn't stand at an end runs into a cycle: its root and depth are
-    null and cyclic is true. A round joins only rows that still move, is written
-    to the shared folder, where its lineage ends, and drops the table before it.
+    Where every claim has one link, ranges of claims are followed first, each in
+    a task of its own; what they lead to, in other ranges, is all that the rounds
+    go on with. Chains whose claims follow each other nearly vanish in this; a
+    chain in no order keeps most of its links. Each round doubles the links that
+    a row has gone. A chain without a cycle has at most as many links as there
+    are claims, so after that many doublings a row that doesn't stand at an end
+    runs into a cycle: its root and depth are null and cyclic is true. A round
+    joins only rows that aren't at an end, which many share, and builds on the
+    side that has a claim once; it is written to the shared folder, where its
+    lineage ends, and drops the table before it.
     """
-    store = Tables(links.sparkSession)
-    each = links.where("claim_id IS NOT NULL AND supersedes IS NOT NULL").select("claim_id", "supersedes").distinct()
-    rounds = max(1, each.select("claim_id").distinct().count()).bit_length()
-    now = store.only(each.select("claim_id", F.col("supersedes").alias("root"), F.lit(1).cast("long").alias("depth"), F.lit(True).alias("moved")))
-    for _ in range(rounds):  # a chain without a cycle has at most as many links as there are claims
-        up = now.select(F.col("claim_id").alias("root"), F.col("root").alias("up"), F.col("depth").alias("more"))
-        longer = now.where("moved").join(up, "root", "left").select("claim_id", F.coalesce("up", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("up").isNotNull().alias("moved"))
-        now = store.only(longer.union(now.where("NOT moved")).distinct())
-        if now.where("moved").isEmpty():
+    spark = links.sparkSession
+    store, rounds = Tables(spark), Tables(spark)
+    links = links.where("claim_id IS NOT NULL AND supersedes IS NOT NULL")
+    each = store.written(links.groupBy("claim_id").agg(F.min("supersedes").alias("root"), (F.min("supersedes") != F.max("supersedes")).alias("several")))
+    claims = each.count()
+    if links.schema["claim_id"].dataType == links.schema["supersedes"].dataType and each.where("several").isEmpty():
+        kinds = T.StructType([each.schema["claim_id"], each.schema["root"], T.StructField("depth", T.LongType())])
+        now = each.select("claim_id", "root").repartitionByRange(1 + claims // LINKS_PER_BLOCK, "claim_id").mapInArrow(_followed, kinds)
+    else:  # lengths of ways that differ between rounds would be rows of their own
+        now = links.select("claim_id", F.col("supersedes").alias("root")).distinct().withColumn("depth", F.lit(1).cast("long"))
+    now = store.written(now)
+    sides = store.written(now.select(F.col("root").alias("claim_id")).distinct())
+    ways = rounds.written(now.join(sides, "claim_id", "left_semi"))  # of the claims that a chain goes on with
+    n = ways.count()
+    few = lambda df: F.broadcast(df) if n <= MOST_SENT else df.hint("shuffle_hash")
+    known = ways.select(F.col("claim_id").alias("root")).distinct().withColumn("moves", F.lit(True))
+    ways = rounds.only(ways.join(few(known), "root", "left").select("claim_id", "root", "depth", F.col("moves").isNotNull().alias("moved")))
+    for _ in range(n.bit_length()):
+        if ways.where("moved").isEmpty():
             break
-    ends = each.select(F.col("supersedes").alias("root")).distinct().join(each.select(F.col("claim_id").alias("root")).distinct(), "root", "left_anti").withColumn("is_end", F.lit(True))
-    told = now.join(ends, "root", "left").withColumn("cyclic", F.col("is_end").isNull())
-    return told.select("claim_id", F.when(~F.col("cyclic"), F.col("root")).alias("root"), F.when(~F.col("cyclic"), F.col("depth")).alias("depth"), "cyclic").distinct()
+        up = ways.select(F.col("claim_id").alias("root"), F.col("root").alias("up"), F.col("depth").alias("more"), F.col("moved").alias("goes_on"))
+        longer = ways.where("moved").join(few(up), "root").select("claim_id", F.col("up").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("goes_on").alias("moved"))
+        ways = rounds.only(longer.union(ways.where("NOT moved")).distinct())
+    ends = ways.select(F.col("claim_id").alias("root"), F.col("root").alias("end"), F.col("depth").alias("more"), F.col("moved").alias("lost"))
+    told = now.join(few(ends), "root", "left").withColumn("cyclic", F.coalesce("lost", F.lit(False)))
+    out = told.select("claim_id", F.when(~F.col("cyclic"), F.coalesce("end", "root")).alias("root"), F.when(~F.col("cyclic"), F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), "cyclic")
+    return out.distinct() if now.count() > claims else out

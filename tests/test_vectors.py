@@ -12,7 +12,7 @@ from factloom.functions import confidence as conf
 from factloom.functions import text as t
 from factloom.functions import url as u
 from factloom.functions import vectors as v
-from factloom.operators import documents, identity, scoring
+from factloom.operators import documents, identity, scoring, shared
 
 
 def value(spark, column):
@@ -145,3 +145,38 @@ def test_cycles_of_chains_are_told(spark):
     cyclic = {c for c, _ in links if c and c != 1 and (c < 1000 or 5000 <= c <= 5020)}
     assert got == {c: (None, None, True) for c in cyclic} | {7000 + i: (7033, 33 - i, False) for i in range(33)}
     assert identity.supersession_roots(frame.limit(0)).collect() == []
+
+
+def test_chains_are_followed_in_ranges_first(spark, monkeypatch):
+    """A long chain takes few rounds, and no round has rows that stand at an end, which all share it."""
+    made = []
+    monkeypatch.setattr(shared.Tables, "only", lambda self, df, keep=shared.Tables.only: made.append(1) or keep(self, df))
+    links = spark.createDataFrame([(i, i - 1) for i in range(1, 20_000)], "claim_id long, supersedes long")
+    assert {tuple(r) for r in identity.supersession_roots(links).collect()} == {(i, 0, i, False) for i in range(1, 20_000)}
+    assert len(made) <= 4
+
+
+@pytest.mark.parametrize("several", [False, True])
+@pytest.mark.parametrize("as_text", [False, True])
+def test_chains_across_ranges(spark, monkeypatch, several, as_text):
+    """Chains in any order, trees and cycles, in ranges of about 50 claims, against a walk."""
+    import random
+
+    r = random.Random(4)
+    to = {i: {r.randrange(i) if r.random() < 0.5 else i - 1} for i in range(1, 600) if r.random() < 0.9} | {i: {r.randrange(600, 700)} for i in range(600, 700)}
+    if several:
+        for i in (40, 200, 333):
+            to[i] = {i - 1, i - 7}
+    monkeypatch.setattr(identity, "LINKS_PER_BLOCK", 50)
+    monkeypatch.setattr(identity, "MOST_SENT", 10)
+    want = set()
+    for i in to:
+        at, gone = {i}, 0
+        while at and gone <= 700:
+            want |= {(i, x, gone, False) for x in at if x not in to}
+            at, gone = {y for x in at for y in to.get(x, ())}, gone + 1
+        want |= {(i, None, None, True)} if at else set()
+    kind, told = ("string", str) if as_text else ("long", int)
+    frame = spark.createDataFrame([(told(i), told(x)) for i, some in to.items() for x in some], f"claim_id {kind}, supersedes {kind}")
+    got = identity.supersession_roots(frame).collect()
+    assert len(got) == len(want) and {(int(r.claim_id), r.root if r.root is None else int(r.root), r.depth, r.cyclic) for r in got} == want

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions import text
+from factloom.operators.shared import written
 
 RDF, OWL = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2002/07/owl#"
 #: Predicates that name a thing, in their order; those that say nothing of the world; namespaces of subjects.
@@ -78,7 +79,11 @@ def rated_triples(rows: DataFrame, confidence: Sequence[str], default: float = C
     for the graph's triples, else the default. Labels, list cells and ontology
     headers are no claims.
     """
-    each = rows.where(F.col("kind").isin("iri", "blank", "literal")).select(*_PARTS, "graph").distinct()
+    return _rated(rows.select(*_PARTS, "graph").distinct(), confidence, default)
+
+
+def _rated(rows: DataFrame, confidence: Sequence[str], default: float) -> DataFrame:
+    each = rows.where(F.col("kind").isin("iri", "blank", "literal")).select(*_PARTS, "graph")
     bundles = each.where((F.col("p") == RDF + "type") & (F.col("o") == RDF + "Statement") & (F.col("kind") == "iri")).select("document", F.col("s").alias("node")).distinct()
     about = each.alias("t").join(bundles.alias("b"), (F.col("t.document").eqNullSafe(F.col("b.document"))) & (F.col("t.s") == F.col("b.node"))).select("t.*")
     term = F.struct("o", "kind", "datatype", "lang")
@@ -116,16 +121,20 @@ def triple_claims(rows: DataFrame, default: float = CONFIDENCE, most: int = MOST
     language than English says so. ``refs`` names subject and object by known
     namespaces. Blank nodes without a label can't be told, and blank subjects
     are claims only where asked for. A document keeps its first ``most`` claims
-    by (graph, s, p, o); left_out tells how many it loses.
+    by (graph, s, p, o); left_out tells how many it loses. The rows are read
+    once, into a table in the shared folder; only documents of more than ``most``
+    triples are ordered.
     """
-    rated = rated_triples(rows, confidence, default)
+    whole_documents = "note" in rows.columns
+    rows = written(rows.select(*_PARTS, "graph").distinct())
+    rated = _rated(rows, confidence, default)
     if not blank_subjects:
         rated = rated.where(~F.col("s").startswith("_:"))
     labels = best_labels(rows)
     for c in ("s", "p", "o"):
         named = labels.select("document", F.col("s").alias(c), F.col("label").alias(f"{c}_label"))
         rated = rated.alias("t").join(named.alias("n"), _same("t", "n", ("document", c)), "left").select("t.*", f"n.{c}_label")
-    if "note" in rows.columns:  # whole documents bring their prefixes
+    if whole_documents:  # they bring their prefixes
         bound = rows.where("kind = 'prefix'").groupBy("document", "o").agg(F.min("s").alias("s")).groupBy("document").agg(F.map_from_entries(F.collect_list(F.struct("o", "s"))).alias("prefixes"))
         rated = rated.alias("t").join(bound.alias("m"), F.col("t.document").eqNullSafe(F.col("m.document")), "left").select("t.*", "m.prefixes")
     else:
@@ -149,11 +158,19 @@ def triple_claims(rows: DataFrame, default: float = CONFIDENCE, most: int = MOST
         F.array_compact(F.array(known(F.col("s")), F.when(edge, known(F.col("o"))))).alias("refs"),
         F.struct(term(node("s"), F.col("s")).alias("subject"), term(F.lit("URI"), F.col("p")).alias("predicate"), term(thing, F.col("o"), F.col("datatype"), F.when(F.col("datatype").isNull(), F.col("lang"))).alias("object")).alias("claim"),
     )
+    # every claim is told by a triple of its own, or by three of a statement
+    large = written(rows.groupBy("document").count().where(F.col("count") > most).select(F.col("document").alias("d")))
+    result = ("document", "s", "p", "o", "graph", "content", "confidence", "subjects", "refs", "claim")
+    if large.isEmpty():
+        return out.select(*result, F.lit(0).cast("long").alias("left_out"))
+    inside = F.col("document").eqNullSafe(F.col("d"))
+    small = out.join(large, inside, "left_anti").withColumn("left_out", F.lit(0).cast("long"))
     order = [F.asc_nulls_first("graph"), *[F.asc(c) for c in ("s", "p", "o")], *[F.asc_nulls_first(c) for c in ("kind", "datatype", "lang")]]
-    block = out.withColumn("block", F.pmod(F.xxhash64("graph", "s", "p", "o"), F.lit(BLOCKS)))
+    block = out.join(large, inside, "left_semi").withColumn("block", F.pmod(F.xxhash64("graph", "s", "p", "o"), F.lit(BLOCKS)))
     w = W.partitionBy("document", "block")
     first = block.withColumn("n", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy(*order))).where(F.col("place") <= most)
     whole = W.partitionBy("document")
     total = F.sum(F.when(F.col("place") == 1, F.col("n"))).over(whole)
     kept = first.withColumn("total", total).withColumn("place", F.row_number().over(whole.orderBy(*order))).where(F.col("place") <= most)
-    return kept.select("document", "s", "p", "o", "graph", "content", "confidence", "subjects", "refs", "claim", F.greatest(F.col("total") - most, F.lit(0)).alias("left_out"))
+    kept = kept.withColumn("left_out", F.greatest(F.col("total") - most, F.lit(0)))
+    return small.select(*result, "left_out").unionByName(kept.select(*result, "left_out"))

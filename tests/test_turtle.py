@@ -114,3 +114,13 @@ def test_a_large_document_equals_its_lines(spark):
     whole = read(spark, ["\n".join(short)]).where("kind <> 'prefix'").select(*columns)
     by_line = graph_claims.line_triples(spark.createDataFrame(lines, "document string, value string")).select(*columns)
     assert whole.count() == by_line.count() == 100_000 and whole.exceptAll(by_line).isEmpty()
+
+
+def test_documents_are_spread_and_read_once(spark):
+    """Bodies made from one partition are dealt over tasks; the claims' joins read a table, not the documents."""
+    docs = spark.range(0, 12_000, 1, 1).selectExpr("id AS k", "concat('<http://x/', id, '> <http://x/p> ', id, ' .') AS b")
+    rows = turtle.read_graphs(docs, "k", "b")
+    assert rows.rdd.getNumPartitions() >= 3
+    claims = graph_claims.triple_claims(rows)
+    assert "MapInArrow" in rows._jdf.queryExecution().toString() and "MapInArrow" not in claims._jdf.queryExecution().toString()
+    assert claims.where("content = document || ' p: ' || document AND left_out = 0").count() == 12_000

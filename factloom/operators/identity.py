@@ -57,14 +57,24 @@ def badge(stance: Column, divergence: Column, inconsistent: Column, least: float
     return F.when(F.size(bases) > 0, F.array_join(bases, ","))
 
 
+#: Rows of a bridge, and pairs of subjects, that a task has, about, and tasks at most.
+ROWS_PER_TASK, PAIRS_PER_TASK, MOST_TASKS = 500_000, 1_000_000, 20_000
+
+
 def subject_edges(bridge: DataFrame, claim: str, subject: str) -> DataFrame:
     """a < b for the subjects that meet in a claim, with the number of claims.
 
-    A claim's subjects are few by nature; pairs are counted before the shuffle.
+    Partitions follow from the rows and from the pairs, so that a task's share
+    stays as it is when the tables grow: claims' rows are dealt once, for the
+    distinct ones and for the join, and pairs once, before they are counted.
     """
-    rows = bridge.select(claim, subject).distinct()
+    rows = bridge.select(claim, subject).where(F.col(claim).isNotNull() & F.col(subject).isNotNull())
+    rows = rows.repartition(1 + rows.count() // ROWS_PER_TASK, claim).distinct()
+    k = F.col("k").cast("decimal(20,0)")
+    pairs = rows.groupBy(claim).agg(F.count("*").alias("k")).agg(F.sum(k * (k - 1) / 2).cast("double").alias("n")).first().n or 0
     left, right = rows.select(claim, F.col(subject).alias("a")), rows.select(claim, F.col(subject).alias("b"))
-    return left.join(right, claim).where("a < b").groupBy("a", "b").agg(F.count("*").alias("claims"))
+    met = left.join(right, claim).where("a < b").select("a", "b")
+    return met.repartition(min(MOST_TASKS, 1 + int(pairs // PAIRS_PER_TASK)), "a", "b").groupBy("a", "b").agg(F.count("*").alias("claims"))
 
 
 def carry_forward(chunks: DataFrame, known: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:

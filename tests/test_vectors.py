@@ -180,3 +180,23 @@ def test_chains_across_ranges(spark, monkeypatch, several, as_text):
     frame = spark.createDataFrame([(told(i), told(x)) for i, some in to.items() for x in some], f"claim_id {kind}, supersedes {kind}")
     got = identity.supersession_roots(frame).collect()
     assert len(got) == len(want) and {(int(r.claim_id), r.root if r.root is None else int(r.root), r.depth, r.cyclic) for r in got} == want
+
+
+def test_tasks_of_edges_follow_from_rows_and_pairs(spark, monkeypatch):
+    monkeypatch.setattr(identity, "ROWS_PER_TASK", 100, raising=False)
+    monkeypatch.setattr(identity, "PAIRS_PER_TASK", 100, raising=False)
+    bridge = [(i // 5, (i * 7) % 60) for i in range(1000)] + [(3, 21), (None, 4), (4, None)]
+    edges = identity.subject_edges(spark.createDataFrame(bridge, "c long, s long"), "c", "s")
+    of = {}
+    for c_, s in bridge:
+        if c_ is not None and s is not None:
+            of.setdefault(c_, set()).add(s)
+    want = {}
+    for some in of.values():
+        for a in some:
+            for b in some:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    assert {(r.a, r.b): r.claims for r in edges.collect()} == want
+    assert edges.rdd.getNumPartitions() == 1 + sum(len(x) * (len(x) - 1) // 2 for x in of.values()) // 100
+    assert identity.subject_edges(spark.createDataFrame([], "c long, s long"), "c", "s").collect() == []

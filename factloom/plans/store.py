@@ -13,6 +13,8 @@ from factloom.plans.registry import query, table
 from factloom.sources import bundles, interchange
 
 _NOW = "1998-09-01"
+#: Units that a task writes, about.
+_UNITS_PER_MEMBER = 20_000
 
 
 def _text(x: Column | str) -> Column:
@@ -349,7 +351,9 @@ def bundle_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     entry = F.concat(F.lit("e"), _text("o_custkey"))
     ref = F.struct(F.lit("shop").alias("namespace"), _text("o_custkey").alias("id"), no.alias("uri"), F.when(F.col("o_custkey") % 2 == 0, 0.5).otherwise(1.0).alias("confidence"))
     triple = F.struct(term("URI", F.concat(F.lit("http://x.org/"), _text(k))).alias("subject"), term("TOKEN", F.lit("costs")).alias("predicate"), term("LITERAL", _text("o_totalprice"), F.when(k % 2 == 0, "xsd:decimal")).alias("object"), F.lit("reader").alias("structurizer_id"), F.lit("1").alias("structurizer_version"), at.alias("generated_at"))
-    claims = table(spark, folder, "orders").select(
+    orders = table(spark, folder, "orders")
+    orders = orders.repartition(1 + orders.count() // _UNITS_PER_MEMBER, "o_orderkey")  # a small file has few parts, and coding a unit takes long
+    claims = orders.select(
         _text(k).alias("claim_id"), F.concat(F.lit("Order "), _text(k), F.lit('\n"'), F.col("o_orderpriority"), F.lit('" — ü')).alias("content"), ((F.col("o_custkey") % 101).cast("double") / 100).alias("confidence"),
         F.lit("DERIVED").alias("calibration_source"), F.lit("EPISTEMIC").alias("uncertainty_nature"), F.lit("shop").alias("asserted_by"), at.alias("asserted_at"), F.lit("ACTIVE").alias("status"), F.when(k % 4 == 0, at + F.expr("INTERVAL 9 DAYS")).alias("valid_until"),
         F.when(k % 3 > 0, F.array(source("SOURCE", entry), source("AGENT", entry))).alias("provenance"), F.array(F.struct(F.concat(F.lit("c"), _text("o_custkey")).alias("source_subject_id"), F.lit("Customer").alias("canonical_name"), F.array(ref).alias("external_refs"))).alias("subjects"),

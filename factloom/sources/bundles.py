@@ -47,7 +47,7 @@ import posixpath
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -135,8 +135,50 @@ def struct_of(items: tuple[Item, ...]) -> T.StructType:
     return T.StructType([T.StructField(i.column, of(i)) for i in items])
 
 
-def _named(items: tuple[Item, ...], noun: str) -> dict[str, Item]:
-    return {i.key.format(noun=noun): i for i in items}
+_MADE: dict[tuple, tuple] = {}
+_EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
+
+
+def _named(items: tuple[Item, ...], noun: str, known: tuple[str, ...] = ()) -> tuple[dict[str, Item], frozenset[str]]:
+    """(items by their keys, all keys that a unit may have). Every unit and every part of one asks for
+    them: they are made once, and found by identity, since items are slow to hash."""
+    found = _MADE.get((id(items), noun, known))
+    if found is None or found[0] is not items:
+        by = {i.key.format(noun=noun): i for i in items}
+        found = _MADE[id(items), noun, known] = (items, by, frozenset(by) | frozenset(known))
+    return found[1], found[2]
+
+
+def values(a: pa.Array) -> list:
+    """What to_pylist() gives, by columns: it makes a scalar of every value, which took longer than to code them."""
+    kind = a.type
+    if a.null_count == len(a):
+        return [None] * len(a)
+    if pa.types.is_struct(kind):
+        names = [f.name for f in kind]
+        out = [dict(zip(names, x, strict=True)) for x in zip(*(values(c) for c in a.flatten()), strict=True)]
+    elif pa.types.is_list(kind):
+        at, inner = a.offsets.to_numpy(), values(a.values)
+        out = [inner[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    elif pa.types.is_map(kind):
+        at, inner = a.offsets.to_numpy(), list(zip(values(a.keys), values(a.items), strict=True))
+        out = [inner[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    elif pa.types.is_string(kind):
+        return a.to_numpy(zero_copy_only=False).tolist()
+    elif pa.types.is_timestamp(kind):
+        return [None if x is None else (_EPOCH if kind.tz else _EPOCH.replace(tzinfo=None)) + timedelta(microseconds=x) for x in a.cast(pa.timestamp("us", kind.tz)).cast(pa.int64()).to_pylist()]
+    elif pa.types.is_floating(kind) and not a.null_count:
+        return a.to_numpy().tolist()
+    else:
+        return a.to_pylist()
+    if a.null_count:
+        out = [x if there else None for x, there in zip(out, a.is_valid().to_numpy(zero_copy_only=False).tolist(), strict=True)]
+    return out
+
+
+def _rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    names = batch.schema.names
+    return (dict(zip(names, x, strict=True)) for x in zip(*map(values, batch.columns), strict=True))
 
 
 def _checked(i: Item, value: object, at: str) -> None:
@@ -157,13 +199,19 @@ def _checked(i: Item, value: object, at: str) -> None:
 def encoded(row: dict, items: tuple[Item, ...], noun: str = "Claim", at: str = "") -> dict:
     """A row as what JSON says of it; what is null is left out."""
     out = {}
-    for key, i in _named(items, noun).items():
-        value, place = row.get(i.column), f"{at}{i.column}"
+    for key, i in _named(items, noun)[0].items():
+        value = row.get(i.column)
         if value is None:
             value = i.default
-        if value is None and i.needed:
+            if value is None and not i.needed:
+                continue
+        if value.__class__ is str and i.kind == "string" and not i.quiet and (not i.values or value in i.values):
+            out[key] = value
+            continue
+        place = f"{at}{i.column}"
+        if value is None:
             raise Refused(f"{place}: missing")
-        if value is None or (i.quiet and (not value if i.default == () else value == i.default)):
+        if i.quiet and (not value if i.default == () else value == i.default):
             continue
         if i.kind == "one":
             out[key] = encoded(value, i.items, noun, f"{place}.")
@@ -200,10 +248,19 @@ def decoded(unit: object, items: tuple[Item, ...], noun: str = "Claim", at: str
     """The row of a unit; raises Refused where it is none."""
     if not isinstance(unit, dict):
         raise Refused(f"{at.rstrip('.') or 'unit'}: no object")
-    named = _named(items, noun)
-    if strict and (extra := sorted(map(str, set(unit) - set(named) - set(known)))):
-        raise Refused(f"{at}{extra[0]}: unknown key")
-    return {i.column: _value(i, unit.get(key), f"{at}{key}", noun) for key, i in named.items()}
+    named, keys = _named(items, noun, known)
+    if strict and not unit.keys() <= keys:
+        raise Refused(f"{at}{min(map(str, set(unit) - keys))}: unknown key")
+    out = {}
+    for key, i in named.items():
+        value = unit.get(key)
+        if value is None and not i.needed:
+            out[i.column] = [] if i.default == () else i.default
+        elif value.__class__ is str and i.kind == "string" and (not i.values or value in i.values):
+            out[i.column] = value
+        else:
+            out[i.column] = _value(i, value, f"{at}{key}", noun)
+    return out
 
 
 def _value(i: Item, value: object, at: str, noun: str) -> object:
@@ -456,7 +513,7 @@ class _Writer(DataSourceArrowWriter):
                 members.append({"name": now["name"], "units": now["units"], "bytes": now["bytes"], "sha256": now["digest"].hexdigest()})
 
         for batch in iterator:
-            for row in batch.to_pylist():
+            for row in _rows_of(batch):
                 raw = _written(s.unit(row), s.yaml)
                 if s.most_bytes is not None and len(raw) > s.most_bytes:
                     raise Refused(f"a unit of {len(raw)} bytes; at most {s.most_bytes} in a member")

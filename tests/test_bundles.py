@@ -8,6 +8,7 @@ import uuid
 from datetime import UTC, datetime
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 
 from factloom.sources import bundles as b
@@ -158,3 +159,19 @@ def test_nothing(spark, folder):
     none = spark.createDataFrame([], b.struct_of(b.CLAIM))
     save(none, folder)
     assert load(spark, folder).count() == 0
+
+
+def test_values_by_columns():
+    """Nested values with nulls, whole and in slices, are what Arrow's own scalars say."""
+    at = datetime(1960, 2, 3, 4, 5, 6, 7, tzinfo=UTC)
+    one = pa.struct([("a", pa.string()), ("at", pa.timestamp("us", "UTC")), ("many", pa.list_(pa.struct([("x", pa.float64())])))])
+    rows = [
+        {"s": "ü", "n": 1.5, "t": at.replace(tzinfo=None), "o": {"a": None, "at": at, "many": [{"x": 1.0}, None, {"x": None}]}, "m": [("k", "1"), ("l", None)], "l": ["a", None], "e": None, "i": 3},
+        {"s": None, "n": None, "t": None, "o": None, "m": None, "l": None, "e": None, "i": None},
+        {"s": "", "n": 0.0, "t": None, "o": {"a": "b", "at": None, "many": []}, "m": [], "l": [], "e": None, "i": 4},
+    ]
+    schema = pa.schema([("s", pa.string()), ("n", pa.float64()), ("t", pa.timestamp("us")), ("o", one), ("m", pa.map_(pa.string(), pa.string())), ("l", pa.list_(pa.string())), ("e", pa.string()), ("i", pa.int64())])
+    batch = pa.RecordBatch.from_pylist(rows * 3, schema=schema)
+    for some in (batch, batch.slice(1, 5), batch.slice(2, 1), batch.slice(0, 0)):
+        assert list(b._rows_of(some)) == some.to_pylist()
+    assert b._named(b.CLAIM, "Claim")[0] is b._named(b.CLAIM, "Claim")[0]

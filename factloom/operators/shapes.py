@@ -2,13 +2,17 @@
 
 Shapes are read from Turtle into a table of rules, one a property. Nodes of a
 rule's class, and the values that a rule sends to another shape, are focus
-nodes; they meet the rules, then the triples on (document, node, path). Counts
-are taken by (document, node, path), values are checked one by one, and a value
-whose own shape is broken counts against the node that points to it.
+nodes. Values are checked where they are read; only types, values that are sent
+or counted and broken values are moved, to their document, where all that
+follows takes place: counts by (document, node, path), focus nodes, and the
+values whose own shape is broken, which count against the node that points to
+them. Documents that are too large for a task meet by their nodes instead.
 """
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +25,8 @@ SH = "http://www.w3.org/ns/shacl#"
 RULES = "shape string, target string, path string, least int, most int, datatype string, node_kind string, pattern string, allowed array<string>, least_length int, most_length int, low double, high double, node string, severity string"
 #: Rules at most: they go to every task.
 MOST_RULES = 10_000
+#: Triples of a task of whole documents, about (more than WIDE bytes of a value count as more triples), and ranges of documents that they are counted in.
+ROWS, WIDE, RANGES = 1_000_000, 200, 16
 #: Kinds of nodes by their names, and how values of a datatype are written.
 NODE_KINDS = {
     "IRI": ("iri",), "Literal": ("literal",), "BlankNode": ("blank",), "IRIOrLiteral": ("iri", "literal"), "BlankNodeOrIRI": ("blank", "iri"), "BlankNodeOrLiteral": ("blank", "literal"),
@@ -108,6 +114,7 @@ def _broken() -> Column:
     checks = {
         "datatype": F.col("datatype").isNotNull() & ~F.coalesce((datatype == F.col("datatype")) & written, F.lit(False)), "nodeKind": ~kinds, "pattern": F.col("pattern").isNotNull() & (blank | ~F.expr("regexp_like(o, coalesce(pattern, ''))")),
         "in": ~F.array_contains("allowed", key), "minLength": F.col("least_length").isNotNull() & (blank | (F.length("o") < F.col("least_length"))), "maxLength": F.col("most_length").isNotNull() & (blank | (F.length("o") > F.col("most_length"))),
+        "node": F.col("node").isNotNull() & is_literal,  # a literal has no properties: it breaks the shape it is sent to
         "minInclusive": F.col("low").isNotNull() & ~F.coalesce((number >= F.col("low")) & ~F.isnan(number), F.lit(False)), "maxInclusive": F.col("high").isNotNull() & ~F.coalesce((number <= F.col("high")) & ~F.isnan(number), F.lit(False)),
     }
     return F.array_compact(F.array(*[F.when(broken, name) for name, broken in checks.items()]))
@@ -117,7 +124,7 @@ def rule_table(spark: SparkSession, found: list[tuple]) -> DataFrame:
     return spark.createDataFrame(found, RULES)
 
 
-def violations(triples: DataFrame, found: list[tuple]) -> DataFrame:
+def violations(triples: DataFrame, found: list[tuple], rows: int = ROWS) -> DataFrame:
     """document, focus, shape, path, constraint, value, severity, nested of all that is broken.
 
     triples(document, s, p, o, kind, datatype, lang), as a reader of graphs gives
@@ -127,41 +134,107 @@ def violations(triples: DataFrame, found: list[tuple]) -> DataFrame:
     severity. nested tells what a node breaks only because another one points to
     it. Lists, blank nodes and IRIs have no length or pattern but IRIs; numbers
     are compared as doubles. A node is checked once for each shape that reaches it.
+    Documents of at most about ``rows`` triples stay together.
     """
     spark = triples.sparkSession
     if not found:
         return spark.createDataFrame([], "document string, focus string, shape string, path string, constraint string, value string, severity string, nested boolean")
-    table, store = F.broadcast(rule_table(spark, found)), Tables(spark)  # at most MOST_RULES
-    paths = F.broadcast(rule_table(spark, found).select(F.col("path").alias("p")).union(spark.createDataFrame([(RDF + "type",)], "p string")).distinct())
-    links = store.written(triples.select("document", "s", "p", "o", "kind", F.col("datatype").alias("data_type"), "lang").where("s IS NOT NULL AND o IS NOT NULL").join(paths, "p", "left_semi").distinct())
-
-    classes = table.select("target", "shape").where("target IS NOT NULL").distinct()
-    level = links.where(F.col("p") == RDF + "type").join(F.broadcast(classes), F.col("o") == F.col("target")).select("document", F.col("s").alias("focus"), "shape").distinct()
-    focus = level.withColumn("nested", F.lit(False))
-    depth = _depth(found)
-    for _ in range(depth):
-        ways = table.where("node IS NOT NULL").select("shape", "path", "node").distinct()
-        level = level.join(ways, "shape").join(links.where("kind <> 'literal'"), (level["document"].eqNullSafe(links["document"])) & (F.col("focus") == F.col("s")) & (F.col("path") == F.col("p"))).select(level["document"], F.col("o").alias("focus"), F.col("node").alias("shape")).distinct()
+    store, coded = Tables(spark), _Coded(spark, found)
+    key = F.coalesce(F.concat(F.lit("="), "document"), F.lit(""))  # not null: joins by it are joins by one column
+    triples = triples.select(key.alias("d"), "s", F.col("p").alias("path"), "o", "kind", F.col("datatype").alias("data_type"), "lang").where("s IS NOT NULL AND o IS NOT NULL")
+    links = store.written(triples.join(F.broadcast(coded.paths), "path").drop("path"))
+
+    weight = F.sum(1 + F.floor(F.octet_length("o") / WIDE))
+    tasks = max(2, -(-(links.agg(weight).head()[0] or 0) // rows))  # two at least: a union keeps no single partition
+    place = F.pmod(F.xxhash64("d"), F.lit(tasks * RANGES))
+    large = F.broadcast(store.written(links.groupBy(place.alias("range")).agg(weight.alias("weight")).where(F.col("weight") > rows).select("range")))  # one in so many rows at most
+    together = lambda df: df.repartition(tasks, "d")
+    if large.isEmpty():
+        out = _broken_by(links, coded, together)
+    else:
+        small, rest = (links.join(large, place == F.col("range"), how) for how in ("left_anti", "left_semi"))
+        out = _broken_by(small, coded, together).unionByName(_broken_by(rest, coded, lambda df: df))
+    with _documents_together(spark):
+        out = store.written(out)
+    document = F.when(F.col("d") != "", F.expr("substring(d, 2)"))
+    return out.join(F.broadcast(coded.places), "place").select(document.alias("document"), F.col("s").alias("focus"), "shape", "path", "constraint", "value", "severity", "nested")
+
+
+@contextlib.contextmanager
+def _documents_together(spark: SparkSession) -> Iterator[None]:
+    """Joins by (document, node) take rows as they lie by document."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+class _Coded:
+    """Rules by numbers: at most MOST_RULES rows in each table, which go to every task."""
+
+    def __init__(self, spark: SparkSession, found: list[tuple]) -> None:
+        # of a shape with several classes each rule stands once
+        own = list(dict.fromkeys((r[0], None, *r[2:8], None if r[8] is None else tuple(r[8]), *r[9:]) for r in found))
+        self.depth = _depth(found)
+        number = {p: i for i, p in enumerate(dict.fromkeys([RDF + "type", *(r[2] for r in own)]))}
+        shape = {s: i for i, s in enumerate(dict.fromkeys(r[0] for r in own))}
+        place = {k: i for i, k in enumerate(dict.fromkeys((r[0], r[2], r[14]) for r in own))}
+        at = [(shape[r[0]], number[r[2]], place[r[0], r[2], r[14]]) for r in own]
+        some = lambda rows, schema: spark.createDataFrame(list(dict.fromkeys(rows)), schema)
+        self.paths = some(number.items(), "path string, p int")
+        self.places = some(((*k, i) for k, i in place.items()), "shape string, path string, severity string, place int")
+        self.classes = some(((r[1], shape[r[0]]) for r in found if r[1] is not None), "target string, shape int")
+        self.ways = some(((*a, shape[r[13]]) for a, r in zip(at, own, strict=True) if r[13]), "shape int, p int, place int, node int")
+        limits = [(*a, r[3], r[4]) for a, r in zip(at, own, strict=True) if r[3] or r[4] is not None]
+        self.limits = some(limits, "shape int, p int, place int, least int, most int")
+        self.rules = some(((i, a[1], *r) for i, (a, r) in enumerate(zip(at, own, strict=True))), f"rule int, p int, {RULES}")
+        self.homes = some(((i, a[0], a[2]) for i, a in enumerate(at)), "rule int, shape int, place int")
+        self.type = number[RDF + "type"]
+        self.sent = [number[r[2]] for r in own if r[13]]
+        self.counted = [p for _, p, *_ in limits]
+        #: Paths of which it is only asked whether there is a value.
+        self.single = sorted(set(self.counted) - {p for _, p, _, least, most in limits if most is not None or least > 1})
+
+
+def _broken_by(links: DataFrame, rules: _Coded, spread: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """d, s, place, constraint, value, nested of what the nodes of links(d, s, p, o, kind, data_type, lang) break.
+
+    ``spread`` brings rows to their documents: no join or count after it moves them again.
+    """
+    p, term = F.col("p"), ("o", "kind", "data_type", "lang")
+    links = links.where("d IS NOT NULL AND s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL")  # as joins would ask, each for its columns: what is moved for one is read by all
+    ways = F.broadcast(rules.ways)
+    types = spread(links.where(p == rules.type).join(F.broadcast(rules.classes), F.col("o") == F.col("target")).select("d", "s", "shape"))
+    sends = spread(links.where(p.isin(rules.sent) & (F.col("kind") != "literal")).select("d", "s", "p", "o"))
+    counted = spread(links.where(p.isin(rules.counted)).select("d", "s", "p", *[F.when(~p.isin(rules.single), F.col(c)).alias(c) for c in term]))
+    counts = counted.distinct().groupBy("d", "s", "p").agg(F.count(F.lit(1)).alias("n"))
+    wrong = spread(links.join(F.broadcast(rules.rules.drop("shape", "target", "path", "least", "most", "severity")), "p").select("d", "s", "rule", *term, F.explode(_broken()).alias("constraint"))).distinct()
+
+    once = lambda df: df.groupBy("d", "s", "shape").agg(F.min("nested").alias("nested"))  # noqa: E731  a node of the class itself isn't nested
+    level, focus = types, types.withColumn("nested", F.lit(False))
+    above = focus
+    for i in range(rules.depth):
+        above = once(focus) if i else focus  # the shapes of the last level send nothing
+        level = level.distinct() if i else level
+        level = sends.join(level.join(ways, "shape").select("d", "s", "p", "node"), ["d", "s", "p"]).select("d", F.col("o").alias("s"), F.col("node").alias("shape"))
         focus = focus.union(level.withColumn("nested", F.lit(True)))
-    focus = store.written(focus.groupBy("document", "focus", "shape").agg(F.min("nested").alias("nested")))  # a node of the class itself isn't nested
-
-    asked = focus.join(table.drop("target").distinct(), "shape")
-    met = asked.join(links, asked["document"].eqNullSafe(links["document"]) & (F.col("focus") == F.col("s")) & (F.col("path") == F.col("p")), "left").drop(links["document"]).drop("s", "p")
-    where = ["document", "focus", "shape", "path", "nested", "severity"]
-    counts = met.groupBy(*where, "least", "most").agg(F.count("o").alias("n"))
-    few = counts.where("n < least").select(*where, F.lit("minCount").alias("constraint"), F.lit(None).cast("string").alias("value"))
-    many = counts.where("n > most").select(*where, F.lit("maxCount").alias("constraint"), F.lit(None).cast("string").alias("value"))
-    wrong = met.where("o IS NOT NULL").select(*where, F.explode(_broken()).alias("constraint"), F.col("o").alias("value"))
-    # a literal has no properties: it breaks the shape it is sent to
-    plain = met.where("o IS NOT NULL AND node IS NOT NULL AND kind = 'literal'").select(*where, F.lit("node").alias("constraint"), F.col("o").alias("value"))
-    out = store.written(few.unionByName(many).unionByName(wrong).unionByName(plain))
-
-    sent = met.where("node IS NOT NULL AND o IS NOT NULL AND kind <> 'literal'").select(*where, "o", "node")
-    bad = out.select("document", "focus", "shape").distinct()
-    for _ in range(depth):
-        b = bad.select(F.col("document").alias("d"), F.col("focus").alias("f"), F.col("shape").alias("to")).distinct()
-        against = sent.join(b, F.col("document").eqNullSafe(F.col("d")) & (F.col("o") == F.col("f")) & (F.col("node") == F.col("to"))).select(*where, F.lit("node").alias("constraint"), F.col("o").alias("value")).distinct()
-        bad = bad.union(against.select("document", "focus", "shape"))
-    if depth:
-        out = out.unionByName(against)
-    return out.select("document", "focus", "shape", "path", "constraint", "value", "severity", "nested")
+    focus = once(focus)
+
+    n = F.coalesce("n", F.lit(0))
+    limit = F.explode(F.array_compact(F.array(F.when(n < F.col("least"), "minCount"), F.when(n > F.col("most"), "maxCount"))))
+    off = focus.join(F.broadcast(rules.limits), "shape").join(counts, ["d", "s", "p"], "left").select("d", "s", "shape", "place", limit.alias("constraint"), F.lit(None).cast("string").alias("value"), "nested")
+    values = focus.join(wrong.join(F.broadcast(rules.homes), "rule"), ["d", "s", "shape"]).select("d", "s", "shape", "place", "constraint", F.col("o").alias("value"), "nested")
+    out = off.union(values)
+
+    sent = sends.join(above.join(ways, "shape"), ["d", "s", "p"]).select("d", "s", "shape", "place", F.lit("node").alias("constraint"), F.col("o").alias("value"), "nested", "node")
+    bad, against = out, []
+    for _ in range(rules.depth):
+        broken = bad.select("d", F.col("s").alias("value"), F.col("shape").alias("node"))
+        bad = sent.join(broken, ["d", "value", "node"], "left_semi").select(out.columns).distinct()
+        against.append(bad)
+    if against:
+        out = out.union(reduce(DataFrame.union, against).distinct() if rules.depth > 1 else against[0])
+    return out.drop("shape")

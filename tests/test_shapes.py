@@ -66,6 +66,50 @@ def test_a_triple_counts_once_and_documents_stand_apart(spark):
     assert shapes.violations(rows, []).count() == 0
 
 
+TRIPLES = "document string, s string, p string, o string, kind string, datatype string, lang string"
+
+
+def moved(spark):
+    """Rows that stages have written for others, so far."""
+    context = spark.sparkContext
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_triples_are_moved_once_at_most(spark):
+    """Values that nothing asks for stay where they are; the others go to their document, once."""
+    types = spark.range(500).selectExpr("cast(id % 50 as string) document", "concat('urn:x', id) s", f"'{turtle.RDF}type' p", "'urn:outer' o", "'iri' kind", "cast(null as string) datatype", "cast(null as string) lang")
+    facts = spark.range(20_000).selectExpr("cast(id % 500 % 50 as string) document", "concat('urn:x', id % 500) s", "if(id < 10000, 'urn:part', 'urn:version') p", "if(id < 10000, concat('urn:m', id), concat(id, '.0')) o", "if(id < 10000, 'iri', 'literal') kind", "cast(null as string) datatype", "cast(null as string) lang")
+    before = moved(spark)
+    got = Counter((r.path, r.constraint, r.nested) for r in shapes.violations(types.unionByName(facts), shapes.rules(SHAPES)).collect())
+    assert got == {("urn:id", "minCount", False): 500, ("urn:part", "maxCount", False): 500, ("urn:term", "minCount", True): 10_000, ("urn:part", "node", False): 10_000}
+    # parts are sent and counted
+    assert 20_000 <= moved(spark) - before < 25_000
+
+
+def test_documents_that_are_too_large_for_a_task(spark):
+    """The same is found, whether documents stay together or not."""
+    key, r = "spark.sql.requireAllClusterKeysForCoPartition", random.Random(5)
+    rows = []
+    for d, n in (("large", 60), ("large too", 40), (None, 20), *((str(i), 2) for i in range(30))):
+        for i in range(n):
+            rows += [(d, f"urn:n{i}", turtle.RDF + "type", "urn:outer", "iri", None, None)] + [(d, f"urn:n{i}", "urn:id", "x" * r.randrange(1, 6), "literal", None, None)] * r.randrange(3)
+            rows += [(d, f"urn:n{i}", "urn:part", *r.choice(((f"urn:m{r.randrange(n)}", "iri"), ("text", "literal"))), None, None) for _ in range(3)]
+            rows += [(d, f"urn:m{i}", "urn:term", f"urn:t{r.randrange(n)}", "iri", None, None), (d, f"urn:t{i}", "urn:kind", r.choice("ABC"), "literal", None, None)]
+    triples, rules, before = spark.createDataFrame(rows, TRIPLES), shapes.rules(SHAPES), spark.conf.get(key)
+    whole = Counter(map(tuple, shapes.violations(triples, rules).collect()))
+    assert {d for d, *_ in whole} >= {"large", "large too", None, "7"} and {x[4] for x in whole} >= {"minCount", "maxCount", "node", "in", "minLength"}
+    for n in (1, 100, 500):
+        assert Counter(map(tuple, shapes.violations(triples, rules, rows=n).collect())) == whole
+    assert spark.conf.get(key) == before
+
+
+def test_two_rules_of_one_path_count_it_once_each(spark):
+    rules = shapes.rules(HEAD + ":S a sh:NodeShape ; sh:targetClass :c, :d ; sh:property [ sh:path :p ; sh:maxCount 1 ; sh:minLength 1 ], [ sh:path :p ; sh:maxCount 1 ; sh:maxLength 2 ] .")
+    rows = spark.createDataFrame([("a", "urn:x", p, o, k, None, None) for p, o, k in ((turtle.RDF + "type", "urn:c", "iri"), (turtle.RDF + "type", "urn:d", "iri"), ("urn:p", "long", "literal"))], TRIPLES)
+    assert [(r.constraint, r.value) for r in shapes.violations(rows, rules).collect()] == [("maxLength", "long")]
+
+
 def test_shapes_that_are_not_understood():
     shape = lambda body: HEAD + ":S a sh:NodeShape ; sh:targetClass :c ; sh:property [ " + body + " ] ."
     for body, why in (("sh:path :p ; sh:lessThan :q", "lessThan"), ("sh:path [ sh:inversePath :p ]", "no predicate"), ("sh:minCount 1", "no predicate"), ("sh:path :p ; sh:node :S", "reaches itself"), ("sh:path :p ; sh:node :T", "no rules"), ("sh:path :p ; sh:nodeKind :k", "kind of node")):

@@ -74,11 +74,12 @@ def _batch(claims: pa.Array, place: np.ndarray, steps: np.ndarray, to: np.ndarra
 
 
 def _starts(claims: pa.Array) -> np.ndarray:
-    """Where runs of one claim begin; claims aren't null."""
+    """Where runs of one claim begin; null is a claim like any other."""
     if len(claims) < 2:
         return np.zeros(len(claims), np.int64)
-    changes = pa.compute.not_equal(claims.slice(1), claims.slice(0, len(claims) - 1))
-    return np.concatenate(([0], np.flatnonzero(changes.to_numpy(zero_copy_only=False)) + 1))
+    changes = pa.compute.not_equal(claims.slice(1), claims.slice(0, len(claims) - 1)).fill_null(False)
+    told = claims.is_valid().to_numpy(zero_copy_only=False)
+    return np.concatenate(([0], np.flatnonzero(changes.to_numpy(zero_copy_only=False) | (told[1:] != told[:-1])) + 1))
 
 
 def _reduced(name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -117,15 +118,17 @@ def _finished(name: str) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def statuses(log: DataFrame, claim: str, seq: str, to: str, reason: str | None = None, ranges: int | None = None) -> DataFrame:
+def statuses(log: DataFrame, claim: str, seq: str, to: str, reason: str | None = None, ranges: int | None = None, nulls: bool = False) -> DataFrame:
     """claim, status, steps, refused, first_refused of log(claim, seq, to, reason).
 
     Steps are taken by seq (a whole number), then by to and reason; the first
     one finds no claim. A step that isn't allowed, or leads to no status, is
     refused: it changes nothing, and the first one's seq is told. A superseded
     claim becomes active again only if it was superseded as a merged duplicate.
-    Steps without a claim or a seq are left out; status is null where no step
-    was taken. The log is cut into ranges of (claim, seq), so that a claim with
+    Steps without a claim or a seq are left out; with ``nulls``, those without
+    a claim are the log of a null claim, and those without a seq come last (none
+    of them is told as the first refused). Status is null where no step was
+    taken. The log is cut into ranges of (claim, seq), so that a claim with
     most of the rows is spread over tasks; its blocks, of BLOCK_ROWS steps
     or more, meet at the end.
     """
@@ -136,7 +139,9 @@ def statuses(log: DataFrame, claim: str, seq: str, to: str, reason: str | None =
         if s and i != _BACK:
             change = F.when(F.col(to) == s, i).otherwise(change)
     change = F.when((F.col(to) == "SUPERSEDED") & (why == REVERSIBLE), _BACK).otherwise(change)
-    rows = log.select(F.col(claim), F.col(seq).cast("long").alias("seq"), change.cast("int").alias("change"), F.monotonically_increasing_id().alias("row")).where(F.col(claim).isNotNull() & F.col("seq").isNotNull())
+    at = F.col(seq).cast("long")
+    rows = log.select(F.col(claim), (F.coalesce(at, F.lit(int(_NONE))) if nulls else at).alias("seq"), change.cast("int").alias("change"), F.monotonically_increasing_id().alias("row"))
+    rows = rows if nulls else rows.where(F.col(claim).isNotNull() & F.col("seq").isNotNull())
     order = (claim, "seq", "change", "row")
     dealt = rows.repartitionByRange(ranges or int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).select(claim, "seq", "change")
     wide = [T.StructField(n, T.ArrayType(t)) for n, t in (("to", T.ByteType()), ("refused", T.LongType()), ("first", T.LongType()))]

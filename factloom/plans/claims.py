@@ -228,10 +228,10 @@ f AS (SELECT claim, count(*) AS steps, list_reduce(list_prepend('', list(t ORDER
 SELECT claim, replace(nullif(replace(s, '!', ''), ''), 'MERGED', 'SUPERSEDED') AS status, steps, length(s) - length(replace(s, '!', '')) AS refused FROM f""")
 def status_logs_reduced(spark: SparkSession, folder: str) -> DataFrame:
     """Every line of an order is a step in the log of its part."""
-    to = F.when((F.col("l_quantity") == 50) & (F.col("l_linenumber") > 4), "RETRACTED").otherwise(F.element_at(F.array(*map(F.lit, _CHANGES)), (F.col("l_suppkey") % 8 + 1).cast("int")))
+    to = F.when((F.col("l_quantity") == 50) & (F.col("l_linenumber") > 4), "RETRACTED").otherwise(F.element_at(F.array(*map(F.lit, _CHANGES)), F.nullif((F.col("l_suppkey") % 8 + 1).cast("int"), F.lit(0))))
     why = F.when(F.col("l_linenumber") % 2 == 0, status_logs.REVERSIBLE)
     log = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("claim"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), to.alias("to"), why.alias("why"))
-    return status_logs.statuses(log, "claim", "seq", "to", "why").drop("first_refused")
+    return status_logs.statuses(log, "claim", "seq", "to", "why", nulls=True).drop("first_refused")
 
 
 @query("""SELECT o_orderpriority, count(*) FILTER (p = 0 OR p = 1 OR (p = 2 AND o_custkey % 7 >= 3)) AS passing, least(count(*), 500) AS processed, count(*) > 500 AS capped FROM (SELECT *, o_orderkey % 3 AS p FROM orders) GROUP BY 1""")

@@ -3,10 +3,13 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__  # noqa: F401  registers the queries
 from factloom.functions.claims import TRANSITIONS
 from factloom.operators import status_logs
+from factloom.plans.registry import QUERIES, SQL
 
 
 def fold(steps):
@@ -74,3 +77,23 @@ def test_a_hot_claim_of_a_million_steps(spark):
     assert got(found.where("claim = -1"))[-1] == fold(rows)
     where = log.repartitionByRange(16, "claim", "seq").where("claim = -1").groupBy(F.spark_partition_id()).count().collect()
     assert len(where) >= 12 and max(r["count"] for r in where) < n / 5
+
+
+def test_steps_without_a_claim_or_a_seq(spark):
+    """They are a null claim's log, and the last steps of a log."""
+    rows = [(None, 2, "SUPERSEDED", None), (None, 1, "ACTIVE", None), ("a", None, "RETRACTED", None), ("a", 4, "ACTIVE", None), ("b", None, "unheard", None), ("", 1, "ACTIVE", None)]
+    found = status_logs.statuses(spark.createDataFrame(rows, SCHEMA).repartition(3), "claim", "seq", "to", "why", ranges=1, nulls=True)
+    assert got(found) == {None: ("SUPERSEDED", 2, 0, None), "a": ("RETRACTED", 2, 0, None), "b": (None, 1, 1, None), "": ("ACTIVE", 1, 0, None)}
+
+
+def test_the_query_on_lines_with_nulls(spark, tmp_path):
+    """Every kind of line that has a null, and suppliers below 0, as in the SQL. No two steps of a part have one number."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(4)
+    lines = [(n, rng.choice([None, *range(12)]), rng.choice([None, *range(-9, 40)]), n % 7 + 1, float(rng.choice([50, 50, 3]))) for n in range(600)]
+    lines += [(None, p, s, 6, 50.0 if s % 2 else None) for p, s in ((1, 3), (2, 0), (50, 2), (None, 1))] + [(9000, 3, 5, None, 50.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    want = con.execute(SQL["status_logs_reduced"]).fetchall()
+    assert len(want) == 14 and got(QUERIES["status_logs_reduced"](spark, str(tmp_path))) == {r[0]: r[1:] for r in want}
